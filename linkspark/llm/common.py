@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most: int = 2_000_000
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch[column]).fill_null(0).to_numpy(zero_copy_only=False)
         ends, total, start = np.cumsum(size, dtype=np.int64), 0, 0
         while start < batch.num_rows:
             stop = max(start + 1, int(np.searchsorted(ends, total + most, "right")))

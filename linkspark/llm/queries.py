@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from linkspark.llm.chat import op5_chat_format
+from linkspark.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from linkspark.llm.mixing import op2_mix_to_targets
 from linkspark.llm.quality import op8_quality_classifier
 from linkspark.llm.toxicity import op6_toxicity
 from linkspark.llm.urls import op10_url_filter
+from linkspark.llm.vectors import op1_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op2_mix_to_targets, op5_chat_format, op6_toxicity, op8_quality_classifier, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_mix_to_targets, op4_ngram_jaccard, op5_chat_format, op6_toxicity, op8_quality_classifier, op10_url_filter)}
 
 SQL: dict[str, str] = {
+    "op4_ngram_jaccard": OP4_SQL,
     "op5_chat_format": r"""
 with t as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

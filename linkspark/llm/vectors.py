@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def _spread(least: float, grid: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
-                dims = pa.compute.list_value_length(part["embedding"]).to_numpy(zero_copy_only=False)
+                dims = pc.list_value_length(part["embedding"]).to_numpy(zero_copy_only=False)
                 for d in np.unique(dims):
                     some = part.filter(pa.array(dims == d))
                     x = _unit(some["embedding"].to_pylist())
