@@ -14,12 +14,10 @@ from pyspark.sql import functions as F
 from linkspark.llm.common import save, shingle_hashes, slices, word_hashes
 from linkspark.llm.components import components
 
-#: Shingles that are counted exactly and put last in every prefix order: a bound on what is broadcast (1 MB).
-HEAVY = 65_536
+#: Shingles that are counted exactly and put last in every prefix order: a bound on what is broadcast (4 MB).
+HEAVY = 262_144
 #: Shingles that a task counts at once.
 TALLY = 4_000_000
-#: Texts that one task holds against one pivot.
-GROUP = 400
 #: A document may ask for so many shared prefix tokens.
 MATCHES = 8
 #: What verifying a candidate costs, in prefix rows.
@@ -49,7 +47,7 @@ def _digest(n: int):
 
         def frequent() -> pa.RecordBatch:
             tokens, seen = np.unique(np.concatenate(held), return_counts=True)
-            often = seen >= max(8, docs // 256)
+            often = seen >= max(4, docs // 2048)
             k = int(often.sum())
             none = pa.nulls(k, pa.int64())
             return out(none, none, none, tokens[often].view(np.int64), seen[often].astype(np.int64))
@@ -122,36 +120,41 @@ def _texts(n: int):
 
 
 def _verify(n: int, percent: int):
-    """Links between a pivot and the texts that stand with it, on whole shingle sets."""
-
-    def run(table: pa.Table) -> pa.Table:
-        pivot = table.filter(table["is_pivot"])
-        others = table.filter(pc.invert(table["is_pivot"]))
-        found = []
-        if pivot.num_rows:
-            words, firsts, _, _ = word_hashes(pivot["text"].slice(0, 1).combine_chunks())
-            mine = np.unique(shingle_hashes(words, firsts, n)[0])
-            for batch, sets in _sets(others.to_batches(), "text", n):
-                for node, s in zip(batch["node"].to_pylist(), sets, strict=True):
-                    if 100 * min(len(s), len(mine)) < percent * max(len(s), len(mine)):
-                        continue
-                    at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
-                    both = int((mine[at] == s).sum())
-                    if 100 * both >= percent * (len(s) + len(mine) - both):
-                        found.append(node)
-        a = table["pivot"][0].as_py()
-        return pa.table({"a": pa.array([a] * len(found), pa.int64()), "b": pa.array(found, pa.int64())})
+    """The pairs of a batch whose whole shingle sets link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, mine = None, None
+        for batch, sets in _sets(batches, "text", n):
+            keep = []
+            for a, text, s in zip(batch["pivot"].to_pylist(), batch["pivot_text"], sets, strict=True):
+                if a != pivot:
+                    words, firsts, _, _ = word_hashes(pa.array([text.as_py()]))
+                    pivot, mine = a, np.unique(shingle_hashes(words, firsts, n)[0])
+                at = np.minimum(np.searchsorted(mine, s), len(mine) - 1)
+                both = int((mine[at] == s).sum())
+                keep.append(100 * both >= percent * (len(s) + len(mine) - both))
+            found = batch.select(["pivot", "node"]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(found.columns, ["a", "b"])
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (pivot, node) that link. A pivot's texts are dealt to groups of about GROUP, the pivot's own text to each."""
-    sizes = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("groups"))
-    dealt = pairs.join(sizes, "pivot").select("pivot", "node", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("part"))
-    others = dealt.join(texts, "node").select("pivot", "part", "node", "text", F.lit(False).alias("is_pivot"))
-    own = sizes.join(texts.withColumnRenamed("node", "pivot"), "pivot").select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.col("pivot").alias("node"), "text", F.lit(True).alias("is_pivot"))
-    return others.unionByName(own).groupBy("pivot", "part").applyInArrow(_verify(n, percent), "a long, b long")
+    """Pairs (pivot, node) that link. A hot pivot is a skewed join, which Spark splits; no pair stands with another."""
+    own = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    return pairs.select("pivot", "node").join(texts, "node").join(own, "pivot").select("pivot", "node", "pivot_text", "text").mapInArrow(_verify(n, percent), "a long, b long")
+
+
+def _may_link(shared, x: str, y: str, percent: int):
+    """Exact filter on a pair's sizes, matches and shared prefix tokens.
+
+    The pair shares at least the smaller number of matches, its sizes are near enough, and its shared prefix tokens
+    with what stands behind the prefix of one of the two reach the overlap that their sizes ask for.
+    """
+    a, b, i, j = F.col(f"{x}.n"), F.col(f"{y}.n"), F.col(f"{x}.matches"), F.col(f"{y}.matches")
+    overlap = F.ceil(percent * (a + b) / (100 + percent) - F.lit(1e-9))
+    behind = [F.ceil(percent * size / 100 - F.lit(1e-9)) - m for size, m in ((a, i), (b, j))]
+    return (shared >= F.least(i, j)) & (shared + F.greatest(*behind) >= overlap) & (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
 def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -160,14 +163,30 @@ def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
     return rows.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _crossing(rows: DataFrame) -> DataFrame:
-    """Rows of the tokens that stand in more than one component, with a node of the first and of the last component.
-    Minima are made on the map side, so a common token is a few rows."""
-    ends = rows.groupBy("token").agg(F.min(F.struct("component", "node")).alias("low"), F.max(F.struct("component", "node")).alias("high")).where("low.component < high.component")
-    return rows.join(ends, "token")
+def _crossing(rows: DataFrame, turn: int) -> DataFrame:
+    """Rows of the tokens that stand in more than one component, with up to four of the token's nodes: the first and the
+    last in two orders, by hashes that change with the turn. Minima are made on the map side, so a common token is a few
+    rows."""
+    ends = [F.min("component").alias("one"), F.max("component").alias("two")]
+    for k in range(2):
+        node = F.struct(F.xxhash64("node", F.lit(2 * turn + k)), "node", "n", "matches", "component")
+        ends += [F.min(node).alias(f"low{k}"), F.max(node).alias(f"high{k}")]
+    ends = rows.groupBy("token").agg(*ends).where("one < two")
+    return rows.join(ends.select("token", F.array("low0", "high0", "low1", "high1").alias("ends")), "token")
+
+
+def _best(rows: DataFrame, percent: int, tries: int = 4) -> DataFrame:
+    """For each node up to `tries` pivots of other components: those with which it shares most prefix tokens, of all that
+    may link to it. (Which pivots are tried decides what is left for the last join, not what is found.)"""
+    pivots = F.explode(F.array_distinct(F.filter("ends", lambda e: e["component"] != F.col("component"))))
+    met = rows.select("node", F.struct("n", "matches").alias("own"), pivots.alias("pivot"))
+    counted = met.groupBy("node", F.col("pivot.node").alias("to")).agg(F.count(F.lit(1)).alias("shared"), F.first("own").alias("own"), F.first("pivot").alias("pivot"))
+    counted = counted.where(_may_link(F.col("shared"), "own", "pivot", percent))
+    first = Window.partitionBy("node").orderBy(F.desc("shared"), "to")
+    return counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries).select("node", F.col("to").alias("pivot"))
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 3) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: a row for each row of docs (doc_id, n_shingles, node), node being the hash of its
     shingle set (null for none). links: (a, b), links between nodes that join all nodes which similar pairs join.
 
@@ -177,8 +196,8 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataF
     of candidates, and a pair has to share the smaller m of its two documents. Documents with equal sets are one node,
     met once.
 
-    Pairs are never listed within a group. Each node is first verified against the node of a shared token with which it
-    shares most; then only tokens that still stand in more than one component go on; what is left is joined pair by pair
+    Pairs are never listed within a group. In each of a few turns every node is verified against a few nodes of other
+    components, and only tokens that still stand in more than one component go on; what is left is joined pair by pair
     across components. A pair inside a component needs no link. Hot tokens are salted.
     """
     spark = docs.sparkSession
@@ -192,28 +211,20 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75) -> tuple[DataF
     rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node long, n int, matches int")
     here = Window.partitionBy("token", "salt")
     rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("salt > 0 or low < high")
-    rows, _ = save(rows.drop("high").dropDuplicates(["token", "salt", "node"]))
-    common = rows.where("salt > 0").groupBy("token").agg(F.min("low").alias("first"))  # HEAVY rows at most
-    pivots = rows.join(F.broadcast(common), "token", "left").select("node", F.coalesce("first", "low").alias("pivot")).where("node <> pivot")
-
-    def best(pairs: DataFrame) -> DataFrame:
-        counted = pairs.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("shared"))
-        return counted.groupBy("node").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("pivot"))
-
-    nodes = rows.select("node").distinct()
-    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node")
+    rows, _ = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
+    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows.select("node").distinct(), "node")
     texts, _ = save(own.join(reps, "doc_id").mapInArrow(_texts(n), "node long, text string").dropDuplicates(["node"]))
-    links, _ = save(_links(best(pivots), texts, n, percent))
-    rows, _ = save(_crossing(_relabel(rows.select("token", "salt", "node", "n", "matches"), links)))
-    other = F.when(F.col("component") == F.col("low.component"), F.col("high.node")).otherwise(F.col("low.node"))
-    more, _ = save(_links(best(rows.select("node", other.alias("pivot"))), texts, n, percent))
-    links = links.unionByName(more)
-    rows, _ = save(_crossing(_relabel(rows.drop("low", "high"), links)).drop("low", "high"))
+    rows = rows.withColumn("component", F.col("node"))
+    links = None
+    for turn in range(turns):
+        found, _ = save(_links(_best(_crossing(rows, turn), percent), texts, n, percent))
+        links = found if links is None else links.unionByName(found)
+        rows, _ = save(_crossing(_relabel(rows, links), turn).drop("ends"))
     a, b = rows.alias("a"), rows.alias("b")
     fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
     pairs = a.join(b, fits).groupBy(F.col("a.node").alias("pivot"), F.col("b.node").alias("node"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.first(F.least("a.matches", "b.matches")).alias("least")).where("shared >= least")
-    last, _ = save(_links(pairs.select("pivot", "node"), texts, n, percent))
+    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.first(F.struct("a.n", "a.matches")).alias("x"), F.first(F.struct("b.n", "b.matches")).alias("y"))
+    last, _ = save(_links(pairs.where(_may_link(F.col("shared"), "x", "y", percent)), texts, n, percent))
     return members, links.unionByName(last)
 
 
