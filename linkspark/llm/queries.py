@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from linkspark.llm.chat import op5_chat_format
+from linkspark.llm.chat import OP5_SQL, op5_chat_format
+from linkspark.llm.decontaminate import op7_decontaminate
 from linkspark.llm.jaccard import OP4_SQL, op4_ngram_jaccard
+from linkspark.llm.lattice import op9_lattice_score
 from linkspark.llm.mixing import op2_mix_to_targets
 from linkspark.llm.quality import op8_quality_classifier
+from linkspark.llm.suffixes import op3_suffix_dedup
 from linkspark.llm.toxicity import op6_toxicity
 from linkspark.llm.urls import op10_url_filter
 from linkspark.llm.vectors import op1_embedding_near_dedup
 
-QUERIES = {f.__name__: f for f in (op1_embedding_near_dedup, op2_mix_to_targets, op4_ngram_jaccard, op5_chat_format, op6_toxicity, op8_quality_classifier, op10_url_filter)}
-
-SQL: dict[str, str] = {
-    "op4_ngram_jaccard": OP4_SQL,
-    "op5_chat_format": r"""
-with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -7, k, r, '</s>[INST] ok [/INST]' from (values (0, 'user'), (1, 'assistant')) v(k, r)),
-e as (select *, length(replace(replace(replace(role || text, '&', '&amp;'), '<', '&lt;'), '[', '&lsqb;')) + length('<s>[ROLE][/ROLE]</s>') + 1 as n from t)
-select conv_id, count(*) as n_turns,
-  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
-  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
-  sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  cast(sum(n) as bigint) as formatted_chars
-from e group by conv_id""",
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_embedding_near_dedup,
+        op2_mix_to_targets,
+        op3_suffix_dedup,
+        op4_ngram_jaccard,
+        op5_chat_format,
+        op6_toxicity,
+        op7_decontaminate,
+        op8_quality_classifier,
+        op9_lattice_score,
+        op10_url_filter,
+    )
 }
+
+SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op5_chat_format": OP5_SQL}
