@@ -1,29 +1,57 @@
-"""A corpus pipeline of five stages; each stage takes what its predecessor kept."""
+"""A corpus pipeline of five stages; each stage takes all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from linkspark.llm.mixing import mix
-from linkspark.llm.quality import keep_good
+from linkspark.llm import decontaminate, jaccard, mixing, quality, suffixes
+from linkspark.llm.common import save
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    return keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression classifier does not reject (score of 0.3 or more)."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of the sources to their target weights: a row for each drawing."""
-    return mix(docs)
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest doc_id. Rows without an id stay."""
+    first = jaccard.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull()))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-STAGES = [("quality", quality), ("mixing", mixing)]
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without the strings that an earlier one holds."""
+    return suffixes.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each drawing of a document: shard, place, the document's columns, words, and taken."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard", ngram_jaccard),
+    ("suffix_dedup", suffix_dedup),
+    ("decontamination", decontamination),
+    ("mixing_to_targets", mixing_to_targets),
+]
+#: Compression, SimHash and permuted draws are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again, so that no stage is computed twice."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs, _ = save(docs)
     return docs
