@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from linkspark.llm.common import _BYTE, _STEP, mix, text_bytes
 from linkspark.llm.induced import sorted_suffixes
@@ -287,7 +288,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     bits = anchors.groupBy("shard").applyInArrow(_shared, "shard long, block long, bits binary")
     runs = own.groupBy(by).cogroup(bits.groupBy("block")).applyInArrow(_gather(shards, text), "shard long, block long, numbers binary, sizes binary, owners binary, texts binary")
     masks = runs.groupBy("shard").applyInArrow(_sort, "shard long, block long, numbers binary, masks binary")
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))  # add() changes a schema in place
     for c, t in (("linkspark_n_bytes", "long"), ("linkspark_n_removed", "long"), ("linkspark_n_spans", "long"), ("linkspark_kept_sha256", "string"), ("linkspark_kept", "string")):
         schema = schema.add(c, t)
     return own.groupBy(by).cogroup(masks.groupBy("block")).applyInArrow(_cut(names, text, with_text), schema)
