@@ -1,4 +1,373 @@
 """Registered queries over the driver tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkspark.functions import values as V
+from linkspark.operators import checks, crosswalk, graph, profile, versions
+from linkspark.operators.mapping import TYPE, Map, Property, all_quads, compress_iri, expand_curie, infer_terms, quads, to_ntriples
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+ORDER = Map("http://x/order/{o_orderkey}", ("x:Order",), (Property("x:total", column="o_totalprice", datatype="xsd:double"), Property("x:priority", column="o_orderpriority"), Property("x:customer", template="http://x/customer/{o_custkey}")))
+CUSTOMER = Map("http://x/customer/{c_custkey}", ("x:Customer",), (Property("x:name", column="c_name", language="en"), Property("x:segment", column="c_mktsegment"), Property("x:nation", template="http://x/nation/{c_nationkey}")))
+NATION = Map("http://x/nation/{n_nationkey}", ("x:Nation",), (Property("x:name", column="n_name"), Property("x:region", template="http://x/region/{n_regionkey}")))
+
+
+def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda n: _t(spark, sf_dir, n)
+    return all_quads(quads(read("orders"), ORDER, "orders"), quads(read("customer"), CUSTOMER, "customer"), quads(read("nation"), NATION, "nation"))
+
+
+#: The same quads from the base tables, for the SQL side.
+_Q = """
+o as (select 'http://x/order/' || o_orderkey as s, * from orders),
+c as (select 'http://x/customer/' || c_custkey as s, * from customer),
+n as (select 'http://x/nation/' || n_nationkey as s, * from nation),
+q as (
+  select 'orders' as g, s, 'rdf:type' as p, 'x:Order' as o, 'iri' as kind from o
+  union all select 'orders', s, 'x:total', cast(o_totalprice as varchar), 'literal' from o
+  union all select 'orders', s, 'x:priority', o_orderpriority, 'literal' from o
+  union all select 'orders', s, 'x:customer', 'http://x/customer/' || o_custkey, 'iri' from o
+  union all select 'customer', s, 'rdf:type', 'x:Customer', 'iri' from c
+  union all select 'customer', s, 'x:name', c_name, 'literal' from c
+  union all select 'customer', s, 'x:segment', c_mktsegment, 'literal' from c
+  union all select 'customer', s, 'x:nation', 'http://x/nation/' || c_nationkey, 'iri' from c
+  union all select 'nation', s, 'rdf:type', 'x:Nation', 'iri' from n
+  union all select 'nation', s, 'x:name', n_name, 'literal' from n
+  union all select 'nation', s, 'x:region', 'http://x/region/' || n_regionkey, 'iri' from n)
+"""
+
+
+@query("map_quads", f"with {_Q} select g, s, p, kind, count(*) as n from q where p <> 'x:total' group by all")
+def map_quads(spark, sf_dir):
+    return _quads(spark, sf_dir).where("p <> 'x:total'").groupBy("g", "s", "p", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("map_multivalue_explode", "select distinct 'http://x/part/' || p_partkey as s, w as o from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) where w <> ''")
+def map_multivalue(spark, sf_dir):
+    spec = Map("http://x/part/{p_partkey}", (), (Property("x:word", function="split", columns=("p_name",), args=(" ",)),))
+    return quads(_t(spark, sf_dir, "part"), spec, "part").select("s", "o")
+
+
+@query("map_typed_numeric", "select 'http://x/order/' || o_orderkey as s, o_totalprice as o_num from orders")
+def map_typed(spark, sf_dir):
+    return quads(_t(spark, sf_dir, "orders"), ORDER, "orders").where("p = 'x:total'").select("s", "o_num")
+
+
+@query("map_infer_terms", """select * from (values ('x:total', 'x:Order', null), ('x:priority', 'x:Order', null), ('x:customer', 'x:Order', 'x:Customer'), ('x:segment', 'x:Customer', null), ('x:nation', 'x:Customer', 'x:Nation'), ('x:name', null, null), ('x:region', 'x:Nation', null)) v(predicate, domain, "range") where exists (select 1 from orders)""")
+def map_infer(spark, sf_dir):
+    return infer_terms(_quads(spark, sf_dir))
+
+
+@query("map_curies", "select p_partkey, 'x:' || p_partkey as short, 'http://x/part/' || p_partkey as long from part")
+def map_curies(spark, sf_dir):
+    prefixes = {"x": "http://x/part/", "y": "http://x/"}
+    rows = _t(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("http://x/part/"), "p_partkey").alias("iri"))
+    rows = rows.withColumn("short", compress_iri(F.col("iri"), prefixes))
+    return rows.select("p_partkey", "short", expand_curie(F.col("short"), prefixes).alias("long"))
+
+
+@query("sink_ntriples", """select '<http://x/nation/' || n_nationkey || '> <x:name> "' || n_name || '" .' as value from nation union all select '<http://x/nation/' || n_nationkey || '> <x:region> <http://x/region/' || n_regionkey || '> .' from nation union all select '<http://x/nation/' || n_nationkey || '> <rdf:type> <x:Nation> .' from nation""")
+def sink_ntriples(spark, sf_dir):
+    return to_ntriples(quads(_t(spark, sf_dir, "nation"), NATION, "nation"))
+
+
+@query("flt_contains_ci", "select p_partkey, p_name from part where contains(lower(p_name), 'a')")
+def flt_contains(spark, sf_dir):
+    return _t(spark, sf_dir, "part").where(F.lower("p_name").contains("a")).select("p_partkey", "p_name")
+
+
+@query("flt_date_bound", "select o_orderkey from orders where cast(o_orderdate as date) >= date '1997-01-01'")
+def flt_date(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").where(F.col("o_orderdate") >= F.lit("1997-01-01").cast("timestamp")).select("o_orderkey")
+
+
+@query("flt_not_exists", "select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+def flt_not_exists(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+
+
+@query("flt_null_tokens", "select item, count(*) as n from (select case when event_id % 3 = 0 then ' N/A ' when event_id % 3 = 1 then '-' else event_type end as item from events) where lower(trim(item)) not in ('n/a', '-') group by item")
+def flt_null_tokens(spark, sf_dir):
+    item = F.when(F.col("event_id") % 3 == 0, " N/A ").when(F.col("event_id") % 3 == 1, "-").otherwise(F.col("event_type"))
+    rows = _t(spark, sf_dir, "events").select(item.alias("item"))
+    return rows.where(~V.is_null_token(F.col("item"))).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("join_bgp", "select o_orderkey as k, n_name as nation from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderpriority like '1%'")
+def join_bgp(spark, sf_dir):
+    q = _quads(spark, sf_dir)
+    first = _t(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select("o_orderpriority").first()
+    found = graph.pattern(q, ("?o", "x:priority", first[0] if first else ""), ("?o", "x:customer", "?c"), ("?c", "x:nation", "?n"), ("?n", "x:name", "?nation"))
+    return found.select(F.regexp_extract("o", r"(\d+)$", 1).cast("long").alias("k"), "nation")
+
+
+@query("join_optional", "select c_custkey, max(o_totalprice) as top from customer left join orders on o_custkey = c_custkey group by c_custkey")
+def join_optional(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").groupBy("c_custkey").agg(F.max("o_totalprice").alias("top"))
+
+
+@query("join_semi_measured", "select distinct c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
+def join_semi(spark, sf_dir):
+    big = _t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
+    return _t(spark, sf_dir, "customer").join(big, "c_custkey", "left_semi").select("c_custkey").distinct()
+
+
+@query("join_prov_chain", "select o_orderkey, step, label from (select o_orderkey, 1 as step, c_name as label from orders join customer on c_custkey = o_custkey union all select o_orderkey, 2, n_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey union all select o_orderkey, 3, r_name from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey)")
+def join_prov(spark, sf_dir):
+    read = lambda n: _t(spark, sf_dir, n)
+    chain = read("orders").join(read("customer"), F.col("c_custkey") == F.col("o_custkey")).join(read("nation"), F.col("n_nationkey") == F.col("c_nationkey")).join(read("region"), F.col("r_regionkey") == F.col("n_regionkey"))
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.col(c).alias("label")) for i, c in ((1, "c_name"), (2, "n_name"), (3, "r_name"))])
+    return chain.select("o_orderkey", F.explode(steps).alias("x")).select("o_orderkey", "x.*")
+
+
+@query("join_path_closure", "with recursive e as (select 'r' || n_regionkey as a, 'n' || n_nationkey as b from nation union all select 'n' || c_nationkey, 'c' || c_custkey from customer), r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b) select distinct a, b from r")
+def join_closure(spark, sf_dir):
+    up = _t(spark, sf_dir, "nation").select(F.concat(F.lit("r"), "n_regionkey").alias("a"), F.concat(F.lit("n"), "n_nationkey").alias("b"))
+    down = _t(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("a"), F.concat(F.lit("c"), "c_custkey").alias("b"))
+    return graph.closure(up.unionByName(down))
+
+
+@query("join_lookup", "select distinct c_mktsegment as segment, case lower(c_mktsegment) when 'building' then 'B' when 'machinery' then 'M' else '' end as code from customer")
+def join_lookup(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), V.lookup(F.col("c_mktsegment"), {"Building": "B", " machinery ": "M"}).alias("code")).distinct()
+
+
+@query("join_fk_candidates", "select 'o_custkey' as left_column, 'c_custkey' as right_column, count(c.v) as overlap, count(c.v) / count(*) as ratio from (select distinct o_custkey as v from orders) o left join (select distinct c_custkey as v from customer) c on c.v = o.v")
+def join_fk(spark, sf_dir):
+    return profile.foreign_keys(_t(spark, sf_dir, "orders"), _t(spark, sf_dir, "customer"), [("o_custkey", "c_custkey")])
+
+
+@query("agg_class_counts", f"with {_Q} select o as class, count(distinct s) as n from q where p = 'rdf:type' group by o")
+def agg_class_counts(spark, sf_dir):
+    return graph.class_counts(_quads(spark, sf_dir))
+
+
+@query("agg_predicate_counts", f"with {_Q} select p as predicate, count(*) as n from q group by p")
+def agg_predicate_counts(spark, sf_dir):
+    return graph.predicate_counts(_quads(spark, sf_dir))
+
+
+@query("agg_class_shapes", f"with {_Q}, t as (select s, o as class from q where p = 'rdf:type') select class, p as predicate, count(*) as n from q join t using (s) where p <> 'rdf:type' group by class, p")
+def agg_class_shapes(spark, sf_dir):
+    return graph.class_shapes(_quads(spark, sf_dir))
+
+
+@query("agg_literal_profile", f"with {_Q} select g, p as predicate, count(*) as n, min(o) as sample from q where kind = 'literal' and p <> 'x:total' group by g, p")
+def agg_literal_profile(spark, sf_dir):
+    return graph.literal_profile(_quads(spark, sf_dir).where("p <> 'x:total'"))
+
+
+@query("agg_numeric_range", "select 'x:total' as predicate, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as high from orders")
+def agg_numeric_range(spark, sf_dir):
+    return graph.numeric_range(_quads(spark, sf_dir))
+
+
+@query("agg_range_with_evidence", "select min(o_totalprice) as low, max(o_totalprice) as high, (select min('http://x/order/' || o_orderkey) from orders where o_totalprice = (select min(o_totalprice) from orders)) as low_subject, (select min('http://x/order/' || o_orderkey) from orders where o_totalprice = (select max(o_totalprice) from orders)) as high_subject from orders")
+def agg_range_evidence(spark, sf_dir):
+    return graph.range_with_evidence(_quads(spark, sf_dir), "x:total")
+
+
+@query("agg_group_topk", "select o_custkey, count(*) as n from orders group by o_custkey order by n desc, o_custkey limit 10")
+def agg_group_topk(spark, sf_dir):
+    return _t(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "o_custkey").limit(10)
+
+
+@query("agg_usage_monthly", "select strftime(ts, '%Y-%m') as month, event_type, count(*) as calls, round(sum(value), 4) as total from events group by 1, 2")
+def agg_usage(spark, sf_dir):
+    return _t(spark, sf_dir, "events").groupBy(F.date_format("ts", "yyyy-MM").alias("month"), "event_type").agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("topk_ranking", "select o_orderkey, o_totalprice from orders where o_orderpriority like '2%' and o_totalprice <= 400000 order by o_totalprice desc, o_orderkey limit 20")
+def topk_ranking(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").where("o_orderpriority like '2%'").select("o_orderkey", "o_totalprice")
+    return graph.ranking(rows, "o_orderkey", "o_totalprice", 20, 400000)
+
+
+@query("topk_abs", "select c_custkey, c_acctbal from customer order by abs(c_acctbal) desc, c_custkey limit 10")
+def topk_abs(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").orderBy(F.desc(F.abs("c_acctbal")), "c_custkey").limit(10)
+
+
+@query("win_top_per_group", "select o_orderpriority, o_orderkey, o_totalprice, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as rank from orders qualify rank <= 3")
+def win_top(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
+    return graph.top_per_group(rows, "o_orderpriority", 3, F.desc("o_totalprice"), "o_orderkey")
+
+
+@query("win_sampling_grid", "with s as (select p_retailprice - lag(p_retailprice) over (order by p_partkey) as d from part where p_partkey in (select p_partkey from part order by p_partkey limit 5000)), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
+def win_grid(spark, sf_dir):
+    return profile.sampling_grid(_t(spark, sf_dir, "part"), "p_partkey", "p_retailprice")
+
+
+@query("set_graph_diff", "select s, side from (select 'http://x/nation/' || n_nationkey as s, 'a' as side from nation where n_nationkey % 5 = 0)")
+def set_diff(spark, sf_dir):
+    spec = Map(NATION.subject, ("x:Nation",))
+    nations = _t(spark, sf_dir, "nation")
+    return versions.difference(quads(nations, spec, "v1"), quads(nations.where("n_nationkey % 5 <> 0"), spec, "v2")).select("s", "side")
+
+
+@query("tool_describe", "select 'out' as direction, 'nation' as g, 'rdf:type' as p, 'x:Nation' as term from nation where n_nationkey = 3 union all select 'out', 'nation', 'x:name', n_name from nation where n_nationkey = 3 union all select 'out', 'nation', 'x:region', 'http://x/region/' || n_regionkey from nation where n_nationkey = 3 union all select 'in', 'customer', 'x:nation', 'http://x/customer/' || c_custkey from customer where c_nationkey = 3")
+def tool_describe(spark, sf_dir):
+    return graph.describe(_quads(spark, sf_dir), "http://x/nation/3")
+
+
+@query("prof_columns", "select 'o_orderkey' as \"column\", count(*) as filled, count(distinct o_orderkey) as \"distinct\", 'integer' as type from orders union all select 'o_orderpriority', count(*), count(distinct o_orderpriority), 'string' from orders union all select 'o_totalprice', count(*), count(distinct o_totalprice), 'double' from orders")
+def prof_columns(spark, sf_dir):
+    return profile.columns(_t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice"))
+
+
+@query("prof_uniqueness", "with g as (select count(*) as k from lineitem group by l_orderkey, l_linenumber) select cast(sum(k) as bigint) as \"rows\", count(*) as distinct_keys, cast(sum(k) - count(*) as bigint) as collisions, sum(k) = count(*) as is_unique from g")
+def prof_uniqueness(spark, sf_dir):
+    return profile.uniqueness(_t(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@query("prof_collisions", "select l_orderkey, l_linenumber, count(*) as n from lineitem group by 1, 2 having count(*) > 1 order by n desc, 1, 2 limit 10")
+def prof_collisions(spark, sf_dir):
+    return profile.collisions(_t(spark, sf_dir, "lineitem"), ("l_orderkey", "l_linenumber"))
+
+
+@query("prof_functional_dependency", "select 'n_name' as \"column\", bool_and(k) as determined from (select count(distinct n_name) <= 1 as k from nation group by n_regionkey) union all select 'n_nationkey', bool_and(k) from (select count(distinct n_nationkey) <= 1 as k from nation group by n_regionkey)")
+def prof_fd(spark, sf_dir):
+    return profile.dependencies(_t(spark, sf_dir, "nation").select("n_regionkey", "n_name", "n_nationkey"), ("n_regionkey",))
+
+
+def _participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _t(spark, sf_dir, "nation")
+    customer = _t(spark, sf_dir, "customer").join(nation, F.col("n_nationkey") == F.col("c_nationkey")).select(F.lit("customer").alias("participant"), F.col("c_custkey").alias("entity"), F.upper("n_name").alias("value"))
+    supplier = _t(spark, sf_dir, "supplier").join(nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.lit("supplier").alias("participant"), F.col("s_suppkey").alias("entity"), F.concat(F.lit("  "), F.lower("n_name")).alias("value"))
+    return customer.unionByName(supplier)
+
+
+_P = "p as (select 'customer' as participant, c_custkey as entity, upper(n_name) as value, lower(n_name) as key from customer join nation on n_nationkey = c_nationkey union all select 'supplier', s_suppkey, '  ' || lower(n_name), lower(n_name) from supplier join nation on n_nationkey = s_nationkey), k as (select key, count(distinct participant) as participants, cast(sum(1) as bigint) as entities from (select distinct key, participant, entity from p) group by key having count(distinct participant) >= 2)"
+
+
+@query("xw_shared_keys", f"with {_P} select * from k")
+def xw_shared(spark, sf_dir):
+    return crosswalk.shared_keys(_participants(spark, sf_dir))
+
+
+@query("xw_build_hub", f"with {_P} select distinct 'hub/nation/' || key as hub, participant, entity, value as raw from p where key in (select key from k)")
+def xw_hub(spark, sf_dir):
+    return crosswalk.hub(_participants(spark, sf_dir), "nation")
+
+
+@query("xw_pair_overlap", f"with {_P} select 'customer' as a, 'supplier' as b, count(*) as shared from k having count(*) > 0")
+def xw_pairs(spark, sf_dir):
+    return crosswalk.pair_overlap(_participants(spark, sf_dir))
+
+
+@query("xw_classify", "select 'documents' as participant, count(*) as filled, count(distinct trim(text)) as \"distinct\", 'free_text' as excluded from documents where text is not null union all select 'orders', count(*), count(distinct o_totalprice), 'numeric' from orders union all select 'nations', count(*), count(distinct n_name), null from nation")
+def xw_classify(spark, sf_dir):
+    rows = lambda n, name, c: _t(spark, sf_dir, n).select(F.lit(name).alias("participant"), F.col(c).cast("string").alias("value"))
+    return crosswalk.classify(rows("documents", "documents", "text").unionByName(rows("orders", "orders", "o_totalprice")).unionByName(rows("nation", "nations", "n_name")))
+
+
+@query("chk_dangling", "select 'x:nation' as p, count(*) as n, min('http://x/nation/' || c_nationkey) as example from customer where c_nationkey < 5 having count(*) > 0")
+def chk_dangling(spark, sf_dir):
+    nations = _t(spark, sf_dir, "nation").where("n_nationkey >= 5")
+    keep = Map(NATION.subject, NATION.classes, NATION.properties[:1])
+    return checks.dangling(all_quads(quads(_t(spark, sf_dir, "customer"), CUSTOMER, "c"), quads(nations, keep, "n")))
+
+
+@query("chk_missing_predicate", "select 'x:Nation' as class, 'x:population' as p from nation limit 1")
+def chk_missing(spark, sf_dir):
+    return checks.missing_predicate(quads(_t(spark, sf_dir, "nation"), NATION, "n"), [("x:Nation", "x:population"), ("x:Nation", "x:name"), ("x:City", "x:name")])
+
+
+@query("chk_wrong_class", "select distinct 'http://x/nation/' || n_nationkey as o, 'x:Place' as class from nation join customer on c_nationkey = n_nationkey where n_nationkey % 4 = 0")
+def chk_wrong_class(spark, sf_dir):
+    nations = _t(spark, sf_dir, "nation")
+    odd = quads(nations.where("n_nationkey % 4 = 0"), Map(NATION.subject, ("x:Place",)), "n")
+    return checks.wrong_class(all_quads(quads(_t(spark, sf_dir, "customer"), CUSTOMER, "c"), odd, quads(nations.where("n_nationkey % 4 <> 0"), NATION, "n")), "x:nation", "x:Nation")
+
+
+@query("chk_datatype", "select 'x:total' as p, 'xsd:double' as dt, count(*) as n from orders")
+def chk_datatype(spark, sf_dir):
+    return checks.wrong_datatype(quads(_t(spark, sf_dir, "orders"), ORDER, "o"), {"x:total": "xsd:decimal", "x:priority": "xsd:string"})
+
+
+@query("dq_audit_rules", "select 'impossible' as severity, 'negative balance' as rule, count(*) filter (c_acctbal < 0) as n from customer union all select 'suspicious', 'large balance', count(*) filter (c_acctbal > 9000) from customer union all select 'impossible', 'discount over a tenth', count(*) filter (l_discount > 0.1) from lineitem")
+def dq_audit(spark, sf_dir):
+    a = checks.audit(_t(spark, sf_dir, "customer"), [("impossible", "negative balance", F.col("c_acctbal") < 0), ("suspicious", "large balance", F.col("c_acctbal") > 9000)])
+    return a.unionByName(checks.audit(_t(spark, sf_dir, "lineitem"), [("impossible", "discount over a tenth", F.col("l_discount") > 0.1)]))
+
+
+@query("ver_published", "select 'orders/v2' as g, count(*) as n from orders where o_orderkey % 2 = 0 union all select 'nation', count(*) from nation")
+def ver_published(spark, sf_dir):
+    spec = Map(ORDER.subject, ("x:Order",))
+    orders = _t(spark, sf_dir, "orders")
+    q = quads(orders, spec, "orders/v1").unionByName(quads(orders.where("o_orderkey % 2 = 0"), spec, "orders/v2")).unionByName(quads(_t(spark, sf_dir, "nation"), Map(NATION.subject, ("x:Nation",)), "nation")).unionByName(quads(_t(spark, sf_dir, "customer"), Map(CUSTOMER.subject, ("x:Customer",)), "customer/v1"))
+    control = spark.createDataFrame([("orders", "promoted", "orders/v1", "orders/v2"), ("nation", "promoted", None, None), ("customer", "promoted", "customer/v1", None)], "dataset string, status string, live string, staged string")
+    control = versions.retract(versions.promote(control, "orders"), "customer")
+    return versions.published(q, control).groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fn_number_clean", "select o_orderkey, case when o_orderkey % 2 = 0 then '-' else '' end || cast(o_orderkey as varchar) as cleaned from orders")
+def fn_number_clean(spark, sf_dir):
+    k = F.format_number("o_orderkey", 0)
+    raw = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("($"), k, F.lit(")"))).otherwise(F.concat(F.lit("€ "), k))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", V.number_clean(raw).alias("cleaned"))
+
+
+@query("fn_ranges", "select p_partkey, cast(p_size as varchar) as low, cast(p_size + 5 as varchar) as high, cast(p_size as varchar) as value, 'mm' as unit from part")
+def fn_ranges(spark, sf_dir):
+    r = F.concat("p_size", F.when(F.col("p_partkey") % 2 == 0, " to ").otherwise(" – "), F.col("p_size") + 5)
+    return _t(spark, sf_dir, "part").select("p_partkey", V.range_min(r).alias("low"), V.range_max(r).alias("high"), V.value_of(F.concat("p_size", F.lit(" mm"))).alias("value"), V.unit_of(F.concat("p_size", F.lit(" mm"))).alias("unit"))
+
+
+@query("fn_slug", "select p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') as slug from part")
+def fn_slug(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", V.slug(F.concat(F.lit('"'), "p_name", F.lit('"'))).alias("slug"))
+
+
+@query("fn_url_canonical", "select page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+(\\?.*)?$', '\\1') as canonical from pages")
+def fn_url(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", V.url_canonical(F.col("url")).alias("canonical"))
+
+
+@query("fn_float_arrays", "select vec_id, list_max(list_transform(embedding, lambda x: cast(x as double))) > 0 as positive, cast(len(embedding) as varchar) as n from embeddings")
+def fn_floats(spark, sf_dir):
+    cell = F.to_json("embedding")
+    return _t(spark, sf_dir, "embeddings").select("vec_id", (V.float_array_max(cell).cast("double") > 0).alias("positive"), V.float_array_count(cell, cell).alias("n"))
+
+
+@query("fn_json_pluck", "select event_id, cast(json_extract(props, '$.k') as varchar) as k from events")
+def fn_pluck(spark, sf_dir):
+    cell = F.concat(F.lit("[1, null, "), "props", F.lit("]"))
+    return _t(spark, sf_dir, "events").select("event_id", F.get(V.json_pluck(cell, "k"), F.lit(0)).alias("k"))
+
+
+@query("fn_datetime_iso", "select event_id, strftime(to_timestamp(1600000000 + event_id) at time zone 'UTC', '%Y-%m-%dT%H:%M:%SZ') as iso from events")
+def fn_datetime(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", V.datetime_iso((F.col("event_id") + 1600000000).cast("string")).alias("iso"))
+
+
+@query("win_text_offsets", "with p as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) as n, unnest(string_split(text, chr(10))) as line from documents) select doc_id, n, cast(coalesce(sum(length(line) + 1) over (partition by doc_id order by n rows between unbounded preceding and 1 preceding), 0) as bigint) as begin_at, length(line) as chars from p")
+def win_offsets(spark, sf_dir):
+    from pyspark.sql import Window
+
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long").alias("begin_at"), F.length("line").cast("long").alias("chars"))
