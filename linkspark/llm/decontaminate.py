@@ -70,7 +70,8 @@ def build(rows: list[tuple[int, str]], n: int = 5) -> dict:
         order = np.argsort(value, kind="stable")
         tables.append((np.searchsorted(value[order], np.arange((1 << WIDTH) + 1)), item[order]))
     shingles = np.unique(np.array([s for c in counts for s in c], np.uint64))
-    return {"ids": ids, "sizes": np.array(sizes, np.int64), "prints": prints, "counts": counts, "tables": tables, "shingles": shingles}
+    by_size = {k: np.unique(np.array([s for c, size in zip(counts, sizes, strict=True) if size == k for s in c], np.uint64)) for k in set(sizes)}
+    return {"by_size": by_size, "ids": ids, "sizes": np.array(sizes, np.int64), "prints": prints, "counts": counts, "tables": tables, "shingles": shingles}
 
 
 def _near(index: dict, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -91,18 +92,26 @@ def _near(index: dict, prints: np.ndarray, size: int) -> tuple[np.ndarray, np.nd
 
 
 def _scan(index: dict, words: np.ndarray, runs: dict[int, np.ndarray], n: int, percent: int) -> dict[int, tuple[float, int]]:
-    """For each item found in one text: its best window (similarity, first word). Windows that hold no shingle of any
-    item cannot reach the similarity and are passed over."""
+    """For each item found in one text: its best window (similarity, first word). Windows that hold no shingle of an item
+    of their size cannot reach the similarity and are passed over."""
     best: dict[int, tuple[float, int]] = {}
-    known = index["shingles"]
-    for size in np.unique(index["sizes"]).tolist():
+    places = {}
+    for k, run in runs.items():
+        some = np.flatnonzero(np.isin(run, index["shingles"]))
+        places[k] = (some, run[some])
+    for size, known in sorted(index["by_size"].items()):
         k = min(n, size)
-        run = runs[k]
+        run, (some, held) = runs[k], places[k]
         width = size - k + 1
-        if len(words) < size:
+        if len(words) < size or not len(some):
             continue
-        at = np.minimum(np.searchsorted(known, run), len(known) - 1)
-        hits = np.concatenate([[0], np.cumsum(known[at] == run)])
+        at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+        some = some[known[at] == held]
+        if not len(some):
+            continue
+        mark = np.zeros(len(run), np.int64)
+        mark[some] = 1
+        hits = np.concatenate([[0], np.cumsum(mark)])
         starts = np.flatnonzero(hits[width:] > hits[:-width])
         for part in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1) if len(starts) else []:
             for low in range(int(part[0]), int(part[-1]) + 1, 4096):
@@ -159,6 +168,8 @@ def _scanner(shared, n: int, percent: int):
             for k in kinds:
                 runs[k] = _runs(words, n, k)
                 at = np.flatnonzero(table[(runs[k] >> np.uint64(42)).astype(np.int64)])
+                near = np.minimum(np.searchsorted(index["shingles"], runs[k][at]), len(index["shingles"]) - 1)
+                at = at[index["shingles"][near] == runs[k][at]]
                 some[np.unique(np.searchsorted(firsts, at, "right")) - 1] = True
             rows = []
             for d in np.flatnonzero(some).tolist():
