@@ -30,7 +30,7 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, chars: int = 10_000_000, least: int = 5, sure: float = 4.0, steps: int = 120) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 2000, chars: int = 4_000_000, least: int = 5, sure: float = 4.0, steps: int = 120) -> dict:
     """Log-count ratios and logistic weights from a bounded sample of labelled texts.
 
     Each feature is the presence of an n-gram, times log((1 + toxic texts with it) / (1 + clean texts with it)) after
@@ -44,9 +44,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, rows: int = 3000, cha
     base = float(np.log(prior / (1 - prior)))
     if not len(y) or y.min() == y.max():
         return {"weights": np.zeros(size, np.float32), "bias": base}
-    ids = [np.unique(grams(t)) for t in frame["text"]]
+    ids = [np.unique(grams(t)).astype(np.int32) for t in frame["text"]]
     n = np.array([len(i) for i in ids])
-    flat, row = np.concatenate(ids), np.repeat(np.arange(len(y)), n)
+    flat, row = np.concatenate(ids), np.repeat(np.arange(len(y), dtype=np.int32), n)
     del ids
     toxic = np.bincount(flat, y[row], size)
     every = np.bincount(flat, minlength=size)
