@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from linkspark.functions.values import is_null_token, text, trim_collapse
@@ -11,7 +12,7 @@ from linkspark.functions.values import is_null_token, text, trim_collapse
 SUBSCRIPTS = ("₀₁₂₃₄₅₆₇₈₉", "0123456789")
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _nfkc(values):
     import unicodedata
 
