@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkspark.llm.common import drop, save
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, small: int = 100_000) -> DataFrame:
     """(id, component) for every end of links (a, b: longs): the smallest id that links reach.
 
     Each round hangs every larger neighbour of a node on the node's smallest neighbour (large star), then every smaller
     one (small star), until nothing changes. Minima are summed on the map side and joined back, so a hub with a third of
     all links is a skewed join, which Spark splits, and never one group. Each round is a table in the shared folder. Null
     ends are left out; loops and repeated links change nothing; no links give no rows. The number of rounds grows with
-    the logarithm of the longest path; more than `rounds` is an error.
+    the logarithm of the longest path; more than `rounds` is an error. At most `small` links (2 MB) are solved by one task
+    instead, with the same rows; their number is checked first.
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, path = save(edges)
+    if edges.limit(small + 1).count() <= small:
+        return edges.coalesce(1).mapInArrow(_solve, "id long, component long")
     before = None
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -40,10 +45,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
 
 
+def _solve(batches):
+    """Components of a bounded table of links in one task."""
+    a, b = [], []
+    for batch in batches:
+        a.append(batch["a"].to_numpy())
+        b.append(batch["b"].to_numpy())
+    if a:
+        a, b = np.concatenate(a), np.concatenate(b)
+        ids, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(ids), place[: len(a)], place[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], ["id", "component"])
+
+
 def local_roots(n: int, a, b):
     """Smallest index that links (index arrays a, b) reach, for each of n nodes, in one task's arrays."""
-    import numpy as np
-
     root = np.arange(n)
     while len(a):
         low = np.minimum(root[a], root[b])

@@ -171,3 +171,12 @@ def test_urls(spark):
     assert got[2][2:] == ("example.org/en/1", "block") and got[3][2:] == ("org/", "allow") and got[4][2:] == ("com/de/", "block")
     assert got[5][:3] == got[6][:3] == ("", "", None) and got[7] == ("bad.net", "/x", None, "block") and got[8][2] is None
     assert got[200][3] == "allow" and len(got) == len(rows)
+
+
+def test_components(spark):
+    from linkspark.llm.components import components
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7] + [(5, 5), (3, 2), (None, 4)], "a long, b long")
+    both = [sorted(map(tuple, components(links, small=n).collect())) for n in (0, 1000)]
+    assert both[0] == both[1] and dict(both[0])[6] == 1 and dict(both[0])[7] == 1 and dict(both[0])[14] == 8
+    assert components(links.limit(0)).count() == 0
