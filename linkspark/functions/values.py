@@ -192,7 +192,7 @@ def array_at(c: Column, at: int) -> Column:
 
 
 def split(c: Column, by: str) -> Column:
-    out = F.filter(F.transform(F.split(text(c), r"\Q" + by + r"\E"), F.trim), lambda s: s != "")
+    out = F.filter(F.transform(F.split(text(c), r"\Q" + by + r"\E"), lambda s: F.trim(s)), lambda s: s != "")
     return F.when(F.size(out) > 0, out)
 
 
