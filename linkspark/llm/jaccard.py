@@ -22,6 +22,8 @@ TALLY = 4_000_000
 MATCHES = 8
 #: What verifying a candidate costs, in prefix rows.
 VERIFY = 50
+#: Longs of a node's token signature.
+SIGNATURE = 4
 SALTS = 61
 
 
@@ -72,13 +74,14 @@ def _need(n: int, percent: int) -> int:
 
 
 def _prefixes(n: int, percent: int, heavy):
-    """Rows (token, salt, node, n, matches) of each distinct set: its prefix, as long as its matches ask for."""
+    """Rows (token, salt, node, n, matches, central) of each distinct set: its prefix, as long as its matches ask for, and
+    how many documents hold one of its shingles on the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = heavy.value
         done: set[int] = set()
         for _, sets in _sets(batches, "text", n):
-            cols = [[], [], [], [], []]
+            cols = [[], [], [], [], [], []]
             for s in sets:
                 if not len(s) or (node := _node(s)) in done:
                     continue
@@ -102,8 +105,9 @@ def _prefixes(n: int, percent: int, heavy):
                 cols[2].append(np.full(k, node))
                 cols[3].append(np.full(k, len(s), np.int32))
                 cols[4].append(np.full(k, matches, np.int32))
+                cols[5].append(np.full(k, count.sum() // len(s)))
             if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "salt", "node", "n", "matches"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "salt", "node", "n", "matches", "central"])
 
     return run
 
@@ -164,15 +168,37 @@ def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _crossing(rows: DataFrame, turn: int) -> DataFrame:
-    """Rows of the tokens that stand in more than one component, with up to four of the token's nodes: the first and the
-    last in two orders, by hashes that change with the turn. Minima are made on the map side, so a common token is a few
-    rows."""
+    """Rows of the tokens that stand in more than one component, with up to four of the token's nodes: the most central
+    one of each of four classes, dealt by a hash that changes with the turn. Most near copies link to a central document
+    if they link to any. Maxima are made on the map side, so a common token is a few rows."""
     ends = [F.min("component").alias("one"), F.max("component").alias("two")]
-    for k in range(2):
-        node = F.struct(F.xxhash64("node", F.lit(2 * turn + k)), "node", "n", "matches", "component")
-        ends += [F.min(node).alias(f"low{k}"), F.max(node).alias(f"high{k}")]
+    node = F.struct("central", "node", "n", "matches", "component")
+    ends += [F.max(F.when(F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(4)) == k, node)).alias(f"end{k}") for k in range(4)]
     ends = rows.groupBy("token").agg(*ends).where("one < two")
-    return rows.join(ends.select("token", F.array("low0", "high0", "low1", "high1").alias("ends")), "token")
+    ends = ends.select("token", F.array_compact(F.array(*[f"end{k}" for k in range(4)])).alias("ends"))
+    return rows.join(ends, "token")
+
+
+def _meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of two components with the number of prefix tokens that they share.
+
+    Before its tokens are matched, a pair is passed over that cannot reach its overlap with the tokens left of each node:
+    there are `alive` of them, and those whose bit in a signature of 256 bits the other node lacks are not shared."""
+    node = Window.partitionBy("node")
+    bit = F.pmod(F.xxhash64("token"), F.lit(64 * SIGNATURE))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
+    marks = {f"sig{k}": F.coalesce(F.bit_or(F.when(F.floor(bit / 64) == k, one)).over(node), F.lit(0)) for k in range(SIGNATURE)}
+    rows = rows.withColumns({"alive": F.count(F.lit(1)).over(node)} | marks)
+
+    def held(x: str, y: str):
+        lacking = [F.bit_count(F.col(f"{x}.sig{k}").bitwiseAND(F.bitwise_not(f"{y}.sig{k}"))) for k in range(SIGNATURE)]
+        return F.col(f"{x}.alive") - sum(lacking[1:], lacking[0])
+
+    a, b = rows.alias("a"), rows.alias("b")
+    fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
+    fits = fits & _may_link(F.least("a.alive", "b.alive"), "a", "b", percent) & _may_link(F.least(held("a", "b"), held("b", "a")), "a", "b", percent)
+    pairs = a.join(b, fits).groupBy(F.col("a.node").alias("pivot"), F.col("b.node").alias("node"))
+    return pairs.agg(F.count(F.lit(1)).alias("shared"), F.first(F.struct("a.n", "a.matches")).alias("x"), F.first(F.struct("b.n", "b.matches")).alias("y"))
 
 
 def _best(rows: DataFrame, percent: int, tries: int = 4) -> DataFrame:
@@ -186,7 +212,7 @@ def _best(rows: DataFrame, percent: int, tries: int = 4) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries).select("node", F.col("to").alias("pivot"))
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 3) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2) -> tuple[DataFrame, DataFrame]:
     """(members, links). members: a row for each row of docs (doc_id, n_shingles, node), node being the hash of its
     shingle set (null for none). links: (a, b), links between nodes that join all nodes which similar pairs join.
 
@@ -208,7 +234,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 3
     tokens = heavy["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], heavy["seen"].to_numpy(np.int64)[order]))
-    rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node long, n int, matches int")
+    rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node long, n int, matches int, central long")
     here = Window.partitionBy("token", "salt")
     rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("salt > 0 or low < high")
     rows, _ = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
@@ -220,11 +246,7 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 3
         found, _ = save(_links(_best(_crossing(rows, turn), percent), texts, n, percent))
         links = found if links is None else links.unionByName(found)
         rows, _ = save(_crossing(_relabel(rows, links), turn).drop("ends"))
-    a, b = rows.alias("a"), rows.alias("b")
-    fits = (F.col("a.token") == F.col("b.token")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n"))
-    pairs = a.join(b, fits).groupBy(F.col("a.node").alias("pivot"), F.col("b.node").alias("node"))
-    pairs = pairs.agg(F.count(F.lit(1)).alias("shared"), F.first(F.struct("a.n", "a.matches")).alias("x"), F.first(F.struct("b.n", "b.matches")).alias("y"))
-    last, _ = save(_links(pairs.where(_may_link(F.col("shared"), "x", "y", percent)), texts, n, percent))
+    last, _ = save(_links(_meeting(rows, percent).where(_may_link(F.col("shared"), "x", "y", percent)), texts, n, percent))
     return members, links.unionByName(last)
 
 
