@@ -26,10 +26,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def save(df: DataFrame) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing."""
+    """Write df as Parquet in the shared folder and read it back: lineage is cut, lost executors cost nothing. Spark
+    deletes the shuffle files behind a written table once the driver has collected its garbage, which is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkspark/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 
 

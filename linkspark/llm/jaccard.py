@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import save, shingle_hashes, slices, word_hashes
+from linkspark.llm.common import drop, save, shingle_hashes, slices, word_hashes
 from linkspark.llm.components import components
 
 #: Shingles that are counted exactly and put last in every prefix order: a bound on what is broadcast (4 MB).
@@ -143,10 +143,18 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs (pivot, node) that link. A hot pivot is a skewed join, which Spark splits; no pair stands with another."""
-    own = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
-    return pairs.select("pivot", "node").join(texts, "node").join(own, "pivot").select("pivot", "node", "pivot_text", "text").mapInArrow(_verify(n, percent), "a long, b long")
+def _links(pairs: DataFrame, reps: DataFrame, own: DataFrame, n: int, percent: int) -> DataFrame:
+    """Pairs (pivot, node) that link. Only the texts of nodes that stand in pairs are fetched, once each; a hot pivot is a
+    skewed join, which Spark splits; no pair stands with another."""
+    pairs, old = save(pairs.select("pivot", "node"))
+    asked = pairs.select("node").union(pairs.select("pivot")).distinct().join(reps, "node")
+    texts, gone = save(own.join(asked, "doc_id").mapInArrow(_texts(n), "node long, text string").dropDuplicates(["node"]))
+    pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
+    both = pairs.join(texts, "node").join(pivots, "pivot").select("pivot", "node", "pivot_text", "text")
+    found, _ = save(both.mapInArrow(_verify(n, percent), "a long, b long"))
+    drop(pairs.sparkSession, old)
+    drop(pairs.sparkSession, gone)
+    return found
 
 
 def _may_link(shared, x: str, y: str, percent: int):
@@ -238,15 +246,14 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2
     here = Window.partitionBy("token", "salt")
     rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("salt > 0 or low < high")
     rows, _ = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
-    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(rows.select("node").distinct(), "node")
-    texts, _ = save(own.join(reps, "doc_id").mapInArrow(_texts(n), "node long, text string").dropDuplicates(["node"]))
+    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     rows = rows.withColumn("component", F.col("node"))
     links = None
     for turn in range(turns):
-        found, _ = save(_links(_best(_crossing(rows, turn), percent), texts, n, percent))
+        found = _links(_best(_crossing(rows, turn), percent), reps, own, n, percent)
         links = found if links is None else links.unionByName(found)
         rows, _ = save(_crossing(_relabel(rows, links), turn).drop("ends"))
-    last, _ = save(_links(_meeting(rows, percent).where(_may_link(F.col("shared"), "x", "y", percent)), texts, n, percent))
+    last = _links(_meeting(rows, percent).where(_may_link(F.col("shared"), "x", "y", percent)), reps, own, n, percent)
     return members, links.unionByName(last)
 
 
