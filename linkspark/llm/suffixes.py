@@ -17,6 +17,8 @@ from linkspark.llm.induced import sorted_suffixes
 SPAN, GRAM = 50, 24
 #: Windows that share an anchor in a row and travel together: bits of one mask.
 RUN = 32
+#: Bytes that are hashed at once: a bound on the arrays of 8 bytes a place.
+STRETCH = 1 << 18
 #: Documents of a block, and blocks to a shard of anchors.
 DOCS = 1500
 _ALL = np.where(_BYTE == 0, np.arange(256, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(0x9E3779B97F4A7C15), _BYTE)
@@ -24,44 +26,46 @@ _ALL = np.where(_BYTE == 0, np.arange(256, dtype=np.uint64) * np.uint64(0x632BE5
 
 def _grams(data: np.ndarray) -> np.ndarray:
     """Hash of the GRAM bytes from each place."""
-    h1 = _ALL[data]
     p = int(_STEP)
     power = lambda k: np.uint64(pow(p, k, 1 << 64))
-    h2 = h1[:-1] * power(1) + h1[1:]
-    h4 = h2[:-2] * power(2) + h2[2:]
-    h8 = h4[:-4] * power(4) + h4[4:]
-    h16 = h8[:-8] * power(8) + h8[8:]
-    return mix(h16[:-8] * power(8) + h8[16:])
+    h = _ALL[data]
+    for k in (1, 2, 4):
+        h = h[:-k] * power(k) + h[k:]
+    h16 = h[:-8] * power(8) + h[8:]
+    return mix(h16[:-8] * power(8) + h[16:])
 
 
-def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of window starts with one anchor: first window, number of windows, anchor, document (all by place)."""
-    none = np.zeros(0, np.int64)
-    if len(data) < SPAN:
-        return none, none, none.astype(np.uint64), none
-    least = _grams(data)
-    width = SPAN - GRAM + 1
-    k = 1
+def _least(data: np.ndarray) -> np.ndarray:
+    """Anchor of the window from each place: the least of the hashes of its parts."""
+    least, width, k = _grams(data), SPAN - GRAM + 1, 1
     while 2 * k <= width:
         least = np.minimum(least[:-k], least[k:])
         k *= 2
-    if width > k:
-        least = np.minimum(least[: len(least) - (width - k)], least[width - k :])
-    lengths = np.diff(ends)
-    counts = np.maximum(lengths - SPAN + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    start = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(ends[:-1], counts)
-    anchor = least[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
-    heads = np.flatnonzero(new)
-    size = np.diff(heads, append=len(start))
-    if len(size) and size.max() > RUN:  # long runs in periodic text are cut
-        pieces = -(-size // RUN)
-        part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        heads = np.repeat(heads, pieces) + part * RUN
-        size = np.minimum(np.repeat(size, pieces) - part * RUN, RUN)
-    return start[heads], size, anchor[heads], doc[heads]
+    return np.minimum(least[: len(least) - (width - k)], least[width - k :]) if width > k else least
+
+
+def _runs(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of window starts with one anchor: first window, number of windows, anchor, document (all by place). Taken
+    STRETCH bytes at a time; a run ends where a stretch does."""
+    none = np.zeros(0, np.int64)
+    out = [(none, none, none.astype(np.uint64), none)]
+    for low in range(0, max(0, len(data) - SPAN + 1), STRETCH):
+        anchor = _least(data[low : low + STRETCH + SPAN - 1])
+        start = np.arange(low, low + len(anchor))
+        doc = np.searchsorted(ends, start, "right") - 1
+        whole = np.flatnonzero(start + SPAN <= ends[doc + 1])  # windows that lie within their document
+        start, doc, anchor = start[whole], doc[whole], anchor[whole]
+        new = np.ones(len(start), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
+        heads = np.flatnonzero(new)
+        size = np.diff(heads, append=len(start))
+        if len(size) and size.max() > RUN:  # long runs in periodic text are cut
+            pieces = -(-size // RUN)
+            part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            heads = np.repeat(heads, pieces) + part * RUN
+            size = np.minimum(np.repeat(size, pieces) - part * RUN, RUN)
+        out.append((start[heads], size, anchor[heads], doc[heads]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
@@ -96,16 +100,22 @@ def _sorted_docs(table: pa.Table, text: str) -> tuple[pa.Table, np.ndarray, np.n
 
 
 def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each run."""
-    n = len(data) + 1
+    """64-bit hash of the bytes of each run; starts ascend. Taken STRETCH bytes at a time."""
+    out = np.zeros(len(start), np.uint64)
+    n = min(len(data), STRETCH + RUN + SPAN) + 1
     power, back = np.full(n, _STEP, np.uint64), np.full(n, np.uint64(pow(int(_STEP), -1, 1 << 64)), np.uint64)
     power[0] = back[0] = 1
     np.multiply.accumulate(power, out=power)
-    total = np.zeros(n, np.uint64)
-    np.cumsum(_ALL[data] * power[:-1], out=total[1:])
-    del power
     np.multiply.accumulate(back, out=back)
-    return mix((total[start + size + SPAN - 1] - total[start]) * back[start] + size.astype(np.uint64))
+    edges = np.searchsorted(start, np.arange(0, len(data) + STRETCH, STRETCH))
+    for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+        if b > a:
+            piece = data[k * STRETCH : (k + 1) * STRETCH + RUN + SPAN]
+            total = np.zeros(len(piece) + 1, np.uint64)
+            np.cumsum(_ALL[piece] * power[: len(piece)], out=total[1:])
+            first, own = start[a:b] - k * STRETCH, size[a:b]
+            out[a:b] = mix((total[first + own + SPAN - 1] - total[first]) * back[first] + own.astype(np.uint64))
+    return out
 
 
 def _anchors(shards: int, text: str):
@@ -238,14 +248,13 @@ def _cut(names: list[str], text: str, with_text: bool):
         _, head, inverse = np.unique(_contents(data, start, size), return_index=True, return_inverse=True)
         which = head[inverse]
         mask = np.where(ids[doc[which]] < ids[doc], np.uint32(0xFFFFFFFF), mask[which])
-        bits = (mask[:, None] >> np.arange(RUN, dtype=np.uint32)) & 1
-        bits &= np.arange(RUN)[None, :] < size[:, None]
-        i, k = np.nonzero(bits)
-        hit = start[i] + k
         step = np.zeros(len(data) + 1, np.int32)
-        np.add.at(step, hit, 1)
-        np.add.at(step, hit + SPAN, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        for k in range(RUN):
+            hit = start[((mask >> np.uint32(k)) & np.uint32(1)).astype(bool) & (size > k)] + k
+            step[hit] += 1  # each place is in one run
+            step[hit + SPAN] -= 1
+        np.cumsum(step, out=step)
+        gone = step[:-1] > 0
         raw, out = data.tobytes(), [[], [], [], [], []]
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             own = gone[a:b]
