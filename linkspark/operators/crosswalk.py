@@ -37,6 +37,28 @@ def normalize(c: Column, recipe: str) -> Column:
     return out
 
 
+# Symbols of the chemical elements.
+ELEMENTS = (
+    "H He Li Be B C N O F Ne Na Mg Al Si P S Cl Ar K Ca Sc Ti V Cr Mn Fe Co Ni Cu Zn Ga Ge As Se Br Kr Rb Sr Y Zr Nb Mo Tc "
+    "Ru Rh Pd Ag Cd In Sn Sb Te I Xe Cs Ba La Ce Pr Nd Pm Sm Eu Gd Tb Dy Ho Er Tm Yb Lu Hf Ta W Re Os Ir Pt Au Hg Tl Pb Bi "
+    "Po At Rn Fr Ra Ac Th Pa U Np Pu Am Cm Bk Cf Es Fm Md No Lr Rf Db Sg Bh Hs Mt Ds Rg Cn Nh Fl Mc Lv Ts Og"
+).split()
+_PART = rf"(?:{'|'.join(sorted(ELEMENTS, key=lambda e: -len(e)))})(?![a-z])\d*\.?\d*"
+
+
+def composition(c: Column) -> Column:
+    """Subscript digits as digits, no blanks; order and case stay."""
+    return F.replace(F.translate(text(c), *SUBSCRIPTS), F.lit(" "))
+
+
+def element_canonical(c: Column) -> Column:
+    """A formula of element symbols and counts with its elements in order of symbol; other text as composition()."""
+    plain = composition(c)
+    parts = F.transform(F.regexp_extract_all(plain, F.lit(_PART), F.lit(0)), lambda p: F.struct(F.regexp_extract(p, "^[A-Za-z]+", 0).alias("symbol"), p.alias("part")))
+    ordered = F.array_sort(parts, lambda a, b: F.when(a["symbol"] < b["symbol"], -1).when(a["symbol"] > b["symbol"], 1).otherwise(0))
+    return F.when(plain.rlike(rf"^(?:{_PART})+\z"), F.array_join(F.transform(ordered, lambda p: p["part"]), "")).otherwise(plain)
+
+
 def shared_keys(values: DataFrame, least: int = 2, recipe: str = "casefold,collapse_ws") -> DataFrame:
     """(key, participants, entities) of keys that `least` participants report. values: participant, entity, value. Keys
     that are empty or mean no value are left out. One shuffle by key; a participant counts once however often it has it."""

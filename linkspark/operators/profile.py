@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,3 +74,16 @@ def sampling_grid(df: DataFrame, order: str, value: str, first: int = 5000) -> D
     median = F.element_at("steps", (F.size("steps") / 2).cast("int") + 1)
     even = F.forall("steps", lambda s: F.abs(s - median) <= 0.01 * F.abs(median)) & (median != 0)
     return out.select("n", (even & (F.col("n") >= 8)).alias("is_grid"))
+
+
+def composite_keys(df: DataFrame, candidates: list[str], hints: list[str] | None = None, depth: int = 3) -> DataFrame:
+    """uniqueness() and key (names joined by commas) of each candidate alone and with up to depth - 1 of the hints and other candidates, each set once.
+
+    The sets come from column names; each is one grouped count over the whole table. Keep the lists short: their number
+    grows with the power `depth`. Without candidates this is an error.
+    """
+    pool = list(dict.fromkeys([*(hints or []), *candidates]))
+    keys = dict.fromkeys(tuple(sorted((c, *more))) for k in range(depth) for c in candidates for more in combinations([p for p in pool if p != c], k))
+    if not keys:
+        raise ValueError("no candidate columns")
+    return reduce(DataFrame.unionByName, [uniqueness(df, key).withColumn("key", F.lit(",".join(key))) for key in keys])

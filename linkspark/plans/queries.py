@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import values as V
-from linkspark.operators import checks, crosswalk, graph, profile, versions
+from linkspark.operators import checks, crosswalk, documents, graph, grounding, profile, versions
 from linkspark.operators.mapping import TYPE, Map, Property, all_quads, compress_iri, expand_curie, infer_terms, quads, to_ntriples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -371,3 +371,55 @@ def win_offsets(spark, sf_dir):
     lines = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
     w = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
     return lines.select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long").alias("begin_at"), F.length("line").cast("long").alias("chars"))
+
+
+_ABBREVIATIONS = ", ".join(f"'{w}'" for w in documents.ABBREVIATIONS)
+
+
+@query("doc_sentences", rf"""
+with w as (select doc_id, generate_subscripts(string_split(text, ' '), 1) as i, unnest(string_split(text, ' ')) as w from documents),
+v as (select doc_id, i, w, regexp_extract(w, '(\S*)$', 1) as tail, lead(w) over (partition by doc_id order by i) as next from w where w <> ''),
+e as (
+  select doc_id, i, w, case when w similar to '(?s).*[.!?]' and not w similar to '(?s).*\p{{Nd}}[.!?]' and regexp_matches(next, '^[\p{{Lu}}(\[“‘"'']')
+    and lower(rtrim(tail, '.!?')) not in ({_ABBREVIATIONS}) and not regexp_full_match(rtrim(tail, '.!?'), '\p{{L}}') then 1 else 0 end as ends from v),
+s as (select doc_id, i, w, 1 + coalesce(sum(ends) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as n from e),
+t as (select doc_id, cast(n as bigint) as n, string_agg(w, ' ' order by i) as s from s group by doc_id, n)
+select doc_id, n, sha256(s) as digest from t where regexp_matches(s, '\S')""")
+def doc_sentences(spark, sf_dir):
+    rows = documents.sentences(_t(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", F.sha2(F.regexp_replace("sentence", " +", " "), 256).alias("digest"))
+
+
+@query("gnd_terms", r"""
+with a as (select distinct p_name as label, string_split(lower(p_name), ' ') as x, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as p from part),
+b as (select distinct word as name, [lower(word)] as y, lower(word) as q from (select unnest(string_split(p_name, ' ')) as word from part union select unnest(string_split(p_type, ' ')) from part)
+  union select distinct p_type, string_split(lower(p_type), ' '), regexp_replace(lower(p_type), '[^a-z0-9]+', '', 'g') from part),
+c as (select label, name, p, q, list_distinct(x) as x, list_distinct(y) as y, len(list_intersect(x, y)) as k from a, b),
+s as (select label, name, case when p = q then 100 when k = len(x) and len(x) = len(y) then 90 when k = len(x) then 70 + greatest(0, 10 - (len(y) - len(x)))
+  when contains(q, p) or contains(p, q) then 50 when k > 0 then 20 + k else 0 end as score from c),
+r as (select *, row_number() over (partition by label order by score desc, length(name), name) as place from s where score > 0)
+select label, name, cast(score as integer) as score, cast(place as integer) as place from r where place <= 8""")
+def gnd_terms(spark, sf_dir):
+    part = _t(spark, sf_dir, "part")
+    terms = part.select(F.explode(F.split("p_name", " ")).alias("name")).union(part.select(F.explode(F.split("p_type", " ")))).union(part.select("p_type"))
+    return grounding.ground(part.select(F.col("p_name").alias("label")), terms)
+
+
+@query("nrm_element_canonical", """
+select p_partkey, case p_partkey % 3 when 0 then 'Bi2Te' || p_size when 1 then 'Xx' || p_size || 'Bi2' else 'CoO' || p_size end as formula from part""")
+def nrm_element_canonical(spark, sf_dir):
+    size = F.translate(F.col("p_size").cast("string"), "0123456789", "₀₁₂₃₄₅₆₇₈₉")
+    which = F.col("p_partkey") % 3
+    raw = F.when(which == 0, F.concat(F.lit("Te"), size, F.lit(" Bi₂"))).when(which == 1, F.concat(F.lit("Xx"), size, F.lit(" Bi₂"))).otherwise(F.concat(F.lit("O"), size, F.lit("Co")))
+    return _t(spark, sf_dir, "part").select("p_partkey", crosswalk.element_canonical(raw).alias("formula"))
+
+
+@query("prof_composite_keys", """
+with k as (
+  select 'l_orderkey' as key, count(*) as n from lineitem group by l_orderkey
+  union all select 'l_linenumber,l_orderkey', count(*) from lineitem group by l_orderkey, l_linenumber
+  union all select 'l_orderkey,l_partkey', count(*) from lineitem group by l_orderkey, l_partkey
+  union all select 'l_linenumber,l_orderkey,l_partkey', count(*) from lineitem group by l_orderkey, l_linenumber, l_partkey)
+select key, cast(sum(n) as bigint) as "rows", count(*) as distinct_keys, cast(sum(n) - count(*) as bigint) as collisions, sum(n) = count(*) as is_unique from k group by key""")
+def prof_composite_keys(spark, sf_dir):
+    return profile.composite_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"])

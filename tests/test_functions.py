@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkspark.functions import values as V
+from linkspark.operators import crosswalk, documents, grounding
 
 CASES = [
     (V.number_clean, "($1,234.50)", "-1234.50"), (V.number_clean, "+5", "5"), (V.number_clean, "1.2e3", "1.2e3"), (V.number_clean, "abc", ""), (V.number_clean, None, ""),
@@ -45,3 +46,26 @@ def test_stream_appends_once(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r.id for r in out.collect()) == list(range(8))
     assert fingerprint(out).first() == fingerprint(out.repartition(3)).first()
+
+
+def test_sentences(spark):
+    text = "See Fig. 3 here. It is 5. Then J. Smith left!  (Why?) \n"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "  ")], "doc_id long, text string")
+    got = documents.sentences(docs).orderBy("doc_id", "n").collect()
+    assert [r["sentence"] for r in got] == ["See Fig. 3 here.", "It is 5. Then J. Smith left!", "(Why?) \n"]
+    assert all(text[r["begin_at"] : r["end_at"]] == r["sentence"] for r in got)
+
+
+def test_ground(spark):
+    labels = spark.createDataFrame([("old age",), ("hasName",), ("",), (None,), ("old age",)], "label string")
+    terms = spark.createDataFrame([("OldAge",), ("age of old men",), ("a",), ("name",), ("xyz",), (None,)], "name string")
+    got = {(r["label"], r["name"]): r["score"] for r in grounding.ground(labels, terms).collect()}
+    assert got == {("old age", "OldAge"): 100, ("old age", "age of old men"): 78, ("old age", "a"): 50, ("hasName", "name"): 50, ("hasName", "a"): 50}
+    assert grounding.ground(labels.limit(0), terms).count() == 0
+
+
+def test_element_canonical(spark):
+    cases = {"Te3Bi2": "Bi2Te3", "Te₃ Bi₂": "Bi2Te3", "Co": "Co", "OC": "CO", "Hea": "Hea", "Bi2(Te)3": "Bi2(Te)3", "": "", "C.5B": "BC.5"}
+    rows = spark.createDataFrame([(k,) for k in cases], "v string")
+    got = {r[0]: r[1] for r in rows.select("v", crosswalk.element_canonical(F.col("v"))).collect()}
+    assert got == cases
