@@ -1,24 +1,96 @@
 """External induced sorting of suffixes, with common-prefix values.
 
 Suffixes are of type L or S by their next character; S suffixes behind an L suffix (S*) are sorted first, by names of the
-pieces between them and of runs of such pieces. The order of all L suffixes then follows by a scan in ascending order, and
+pieces between them and of runs of such pieces where STARS hold them all, else dealt by two characters at a time into
+files until LEAF hold a part. The order of all L suffixes then follows by a scan in ascending order, and
 that of all S suffixes by a scan in descending order: each suffix that a scan takes puts the suffix one character longer
 into the priority queue of its first character. A queue entry is a tuple of position and common prefix with the entry
 before it; the common prefix of two neighbours is one more than the least value between those that induced them. Queues
 keep a bounded part in memory and the rest in a file, in the order in which they were filled, which is the order in which
-they are taken. Common prefixes are counted up to a cap, and order is exact up to the cap.
+they are taken; what a scan takes out is kept the same way, and the text is a memory map. Common prefixes are counted up to a cap, and order is exact up to the cap.
 """
 
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 
-#: Entries that a scan takes at once, and entries that all queues keep in memory.
+#: Entries that a scan takes at once, and entries that all queues and scan outputs keep in memory.
 STEP = 1 << 16
 MEMORY = 1 << 24
+#: S* suffixes that are named in memory; entries of a part that is sorted by itself where there are more.
+STARS, LEAF = 1 << 21, 1 << 20
+
+
+def mapped(n: int, kind: type = np.uint8) -> np.ndarray:
+    """Zeros in a file that is gone with the array."""
+    return np.asarray(np.memmap(tempfile.TemporaryFile(), kind, "w+", shape=(max(1, n),)))[:n]
+
+
+class Pile:
+    """Positions in a file."""
+
+    def __init__(self):
+        self.file, self.n = tempfile.TemporaryFile(), 0
+
+    def push(self, pos: np.ndarray) -> None:
+        self.file.seek(0, 2)
+        pos.astype(np.int64).tofile(self.file)
+        self.n += len(pos)
+
+    def chunks(self, size: int = STEP) -> Iterator[np.ndarray]:
+        self.file.flush()
+        for at in range(0, self.n, size):
+            self.file.seek(8 * at)
+            yield np.fromfile(self.file, np.int64, min(size, self.n - at))
+
+
+class Output:
+    """(position, common prefix) of each bucket, in the order put; parts beyond the shared allowance are in a file."""
+
+    def __init__(self, room: list[int]):
+        self.buckets: list[list[tuple]] = [[] for _ in range(256)]
+        self.room = room
+        self.file = None
+
+    def put(self, c: int, pos: np.ndarray, lcp: np.ndarray) -> None:
+        if self.room[0] >= len(pos):
+            self.room[0] -= len(pos)
+            self.buckets[c].append((pos, lcp))
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(0, 2)
+        self.buckets[c].append((self.file.tell(), len(pos)))
+        pos.astype(np.int64).tofile(self.file)
+        lcp.tofile(self.file)
+
+    def parts(self, c: int, free: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        yield from self._read(iter(self.buckets[c]), free)
+        if free:
+            self.buckets[c] = []
+
+    def back(self, c: int, free: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The parts from the last entry to the first, with common prefixes to the entry taken before (0 for the first)."""
+        carry = 0
+        for pos, lcp in self._read(reversed(self.buckets[c]), free):
+            yield pos[::-1], np.append(np.uint8(carry), lcp[:0:-1])
+            carry = lcp[0]
+        if free:
+            self.buckets[c] = []
+
+    def _read(self, parts: Iterator[tuple], free: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in parts:
+            if isinstance(a, int):
+                self.file.flush()
+                self.file.seek(a)
+                yield np.fromfile(self.file, np.int64, b), np.fromfile(self.file, np.uint8, b)
+            else:
+                yield a, b
+                if free:
+                    self.room[0] += len(a)
 
 
 class Queue:
@@ -141,11 +213,80 @@ def _sort_stars(text: np.ndarray, stars: np.ndarray, n: int, cap: int) -> np.nda
     return stars[np.argsort(names, kind="stable")]
 
 
-def _scan(text: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], up: bool, cap: int, room: list[int], opening: int | None = None) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+def _stars(text: np.ndarray, n: int) -> Pile:
+    """S* suffixes, from the last to the first."""
+    out, after, high = Pile(), False, n  # the last suffix is before all that go on
+    while high:
+        low = max(0, high - 4 * STEP)
+        step = text[low + 1 : high + 1].astype(np.int16) - text[low:high]
+        if high == n:
+            step[-1] = -1
+        where = np.minimum.accumulate(np.where(step != 0, np.arange(high - low), high - low)[::-1])[::-1]
+        small = np.append(np.where(where < high - low, step[np.minimum(where, high - low - 1)] > 0, after), after)  # type S
+        out.push((np.flatnonzero(small[1:] & ~small[:-1]) + low + 1)[::-1])
+        after, high = bool(small[0]), low
+    return out
+
+
+def _deal(text: np.ndarray, pile: Pile, depth: int) -> list[Pile]:
+    """Parts of a pile by the two characters at depth, in order; a part of more than LEAF has one such pair."""
+    pair = lambda pos: text[pos + depth].astype(np.int64) << 8 | text[pos + depth + 1]
+    count = np.zeros(1 << 16, np.int64)
+    for pos in pile.chunks():
+        count += np.bincount(pair(pos), minlength=1 << 16)
+    group, total, kinds = np.zeros(1 << 16, np.int64), 0, 0
+    for v in np.flatnonzero(count).tolist():
+        if total and total + count[v] > LEAF:
+            total, kinds = 0, kinds + 1
+        group[v] = kinds
+        total += count[v]
+    piles = [Pile() for _ in range(kinds + 1)]
+    for pos in pile.chunks():
+        which = group[pair(pos)]
+        order = np.argsort(which, kind="stable")
+        edges = np.searchsorted(which[order], np.arange(kinds + 2))
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            piles[k].push(pos[order[edges[k] : edges[k + 1]]])
+    return piles
+
+
+def _leaves(text: np.ndarray, pile: Pile, n: int, cap: int, depth: int = 0) -> Iterator[np.ndarray]:
+    """The suffixes of a pile, which share depth characters, in order up to the cap."""
+    if pile.n <= LEAF:
+        words = _words(text)
+        for pos in pile.chunks(LEAF):
+            yield pos[np.lexsort([np.minimum(n - pos, 57), *[words[pos + k] for k in range(48, -1, -8)]])]
+        return
+    if depth >= cap:
+        yield from pile.chunks()
+        return
+    for part in _deal(text, pile, depth):
+        yield from _leaves(text, part, n, cap, depth + 2)
+
+
+def _sorted_stars(text: np.ndarray, n: int, cap: int, room: list[int]) -> Output:
+    """S* suffixes in order with common prefixes, by first character."""
+    pile, out, last = _stars(text, n), Output(room), None
+    if pile.n <= STARS:
+        parts = (_sort_stars(text, pos[::-1], n, cap) for pos in pile.chunks(STARS))
+    else:
+        parts = _leaves(text, pile, n, cap)
+    for part in parts:
+        for low in range(0, len(part), STEP):
+            pos = part[low : low + STEP]
+            lcp = common(text, np.append(pos[0] if last is None else last, pos[:-1]), pos, cap)
+            last, ch = pos[-1], text[pos]
+            for c in np.unique(ch).tolist():
+                a, b = np.searchsorted(ch, [c, c + 1])
+                out.put(c, pos[a:b], lcp[a:b])
+    return out
+
+
+def _scan(text: np.ndarray, seeds: Callable[[int], Iterator[tuple[np.ndarray, np.ndarray]]], up: bool, cap: int, room: list[int], opening: int | None = None) -> Output:
     """One induction. seeds: for each character what the scan meets in its bucket beside what it induces there, with
     common prefixes; either way they come after it. opening: the last suffix, which nothing induces. Returns what was induced, by first character, in the order of the scan."""
     queues = [Queue(room) for _ in range(256)]
-    done: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
+    done = Output(room)
     pushed = np.zeros(256, bool)
     if opening is not None:
         queues[text[opening]].push(np.array([opening]), np.zeros(1, np.uint8))
@@ -187,14 +328,16 @@ def _scan(text: np.ndarray, seeds: list[tuple[np.ndarray, np.ndarray]], up: bool
         since[:] = 0  # suffixes of another bucket share nothing
         while queues[c].parts:
             pos, lcp = queues[c].pop()
-            done[c].append((pos, lcp))
+            done.put(c, pos, lcp)
             last = pos[-1]
             for i in range(0, len(pos), STEP):
                 take(pos[i : i + STEP], lcp[i : i + STEP], False)
-        pos, lcp = seeds[c]
-        if len(pos):
-            lcp = lcp.copy()
-            lcp[0] = 0 if last is None else common(text, np.array([last]), pos[:1], cap)[0]
+        queues[c] = None
+        begun = False
+        for pos, lcp in seeds(c):
+            if not begun:
+                lcp, begun = lcp.copy(), True
+                lcp[0] = 0 if last is None else common(text, np.array([last]), pos[:1], cap)[0]
             for i in range(0, len(pos), STEP):
                 take(pos[i : i + STEP], lcp[i : i + STEP], True)
     return done
@@ -206,49 +349,20 @@ def sorted_suffixes(data: np.ndarray, cap: int = 50) -> Iterator[tuple[np.ndarra
     n = len(data)
     if not n:
         return
-    text = np.zeros(n + 72, np.uint8)
-    text[:n] = data
-    step = text[1 : n + 1].astype(np.int16) - text[:n]
-    step[n - 1] = -1  # the last suffix is before all that go on
-    where = np.where(step != 0, np.arange(n), n)
-    where = np.minimum.accumulate(where[::-1])[::-1]
-    small = step[np.minimum(where, n - 1)] > 0  # type S
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    text = mapped(n + 72)
+    for low in range(0, n, 4 * STEP):
+        text[low : min(n, low + 4 * STEP)] = data[low : low + 4 * STEP]
     room = [MEMORY]
-    none = (np.zeros(0, np.int64), np.zeros(0, np.uint8))
-    seeds = [none] * 256
-    if len(stars):
-        stars = _sort_stars(text, stars, n, cap)
-        lcp = np.zeros(len(stars), np.uint8)
-        lcp[1:] = common(text, stars[:-1], stars[1:], cap)
-        edges = np.searchsorted(text[stars], np.arange(257))
-        seeds = [(stars[a:b], lcp[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    stars = _sorted_stars(text, n, cap, room)
     # the last suffix is of type L and has nothing behind it that could induce it: it opens its bucket
-    first = _scan(text, seeds, True, cap, room, n - 1)
-    down = []
+    first = _scan(text, lambda c: stars.parts(c, free=True), True, cap, room, n - 1)
+    second = _scan(text, first.back, False, cap, room)
     for c in range(256):
-        parts = first[c]
-        pos = np.concatenate([p for p, _ in parts]) if parts else none[0]
-        lcp = np.concatenate([v for _, v in parts]) if parts else none[1]
-        back = np.zeros(len(pos), np.uint8)
-        back[1:] = lcp[1:][::-1]
-        down.append((pos[::-1], back))
-    second = _scan(text, down, False, cap, room)
-    last = None
-    for c in range(256):
-        pos, back = down[c]
-        if len(pos):
-            lcp = np.zeros(len(pos), np.uint8)
-            lcp[1:] = back[1:][::-1]
-            pos = pos[::-1]
+        last = None
+        for pos, lcp in first.parts(c, free=True):
             yield pos, lcp
             last = pos[-1]
-        parts = second[c]
-        if parts:
-            pos, back = np.concatenate([p for p, _ in parts]), np.concatenate([v for _, v in parts])
-            lcp = np.zeros(len(pos), np.uint8)
-            lcp[1:] = back[1:][::-1]
-            pos = pos[::-1]
-            if len(down[c][0]):
+        for k, (pos, lcp) in enumerate(second.back(c, free=True)):
+            if not k and last is not None:
                 lcp[0] = common(text, np.array([last]), pos[:1], cap)[0]
             yield pos, lcp

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import mmap
+import tempfile
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +14,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linkspark.llm.common import _BYTE, _STEP, mix, text_bytes
-from linkspark.llm.induced import sorted_suffixes
+from linkspark.llm.induced import mapped, sorted_suffixes
 
 #: A string of SPAN bytes that also starts in an earlier document is removed. Its anchor is the least hash of GRAM bytes.
 SPAN, GRAM = 50, 24
 #: Windows that share an anchor in a row and travel together: bits of one mask.
 RUN = 32
+#: Runs whose texts a shard copies at once.
+RUNS = 1 << 16
 #: Bytes that are hashed at once: a bound on the arrays of 8 bytes a place.
 STRETCH = 1 << 18
-#: Documents of a block, and blocks to a shard of anchors.
-DOCS = 1500
+#: Bytes of text to a block and to a shard of anchors; a document counts as PER_DOC bytes more.
+BYTES, PER_DOC = 1 << 22, 256
 _ALL = np.where(_BYTE == 0, np.arange(256, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019) + np.uint64(0x9E3779B97F4A7C15), _BYTE)
 
 
@@ -174,15 +179,25 @@ def _gather(shards: int, text: str):
     return run
 
 
-def _sort(table: pa.Table) -> pa.Table:
-    """Suffix-sort one shard; for each run of each block the windows that start in an earlier document too, as a mask."""
-    sizes = [np.frombuffer(x, np.uint8) for x in table["sizes"].to_pylist()]
+def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix-sort one shard; for each run of each block the windows that start in an earlier document too, as a mask.
+    Texts are in files; numbers of each run are in memory."""
+    shards, blocks, numbers, sizes, owners = [], [], [], [], []
+    file = tempfile.TemporaryFile()
+    for batch in batches:
+        for c, name in ((shards, "shard"), (blocks, "block"), (numbers, "numbers")):
+            c += batch[name].to_pylist()
+        sizes += [np.frombuffer(x, np.uint8) for x in batch["sizes"].to_pylist()]
+        owners += [np.frombuffer(x, np.int64) for x in batch["owners"].to_pylist()]
+        for x in batch["texts"]:
+            file.write(x.as_buffer())
+            file.write(b"\0")
+    file.flush()
     counts = [len(x) for x in sizes]
-    size = np.concatenate(sizes).astype(np.int64)
-    owner = np.concatenate([np.frombuffer(x, np.int64) for x in table["owners"].to_pylist()])
-    joined = b"\0".join(table["texts"].to_pylist())
+    size, owner = np.concatenate(sizes).astype(np.int64), np.concatenate(owners)
+    joined = mmap.mmap(file.fileno(), 0)
     # runs that several blocks hold alike are sorted once, for the earliest document; the others follow it
-    data = np.frombuffer(joined, np.uint8)
+    data = np.frombuffer(joined, np.uint8)[:-1]
     begin = np.cumsum(size + SPAN) - (size + SPAN)
     key = _contents(data, begin, size)
     order = np.lexsort((owner, key))
@@ -194,18 +209,23 @@ def _sort(table: pa.Table) -> pa.Table:
     same[order] = one
     later = owner > owner[same]
     chosen = np.flatnonzero(same == np.arange(len(same)))
-    data = np.frombuffer(b"\0".join(joined[a : a + n + SPAN - 1] for a, n in zip(begin[chosen].tolist(), size[chosen].tolist(), strict=True)), np.uint8)
-    size, owner = size[chosen], owner[chosen]
+    own, old = size[chosen], begin[chosen]
+    size, owner = own, owner[chosen]
     begin = np.cumsum(size + SPAN) - (size + SPAN)  # each run is size + SPAN - 1 bytes and a separator
-    run_at = np.full(len(data), -1, np.int32)  # the run of each window start
-    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-    run_at[at] = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    data = mapped(int((size + SPAN).sum()) - 1)
+    run_at = mapped(len(data), np.int32)  # 1 + the run of each window start
+    for k in range(0, len(size), RUNS):
+        part = b"\0".join(joined[a : a + n + SPAN - 1] for a, n in zip(old[k : k + RUNS].tolist(), own[k : k + RUNS].tolist(), strict=True))
+        data[begin[k] : begin[k] + len(part)] = np.frombuffer(part, np.uint8)
+        some = size[k : k + RUNS]
+        at = np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some) + np.repeat(begin[k : k + RUNS], some)
+        run_at[at] = np.repeat(np.arange(k, k + len(some), dtype=np.int32) + 1, some)
     masks = np.zeros(len(size), np.uint32)
     tail_pos, tail_new = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def settle(pos: np.ndarray, new: np.ndarray) -> None:
         group = np.cumsum(new) - 1
-        which = run_at[pos]
+        which = run_at[pos] - 1
         ok = which >= 0
         pos, group, which = pos[ok], group[ok], which[ok]
         if not len(pos):
@@ -227,10 +247,10 @@ def _sort(table: pa.Table) -> pa.Table:
     place[chosen] = np.arange(len(chosen))
     masks = np.where(later, np.uint32(0xFFFFFFFF), masks[place[same]])
     rows, at = [], 0
-    for s, b, numbers, n in zip(table["shard"].to_pylist(), table["block"].to_pylist(), table["numbers"].to_pylist(), counts, strict=True):
-        rows.append((s, b, numbers, masks[at : at + n].tobytes()))
+    for s, b, which, n in zip(shards, blocks, numbers, counts, strict=True):
+        rows.append((s, b, which, masks[at : at + n].tobytes()))
         at += n
-    return _table(rows, "shard block numbers masks")
+    yield from _table(rows, "shard block numbers masks").to_batches()
 
 
 def _cut(names: list[str], text: str, with_text: bool):
@@ -269,6 +289,12 @@ def _cut(names: list[str], text: str, with_text: bool):
     return run
 
 
+def _parts(docs: DataFrame, text: str) -> int:
+    """Number of blocks, and of shards, by the bytes of the texts."""
+    size = F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + F.lit(PER_DOC)
+    return max(8, -(-(docs.agg(F.sum(size.cast("long"))).first()[0] or 0) // BYTES))
+
+
 def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True) -> DataFrame:
     """docs with linkspark_n_bytes, linkspark_n_removed, linkspark_n_spans, linkspark_kept_sha256 and linkspark_kept.
 
@@ -280,15 +306,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     anchor is dealt to. Blocks of documents send their distinct anchors to shards and learn which stand in two
     documents; they send the distinct runs of windows with such anchors, and a shard sorts all suffixes of these runs
     by external induced sorting and gives back which windows start in an earlier document. Copies within a block travel
-    once, so a passage that all documents hold is a run for each block; a shard may be larger than memory, its queues
-    are in a file. A block is about DOCS documents, dealt by a hash, whatever their sources.
+    once, so a passage that all documents hold is a run for each block. Blocks and shards are as many as keep them at
+    about BYTES bytes of the texts, dealt by a hash, whatever their sources; a block holds its texts in memory, one text
+    at least. A shard that comes out larger has its text, queues and sorted order in files, and in memory the numbers
+    of its runs.
 
     Rows with a null doc_id stand behind all others: they lose what those hold and give nothing. Rows of one doc_id do
     not cut each other. Texts of fewer than SPAN bytes stay whole. Other columns stay as they are; no rows give no rows.
     """
-    n = docs.count()
-    blocks = max(8, -(-n // DOCS))
-    shards = max(8, -(-n // DOCS))
+    blocks = shards = _parts(docs, text)
     names = docs.columns
     key = F.xxhash64(F.col("doc_id"), F.col(f"`{text}`"))
     own = docs.withColumns({"linkspark_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "linkspark_hash": key, "linkspark_block": F.pmod(key, F.lit(blocks)).cast("long")})

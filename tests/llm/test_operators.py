@@ -2,13 +2,14 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import chat, decontaminate, jaccard, lattice, mixing, quality, suffixes, toxicity, urls, vectors
+from linkspark.llm import chat, decontaminate, induced, jaccard, lattice, mixing, quality, suffixes, toxicity, urls, vectors
 from linkspark.llm.induced import sorted_suffixes
 
 RNG = random.Random(3)
@@ -92,6 +93,33 @@ def test_induced_order():
         assert sorted(pos) == list(range(len(raw))) and keys == sorted(keys), k
 
 
+def test_induced_memory(monkeypatch):
+    for name, value in (("STEP", 1 << 10), ("MEMORY", 1 << 12), ("STARS", 1 << 12), ("LEAF", 1 << 10)):
+        monkeypatch.setattr(induced, name, value, raising=False)
+    rng = np.random.default_rng(5)
+    base = rng.integers(97, 101, 40_000, dtype=np.uint8).tobytes()
+    raw = base + b"e" * 2000 + base[:30_000] + b"ab" * 5000 + base[10_000:]
+    tracemalloc.start()
+    n, seen, before, order = 0, np.zeros(len(raw), bool), b"", []
+    for pos, lcp in sorted_suffixes(np.frombuffer(raw, np.uint8)):
+        order.append((pos.astype(np.int32), lcp.copy()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(raw)  # the list above is 5 bytes a suffix
+    for pos, lcp in order:
+        for p, k in zip(pos.tolist(), lcp.tolist(), strict=True):
+            own = raw[p : p + 50]
+            same = next((i for i, (a, b) in enumerate(zip(before.ljust(50, b"\0"), own.ljust(50, b"\0"), strict=True)) if a != b), 50)
+            assert before.ljust(50, b"\0") <= own.ljust(50, b"\0") and (n == 0 or same == k), (p, k, same)
+            before, n, seen[p] = own, n + 1, True
+    assert n == len(raw) and seen.all()
+
+
+def test_suffix_blocks_by_bytes(spark):
+    long = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 300_000).alias("text"))
+    assert suffixes._parts(long, "text") >= 14  # 60 MB in few documents
+
+
 def test_mix(spark, docs):
     rows = [(k, prose(RNG.randint(1, 40)), "a" if k % 3 else ("b" if k % 2 else None)) for k in range(200)] + [(200, None, "c"), (201, "", "c")]
     table = spark.createDataFrame(rows, "doc_id long, text string, source string")
