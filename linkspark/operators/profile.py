@@ -66,14 +66,31 @@ def foreign_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]
     return out
 
 
-def sampling_grid(df: DataFrame, order: str, value: str, first: int = 5000) -> DataFrame:
-    """Whether the first rows of a column rise or fall by steps within 1 % of their upper median."""
-    rows = df.select(order, F.col(value).alias("v")).orderBy(order).limit(first)
-    steps = rows.withColumn("step", F.col("v") - F.lag("v").over(Window.orderBy(order)))
-    out = steps.agg(F.count("v").alias("n"), F.sort_array(F.collect_list("step")).alias("steps"))
-    median = F.element_at("steps", (F.size("steps") / 2).cast("int") + 1)
-    even = F.forall("steps", lambda s: F.abs(s - median) <= 0.01 * F.abs(median)) & (median != 0)
-    return out.select("n", (even & (F.col("n") >= 8)).alias("is_grid"))
+def _steps(rows: DataFrame, order: str, share: int) -> DataFrame:
+    """rows (order, v) with step: v less the v before it by order. Ranges of order of about `share` rows each, 1,024 at
+    most, are taken apart; the last row of each is carried over to the next."""
+    n = rows.count()
+    parts = min(1024, -(-n // share))
+    keys = rows.where(F.col(order).isNotNull()).select(order).sample(min(1.0, 20 * parts / n), 17) if parts > 1 else None
+    edges = sorted({r[0] for r in keys.collect()})[20::20] if keys is not None else []
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(order))) if edges else F.lit(0)
+    rows = rows.withColumn("part", part)
+    lasts = rows.groupBy("part").agg(F.max(F.struct(order, "v")).alias("last"))
+    lasts = lasts.select("part", F.lag("last.v").over(Window.orderBy("part")).alias("carried"))  # a row for each range
+    own = Window.partitionBy("part").orderBy(order)
+    before = F.when(F.row_number().over(own) > 1, F.lag("v").over(own)).otherwise(F.col("carried"))
+    return rows.join(F.broadcast(lasts), "part").select(order, "v", (F.col("v") - before).alias("step"))
+
+
+def sampling_grid(df: DataFrame, order: str, value: str, first: int | None = None, share: int = 10_000) -> DataFrame:
+    """Whether a column rises or falls by steps within 1 % of their upper median, over all rows or the first ones.
+    The median is exact; it counts the distinct steps in one task."""
+    rows = df.select(F.col(order), F.col(value).alias("v"))
+    steps = _steps(rows if first is None else rows.orderBy(order).limit(first), order, share)
+    out = steps.agg(F.count("v").alias("n"), F.expr("percentile_disc(0.5) within group (order by step desc)").alias("median"))
+    near = F.bool_and(F.abs(F.col("step") - F.col("median")) <= 0.01 * F.abs("median")).alias("near")
+    even = steps.select("step").where("step is not null").crossJoin(F.broadcast(out.select("median"))).agg(near)
+    return out.crossJoin(even).select("n", (F.col("near") & (F.col("median") != 0) & (F.col("n") >= 8)).alias("is_grid"))
 
 
 def composite_keys(df: DataFrame, candidates: list[str], hints: list[str] | None = None, depth: int = 3) -> DataFrame:

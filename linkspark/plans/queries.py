@@ -218,6 +218,11 @@ def win_top(spark, sf_dir):
 
 @query("win_sampling_grid", "with s as (select p_retailprice - lag(p_retailprice) over (order by p_partkey) as d from part where p_partkey in (select p_partkey from part order by p_partkey limit 5000)), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
 def win_grid(spark, sf_dir):
+    return profile.sampling_grid(_t(spark, sf_dir, "part"), "p_partkey", "p_retailprice", first=5000)  # as its SQL
+
+
+@query("win_sampling_grid_all", "with s as (select p_retailprice - lag(p_retailprice) over (order by p_partkey) as d from part), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
+def win_grid_all(spark, sf_dir):
     return profile.sampling_grid(_t(spark, sf_dir, "part"), "p_partkey", "p_retailprice")
 
 
