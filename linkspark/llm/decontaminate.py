@@ -124,6 +124,16 @@ def _scan(index: dict, words: np.ndarray, runs: dict[int, np.ndarray], n: int, p
                     likeness = both / (2 * width - both)
                     if 100 * both >= percent * (2 * width - both) and (i not in best or likeness > best[i][0]):
                         best[i] = (likeness, w)
+    mine, his = len(words) - n + 1, index["sizes"] - n + 1
+    if mine > 0 and n in runs and len(places[n][0]):  # a text shorter than an item is its one window
+        long = np.flatnonzero((his > mine) & (100 * mine >= percent * his))
+        if len(long):
+            near = long[_distance(_fingerprints(runs[n], mine)[0], index["prints"][long]) <= RADIUS]
+            held = Counter(runs[n].tolist())
+            for i in near.tolist():
+                both = sum(min(c, index["counts"][i][s]) for s, c in held.items() if s in index["counts"][i])
+                if 100 * both >= percent * (int(his[i]) + mine - both):
+                    best[i] = (both / (int(his[i]) + mine - both), 0)
     return best
 
 
@@ -131,7 +141,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75) -
     """Rows (doc_id, item_id, first_word, n_words, similarity): for each document and each benchmark item that it holds,
     the best window, the first of several.
 
-    An item of k words is held against every window of k words of the whole text (A-Z as a-z). Windows whose SimHash is
+    An item of k words is held against every window of k words of the whole text (A-Z as a-z), or against the whole text
+    where that has fewer words and could still be similar enough. Windows whose SimHash is
     within RADIUS bits of the item's are candidates: four blocks of an index find all of them. A candidate counts if its
     n-word shingles, weighted by how often they stand in the window and in the item, have a weighted Jaccard similarity
     of percent / 100 or more. A text or item of fewer than n words is one shingle; null, empty and shorter texts hold
@@ -175,7 +186,7 @@ def _scanner(shared, n: int, percent: int):
             for d in np.flatnonzero(some).tolist():
                 a, b = int(firsts[d]), int(firsts[d + 1])
                 found = _scan(index, words[a:b], {k: r[a : max(a, b - k + 1)] for k, r in runs.items()}, n, percent)
-                rows += [(batch["doc_id"][d].as_py(), index["ids"][i], w, int(index["sizes"][i]), s) for i, (s, w) in found.items()]
+                rows += [(batch["doc_id"][d].as_py(), index["ids"][i], w, min(int(index["sizes"][i]), b - a), s) for i, (s, w) in found.items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(),) * 4 + (pa.float64(),), strict=True)], ["doc_id", "item_id", "first_word", "n_words", "similarity"])
 

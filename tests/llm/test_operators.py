@@ -148,6 +148,16 @@ def test_decontaminate(spark):
     assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [2, 3, 5, 6]
 
 
+def test_decontaminate_short(spark):
+    words = prose(37).split()
+    parts = {1: words[:36], 2: words[2:], 3: words[:32], 4: words[:28], 5: words, 6: words[:3], 7: words[1:20]}
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in parts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(words))], "item_id long, text string")
+    got = {r.doc_id: (r.first_word, r.n_words, round(r.similarity, 3)) for r in decontaminate.hits(docs, bench).collect()}
+    assert got == {k: (0, len(parts[k]), round((len(parts[k]) - 4) / 33, 3)) for k in (1, 2, 3, 5)}
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [4, 6, 7]
+
+
 def test_lattice(spark):
     rows = [(i, t) for i, t in enumerate(["The cat", "the  cat sat", None, "", "zzzqqq 漢字 the"])]
     got = {r.doc_id: r for r in lattice.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") == 4).collect()}
