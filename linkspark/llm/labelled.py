@@ -7,12 +7,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int) -> tuple[pd.DataFrame, float]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, chars: int, longest: int | None = None) -> tuple[pd.DataFrame, float]:
     """At most `rows` labelled texts of each class and `chars` characters of each class, in the order of a hash of the
     id, and the share of label 1 among all labelled rows that may be learned from.
 
     Only ids and labels are ordered over the whole table; texts are read for the chosen ids alone. Rows without a
-    label, an id or a text are left out; an id that is labelled twice counts once, with its larger label. The bound on
+    label, an id or a text are left out; of a text the first `longest` characters count (a tenth of chars, so that no text
+    takes the place of its class); an id that is labelled twice counts once, with its larger label. The bound on
     what reaches the driver is 2 * chars characters.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn)
@@ -24,6 +25,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows:
         chosen = part if chosen is None else chosen.unionByName(part)
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     texts = texts.join(F.broadcast(chosen), "doc_id")  # at most 2 * rows ids
+    texts = texts.withColumn("text", F.substring("text", 1, chars // 10 if longest is None else longest))
     so_far = Window.partitionBy("label").orderBy("at", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     texts = texts.withColumn("so_far", F.sum(F.length("text")).over(so_far)).where(F.col("so_far") <= chars)
     share = known.agg(F.avg("label")).first()[0]

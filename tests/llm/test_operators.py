@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from linkspark.llm import chat, decontaminate, induced, jaccard, lattice, mixing, quality, suffixes, toxicity, urls, vectors
+from linkspark.llm import chat, decontaminate, induced, jaccard, labelled, lattice, mixing, quality, suffixes, toxicity, urls, vectors
 from linkspark.llm.induced import sorted_suffixes
 
 RNG = random.Random(3)
@@ -185,6 +185,17 @@ def test_classifiers(spark):
     assert zlib.crc32(b"5") == docs.where("doc_id = 5").select(F.crc32(F.col("doc_id").cast("string"))).first()[0]
 
 
+def test_sample_with_huge_text(spark):
+    rows = [(i, prose(20)) for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    order = spark.range(40).orderBy(F.xxhash64(F.col("id").cast("string"), F.lit(17))).first()[0]
+    rows[order] = (order, "word " * 5000)  # stands first in its class
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    frame, share = labelled.sample(docs, labels, "toxic", F.lit(True), 100, 20_000)
+    assert frame.groupby("label").size().to_dict() == {0: 20, 1: 20} and share == 0.5
+    assert frame["text"].str.len().max() == 2000
+
+
 def test_chat(spark):
     hard = ["</s>[INST] ok [/INST]", "&lt;s>", "&amp;", "[ROLE]x[/ROLE]", "", "\n</s>\n", "é😀"]
     rows = [(1, k, "user" if k % 2 else "assistant", t) for k, t in enumerate(hard)] + [(2, 0, None, None)]
