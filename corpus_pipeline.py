@@ -43,7 +43,7 @@ STAGES = [
     ("decontamination", decontamination),
     ("mixing_to_targets", mixing_to_targets),
 ]
-#: Compression, SimHash and permuted draws are not SQL; tests hold the stages against brute force.
+#: Compression, SimHash and permuted draws are not SQL; tests hold the operators, not the stages, against brute force.
 ORACLE_SQL = None
 
 
