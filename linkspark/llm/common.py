@@ -30,7 +30,7 @@ def save(df: DataFrame) -> tuple[DataFrame, str]:
     deletes the shuffle files behind a written table once the driver has collected its garbage, which is asked for here."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkspark/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path), path
 

@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.llm.common import crc_mod, save, slices, word_hashes
@@ -16,10 +17,22 @@ from linkspark.llm.common import crc_mod, save, slices, word_hashes
 #: The vocabulary of a public tokenizer; never trained or copied here.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: Bytes of text whose words make one dictionary block.
-BLOCK = 8_000_000
+BLOCK = 16_000_000
+#: Words whose lattices are run side by side, and the longest of them.
+SIDE, LONG = 4096, 64
 START = "▁"
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more in as few bytes each as the largest needs; the first byte says how many."""
+    kind = np.min_scalar_type(int(values.max()) if len(values) else 0)
+    return bytes([kind.itemsize]) + values.astype(kind).tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"u{raw[0]}", offset=1).astype(np.int64)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of documents: a row for each document with the numbers and counts of its words, and a row for each word
     of the block with its number and its count in training documents."""
@@ -38,7 +51,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 own, count = np.unique(number[a:b], return_counts=True)
                 if not out[d]:
                     train[own] += count
-                for c, v in zip(docs, (batch["doc_id"][d].as_py(), out[d], b - a, own.tobytes(), count.astype(np.int32).tobytes()), strict=True):
+                for c, v in zip(docs, (batch["doc_id"][d].as_py(), out[d], b - a, _packed(np.diff(own, prepend=0)), _packed(count)), strict=True):
                     c.append(v)
         k = len(docs[0])
         yield pa.RecordBatch.from_arrays([pa.array([block] * k, kinds[0]), *[pa.array(c, t) for c, t in zip(docs, kinds[1:6], strict=True)], *[pa.nulls(k, t) for t in kinds[6:]]], names)
@@ -65,11 +78,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from flush(held, text)
 
 
-def _vocabulary(path: str) -> tuple[list[str], np.ndarray]:
+def _vocabulary(file: bytes) -> tuple[list[str], np.ndarray]:
     """Pieces and their standing weights: the file's score orders the pieces, a piece of rank r weighs 1 / (r + 10)."""
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = sentencepiece.SentencePieceProcessor(model_proto=file)
     n = model.get_piece_size()
     pieces = [f"<0x{int(p[3:5], 16):02X}>" if model.is_byte(i) else p for i, p in enumerate(map(model.id_to_piece, range(n)))]
     usable = np.array([not (model.is_control(i) or model.is_unknown(i)) for i in range(n)])
@@ -80,13 +93,13 @@ def _vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return pieces, weight / weight.sum()
 
 
-def _piece_counts(path: str):
+def _piece_counts(shared):
     """Pieces of the vocabulary's own segmentation of each word, as often as the word stands in training text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
         total = np.zeros(model.get_piece_size())
         for batch in batches:
             ids = model.encode(batch["word"].to_pylist(), num_threads=1)
@@ -123,13 +136,86 @@ def word_log10(word: str, pieces: dict[str, float], longest: int) -> float:
     return (top + math.log(sum(math.exp(p - top) for p in ahead[n]))) / math.log(10)
 
 
-def _score_words(shared):
+class Lattices:
+    """The same sum as word_log10 for many words side by side: the pieces are a trie, and all words of a lot walk it
+    together from each of their characters."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.pieces, self.longest = pieces, max(map(len, pieces))
+        children: dict[tuple[int, int], int] = {}
+        self.value = [-np.inf]
+        for piece, p in pieces.items():
+            at = 0
+            for ch in piece:
+                step = (at, ord(ch))
+                if step not in children:
+                    children[step] = len(self.value)
+                    self.value.append(-np.inf)
+                at = children[step]
+            self.value[at] = p
+        self.value = np.array(self.value)
+        self.keys = np.array([at << 21 | ch for at, ch in children], np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.to = self.keys[order], np.array(list(children.values()), np.int64)[order]
+
+    def _spelled(self, ch: int) -> float:
+        """Chance of a character that is no piece, as its bytes."""
+        return -np.inf if chr(ch) in self.pieces else sum(self.pieces[f"<0x{b:02X}>"] for b in chr(ch).encode("utf-8", "surrogatepass"))
+
+    def _lot(self, words: list[str]) -> np.ndarray:
+        size = np.array([len(w) for w in words]) + 1
+        width = int(size.max())
+        chars = np.full((len(words), width), -1, np.int64)
+        flat = np.frombuffer("".join(START + w for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        chars[np.arange(width) < size[:, None]] = flat
+        kinds, inverse = np.unique(flat, return_inverse=True)
+        spelled = np.full(chars.shape, -np.inf)
+        spelled[chars >= 0] = np.array([self._spelled(c) for c in kinds.tolist()])[inverse]
+        ahead = np.full((len(words), width + 1), -np.inf)
+        ahead[:, 0] = 0.0
+        for i in range(width):
+            who = np.flatnonzero((i < size) & (ahead[:, i] > -np.inf))
+            ahead[who, i + 1] = np.logaddexp(ahead[who, i + 1], ahead[who, i] + spelled[who, i])
+            at = np.zeros(len(who), np.int64)
+            for j in range(i, min(width, i + self.longest)):
+                key = at << 21 | chars[who, j]
+                found = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                on = (self.keys[found] == key) & (chars[who, j] >= 0)
+                who, at = who[on], self.to[found[on]]
+                if not len(who):
+                    break
+                some = self.value[at] > -np.inf
+                end = who[some]
+                ahead[end, j + 1] = np.logaddexp(ahead[end, j + 1], ahead[end, i] + self.value[at[some]])
+        return ahead[np.arange(len(words)), size] / math.log(10)
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        order = sorted(range(len(words)), key=lambda k: len(words[k]))
+        for low in range(0, len(order), SIDE):
+            lot = order[low : low + SIDE]
+            short = [k for k in lot if len(words[k]) <= LONG]
+            if short:
+                out[short] = self._lot([words[k] for k in short])
+            for k in lot[len(short) :]:
+                out[k] = word_log10(words[k], self.pieces, self.longest)
+        return out
+
+
+def _score_words(shared, own: float, total: int):
+    """Chance of each word: its lattice, and the word itself as one piece of the weight `own`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        longest = max(len(p) for p in pieces)
+        lattices = Lattices(shared.value)
         for batch in batches:
-            got = pa.array([word_log10(w, pieces, longest) for w in batch["word"].to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch["seen"], batch["at"], got], ["seen", "at", "log10"])
+            words = batch["word"].dictionary_encode()
+            at = words.indices.to_numpy()
+            got = lattices.log10(words.dictionary.to_pylist())[at] + math.log10(1 - own)
+            seen = batch["seen"].to_numpy()
+            known = np.flatnonzero(seen)
+            if own and len(known):
+                got[known] = np.logaddexp(got[known] * math.log(10), np.log(own * seen[known] / total)) / math.log(10)
+            yield pa.RecordBatch.from_arrays([batch["block"], batch["number"], batch["seen"], pa.array(got)], ["block", "number", "seen", "log10"])
 
     return run
 
@@ -143,7 +229,7 @@ def _score_docs(base: float, end_base: float, end_known: int, end_score: float,
         known, simple = seen > 0, np.log10((seen + 1) / base)
         cols = [[], [], []]
         for own, count in zip(docs["words"].to_pylist(), docs["counts"].to_pylist(), strict=True):
-            i, c = np.frombuffer(own, np.int32), np.frombuffer(count, np.int32)
+            i, c = np.cumsum(_unpacked(own)), _unpacked(count)
             cols[0].append(int(c[known[i]].sum()) + end_known)
             cols[1].append(float((c * simple[i]).sum()) + end_base)
             cols[2].append(float((c * log10[i]).sum()) + end_score)
@@ -153,40 +239,49 @@ def _score_docs(base: float, end_base: float, end_known: int, end_score: float,
     return run
 
 
-def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, prior: float = 30_000.0) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, prior: float = 30_000.0, own: float = 0.5) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A text is its words (A-Z as a-z) and one end. base_score: log10 of add-one word frequencies of the training rows.
-    score: log10 of the marginal probability over every segmentation of every word into pieces of an existing
-    vocabulary. A piece's probability is its count in the training rows (under the vocabulary's own segmentation) and
-    `prior` pseudo-counts spread by the vocabulary's scores; the end is one more piece.
+    score: log10 of the marginal probability over every segmentation of every word into pieces. A piece of an existing
+    vocabulary has its count in the training rows (under the vocabulary's own segmentation) and `prior` pseudo-counts
+    spread by the vocabulary's scores; these are ranks in a BPE file, so a piece of rank r weighs 1 / (r + 10). One more
+    segmentation of a word is the word itself, with its training frequency; it has the share `own` of the weight (0:
+    pieces alone), so that what the model knows grows with the corpus. The end is one more piece.
 
     Documents are read once, in blocks of about BLOCK bytes; a block hands on each of its words once, and gets its
-    count and score back. So a word that stands in all documents is as many rows as there are blocks, and no words are
-    broadcast. Null text has no words; it has one token, the end. Repeated rows come back each; a null doc_id is a row
-    like others (held_out null counts as training and shows as false). Without training rows N and V are 0.
+    count and score back. So a word that stands in all documents is as many rows as there are blocks, which is less than
+    a task's share of all rows; no words are broadcast and no list of a word's blocks is made. Within a block words are
+    told apart by a 64-bit hash. Doc_ids are whole numbers. Null text has no words; it has one token, the end. Repeated
+    rows come back each; a null doc_id is a row like others (held_out null counts as training and shows as false).
+    Without training rows N and V are 0. The vocabulary file is read on the driver and shipped.
     """
     spark = docs.sparkSession
     held = F.coalesce(held_out, F.lit(False))
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
-    blocks, _ = save(own.mapInArrow(_blocks, "block long, doc_id long, held_out boolean, n_words long, words binary, counts binary, word string, number int, train long"))
-    words = blocks.where("word is not null").groupBy("word").agg(F.sum("train").alias("seen"), F.collect_list(F.struct("block", "number")).alias("at"))
-    words, _ = save(words)
-    tally = words.where("seen > 0").agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("held_out"))
+    blocks, _ = save(rows.mapInArrow(_blocks, "block long, doc_id long, held_out boolean, n_words long, words binary, counts binary, word string, number int, train long"))
+    word = Window.partitionBy("word").orderBy("block", "number")
+    seen = F.sum("train").over(word.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    words = blocks.where("word is not null").select("word", "block", "number", seen.alias("seen"), (F.row_number().over(word) == 1).alias("head"))
+    words, _ = save(words)  # in order of the words: a word's blocks stand together
+    first = words.where("head and seen > 0").select("word", "seen")
+    total, distinct = first.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1))).first()
     ends = blocks.where("word is null and not held_out").count()
-    train, distinct = tally[0] + ends, tally[1] + (ends > 0)
-    pieces, weight = _vocabulary(vocabulary)
+    train, distinct = total + ends, distinct + (ends > 0)
+    file = Path(vocabulary).read_bytes()
+    pieces, weight = _vocabulary(file)
     count = np.zeros(len(pieces))
-    for r in words.where("seen > 0").select("word", "seen").mapInArrow(_piece_counts(vocabulary), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
+    for r in first.mapInArrow(_piece_counts(spark.sparkContext.broadcast(file)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
         count[r["piece"]] = r["n"]  # one row for each piece of the vocabulary
     count[weight == 0] = 0
-    total = count.sum() + ends + prior + 1
-    chance = (count + prior * weight) / total
+    mass = count.sum() + ends + prior + 1
+    chance = (count + prior * weight) / mass
     model = {p: math.log(c) for p, c in zip(pieces, chance.tolist(), strict=True) if c > 0}
-    scored = words.mapInArrow(_score_words(spark.sparkContext.broadcast(model)), "seen long, at array<struct<block:long,number:int>>, log10 double")
-    scored = scored.select("seen", "log10", F.explode("at").alias("at")).select("at.block", "at.number", "seen", "log10")
+    own = own if train else 0.0
+    end = own * ends / max(train, 1) + (1 - own) * (ends + 1) / mass
+    scored = words.select("word", "block", "number", "seen").mapInArrow(_score_words(spark.sparkContext.broadcast(model), own, train), "block long, number int, seen long, log10 double")
     base = train + distinct + 1
-    give = _score_docs(base, math.log10((ends + 1) / base), int(ends > 0), math.log10((ends + 1) / total), train)
+    give = _score_docs(base, math.log10((ends + 1) / base), int(ends > 0), math.log10(end), train)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.where("word is null").select("block", "doc_id", "held_out", "n_words", "words", "counts").groupBy("block").cogroup(scored.groupBy("block")).applyInArrow(give, schema)
 
