@@ -8,7 +8,7 @@ from linkspark.llm.jaccard import OP4_SQL, op4_ngram_jaccard
 from linkspark.llm.lattice import op9_lattice_score
 from linkspark.llm.mixing import op2_mix_to_targets
 from linkspark.llm.quality import op8_quality_classifier
-from linkspark.llm.suffixes import op3_suffix_dedup
+from linkspark.llm.suffixes import OP3_SQL, op3_suffix_dedup
 from linkspark.llm.toxicity import op6_toxicity
 from linkspark.llm.urls import op10_url_filter
 from linkspark.llm.vectors import op1_embedding_near_dedup
@@ -29,4 +29,4 @@ QUERIES = {
     )
 }
 
-SQL: dict[str, str] = {"op4_ngram_jaccard": OP4_SQL, "op5_chat_format": OP5_SQL}
+SQL: dict[str, str] = {"op3_suffix_dedup": OP3_SQL, "op4_ngram_jaccard": OP4_SQL, "op5_chat_format": OP5_SQL}

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,16 +78,11 @@ def _shard(anchor: np.ndarray, shards: int) -> np.ndarray:
     return (mix(anchor ^ np.uint64(0x51ED270B)) % np.uint64(shards)).astype(np.int64)
 
 
-def _pack(block: int, shard: np.ndarray, shards: int, *columns: np.ndarray) -> list[tuple]:
-    """Rows (shard, block, bytes of each column) of what goes to each shard, in order."""
+def _dealt(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order that brings what goes to one shard together, the shards that occur, and where each begins (and the last ends)."""
     order = np.argsort(shard, kind="stable")
-    edges = np.searchsorted(shard[order], np.arange(shards + 1))
-    out = []
-    for s in range(shards):
-        if edges[s + 1] > edges[s]:
-            own = order[edges[s] : edges[s + 1]]
-            out.append((s, block, *[c[own].tobytes() for c in columns]))
-    return out
+    shards, edges = np.unique(shard[order], return_index=True)
+    return order, shards, np.append(edges, len(order))
 
 
 def _table(rows: list[tuple], names: str) -> pa.Table:
@@ -123,7 +119,31 @@ def _contents(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
+def _alike(data: np.ndarray, n: int, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """For each run the first one with the same bytes. Runs meet by a hash and are compared byte by byte. data: n bytes
+    and 96 spare ones; starts ascend."""
+    _, head, inverse = np.unique(_contents(data[:n], start, size), return_index=True, return_inverse=True)
+    one = head[inverse]
+    words = np.ndarray((len(data) - 8,), np.uint64, buffer=data.data, strides=(1,))
+    own = np.flatnonzero(one != np.arange(len(one)))
+    end = size[own] + SPAN - 9  # where the last eight bytes begin
+    same = size[own] == size[one[own]]
+    for k in range(0, RUN + SPAN - 1, 8):
+        at = np.minimum(k, end)
+        same &= words[start[own] + at] == words[start[one[own]] + at]
+    other: dict[bytes, int] = {}
+    for i in own[~same].tolist():
+        one[i] = other.setdefault(data[start[i] : start[i] + size[i] + SPAN - 1].tobytes(), i)
+    return one
+
+
+def _spare(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(96, np.uint8)])
+
+
 def _anchors(shards: int, text: str):
+    """The distinct anchors of a block for each shard, as 32 bits (a chance match only lets more runs travel)."""
+
     def run(table: pa.Table) -> pa.Table:
         block = table["linkspark_block"][0].as_py()
         table, data, ends, ids = _sorted_docs(table, text)
@@ -133,18 +153,20 @@ def _anchors(shards: int, text: str):
         low, high = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), np.iinfo(np.int64).min)
         np.minimum.at(low, inverse, owner)
         np.maximum.at(high, inverse, owner)
-        return _table(_pack(block, _shard(keys, shards), shards, keys, low < high), "shard block keys several")
+        order, some, edges = _dealt(_shard(keys, shards))
+        codes, several = keys[order].astype(np.uint32), (low < high)[order]
+        rows = [(s, block, codes[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for s, a, b in zip(some.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return _table(rows, "shard block keys several")
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
     """Which anchors of each block stand in more than one document, as bits."""
-    keys = [np.frombuffer(k, np.uint64) for k in table["keys"].to_pylist()]
-    several = np.concatenate([np.frombuffer(k, bool) for k in table["several"].to_pylist()])
-    every = np.concatenate(keys)
-    _, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
-    yes = (count[inverse] > 1) | several
+    keys = [np.frombuffer(k, np.uint32) for k in table["keys"].to_pylist()]
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)) for x, k in zip(table["several"].to_pylist(), keys, strict=True)])
+    _, inverse, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+    yes = (count[inverse] > 1) | (several > 0)
     rows, at = [], 0
     for s, b, k in zip(table["shard"].to_pylist(), table["block"].to_pylist(), keys, strict=True):
         rows.append((s, b, np.packbits(yes[at : at + len(k)]).tobytes()))
@@ -153,7 +175,7 @@ def _shared(table: pa.Table) -> pa.Table:
 
 
 def _gather(shards: int, text: str):
-    """The distinct shared runs of a block with their bytes, for the shard of their anchor."""
+    """The distinct shared runs of a block with their bytes, for the shard of their anchor; packed for the way."""
 
     def run(docs: pa.Table, bits: pa.Table) -> pa.Table:
         if not docs.num_rows or not bits.num_rows:
@@ -163,17 +185,19 @@ def _gather(shards: int, text: str):
         start, size, anchor, doc = _runs(data, ends)
         keys, inverse = np.unique(anchor, return_inverse=True)
         shard, yes = _shard(keys, shards), np.zeros(len(keys), bool)
-        for s, raw in zip(bits["shard"].to_pylist(), bits["bits"].to_pylist(), strict=True):
-            own = np.flatnonzero(shard == s)
-            yes[own] = np.unpackbits(np.frombuffer(raw, np.uint8), count=len(own)).astype(bool)
+        order, some, edges = _dealt(shard)
+        at = np.searchsorted(some, bits["shard"].to_numpy())
+        for a, b, raw in zip(edges[at].tolist(), edges[at + 1].tolist(), bits["bits"].to_pylist(), strict=True):
+            yes[order[a:b]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
         raw, some = data.tobytes(), np.flatnonzero(yes[inverse])
-        first = some[np.unique(_contents(data, start[some], size[some]), return_index=True)[1]]
-        where = shard[inverse[first]]
-        rows = []
-        for s in np.unique(where).tolist():
-            own = first[where == s]
+        first = some[np.unique(_alike(_spare(data), len(data), start[some], size[some]))]
+        order, some, edges = _dealt(shard[inverse[first]])
+        first = first[order]
+        rows, packer = [], zstandard.ZstdCompressor(level=1)
+        for s, a, b in zip(some.tolist(), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            own = first[a:b]
             texts = b"\0".join(raw[a : a + n + SPAN - 1] for a, n in zip(start[own].tolist(), size[own].tolist(), strict=True))
-            rows.append((s, block, own.astype(np.int32).tobytes(), size[own].astype(np.uint8).tobytes(), ids[doc[own]].tobytes(), texts))
+            rows.append((s, block, own.astype(np.int32).tobytes(), size[own].astype(np.uint8).tobytes(), ids[doc[own]].tobytes(), packer.compress(texts)))
         return _table(rows, "shard block numbers sizes owners texts")
 
     return run
@@ -183,23 +207,24 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix-sort one shard; for each run of each block the windows that start in an earlier document too, as a mask.
     Texts are in files; numbers of each run are in memory."""
     shards, blocks, numbers, sizes, owners = [], [], [], [], []
-    file = tempfile.TemporaryFile()
+    file, unpacker = tempfile.TemporaryFile(), zstandard.ZstdDecompressor()
     for batch in batches:
         for c, name in ((shards, "shard"), (blocks, "block"), (numbers, "numbers")):
             c += batch[name].to_pylist()
         sizes += [np.frombuffer(x, np.uint8) for x in batch["sizes"].to_pylist()]
         owners += [np.frombuffer(x, np.int64) for x in batch["owners"].to_pylist()]
         for x in batch["texts"]:
-            file.write(x.as_buffer())
+            file.write(unpacker.decompress(x.as_py()))
             file.write(b"\0")
+    file.write(bytes(96))
     file.flush()
     counts = [len(x) for x in sizes]
     size, owner = np.concatenate(sizes).astype(np.int64), np.concatenate(owners)
     joined = mmap.mmap(file.fileno(), 0)
     # runs that several blocks hold alike are sorted once, for the earliest document; the others follow it
-    data = np.frombuffer(joined, np.uint8)[:-1]
+    data = np.frombuffer(joined, np.uint8)
     begin = np.cumsum(size + SPAN) - (size + SPAN)
-    key = _contents(data, begin, size)
+    key = _alike(data, len(data) - 96, begin, size)
     order = np.lexsort((owner, key))
     key = key[order]
     fresh = np.ones(len(key), bool)
@@ -265,8 +290,7 @@ def _cut(names: list[str], text: str, with_text: bool):
             mask[numbers] = np.frombuffer(m, np.uint32)
         some = np.flatnonzero(np.isin(anchor, anchor[np.concatenate(first)])) if first else np.zeros(0, np.int64)
         start, size, doc, mask = start[some], size[some], doc[some], mask[some]
-        _, head, inverse = np.unique(_contents(data, start, size), return_index=True, return_inverse=True)
-        which = head[inverse]
+        which = _alike(_spare(data), len(data), start, size)
         mask = np.where(ids[doc[which]] < ids[doc], np.uint32(0xFFFFFFFF), mask[which])
         step = np.zeros(len(data) + 1, np.int32)
         for k in range(RUN):
@@ -309,9 +333,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = True)
     once, so a passage that all documents hold is a run for each block. Blocks and shards are as many as keep them at
     about BYTES bytes of the texts, dealt by a hash, whatever their sources; a block holds its texts in memory, one text
     at least. A shard that comes out larger has its text, queues and sorted order in files, and in memory the numbers
-    of its runs.
+    of its runs. Runs meet by hashes and count as equal only if their bytes are.
 
-    Rows with a null doc_id stand behind all others: they lose what those hold and give nothing. Rows of one doc_id do
+    Doc_ids are whole numbers. Rows with a null doc_id stand behind all others: they lose what those hold and give nothing. Rows of one doc_id do
     not cut each other. Texts of fewer than SPAN bytes stay whole. Other columns stay as they are; no rows give no rows.
     """
     blocks = shards = _parts(docs, text)
@@ -342,3 +366,20 @@ def op3_suffix_dedup(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = remove_repeats(docs, with_text=False)
     return out.select("doc_id", *[F.col(f"linkspark_{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256")])
+
+
+OP3_SQL = r"""
+with d as (select doc_id, encode(coalesce(text, '')) as raw, cast(octet_length(encode(coalesce(text, ''))) as bigint) as n from documents),
+places as (select doc_id, raw, unnest(range(0, n - 49)) as i from d),
+w as (select doc_id, i, array_slice(raw, i + 1, i + 50) as s from places),
+f as (select s, min(doc_id) as earliest from w group by s),
+hit as (select w.doc_id, w.i from w join f on f.s = w.s where w.doc_id > f.earliest),
+mark as (select doc_id, i, case when i > lag(i) over (partition by doc_id order by i) + 50 then 1 else 0 end as fresh from hit),
+run as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as k from mark),
+span as (select doc_id, min(i) as a, max(i) + 50 as b from run group by doc_id, k),
+gap as (select doc_id, coalesce(lag(b) over (partition by doc_id order by a), 0) as a, a as b from span
+  union all select d.doc_id, coalesce(max(span.b), 0), d.n from d left join span on span.doc_id = d.doc_id group by d.doc_id, d.n),
+kept as (select gap.doc_id, string_agg(hex(array_slice(d.raw, gap.a + 1, gap.b)), '' order by gap.a) as h from gap join d on d.doc_id = gap.doc_id group by gap.doc_id),
+gone as (select doc_id, cast(sum(b - a) as bigint) as removed, count(*) as spans from span group by doc_id)
+select d.doc_id, d.n as n_bytes, coalesce(gone.removed, 0) as n_removed, coalesce(gone.spans, 0) as n_spans, sha256(unhex(kept.h)) as kept_sha256
+from d join kept on kept.doc_id = d.doc_id left join gone on gone.doc_id = d.doc_id"""
