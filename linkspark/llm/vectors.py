@@ -10,13 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import save
+from linkspark.llm.common import drop, save
 from linkspark.llm.components import components, local_roots
 
-#: Dimensions of a block, and points of a cell on each side of one task's comparison.
+#: Dimensions of a block, and points of a cell on each side of one comparison.
 WIDTH = 8
 CHUNK = 2048
-PAIRS = 50_000
+#: Pairs that are looked at together: by a block's rounded numbers, and by whole vectors.
+ROUGH, PAIRS = 500_000, 50_000
+#: Steps to the unit of a block's rounded numbers, where a block has one unit of squared length on the mean.
+STEPS = 16_384
 
 
 def rotate(x: np.ndarray, seed: int = 5) -> np.ndarray:
@@ -39,8 +42,14 @@ def rotate(x: np.ndarray, seed: int = 5) -> np.ndarray:
     return y
 
 
-def _unit(vectors: list) -> np.ndarray:
-    x = np.array(vectors, np.float64)
+def _matrix(column: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return pc.list_flatten(column).to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -49,17 +58,18 @@ def _budget(least: float, width: int, n: int) -> float:
     return (2 - 2 * least) * width / n * (1 + 1e-9) + 1e-12
 
 
-def _gaps(x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
-    """Squared distance in a block, row by row, added in a fixed order."""
-    out = np.zeros(len(x))
-    for k in range(block * WIDTH, (block + 1) * WIDTH):
-        d = x[:, k] - y[:, k]
-        out += d * d
+def _gaps(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared distance in each block, row by row, added in a fixed order."""
+    d = (x - y).reshape(len(x), -1, WIDTH)
+    out = d[:, :, 0] * d[:, :, 0]
+    for k in range(1, WIDTH):
+        out += d[:, :, k] * d[:, :, k]
     return out
 
 
 def _spread(least: float, grid: int):
-    """For each vector and block: the home cell, and a probe for every cell that the block's ball touches."""
+    """For each vector and block: the home cell, and a probe for every cell that the block's ball touches, with the
+    block's numbers in 16 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,17 +78,18 @@ def _spread(least: float, grid: int):
                 dims = pc.list_value_length(part["embedding"]).to_numpy(zero_copy_only=False)
                 for d in np.unique(dims):
                     some = part.filter(pa.array(dims == d))
-                    x = _unit(some["embedding"].to_pylist())
-                    y = rotate(x)
-                    n = y.shape[1]
+                    y = rotate(_unit(_matrix(some["embedding"], d)))
+                    n, label = y.shape[1], some["label"].to_numpy().view(np.uint64)
                     radius = np.sqrt(_budget(least, WIDTH, n))
                     side = 2.5 * radius
-                    rows, cells, home = [], [], []
+                    short = np.clip(np.rint(y * (np.sqrt(n / WIDTH) * STEPS)), -32_767, 32_767).astype(np.int16)  # clipping brings no two farther apart
+                    rows, cells, home, numbers = [], [], [], []
                     for block in range(n // WIDTH):
+                        own = slice(block * WIDTH, (block + 1) * WIDTH)
                         z = y[:, block * WIDTH : block * WIDTH + grid]
                         cell = np.floor(z / side).astype(np.int64)
                         low, high = z / side - cell, 1 - (z / side - cell)
-                        reach = [(np.zeros(grid, np.int64), np.arange(len(x)), np.zeros(len(x)))]
+                        reach = [(np.zeros(grid, np.int64), np.arange(len(y)), np.zeros(len(y)))]
                         for g in range(grid):  # cells one step away, as long as the ball comes there
                             more = []
                             for step, who, gap in reach:
@@ -93,70 +104,131 @@ def _spread(least: float, grid: int):
                             reach = more
                         for step, who, _ in reach:
                             rows.append(who)
-                            cells.append(_cell_id(cell[who] + step, block, int(d)))
+                            cells.append(_cell_id(cell[who] + step, block, int(d), label[who]))
                             home.append(np.full(len(who), not step.any()))
-                    who = np.concatenate(rows)
-                    yield pa.RecordBatch.from_arrays(
-                        [some["id"].take(pa.array(who)), some["label"].take(pa.array(who)), some["copies"].take(pa.array(who)), some["embedding"].take(pa.array(who)), pa.array(np.concatenate(cells)), pa.array(np.concatenate(home))],
-                        ["id", "label", "copies", "embedding", "cell", "home"],
-                    )
+                            numbers.append(short[who, own])
+                    who = pa.array(np.concatenate(rows))
+                    z = pa.Array.from_buffers(pa.binary(), len(who), [None, pa.py_buffer(np.arange(0, 2 * WIDTH * (len(who) + 1), 2 * WIDTH, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(np.concatenate(numbers)))])
+                    yield pa.RecordBatch.from_arrays([some["id"].take(who), some["class"].take(who), pa.array(np.concatenate(cells)), pa.array(np.concatenate(home)), z], ["id", "class", "cell", "home", "z"])
 
     return run
 
 
-def _cell_id(cell: np.ndarray, block: int, dims: int) -> np.ndarray:
-    """A long for a cell: its block in the low byte, a hash of block, place and vector length above."""
-    h = np.full(len(cell), dims * 1_000_003 + block, np.uint64)
+def _cell_id(cell: np.ndarray, block: int, dims: int, label: np.ndarray) -> np.ndarray:
+    """A long for a cell: its block in the low byte, a hash of block, place, vector length and label above."""
+    h = label ^ np.uint64(dims * 1_000_003 + block)
     for g in range(cell.shape[1]):
         h = (h ^ cell[:, g].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
     return ((h << np.uint64(8)) | np.uint64(block)).view(np.int64)
 
 
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups, and where each group begins. Rows come in order of the columns `by`; a group is bounded."""
+    held: list[pa.RecordBatch] = []
+
+    def whole(rows: list[pa.RecordBatch], last: bool):
+        table = pa.Table.from_batches(rows).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for c in by:
+            v = table[c].to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        begin = np.flatnonzero(new)
+        if last:
+            return table, begin, []
+        return table.slice(0, begin[-1]), begin[:-1], table.slice(begin[-1]).to_batches()
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 4 * CHUNK:
+                table, begin, held = whole(held, False)
+                if len(begin):
+                    yield table, begin
+    if held:
+        table, begin, _ = whole(held, True)
+        yield table, begin
+
+
+def _pairs(table: pa.Table, begin: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (near, far) of each group that meet, the smaller id first, about `most` pairs at once."""
+    ids = table["id"].to_numpy()
+    group = np.zeros(table.num_rows, np.int64)
+    group[begin[1:]] = 1
+    group = np.cumsum(group)
+    near, far = np.flatnonzero(table["near"].to_numpy() == 1), np.flatnonzero(table["far"].to_numpy() == 1)
+    first = np.searchsorted(group[far], np.arange(len(begin) + 1))
+    n = np.diff(first)[group[near]]
+    upto = np.cumsum(n)
+    low = 0
+    while low < len(near):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + most, "right")))
+        k = n[low:high]
+        u = np.repeat(near[low:high], k)
+        v = far[np.repeat(first[group[near[low:high]]], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)]
+        ok = ids[u] < ids[v]
+        yield u[ok], v[ok]
+        low = high
+
+
+def _close(least: float):
+    """The rows of each group that are within the budget of another by their block's rounded numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _groups(batches, ("cell", "i", "j")):
+            z = np.frombuffer(table["z"].combine_chunks().cast(pa.large_binary()).buffers()[2], np.int16)
+            offset = table["z"].combine_chunks().offset
+            z = z[offset * WIDTH : (offset + table.num_rows) * WIDTH].reshape(-1, WIDTH).astype(np.int32)
+            budget, error = _budget(least, 1, 1), 1 / STEPS  # error of a difference of two rounded numbers
+            limit = (budget + 2 * np.sqrt(budget * WIDTH) * error + WIDTH * error * error) * STEPS * STEPS
+            mark = np.zeros(table.num_rows, bool)
+            for u, v in _pairs(table, begin, ROUGH):
+                d = z[u] - z[v]
+                ok = (d * d).sum(1) <= limit
+                mark[u[ok]] = mark[v[ok]] = True
+            yield from table.select(["id", "class", "cell", "i", "j", "near", "far"]).filter(pa.array(mark)).to_batches()
+
+    return run
+
+
 def _meet(least: float):
-    """One side of a cell against the other: for each vector its links found here and the smallest vector linked."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_numpy()
-        is_home = table["home"].to_numpy(zero_copy_only=False).astype(bool)
-        block = int(table["cell"][0].as_py()) & 255
-        copies = table["copies"].to_numpy()
-        near, far = np.flatnonzero(is_home & (table["near"].to_numpy() == 1)), np.flatnonzero(table["far"].to_numpy() == 1)
-        if not len(near) or not len(far):
-            return table.slice(0, 0).select([]).append_column("id", pa.array([], pa.int64())).append_column("links", pa.array([], pa.int64())).append_column("root", pa.array([], pa.int64()))
-        x = _unit(table["embedding"].combine_chunks().to_pylist())
-        y = rotate(x)
-        budget = _budget(least, WIDTH, y.shape[1])
-        own = slice(block * WIDTH, (block + 1) * WIDTH)
-        links, ends_a, ends_b = np.zeros(len(ids), np.int64), [], []
-        step = max(1, 4_000_000 // max(1, len(far)))
-        for at in range(0, len(near), step):
-            a = near[at : at + step]
-            p, q = y[a, own], y[far, own]
-            gap = (p * p).sum(1)[:, None] + (q * q).sum(1)[None, :] - 2 * p @ q.T
-            i, j = np.nonzero((gap <= budget * 1.0001 + 1e-9) & (ids[a][:, None] < ids[far][None, :]))
-            for k in range(0, len(i), PAIRS):
-                u, v = a[i[k : k + PAIRS]], far[j[k : k + PAIRS]]
-                inside = _gaps(y[u], y[v], block) <= budget
-                u, v = u[inside], v[inside]
-                for earlier in range(block):  # a pair counts in the first block that finds it
-                    late = _gaps(y[u], y[v], earlier) > budget
-                    u, v = u[late], v[late]
-                same = (x[u] * x[v]).sum(1) >= least
-                u, v = u[same], v[same]
-                links += np.bincount(u, copies[v], len(ids)).astype(np.int64) + np.bincount(v, copies[u], len(ids)).astype(np.int64)
-                root = local_roots(len(ids), u, v)
-                some = np.flatnonzero(root != np.arange(len(ids)))
-                ends_a.append(some)
-                ends_b.append(root[some])
-        order = np.argsort(ids, kind="stable")
-        place = np.empty(len(ids), np.int64)
-        place[order] = np.arange(len(ids))
-        root = np.arange(len(ids))
-        if ends_a:
-            root = local_roots(len(ids), place[np.concatenate(ends_a)], place[np.concatenate(ends_b)])
-        found = np.flatnonzero(links)
-        return pa.table({"id": ids[found], "links": links[found], "root": ids[order][root[place[found]]]})
+    """For each vector of a group its links found there and the smallest vector linked; on whole vectors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole, _ in _groups(batches, ("label", "cell", "i", "j")):
+            dims = pc.list_value_length(whole["embedding"]).to_numpy()
+            for d in np.unique(dims):
+                table = whole.filter(pa.array(dims == d)).combine_chunks()
+                new = np.zeros(table.num_rows, bool)
+                new[:1] = True
+                for c in ("label", "cell", "i", "j"):
+                    v = table[c].to_numpy()
+                    new[1:] |= v[1:] != v[:-1]
+                x = _unit(_matrix(table["embedding"].combine_chunks(), d))
+                y = rotate(x)
+                budget, block = _budget(least, WIDTH, y.shape[1]), table["cell"].to_numpy() & 255
+                ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+                links, ends = np.zeros(len(ids), np.int64), [[], []]
+                for u, v in _pairs(table, np.flatnonzero(new), PAIRS):
+                    inside = _gaps(y[u], y[v]) <= budget
+                    ok = np.flatnonzero(inside[np.arange(len(u)), block[u]] & (inside.argmax(1) == block[u]))  # a pair counts in the first block that finds it
+                    u, v = u[ok], v[ok]
+                    same = (x[u] * x[v]).sum(1) >= least
+                    u, v = u[same], v[same]
+                    links += np.bincount(u, copies[v], len(ids)).astype(np.int64) + np.bincount(v, copies[u], len(ids)).astype(np.int64)
+                    root = local_roots(len(ids), u, v)
+                    some = np.flatnonzero(root != np.arange(len(ids)))
+                    ends[0].append(some)
+                    ends[1].append(root[some])
+                if not links.any():
+                    continue
+                order = np.argsort(ids, kind="stable")
+                place = np.empty(len(ids), np.int64)
+                place[order] = np.arange(len(ids))
+                root = local_roots(len(ids), place[np.concatenate(ends[0])], place[np.concatenate(ends[1])])
+                found = np.flatnonzero(links)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[found]), pa.array(links[found]), pa.array(ids[order][root[place[found]]])], ["id", "links", "root"])
 
     return run
 
@@ -170,12 +242,15 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, by: str | None =
     on its first dimensions: a vector stands in its home cell and is sent to each cell that the block's ball touches. A
     pair is verified on the whole vectors, once: in the first block whose budget it meets.
 
-    Equal vectors of a label are one class and count as linked with each other; links are counted with class sizes and
-    never listed, and a task hands on a spanning forest only. A crowded cell is cut into chunks of 2,048 vectors that
-    meet chunk by chunk. More grid dimensions are taken where there are more vectors to a label (grid=None), so that
-    cells stay near one chunk where the data spread. Null labels, null, empty or zero vectors, and vectors with null or
-    non-finite components link with nothing; so do vectors of different lengths. Rows that repeat a vec_id are one
-    vector with each of its embeddings; it comes back once for each row. A null vec_id is kept, unlinked.
+    Probes carry the block's numbers alone, rounded to 16 bits, and tell which vectors of a cell come within the budget
+    of another, with room for the rounding; whole vectors travel for those only. Equal vectors of a label are one class
+    and count as linked with each other; links are counted with class sizes and never listed, and a task hands on a
+    spanning forest only. A crowded cell is cut into chunks of 2,048 vectors that meet chunk by chunk. The grid takes 2
+    of a block's dimensions up to 18,432 vectors to a label, one more for every three times as many, 8 at most
+    (grid=None), so that cells stay near one chunk where the data spread; results are the same on any grid. Null
+    labels, null, empty or zero vectors, and vectors with null or non-finite components link with nothing; so do vectors
+    of different lengths. Rows that repeat a vec_id are one vector with each of its embeddings; it comes back once for
+    each row. Vec_ids are whole numbers; a null one is kept, unlinked.
     """
     spark = embeddings.sparkSession
     label = F.lit(0) if by is None else F.col(by)
@@ -186,26 +261,33 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.98, by: str | None =
     tidy = F.transform("embedding", lambda v: F.when(v == 0, F.lit(0).cast(_element(embeddings))).otherwise(v))
     own = own.withColumn("class", F.when(F.col("sound"), F.sha2(F.concat_ws(",", "label", F.array_join(F.transform(tidy, lambda v: v.cast("string")), ",")), 256)))
     members, _ = save(own.select("vec_id", "label", "class", F.when(F.col("sound"), F.col("embedding")).alias("embedding")))
-    classes, _ = save(members.where("class is not null").groupBy("class", "label").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")))
+    classes = members.where("class is not null").groupBy("class", "label").agg(F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding"))
+    classes, _ = save(classes)
     if grid is None:
         most = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 1
         grid = int(np.clip(np.ceil(np.log(max(most, 1) / CHUNK) / np.log(3)), 2, WIDTH))
-    kind = dict(classes.dtypes)["embedding"]
-    # nodes are numbered by their class's smallest id; several classes may hold one vec_id
-    spread = classes.select("id", "label", "copies", "embedding").mapInArrow(_spread(least, grid), f"id long, label string, copies long, embedding {kind}, cell long, home boolean")
-    spread, _ = save(spread)
-    crowd = spread.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
-    crowd = crowd.withColumn("chunks", F.ceil(F.col("n") / CHUNK).cast("int"))
-    met = spread.join(crowd.select("label", "cell", "chunks"), ["label", "cell"])
-    mine = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    # nodes are numbered by their class's smallest id; several classes may hold one vec_id, so probes name both
+    short = F.conv(F.substring("class", 1, 15), 16, 10).cast("long")
+    named = classes.withColumn("class", short)
+    spread = named.select("id", "class", F.xxhash64("label").alias("label"), "embedding").mapInArrow(_spread(least, grid), "id long, class long, cell long, home boolean, z binary")
+    spread, probes = save(spread)
+    crowd = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes")).where("n > 1 and homes > 0")
+    crowd = crowd.select("cell", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    met = spread.join(crowd, "cell")
+    mine = F.pmod(F.xxhash64("id", "class"), F.col("chunks")).cast("int")
     every = F.sequence(F.lit(0), F.col("chunks") - 1)
     # a home row meets every chunk of probes; each row is also a probe of its own chunk, against every chunk of homes
     as_home = F.when(F.col("home"), F.transform(every, lambda c: F.struct(mine.alias("i"), c.alias("j"), F.lit(1).alias("near"), F.lit(0).alias("far"))))
     as_probe = F.transform(every, lambda c: F.struct(c.alias("i"), mine.alias("j"), F.lit(0).alias("near"), F.lit(1).alias("far")))
     none = F.array().cast("array<struct<i:int,j:int,near:int,far:int>>")
     roles = F.explode(F.when(F.col("chunks") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("home").cast("int").alias("near"), F.lit(1).alias("far")))).otherwise(F.concat(F.coalesce(as_home, none), as_probe)))
-    met = met.select("id", "label", "copies", "embedding", "cell", "home", roles.alias("r")).select("id", "label", "copies", "embedding", "cell", "home", "r.*")
-    found = met.groupBy("label", "cell", "i", "j").applyInArrow(_meet(least), "id long, links long, root long")
+    met = met.select("id", "class", "cell", "z", roles.alias("r")).select("id", "class", "cell", "z", "r.*")
+    close = met.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(_close(least), "id long, class long, cell long, i int, j int, near int, far int")
+    close, _ = save(close)
+    drop(spark, probes)
+    met = close.join(named.select("id", "class", F.xxhash64("label").alias("label"), "copies", "embedding"), ["id", "class"])
+    met = met.select("id", "label", "cell", "i", "j", "near", "far", "copies", "embedding").repartition("label", "cell", "i", "j").sortWithinPartitions("label", "cell", "i", "j")
+    found = met.mapInArrow(_meet(least), "id long, links long, root long")
     found, _ = save(found.groupBy("id", "root").agg(F.sum("links").alias("links")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     # one vec_id in several classes joins them
