@@ -34,15 +34,23 @@ def _sets(batches, column: str, n: int) -> Iterator[tuple[pa.RecordBatch, list[n
         yield batch, [np.unique(s) for s in shingle_hashes(words, firsts, n)]
 
 
-def _node(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def _node(shingles: np.ndarray) -> bytes:
+    """128-bit hash of a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def _repeated(nodes: list[bytes], counts: list[int]) -> pa.Array:
+    """Each node as often as its count says."""
+    data = np.repeat(np.frombuffer(b"".join(nodes), np.uint8).reshape(-1, 16), counts, axis=0)
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * (len(data) + 1), 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
 def _digest(n: int):
     """Size and hash of each document's set; and, with how many documents of a stretch hold them, its frequent shingles."""
 
     def out(ids, sizes, nodes, tokens, seen) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, nodes, tokens, seen), (pa.int64(),) * 5, strict=True)], ["doc_id", "n_shingles", "node", "token", "seen"])
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((ids, sizes, nodes, tokens, seen), kinds, strict=True)], ["doc_id", "n_shingles", "node", "token", "seen"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total, docs = [], 0, 0
@@ -52,7 +60,7 @@ def _digest(n: int):
             often = seen >= max(4, docs // 2048)
             k = int(often.sum())
             none = pa.nulls(k, pa.int64())
-            return out(none, none, none, tokens[often].view(np.int64), seen[often].astype(np.int64))
+            return out(none, none, [None] * k, tokens[often].view(np.int64), seen[often].astype(np.int64))
 
         for batch, sets in _sets(batches, "text", n):
             none = pa.nulls(len(sets), pa.int64())
@@ -79,9 +87,9 @@ def _prefixes(n: int, percent: int, heavy):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, seen = heavy.value
-        done: set[int] = set()
+        done: set[bytes] = set()
         for _, sets in _sets(batches, "text", n):
-            cols = [[], [], [], [], [], []]
+            cols, nodes, lengths = [[], [], [], [], []], [], []
             for s in sets:
                 if not len(s) or (node := _node(s)) in done:
                     continue
@@ -100,14 +108,16 @@ def _prefixes(n: int, percent: int, heavy):
                 asked = np.arange(1, most + 1)
                 matches = int(np.argmin(spare + asked + cost + VERIFY * cost / asked)) + 1
                 k = spare + matches
+                nodes.append(node)
+                lengths.append(k)
                 cols[0].append(s[:k].view(np.int64))
-                cols[1].append(np.where(count[:k] > 0, node % SALTS + 1, 0).astype(np.int32))
-                cols[2].append(np.full(k, node))
-                cols[3].append(np.full(k, len(s), np.int32))
-                cols[4].append(np.full(k, matches, np.int32))
-                cols[5].append(np.full(k, count.sum() // len(s)))
-            if cols[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], ["token", "salt", "node", "n", "matches", "central"])
+                cols[1].append(np.where(count[:k] > 0, node[0] % SALTS + 1, 0).astype(np.int32))
+                cols[2].append(np.full(k, len(s), np.int32))
+                cols[3].append(np.full(k, matches, np.int32))
+                cols[4].append(np.full(k, count.sum() // len(s)))
+            if nodes:
+                token, salt, size, asked, central = (pa.array(np.concatenate(c)) for c in cols)
+                yield pa.RecordBatch.from_arrays([token, salt, _repeated(nodes, lengths), size, asked, central], ["token", "salt", "node", "n", "matches", "central"])
 
     return run
 
@@ -148,10 +158,10 @@ def _links(pairs: DataFrame, reps: DataFrame, own: DataFrame, n: int, percent: i
     skewed join, which Spark splits; no pair stands with another."""
     pairs, old = save(pairs.select("pivot", "node"))
     asked = pairs.select("node").union(pairs.select("pivot")).distinct().join(reps, "node")
-    texts, gone = save(own.join(asked, "doc_id").mapInArrow(_texts(n), "node long, text string").dropDuplicates(["node"]))
+    texts, gone = save(own.join(asked, "doc_id").mapInArrow(_texts(n), "node binary, text string").dropDuplicates(["node"]))
     pivots = texts.select(F.col("node").alias("pivot"), F.col("text").alias("pivot_text"))
     both = pairs.join(texts, "node").join(pivots, "pivot").select("pivot", "node", "pivot_text", "text")
-    found, _ = save(both.mapInArrow(_verify(n, percent), "a long, b long"))
+    found, _ = save(both.mapInArrow(_verify(n, percent), "a binary, b binary"))
     drop(pairs.sparkSession, old)
     drop(pairs.sparkSession, gone)
     return found
@@ -169,10 +179,16 @@ def _may_link(shared, x: str, y: str, percent: int):
     return (shared >= F.least(i, j)) & (shared + F.greatest(*behind) >= overlap) & (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
-def _relabel(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """rows with the component of each node."""
-    parts = components(links).withColumnRenamed("id", "node")
-    return rows.drop("component").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+def _relabel(rows: DataFrame, links: DataFrame, reps: DataFrame) -> DataFrame:
+    """rows with the component of each node: the smallest document that links reach."""
+    parts, _ = save(components(_numbered(links, reps)).join(reps.withColumnRenamed("doc_id", "id"), "id").select("node", F.col("component").alias("part")))
+    return rows.join(parts, "node", "left").withColumn("component", F.coalesce("part", "component")).drop("part")
+
+
+def _numbered(links: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes as links between their smallest documents."""
+    ends = lambda c: reps.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id"))
+    return links.join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def _crossing(rows: DataFrame, turn: int) -> DataFrame:
@@ -220,9 +236,10 @@ def _best(rows: DataFrame, percent: int, tries: int = 4) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries).select("node", F.col("to").alias("pivot"))
 
 
-def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: a row for each row of docs (doc_id, n_shingles, node), node being the hash of its
-    shingle set (null for none). links: (a, b), links between nodes that join all nodes which similar pairs join.
+def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, nodes, links). members: a row for each row of docs (doc_id, n_shingles, node), node being the hash of its
+    shingle set (null for none). nodes: each with its smallest document. links: (a, b), links between nodes that join all
+    nodes which similar pairs join.
 
     Two sets link when 100 * shared >= percent * union. Shingles stand in one global order: those that many documents
     hold (counted over all documents, HEAVY at most) last. Sets that link share at least m of the first
@@ -236,25 +253,25 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest, _ = save(own.mapInArrow(_digest(n), "doc_id long, n_shingles long, node long, token long, seen long"))
+    digest, _ = save(own.mapInArrow(_digest(n), "doc_id long, n_shingles long, node binary, token long, seen long"))
     members = digest.where("seen is null").select("doc_id", "n_shingles", "node")
     heavy = digest.where("seen is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HEAVY).toPandas()
     tokens = heavy["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
     shared = spark.sparkContext.broadcast((tokens[order], heavy["seen"].to_numpy(np.int64)[order]))
-    rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node long, n int, matches int, central long")
+    rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node binary, n int, matches int, central long")
     here = Window.partitionBy("token", "salt")
     rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("salt > 0 or low < high")
     rows, _ = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
-    reps = members.groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    rows = rows.withColumn("component", F.col("node"))
+    reps, _ = save(members.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    rows = rows.join(reps, "node").withColumnRenamed("doc_id", "component")
     links = None
     for turn in range(turns):
         found = _links(_best(_crossing(rows, turn), percent), reps, own, n, percent)
         links = found if links is None else links.unionByName(found)
-        rows, _ = save(_crossing(_relabel(rows, links), turn).drop("ends"))
+        rows, _ = save(_crossing(_relabel(rows, links, reps), turn).drop("ends"))
     last = _links(_meeting(rows, percent).where(_may_link(F.col("shared"), "x", "y", percent)), reps, own, n, percent)
-    return members, links.unionByName(last)
+    return members, reps, links.unionByName(last)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame:
@@ -263,17 +280,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75) -> DataFrame
 
     A-Z count as a-z; words are runs of other than blanks and the controls 9 to 13. A text of fewer than n words has
     its whole sequence as one shingle; null and empty texts have none and link with nothing. Shingles are compared by
-    64-bit hashes. Rows that repeat a doc_id share components through it and come back as often as they came; of rows
-    with one doc_id and a null one nothing is dropped. An empty table gives no rows; other columns are left out.
+    64-bit hashes, whole sets by 128-bit ones. Doc_ids are whole numbers. Rows that repeat a doc_id are one document with
+    several sets: its components are one; the rows come back as often as they came. Rows with a null doc_id link with
+    nothing and have a null component. An empty table gives no rows; other columns are left out.
     """
-    members, links = jaccard_links(docs, n, percent)
-    parts = components(links).withColumnRenamed("id", "node")
-    named = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first")).join(parts, "node", "left")
-    named = named.withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("node", "component_id")
-    out = members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    members, nodes, links = jaccard_links(docs, n, percent)
+    # sets that one document holds belong together; each node is named by its smallest document
+    repeated = members.groupBy("doc_id").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("doc_id is not null and x <> y").select("doc_id")
+    held = members.join(repeated, "doc_id", "left_semi").join(nodes.withColumnRenamed("doc_id", "first"), "node").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    parts = components(_numbered(links, nodes).unionByName(held))
+    named, _ = save(nodes.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component_id")))
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = members.join(named, "node", "left").select("doc_id", "n_shingles", own.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
 def op4_ngram_jaccard(spark, sf_dir):

@@ -226,6 +226,6 @@ def test_components(spark):
     from linkspark.llm.components import components
 
     links = spark.createDataFrame([(i, i + 1) for i in range(40) if i % 7] + [(5, 5), (3, 2), (None, 4)], "a long, b long")
-    both = [sorted(map(tuple, components(links, small=n).collect())) for n in (0, 1000)]
+    both = [sorted(map(tuple, components(links, few=n).collect())) for n in (0, 1000)]
     assert both[0] == both[1] and dict(both[0])[6] == 1 and dict(both[0])[7] == 1 and dict(both[0])[14] == 8
     assert components(links.limit(0)).count() == 0
