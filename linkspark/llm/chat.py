@@ -82,15 +82,17 @@ def typed_turns(df: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
 
 def json_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     """Canonical turns of a JSON record; each row has a layout of its own. The field paths of the row's variant schema
-    are hashed; null where the text is not JSON or no layout has that fingerprint (such rows can be told and kept)."""
+    are hashed, those of all elements of a list together; an empty list has no turns. A turn without a role or text has
+    an empty one. Null where the text is not JSON or no layout has that fingerprint (such rows can be told and kept)."""
     value = F.try_parse_json(record)
     known = sorted({p.split("[]")[0] for x in layouts for p in x.paths})
     parts = []
     for name in known:
         here = F.try_variant_get(value, f"$.{name}", "variant")
         inner = sorted({p.split("[].")[1] for x in layouts for p in x.paths if p.startswith(name + "[].")})
-        first = [F.when(F.try_variant_get(value, f"$.{name}[0].{i}", "variant").isNotNull(), f"{name}[].{i}") for i in inner]
-        parts += [F.when(here.isNotNull(), name), *first]
+        elements = F.try_variant_get(value, f"$.{name}", "array<variant>")
+        each = [F.when(F.exists(elements, _has(i)) | (F.size(elements) == 0), f"{name}[].{i}") for i in inner]
+        parts += [F.when(here.isNotNull(), name), *each]
     paths = F.array_sort(F.array_compact(F.array(*parts)))
     shape = F.crc32(F.array_join(paths, "\n"))
     out = F.lit(None).cast(f"array<{TURN}>")
@@ -103,6 +105,10 @@ def json_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
     return _canonical(out)
 
 
+def _has(field: str):
+    return lambda m: F.try_variant_get(m, f"$.{field}", "variant").isNotNull()
+
+
 def _messages(value: Column, path: str, role: str, text: str) -> Column:
     def turn(m: Column) -> Column:
         return F.struct(F.try_variant_get(m, f"$.{role}", "string").alias("role"), F.try_variant_get(m, f"$.{text}", "string").alias("text"))
@@ -195,7 +201,7 @@ def op5_chat_format(spark, sf_dir):
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     records = from_rows(rows)
     own = records.select("conv_id", typed_turns(records).alias("turns"))
-    extra = spark.createDataFrame([EXTRA], "conv_id long, record string").select("conv_id", json_turns(F.col("record")).alias("turns"))
+    extra = spark.range(1).select(F.lit(EXTRA[0]).cast("long").alias("conv_id"), json_turns(F.lit(EXTRA[1])).alias("turns"))
     made = own.unionByName(extra).select("conv_id", formatted(F.col("turns")).alias("formatted"))
     spans = loss_spans(F.col("formatted"))
     masked = F.transform(spans, lambda s: unescape(F.substr(F.col("formatted"), s["start"], s["length"])))
