@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkspark.llm.common import save
+
 #: Rules of the query's contract: verdict and host/path.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Public suffixes of two labels; every other suffix is the last label. A parameter: pass a fuller list where one is at hand.
-SUFFIXES = ("ac.uk", "co.jp", "co.kr", "co.nz", "co.uk", "com.au", "com.br", "com.cn", "gov.uk", "ne.jp", "or.jp", "org.au", "org.uk")
+#: A country's suffix has two labels where the second is one of these (co.uk, com.br); every other suffix is the last label.
+SECOND = ("ac", "co", "com", "ed", "edu", "gob", "go", "gov", "gouv", "govt", "gv", "ltd", "me", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
@@ -32,12 +34,17 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return F.coalesce(*fits) if fits else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = SUFFIXES) -> tuple[Column, Column]:
-    """Public suffix, and registered domain (the suffix and one label more) of a host."""
-    last = F.substring_index(host, ".", -1)
-    two = F.substring_index(host, ".", -2)
-    long = two.isin(*suffixes)
-    return F.when(long, two).otherwise(last), F.when(long, F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...] = ()) -> tuple[Column, Column]:
+    """Public suffix, and registered domain (the suffix and one label more) of a host. suffixes: more suffixes of two
+    labels. User names and ports are left aside; all numeric addresses have one suffix and are domains of their own."""
+    plain = F.regexp_replace(host, r"^.*@|:[0-9]*$", "")
+    address = plain.rlike(r"^([0-9]{1,3}\.){3}[0-9]{1,3}$|^\[")
+    last, two = F.substring_index(plain, ".", -1), F.substring_index(plain, ".", -2)
+    long = (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*SECOND) & two.contains(".")
+    long = long | two.isin(*suffixes) if suffixes else long
+    suffix = F.when(long, two).otherwise(last)
+    domain = F.when(long, F.substring_index(plain, ".", -3)).otherwise(two)
+    return F.when(address, "[address]").otherwise(suffix), F.when(address, plain).otherwise(domain)
 
 
 def _strength(groups: DataFrame, parent: str, least: float = 2.0, most: float = 1000.0) -> Column:
@@ -55,19 +62,19 @@ def _strength(groups: DataFrame, parent: str, least: float = 2.0, most: float =
     return F.lit(most if between <= 0 else min(max(1 / between - 1, least), most))
 
 
-def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """One row for each host of pages (host): n and bad (its labelled outcomes), mean and sd of the beta posterior of
     its share of bad pages.
 
     pages has page_id and host, outcomes page_id and bad (0 or 1; null rows are left out, repeated ids count each). The
     suffix's rate is shrunk towards the rate of all outcomes, the registered domain's towards its suffix, the host's
     towards its domain. Counts are added up by host first, so a host with a third of all pages is one row after map-side
-    sums. Without any outcome all rates are 1/2.
+    sums and written once. The beta posterior's tail is taken as normal (mean and sd). Without any outcome all rates are 1/2.
     """
     known = outcomes.where(F.col("bad").isNotNull() & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     hosts = pages.join(known, "page_id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     suffix, domain = suffix_and_domain(F.col("host"), suffixes)
-    hosts = hosts.withColumns({"suffix": suffix, "domain": domain})
+    hosts, _ = save(hosts.withColumns({"suffix": suffix, "domain": domain}))  # the four sums below read this table, not the pages
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     overall = (total["bad"] or 0) / total["n"] if total["n"] else 0.5
     up = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(overall))
@@ -82,7 +89,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame, suffixes: tuple[str, ...]
     return hosts.select("host", "n", "bad", (a / (a + b)).alias("mean"), F.sqrt(a * b / (F.pow(a + b, F.lit(2.0)) * (a + b + 1))).alias("sd"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: float = 0.3, z: float = 1.645, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, most: float = 0.3, z: float = 1.645, suffixes: tuple[str, ...] = ()) -> DataFrame:
     """pages (page_id, url) with host, path, rule, verdict, mean and bound.
 
     A fitting rule decides. Else a page is blocked where the lower bound (mean - z * sd) of its host's share of bad
