@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkspark.llm.common import _PLACE, mix, slices, word_hashes
+from linkspark.llm.common import _PLACE, mix, save, slices, word_hashes
 
 #: Items in one index, a bound on what is broadcast; a larger benchmark is taken in slices of it.
 ITEMS = 1024
+#: Indexes that stand at once, and shingles of the benchmark that one pass over the texts looks for (32 MB).
+WAVE, SHINGLES = 8, 4_000_000
 #: Longest item text that an index takes, in characters of all its items.
 CHARS = 8_000_000
 #: Fingerprints within RADIUS are found for certain: of four 16-bit blocks one differs by RADIUS // 4 bits at most.
@@ -148,25 +150,90 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 5, percent: int = 75) -
     of percent / 100 or more. A text or item of fewer than n words is one shingle; null, empty and shorter texts hold
     nothing. Repeated documents come back each; equal items each; rows with a null item id too.
 
-    One narrow pass over the texts for each slice of the benchmark (ITEMS items and CHARS characters at most), so what
-    is broadcast is bounded whatever the benchmark. A single item longer than CHARS is an index of its own.
+    Doc_ids and item ids are whole numbers. A pass over the texts finds those that hold any shingle of the benchmark
+    (SHINGLES of them at a time, so a benchmark of 40,000 items is one pass); only these are written and held against
+    the indexes (ITEMS items and CHARS characters at most each), WAVE at a time. So what is broadcast is bounded whatever
+    the benchmark, and corpus passes do not grow with the number of indexes. A single item longer than CHARS is an index of its
+    own.
     """
     spark = docs.sparkSession
-    size = benchmark.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     parts = max(1, -(-size[0] // (ITEMS // 2)), -(-size[1] // (CHARS // 2)))
     schema = "doc_id long, item_id long, first_word long, n_words long, similarity double"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out = spark.createDataFrame([], schema)
+    own = _candidates(own, items, n)
+    out, wave = spark.createDataFrame([], schema), []
     for part in range(parts):
-        some = benchmark.select(F.col("item_id").cast("long"), "text").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+        some = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
         rows = [(r[0], r[1]) for r in some.collect()]  # a slice of the query set
         for at in range(0, len(rows), ITEMS):
             index = build(rows[at : at + ITEMS], n)
             if index["ids"]:
-                out = out.unionByName(own.mapInArrow(_scanner(spark.sparkContext.broadcast(index), n, percent), schema))
+                wave.append(spark.sparkContext.broadcast(index))
+                out = out.unionByName(own.mapInArrow(_scanner(wave[-1], n, percent), schema))
+            if len(wave) == WAVE:
+                out, _ = save(out)
+                for index in wave:
+                    index.destroy()
+                wave = []
     return out
 
 
+def _kinds(items: DataFrame, n: int) -> DataFrame:
+    """Distinct (k, shingle) of all items: shingles of n words, or of a whole item of k < n words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            words, firsts, _, _ = word_hashes(batch["text"])
+            for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True):
+                if b > a:
+                    run = np.unique(_runs(words[a:b], n, b - a)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(run), min(n, b - a), np.int32)), pa.array(run)], ["k", "shingle"])
+
+    return items.select("text").mapInArrow(run, "k int, shingle long").distinct()
+
+
+def _candidates(docs: DataFrame, items: DataFrame, n: int) -> DataFrame:
+    """The rows of docs that hold a shingle of an item, written once."""
+    spark = docs.sparkSession
+    kinds, _ = save(_kinds(items, n))
+    passes = max(1, -(-kinds.count() // (SHINGLES // 2)))
+    out = None
+    for part in range(passes):
+        rows = kinds.where(F.pmod(F.xxhash64("shingle"), F.lit(passes)) == part).toPandas()  # SHINGLES / 2 on the mean
+        known = {int(k): np.sort(g["shingle"].to_numpy(np.int64).view(np.uint64)) for k, g in rows.groupby("k")}
+        found, _ = save(docs.mapInArrow(_holding(spark.sparkContext.broadcast(known), n), "doc_id long, text string"))
+        if passes > 1:  # a row that several passes find is one candidate, a repeated row several
+            found = found.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+        out = found if out is None else out.unionByName(found)
+    if passes == 1:
+        return out
+    out = out.groupBy("doc_id", "text").agg(F.max("n").alias("n"))
+    return out.select("doc_id", "text", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).select("doc_id", "text")
+
+
+def _holding(shared, n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = {k: np.zeros(1 << 22, bool) for k in shared.value}
+        for k, known in shared.value.items():
+            tables[k][(known >> np.uint64(42)).astype(np.int64)] = True
+        for batch in slices(batches, "text"):
+            words, firsts, _, _ = word_hashes(batch["text"])
+            some = np.zeros(batch.num_rows, bool)
+            for k, known in shared.value.items():
+                table, run = tables[k], _runs(words, n, k)
+                at = np.flatnonzero(table[(run >> np.uint64(42)).astype(np.int64)])
+                near = np.minimum(np.searchsorted(known, run[at]), len(known) - 1)
+                at = at[known[near] == run[at]]
+                doc = np.searchsorted(firsts, at, "right") - 1
+                some[doc[at + k <= firsts[doc + 1]]] = True
+            if some.any():
+                yield batch.select(["doc_id", "text"]).filter(pa.array(some))
+
+    return run
+
+
 def _scanner(shared, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
