@@ -33,9 +33,14 @@ def pattern(q: DataFrame, *triples: tuple[str, str, str]) -> DataFrame:
     return out
 
 
-def closure(edges: DataFrame, depth: int = 100) -> DataFrame:
-    """(a, b): every pair that edges (a, b) reach in one or more steps; cycles end. Each round joins what the last one
-    found only; rounds are cut by checkpoints."""
+def closure(edges: DataFrame, depth: int = 100, least: int = 1) -> DataFrame:
+    """(a, b): every pair that edges (a, b) reach in one or more steps, with least=0 also each node with itself; cycles
+    end. The pairs are the result, so their number is the caller's choice of edges. Each round joins what the last one
+    found only; rounds are cut by checkpoints. Null ends reach nothing; more than `depth` rounds is an error."""
+    if least == 0:
+        edges = edges.select("a", "b")
+        nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).where("a is not null").distinct()
+        return closure(edges, depth).unionByName(nodes.select("a", F.col("a").alias("b"))).distinct()
     spark = edges.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         import tempfile
@@ -53,10 +58,12 @@ def closure(edges: DataFrame, depth: int = 100) -> DataFrame:
 
 
 def class_counts(q: DataFrame) -> DataFrame:
+    """Instances of each class (class, n); a subject counts once. Null objects are a class of null."""
     return q.where(F.col("p") == TYPE).groupBy(F.col("o").alias("class")).agg(F.count_distinct("s").alias("n"))
 
 
 def predicate_counts(q: DataFrame) -> DataFrame:
+    """Quads of each predicate (predicate, n)."""
     return q.groupBy(F.col("p").alias("predicate")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -67,6 +74,7 @@ def class_shapes(q: DataFrame) -> DataFrame:
 
 
 def literal_profile(q: DataFrame) -> DataFrame:
+    """Literals of each graph and predicate (g, predicate, n, sample): the sample is the smallest text."""
     return q.where("kind = 'literal'").groupBy("g", F.col("p").alias("predicate")).agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("sample"))
 
 
@@ -80,8 +88,100 @@ def range_with_evidence(q: DataFrame, predicate: str) -> DataFrame:
     return rows.agg(F.min("o_num").alias("low"), F.min(F.struct("o_num", "s"))["s"].alias("low_subject"), F.max("o_num").alias("high"), F.min(F.struct((-F.col("o_num")).alias("n"), "s"))["s"].alias("high_subject"))
 
 
+def union_branches(q: DataFrame, *triples: tuple[str, str, str]) -> DataFrame:
+    """Alternatives that bind the same variables, as a set."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, [pattern(q, t) for t in triples]).distinct()
+
+
+def count_all(q: DataFrame) -> DataFrame:
+    """Quads of each graph, and of all graphs together under a null graph (g, n)."""
+    return q.rollup("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+def distinct_values(q: DataFrame, predicate: str, most: int = 2000) -> DataFrame:
+    """(value, datatypes, truncated): the distinct literals of a predicate in order, `most` of them (a report's limit), the
+    datatypes seen with each, and whether there are more."""
+    rows = q.where((F.col("p") == predicate) & (F.col("kind") == "literal")).groupBy(F.col("o").alias("value")).agg(F.array_sort(F.collect_set("dt")).alias("datatypes"))
+    return truncated(rows, most, "value")
+
+
+def truncated(rows: DataFrame, most: int, *order) -> DataFrame:
+    """The first `most` rows by `order` with a flag: whether there are more. One row more is asked for."""
+    head, all_ = rows.orderBy(*order).limit(most + 1), Window.partitionBy(F.lit(0))  # most + 1 rows
+    head = head.withColumns({"linkspark_place": F.row_number().over(all_.orderBy(*order)), "linkspark_n": F.count(F.lit(1)).over(all_)})
+    return head.where(F.col("linkspark_place") <= most).withColumn("truncated", F.col("linkspark_n") > most).drop("linkspark_place", "linkspark_n")
+
+
+def exists(rows: DataFrame) -> DataFrame:
+    """One row (found): is there any row?"""
+    return rows.limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+
+
+def top_record(q: DataFrame, predicate: str) -> DataFrame:
+    """(s, p, o) of all literals of the subject with the largest number of a predicate; of equal ones the smallest subject."""
+    best = q.where((F.col("p") == predicate) & F.col("o_num").isNotNull()).agg(F.min(F.struct((-F.col("o_num")).alias("n"), "s"))["s"].alias("s"))
+    return q.where("kind = 'literal'").join(F.broadcast(best), "s").select("s", "p", "o")  # best is one row
+
+
+def entity_count(q: DataFrame) -> DataFrame:
+    """Number of distinct subjects."""
+    return q.agg(F.count_distinct("s").alias("n"))
+
+
+def per_parent(q: DataFrame, link: str, title: str, most: int) -> DataFrame:
+    """(parent, title, n): children by parent over a link, with the parent's smallest title; the `most` largest, ties by
+    parent. Parents are added up before titles are joined."""
+    counts = q.where(F.col("p") == link).groupBy(F.col("o").alias("parent")).agg(F.count_distinct("s").alias("n"))
+    names = q.where(F.col("p") == title).groupBy(F.col("s").alias("parent")).agg(F.min("o").alias("title"))
+    return counts.orderBy(F.desc("n"), "parent").limit(most).join(names, "parent", "left").select("parent", "title", "n")
+
+
+def class_pivot(q: DataFrame, classes: list[str]) -> DataFrame:
+    """One row with the number of instances of each class (columns by local name)."""
+    import re
+
+    types = q.where((F.col("p") == TYPE) & F.col("o").isin(*classes)).select("s", "o").distinct()
+    return types.agg(*[F.count_if(F.col("o") == c).alias(re.split("[/#:]", c)[-1]) for c in classes])
+
+
+def labels(q: DataFrame, terms: DataFrame, predicate: str) -> DataFrame:
+    """terms (term) with one label each: the smallest text; null for none."""
+    named = q.where((F.col("p") == predicate) & (F.col("kind") == "literal")).groupBy(F.col("s").alias("term")).agg(F.min("o").alias("label"))
+    return terms.join(named, "term", "left")
+
+
+def compound(values: DataFrame, parts: list[str], most: int = 256) -> DataFrame:
+    """(entity, key, dropped): for entities that have every part all combinations of its values, in order, `most` of them
+    for each entity (the operator's limit); dropped counts the rest. values: entity, part, value. Nulls are no values."""
+    sets = values.where("value is not null").groupBy("entity").agg(*[F.array_sort(F.collect_set(F.when(F.col("part") == p, F.col("value")))).alias(f"v{i}") for i, p in enumerate(parts)])
+    total = F.lit(1).cast("long")
+    for i in range(len(parts)):
+        sets, total = sets.where(F.size(f"v{i}") > 0), total * F.size(f"v{i}")
+    # the n-th combination by mixed base, so that no combination beyond the limit is made
+    rows = sets.withColumn("total", total).withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("total"), F.lit(most)) - 1)))
+    rest, picked = F.col("nth"), []
+    for i in reversed(range(len(parts))):
+        size = F.size(f"v{i}")
+        picked.insert(0, F.get(F.col(f"v{i}"), (rest % size).cast("int")))
+        rest = F.floor(rest / size)
+    return rows.select("entity", F.array(*picked).alias("key"), F.greatest(F.lit(0), F.col("total") - most).alias("dropped"))
+
+
+def reused(draft: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(kind, term, status): classes and predicates of a draft that the canonical graphs have (reused) or lack (new)."""
+
+    def terms(q: DataFrame) -> DataFrame:
+        classes = q.where(F.col("p") == TYPE).select(F.lit("class").alias("kind"), F.col("o").alias("term"))
+        return classes.unionByName(q.where(F.col("p") != TYPE).select(F.lit("predicate").alias("kind"), F.col("p").alias("term"))).distinct()
+
+    known = terms(canonical).withColumn("held", F.lit(True))
+    return terms(draft).join(known, ["kind", "term"], "left").select("kind", "term", F.when(F.col("held"), "reused").otherwise("new").alias("status"))
+
+
 def describe(q: DataFrame, subject: str) -> DataFrame:
-    """Triples about one subject, outgoing and incoming."""
+    """Triples about one subject, outgoing and incoming; one it does not know has no rows."""
     out = q.where(F.col("s") == subject).select(F.lit("out").alias("direction"), "g", "p", F.col("o").alias("term"))
     back = q.where((F.col("o") == subject) & (F.col("kind") == "iri")).select(F.lit("in").alias("direction"), "g", "p", F.col("s").alias("term"))
     return out.unionByName(back)
@@ -95,4 +195,6 @@ def ranking(rows: DataFrame, entity: str, value: str, n: int, ceiling: float | N
 
 
 def top_per_group(rows: DataFrame, group: str, n: int, *order) -> DataFrame:
+    """The first n rows of each group by `order`, with their rank; null is a group. Name a total order, ties are cut as they
+    come. Spark keeps n rows of each group on the map side."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)

@@ -60,15 +60,22 @@ def _objects(p: Property) -> Column:
     return F.filter(array, lambda v: v.isNotNull() & (v != ""))
 
 
-def quads(source: DataFrame, spec: Map, graph: str) -> DataFrame:
-    """Quads of one map, as a set. One explode per row: the source is read once whatever the number of properties."""
-    entries = [F.array(*[F.struct(F.lit(TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("kind"), F.lit("").alias("dt"), F.lit("").alias("lang")) for c in spec.classes])] if spec.classes else []
+def quads(source: DataFrame, spec: Map, graph: str, only: tuple[str, ...] | None = None, distinct: bool = True) -> DataFrame:
+    """Quads of one map, as a set. One explode per row: the source is read once whatever the number of properties.
+
+    only: predicates that are asked for; others are not made and their columns not read (a filter behind the explode
+    cannot reach the scan). distinct=False leaves repeated quads in, for a caller who makes a set of several maps.
+    """
+    entries = [F.array(*[F.struct(F.lit(TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("kind"), F.lit("").alias("dt"), F.lit("").alias("lang")) for c in spec.classes])] if spec.classes and (only is None or TYPE in only) else []
     for p in spec.properties:
-        kind = "iri" if p.template is not None or p.iri else "literal"
-        entries.append(_entries(p, kind))
+        if only is None or p.predicate in only:
+            entries.append(_entries(p, "iri" if p.template is not None or p.iri else "literal"))
+    if not entries:
+        entries = [F.array().cast("array<struct<p:string,o:string,kind:string,dt:string,lang:string>>")]
     rows = source.select(iri(spec.subject).alias("s"), F.explode(F.concat(*entries)).alias("e")).where("s is not null")
     rows = rows.select(F.lit(graph).alias("g"), "s", "e.*")
-    return rows.withColumn("o_num", F.when((F.col("kind") == "literal") & F.col("dt").isin("xsd:integer", "xsd:double", "xsd:decimal"), to_double(F.col("o")))).select(*QUAD).dropDuplicates(["g", "s", "p", "o", "kind", "dt", "lang"])
+    rows = rows.withColumn("o_num", F.when((F.col("kind") == "literal") & F.col("dt").isin("xsd:integer", "xsd:double", "xsd:decimal"), to_double(F.col("o")))).select(*QUAD)
+    return rows.dropDuplicates(QUAD[:-1]) if distinct else rows
 
 
 def _entries(p: Property, kind: str) -> Column:
@@ -79,10 +86,18 @@ def _entries(p: Property, kind: str) -> Column:
 
 
 def all_quads(*parts: DataFrame) -> DataFrame:
-    """Union of several maps' quads as one set: maps may mint the same subject."""
+    """Union of several maps' quads as one set: maps may mint the same subject. Parts may hold repeated quads."""
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["g", "s", "p", "o", "kind", "dt", "lang"])
 
 
+def parent_links(child: DataFrame, spec: Map, predicate: str, parent: DataFrame, parent_spec: Map, on: list[tuple[str, str]]) -> DataFrame:
+    """(s, p, o): links from a map's subjects to another map's, where columns of the two sources are equal. Rows without a
+    partner or a subject give none; repeated links are one."""
+    left = child.select(iri(spec.subject).alias("s"), *[F.col(a).alias(f"k{i}") for i, (a, _) in enumerate(on)])
+    right = parent.select(iri(parent_spec.subject).alias("o"), *[F.col(b).alias(f"k{i}") for i, (_, b) in enumerate(on)])
+    return left.join(right, [f"k{i}" for i in range(len(on))]).where("s is not null and o is not null").select("s", F.lit(predicate).alias("p"), "o").distinct()
+
+
 def expand_curie(token: Column, prefixes: dict[str, str]) -> Column:
     """prefix:local as an IRI; <iri> unwrapped; null for an unknown prefix."""
     table = F.create_map(*[F.lit(x) for kv in prefixes.items() for x in kv])

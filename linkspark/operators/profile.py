@@ -104,3 +104,155 @@ def composite_keys(df: DataFrame, candidates: list[str], hints: list[str] | None
     if not keys:
         raise ValueError("no candidate columns")
     return reduce(DataFrame.unionByName, [uniqueness(df, key).withColumn("key", F.lit(",".join(key))) for key in keys])
+
+
+#: Names that speak of an identifier.
+ID_NAME = r"(?i)(^|[^a-z])(id|key|code|no|number|doi|uuid|sku)([^a-z]|$)|key$|id$"
+
+
+def id_candidates(df: DataFrame, least: float = 0.95) -> DataFrame:
+    """(column, rate, candidate) for each column: its share of distinct among filled cells; a candidate has `least` of it,
+    or the name of an identifier and whole numbers or text."""
+    rows = columns(df).withColumn("rate", F.when(F.col("filled") > 0, F.col("distinct") / F.col("filled")).otherwise(0.0))
+    named = F.col("column").rlike(ID_NAME) & F.col("type").isin("integer", "string")
+    return rows.select("column", "rate", ((F.col("filled") > 0) & ((F.col("rate") >= least) | named)).alias("candidate"))
+
+
+def key_choice(df: DataFrame, candidates: list[str], measures: tuple[str, ...] = (), depth: int = 2) -> DataFrame:
+    """Unique keys among composite_keys(), best first (key, parts, rows, place): not of measures alone, fewer columns, more
+    rows, then by name."""
+    parts = F.split("key", ",")
+    keys = composite_keys(df, candidates, depth=depth).where("is_unique and rows > 0")
+    only = F.size(F.array_except(parts, F.array(*map(F.lit, measures)).cast("array<string>"))) == 0
+    keys = keys.select("key", F.size(parts).alias("parts"), "rows", only.alias("only"))
+    order = Window.partitionBy(F.lit(0)).orderBy("only", "parts", F.desc("rows"), "key")  # a row for each set of columns
+    return keys.withColumn("place", F.row_number().over(order)).select("key", "parts", "rows", "place")
+
+
+def column_owner(df: DataFrame, keys: list[tuple[str, ...]]) -> DataFrame:
+    """(column, owner): of the keys that determine a column, the one with the fewest entities; null where none does or two
+    have equally few. One grouped pass for each key, whose list is the caller's."""
+    out = None
+    for key in keys:
+        size = uniqueness(df, key).select("distinct_keys")
+        rows = dependencies(df, key).where("determined").crossJoin(F.broadcast(size)).select("column", F.lit(",".join(key)).alias("owner"), F.col("distinct_keys").alias("entities"))  # size is one row
+        out = rows if out is None else out.unionByName(rows)
+    best = out.groupBy("column").agg(F.min("entities").alias("entities"))
+    fewest = out.join(best, ["column", "entities"]).groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.min("owner").alias("owner"))
+    every = df.sparkSession.createDataFrame([(c,) for c in df.columns], "column string")
+    return every.join(fewest, "column", "left").select("column", F.when(F.col("n") == 1, F.col("owner")).alias("owner"))
+
+
+def growth_overlap(df: DataFrame, file: str) -> DataFrame:
+    """(column, files, constant, shared): for each column the files in which it has one value, and how many values stand in
+    two such files or more. Appending by a key with such a column mixes files up."""
+    others = [c for c in df.columns if c != file]
+    cells = df.select(file, *[text(F.col(f"`{c}`")).alias(c) for c in others]).unpivot([file], others, "column", "value")
+    per = cells.groupBy("column", file).agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    fixed = per.where("low = high and low <> ''").groupBy("column", "low").agg(F.count(F.lit(1)).alias("k"))
+    shared = fixed.groupBy("column").agg(F.sum("k").alias("constant"), F.count_if(F.col("k") > 1).alias("shared"))
+    files = per.groupBy("column").agg(F.count(F.lit(1)).alias("files"))
+    return files.join(shared, "column", "left").select("column", "files", F.coalesce("constant", F.lit(0)).alias("constant"), F.coalesce("shared", F.lit(0)).alias("shared"))
+
+
+def scope_risk(df: DataFrame, key: tuple[str, ...], file: str) -> DataFrame:
+    """One row (key, safe, scoped): whether a key without the file's own key is unique over all files, and whether it is once
+    the file's key stands in front."""
+    alone, scoped = uniqueness(df, key).select(F.col("is_unique").alias("safe")), uniqueness(df, (file, *key)).select(F.col("is_unique").alias("scoped"))
+    return alone.crossJoin(scoped).select(F.lit(",".join(key)).alias("key"), "safe", "scoped")  # one row each
+
+
+def missing_row_kind(df: DataFrame, mapped: list[tuple[str, ...]], candidates: list[str]) -> DataFrame:
+    """(column, key, entities): columns that no mapped key determines, with the smallest unique key that would mint an entity
+    for each row. No rows where all are determined or no key is unique."""
+    owned = None
+    for key in mapped:
+        rows = dependencies(df, key).where("determined").select("column")
+        owned = rows if owned is None else owned.unionByName(rows)
+    named = df.sparkSession.createDataFrame([(c,) for c in df.columns if not any(c in k for k in mapped)], "column string")
+    open_ = named.join(owned.distinct(), "column", "left_anti") if owned is not None else named
+    best = key_choice(df, candidates).where("place = 1").select("key", F.col("rows").alias("entities"))
+    return open_.crossJoin(F.broadcast(best))  # best is one row
+
+
+def entity_preview(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """(column, values, least, verdict) of one entity of a key: the one with most rows, ties by key. verdict: stable (one
+    value), empty, or varying."""
+    sizes = df.where(_full(key)).groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    one = sizes.orderBy(F.desc("n"), *key).limit(1).select(*key)
+    rows = df.join(F.broadcast(one), list(key))  # one row
+    others = [c for c in df.columns if c not in key]
+    cell = lambda c: F.when(F.trim(text(F.col(f"`{c}`"))) != "", F.trim(text(F.col(f"`{c}`"))))
+    row = rows.agg(*[F.struct(F.lit(c).alias("column"), F.size(F.collect_set(cell(c))).alias("values"), F.min(cell(c)).alias("least")).alias(f"c{i}") for i, c in enumerate(others)])
+    verdict = F.when(F.col("values") == 0, "empty").when(F.col("values") == 1, "stable").otherwise("varying")
+    return row.select(F.explode(F.array(*row.columns)).alias("r")).select("r.*").withColumn("verdict", verdict)
+
+
+# Spellings that ask for a cleaning function, in the order in which they are tried.
+DEMAND = (
+    ("epoch", r"^-?\d{10}(\d{3})?$"),
+    ("percent", r"^[+-]?\d+(\.\d+)?\s*%$"),
+    ("range", r"^\d+(\.\d+)?\s*(-|to|\.\.|~)\s*\d+(\.\d+)?$"),
+    ("currency", r"^[$€£¥]\s*[\d,]+(\.\d+)?$"),
+    ("value_unit", r"^[+-]?\d+(\.\d+)?\s*[A-Za-zµ°Ω/%][A-Za-z0-9µ°Ω/^-]*$"),
+    ("doi", r"(?i)^(https?://(dx\.)?doi\.org/|doi:)?10\.\d{3,9}/\S+$"),
+    ("url", r"(?i)^https?://\S+$"),
+    ("boolean", r"(?i)^(true|false|yes|no|y|n|t|f)$"),
+    ("messy_date", r"^(\d{1,2}/\d{1,2}/\d{4}|[A-Za-z]{3,9} \d{1,2},? \d{4}|\d{1,2} [A-Za-z]{3,9} \d{4})$"),
+    ("json", r"^\s*[\[{].*[\]}]\s*$"),
+)
+
+
+def demand(df: DataFrame, least: float = 0.6) -> DataFrame:
+    """(column, category): which cleaning a column asks for, by the first spelling that `least` of its filled cells have; null
+    for none. All columns in one pass."""
+    aggs = []
+    for i, c in enumerate(df.columns):
+        v = F.trim(text(F.col(f"`{c}`")))
+        full = F.count_if(v != "")
+        which = F.lit(None).cast("string")
+        for name, pattern in reversed(DEMAND):
+            which = F.when((full > 0) & (F.count_if((v != "") & v.rlike(pattern)) >= least * full), name).otherwise(which)
+        aggs.append(F.struct(F.lit(c).alias("column"), which.alias("category")).alias(f"c{i}"))
+    row = df.agg(*aggs)
+    return row.select(F.explode(F.array(*row.columns)).alias("r")).select("r.*")
+
+
+def source_samples(df: DataFrame, n: int = 3) -> DataFrame:
+    """(column, values): the `n` smallest distinct filled values of each column (a report's limit)."""
+    cells = df.select(*[F.trim(text(F.col(f"`{c}`"))).alias(c) for c in df.columns]).unpivot([], df.columns, "column", "value").where("value <> ''")
+    first = cells.groupBy("column", "value").agg(F.lit(1)).withColumn("place", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("place") <= n)
+    return first.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("values"))
+
+
+def numeric_datatypes(df: DataFrame) -> DataFrame:
+    """(column, datatype): xsd:integer or xsd:double for columns whose every filled cell is a number."""
+    rows = columns(df).where("filled > 0 and type in ('integer', 'double')")
+    return rows.select("column", F.when(F.col("type") == "integer", "xsd:integer").otherwise("xsd:double").alias("datatype"))
+
+
+def source_rows(df: DataFrame) -> DataFrame:
+    """Number of rows of which some cell is filled (n)."""
+    some = reduce(lambda a, b: a | b, [F.trim(text(F.col(f"`{c}`"))) != "" for c in df.columns])
+    return df.agg(F.count_if(some).alias("n"))
+
+
+def even_sample(df: DataFrame, order: str, n: int) -> DataFrame:
+    """`n` rows spread evenly over the order (the operator's own number), the first and the last among them, without chance.
+    Rows are numbered by ranges of the order, not in one task."""
+    total = df.count()
+    if total <= n:
+        return df
+    want = sorted({int(j * (total - 1) / (n - 1) + 0.5) for j in range(n)})
+    ranged = df.select(F.col(order)).orderBy(order).withColumn("at", F.monotonically_increasing_id())
+    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND(F.lit(2**33 - 1))
+    before = F.sum("k").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = ranged.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("k")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    chosen = ranged.withColumn("part", part).join(F.broadcast(starts), "part").where((F.col("before") + place).isin(*want)).select(order)
+    return df.join(chosen, order, "left_semi").select(order)
+
+
+def subset(table: DataFrame, labelled: DataFrame, key: str, n: int) -> DataFrame:
+    """Every row of a table whose key is among the first `n` keys of the labelled rows."""
+    first = labelled.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
+    return table.join(F.broadcast(first), key, "left_semi")  # n keys

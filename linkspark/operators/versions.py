@@ -45,3 +45,59 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Triples in one of two versions only."""
     key = ["s", "p", "o", "kind", "dt", "lang"]
     return a.select(*key).exceptAll(b.select(*key)).withColumn("side", F.lit("a")).unionByName(b.select(*key).exceptAll(a.select(*key)).withColumn("side", F.lit("b")))
+
+
+def reinstate(control: DataFrame, dataset: str) -> DataFrame:
+    """A retracted dataset is published again; one that never was stays as it is."""
+    back = (F.col("dataset") == dataset) & (F.col("status") == "retracted") & F.coalesce("live", "dataset").isNotNull()
+    return control.withColumn("status", F.when(back, "promoted").otherwise(F.col("status")))
+
+
+def tombstone(control: DataFrame, dataset: str) -> DataFrame:
+    """The dataset is deleted; its row stays and answers citations."""
+    gone = F.col("dataset") == dataset
+    return control.select("dataset", F.when(gone, "deleted").otherwise(F.col("status")).alias("status"), *[F.when(~gone, F.col(c)).alias(c) for c in ("live", "staged")])
+
+
+def resolve(cited: DataFrame, control: DataFrame) -> DataFrame:
+    """(g, status) of cited graphs: live, retracted, deleted, or unknown."""
+    known = control.select(F.col("dataset").alias("g"), F.when(F.col("status") == "promoted", "live").otherwise(F.col("status")).alias("status"))
+    return cited.select("g").join(known, "g", "left").select("g", F.coalesce("status", F.lit("unknown")).alias("status"))
+
+
+def vacuumed(q: DataFrame, control: DataFrame) -> DataFrame:
+    """Quads without those of graphs that no dataset points at; in a table partitioned by graph, whole partitions go."""
+    used = control.select(F.explode(F.array_compact(F.array("dataset", "live", "staged"))).alias("g")).distinct()
+    return q.join(used, "g", "left_semi")
+
+
+def migrated(q: DataFrame, old: str, new: str) -> DataFrame:
+    """Quads with graph `old` merged into `new`, as a set: done again it changes nothing."""
+    return q.withColumn("g", F.when(F.col("g") == old, new).otherwise(F.col("g"))).dropDuplicates(["g", "s", "p", "o", "kind", "dt", "lang"])
+
+
+def snapshot(q: DataFrame, control: DataFrame, dataset: str) -> tuple[DataFrame, DataFrame]:
+    """(triples, manifest) of a promoted dataset's live graph: counts and a digest that no order of rows changes."""
+    live = live_graphs(control.where(F.col("dataset") == dataset))
+    triples = q.join(live, "g", "left_semi").select("s", "p", "o", "kind", "dt", "lang")
+    digest = F.sum(F.xxhash64(*triples.columns).cast("decimal(38,0)")).cast("string")
+    return triples, triples.agg(F.lit(dataset).alias("dataset"), F.count(F.lit(1)).alias("triples"), digest.alias("digest"))
+
+
+def restored(triples: DataFrame, manifest: DataFrame, control: DataFrame, version: str) -> DataFrame:
+    """Control table with a snapshot's dataset added as staged and unpublished. An existing dataset, or triples that do not
+    match the manifest, are errors."""
+    want = manifest.first()
+    if control.where(F.col("dataset") == want["dataset"]).limit(1).count():
+        raise ValueError(f"dataset {want['dataset']!r} exists")
+    got = triples.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*triples.columns).cast("decimal(38,0)")).cast("string")).first()
+    if (got[0], got[1]) != (want["triples"], want["digest"]):
+        raise ValueError("the snapshot does not match its manifest")
+    row = manifest.select("dataset", F.lit("draft").alias("status"), F.lit(None).cast("string").alias("live"), F.lit(version).alias("staged"))
+    return control.unionByName(row)
+
+
+def rebased(triples: DataFrame, origin: str, local: str) -> DataFrame:
+    """Triples with the issuer's base swapped in IRIs below <base>/datasets/; literals and other IRIs stay."""
+    swap = lambda c: F.when(F.col(c).startswith(f"{origin}/datasets/"), F.concat(F.lit(local), F.substr(F.col(c), F.lit(len(origin) + 1)))).otherwise(F.col(c))
+    return triples.withColumns({"s": swap("s"), "p": swap("p"), "o": F.when(F.col("kind") == "iri", swap("o")).otherwise(F.col("o"))})

@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import values as V
 from linkspark.operators import checks, crosswalk, documents, graph, grounding, profile, versions
 from linkspark.operators.mapping import TYPE, Map, Property, all_quads, compress_iri, expand_curie, infer_terms, quads, to_ntriples
+from linkspark.plans.registry import QUERIES, SQL, query
+from linkspark.plans.registry import table as _t
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return add
-
+__all__ = ["QUERIES", "SQL"]
 
 ORDER = Map("http://x/order/{o_orderkey}", ("x:Order",), (Property("x:total", column="o_totalprice", datatype="xsd:double"), Property("x:priority", column="o_orderpriority"), Property("x:customer", template="http://x/customer/{o_custkey}")))
 CUSTOMER = Map("http://x/customer/{c_custkey}", ("x:Customer",), (Property("x:name", column="c_name", language="en"), Property("x:segment", column="c_mktsegment"), Property("x:nation", template="http://x/nation/{c_nationkey}")))
 NATION = Map("http://x/nation/{n_nationkey}", ("x:Nation",), (Property("x:name", column="n_name"), Property("x:region", template="http://x/region/{n_regionkey}")))
 
 
-def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = lambda n: _t(spark, sf_dir, n)
-    return all_quads(quads(read("orders"), ORDER, "orders"), quads(read("customer"), CUSTOMER, "customer"), quads(read("nation"), NATION, "nation"))
+def _quads(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
+    """Quads of three tables as one set; of the predicates `only`, if any are named."""
+    made = [quads(_t(spark, sf_dir, n), spec, n, only or None, distinct=False) for n, spec in (("orders", ORDER), ("customer", CUSTOMER), ("nation", NATION))]
+    return all_quads(*made)
 
 
 #: The same quads from the base tables, for the SQL side.
@@ -117,9 +102,9 @@ def flt_null_tokens(spark, sf_dir):
 
 @query("join_bgp", "select o_orderkey as k, n_name as nation from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where o_orderpriority like '1%'")
 def join_bgp(spark, sf_dir):
-    q = _quads(spark, sf_dir)
-    first = _t(spark, sf_dir, "orders").where("o_orderpriority like '1%'").select("o_orderpriority").first()
-    found = graph.pattern(q, ("?o", "x:priority", first[0] if first else ""), ("?o", "x:customer", "?c"), ("?c", "x:nation", "?n"), ("?n", "x:name", "?nation"))
+    q = _quads(spark, sf_dir, "x:priority", "x:customer", "x:nation", "x:name")
+    first = _t(spark, sf_dir, "orders").where("o_orderpriority like '1%'").agg(F.min("o_orderpriority")).first()
+    found = graph.pattern(q, ("?o", "x:priority", first[0] or ""), ("?o", "x:customer", "?c"), ("?c", "x:nation", "?n"), ("?n", "x:name", "?nation"))
     return found.select(F.regexp_extract("o", r"(\d+)$", 1).cast("long").alias("k"), "nation")
 
 
@@ -161,7 +146,7 @@ def join_fk(spark, sf_dir):
 
 @query("agg_class_counts", f"with {_Q} select o as class, count(distinct s) as n from q where p = 'rdf:type' group by o")
 def agg_class_counts(spark, sf_dir):
-    return graph.class_counts(_quads(spark, sf_dir))
+    return graph.class_counts(_quads(spark, sf_dir, TYPE))
 
 
 @query("agg_predicate_counts", f"with {_Q} select p as predicate, count(*) as n from q group by p")
@@ -181,12 +166,12 @@ def agg_literal_profile(spark, sf_dir):
 
 @query("agg_numeric_range", "select 'x:total' as predicate, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as high from orders")
 def agg_numeric_range(spark, sf_dir):
-    return graph.numeric_range(_quads(spark, sf_dir))
+    return graph.numeric_range(_quads(spark, sf_dir, "x:total"))
 
 
 @query("agg_range_with_evidence", "select min(o_totalprice) as low, max(o_totalprice) as high, (select min('http://x/order/' || o_orderkey) from orders where o_totalprice = (select min(o_totalprice) from orders)) as low_subject, (select min('http://x/order/' || o_orderkey) from orders where o_totalprice = (select max(o_totalprice) from orders)) as high_subject from orders")
 def agg_range_evidence(spark, sf_dir):
-    return graph.range_with_evidence(_quads(spark, sf_dir), "x:total")
+    return graph.range_with_evidence(_quads(spark, sf_dir, "x:total"), "x:total")
 
 
 @query("agg_group_topk", "select o_custkey, count(*) as n from orders group by o_custkey order by n desc, o_custkey limit 10")
@@ -428,3 +413,6 @@ with k as (
 select key, cast(sum(n) as bigint) as "rows", count(*) as distinct_keys, cast(sum(n) - count(*) as bigint) as collisions, sum(n) = count(*) as is_unique from k group by key""")
 def prof_composite_keys(spark, sf_dir):
     return profile.composite_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
+
+
+from linkspark.plans import graph_queries, profile_queries, value_queries  # noqa: E402, F401  they fill the registry too

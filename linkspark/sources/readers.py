@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,13 +38,50 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema, ""))
 
 
+_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^<([^>]*)>)?)\s*\.\s*$'
+
+
+def _unescaped(c):
+    """Text of a literal: the escapes of nt_escape undone, a doubled backslash first set aside."""
+    out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
+    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return F.replace(out, F.lit("\x00"), F.lit("\\"))
+
+
+def ntriples_of(lines: DataFrame) -> DataFrame:
+    """Quads without a graph of lines (value) of N-Triples. Blank lines and comments are passed over; lines that do not
+    parse are in error_lines()."""
+    get = lambda i: F.regexp_extract("value", _LINE, i)
+    rows = lines.where(F.col("value").rlike(_LINE))
+    iri = F.col("value").rlike(r"^\s*<[^>]*>\s+<[^>]*>\s+<")
+    return rows.select(get(1).alias("s"), get(2).alias("p"), F.when(iri, get(3)).otherwise(_unescaped(get(4))).alias("o"), F.when(iri, "iri").otherwise("literal").alias("kind"), get(6).alias("dt"), get(5).alias("lang"))
+
+
+def error_lines(lines: DataFrame) -> DataFrame:
+    """Lines that ntriples_of() leaves out, with the reason, for an error table beside the good rows."""
+    bad = lines.where(~F.col("value").rlike(_LINE) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+    return bad.select("value", F.lit("not an N-Triples line").alias("error"))
+
+
 def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Quads without a graph of N-Triples lines."""
-    line = r'^<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z-]+)|\^\^<([^>]*)>)?)\s*\.\s*$'
-    get = lambda i: F.regexp_extract("value", line, i)
-    rows = spark.read.text(path).where(F.col("value").rlike(line))
-    iri = get(3) != ""
-    return rows.select(get(1).alias("s"), get(2).alias("p"), F.when(iri, get(3)).otherwise(get(4)).alias("o"), F.when(iri, "iri").otherwise("literal").alias("kind"), get(6).alias("dt"), get(5).alias("lang"))
+    """ntriples_of() the lines of files."""
+    return ntriples_of(spark.read.text(path))
+
+
+def ingest_stats(rows: DataFrame, good, triples: int = 1) -> DataFrame:
+    """(rows_in, rows_ok, rows_err, triples_out, status) of a run. good: condition that a row is mapped; triples: how
+    many a good row gives. status is ok, partial or error. Null conditions count as errors."""
+    out = rows.agg(F.count(F.lit(1)).alias("rows_in"), F.count_if(F.coalesce(good, F.lit(False))).alias("rows_ok"))
+    err = F.col("rows_in") - F.col("rows_ok")
+    status = F.when(err == 0, "ok").when(F.col("rows_ok") > 0, "partial").otherwise("error")
+    return out.select("rows_in", "rows_ok", err.alias("rows_err"), (F.col("rows_ok") * triples).alias("triples_out"), status.alias("status"))
+
+
+def error_rows(rows: DataFrame, order: str, good, reason: str) -> DataFrame:
+    """Rows that fail, with the column `order` that tells where they stand, their error and themselves as JSON."""
+    bad = rows.where(~F.coalesce(good, F.lit(False)))
+    return bad.select(F.col(order).alias("row"), F.lit(reason).alias("error"), F.to_json(F.struct(*rows.columns)).alias("record"))
 
 
 def write_new(new: DataFrame, path: str, key: list[str]) -> None:
@@ -51,5 +90,7 @@ def write_new(new: DataFrame, path: str, key: list[str]) -> None:
     fresh = new.dropDuplicates(key)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti")
+        held = spark.read.parquet(path).select(*key).alias("h")
+        same = reduce(lambda a, b: a & b, [F.col(f"f.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in key])  # a null key part is a value
+        fresh = fresh.alias("f").join(held, same, "left_anti")
     fresh.write.mode("append").parquet(path)

@@ -20,3 +20,25 @@ def fingerprint(df: DataFrame) -> DataFrame:
     """(rows, digest) of a table, whatever the order of its rows: the same content has the same digest."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(df.columns)]
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*cells).cast("decimal(38,0)")).cast("string").alias("digest"))
+
+
+def batch_sizes(df: DataFrame, batch: str) -> DataFrame:
+    """(batch, rows) of an intake."""
+    return df.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def ledger(lines: DataFrame, schema: str, since: str | None = None, until: str | None = None, at: str = "ts") -> DataFrame:
+    """Events of JSON lines (value), by time; lines that do not parse or have no time are passed over. since and until are
+    compared as ISO text, both included."""
+    rows = lines.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("e")).select("e.*").where(F.col(at).isNotNull())
+    if since is not None:
+        rows = rows.where(F.col(at) >= since)
+    if until is not None:
+        rows = rows.where(F.col(at) <= until)
+    return rows.orderBy(at)
+
+
+def quarantined(rows: DataFrame, good) -> tuple[DataFrame, DataFrame]:
+    """Rows that pass, and those set aside with the time of their batch; a null condition fails."""
+    ok = F.coalesce(good, F.lit(False))
+    return rows.where(ok), rows.where(~ok).withColumn("quarantined_at", F.current_timestamp())
