@@ -97,10 +97,11 @@ def xw_classify_slots(spark, sf_dir):
     "xw_discover",
     f"""with {_V}, k as (select distinct dataset, lower(trim(value)) as key from v where predicate <> 'number'),
 s as (select key, count(*) as d from k group by 1), m as (select count(*) filter (d > 1) as matched from s),
-i as (select count(*) filter (d > 1) as matched from (select key, count(distinct dataset) as d from (select dataset, trim(value) as key from v where predicate <> 'number') group by 1)),
+ik as (select distinct dataset, trim(value) as key from v where predicate <> 'number'), ig as (select key, count(*) as d from ik group by 1),
+i as (select count(*) filter (d > 1) as matched from ig), iz as (select dataset, count(*) filter (d > 1) / count(*) as r from ik join ig using (key) group by 1),
 z as (select dataset, count(*) as n, count(*) filter (d > 1) as hit from k join s using (key) group by 1)
 select ['catalog', 'parts', 'stock'] as datasets, ['title', 'name', 'label'] as predicates, case when m.matched > i.matched then 'loose_text' else 'identity' end as rung, m.matched, log10(1 + m.matched) * (select max(hit / n) from z) * 2 as score,
-  list_filter([case when m.matched = 1 then 'single_value_overlap' end, case when (select min(n) from z) < 8 then 'low_cardinality' end, case when i.matched = 0 then 'fold_only_match' end], lambda x: x is not null) as flags
+  list_filter([case when m.matched = 1 then 'single_value_overlap' end, case when (select min(n) from z) < 8 then 'low_cardinality' end, case when i.matched = 0 then 'fold_only_match' end, case when m.matched = i.matched and (select min(r) < 0.01 and max(r) > 0.5 from iz) then 'asymmetric_coverage' end], lambda x: x is not null) as flags
 from m, i where m.matched > 0""",
 )
 def xw_discover(spark, sf_dir):
