@@ -38,20 +38,26 @@ class Map:
     properties: tuple[Property, ...] = field(default_factory=tuple)
 
 
-def iri(template: str) -> Column:
-    """Subject or link: {column} parts percent-encoded; null where any part is empty."""
+def iri(template: str, whole: frozenset[str] = frozenset()) -> Column:
+    """Subject or link: {column} parts percent-encoded; null where any part is empty. whole: columns of whole numbers,
+    which need no encoding and are empty only where they are null."""
     parts = re.split(r"\{([^{}]+)\}", template)
-    names = parts[1::2]
-    made = F.concat(*[percent_encode(F.col(f"`{p}`")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    names = [n for n in parts[1::2] if n not in whole]
+    cell = lambda p: F.col(f"`{p}`").cast("string") if p in whole else percent_encode(F.col(f"`{p}`"))
+    made = F.concat(*[cell(p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
     return reduce(lambda out, n: F.when(text(F.col(f"`{n}`")) != "", out), names, made)
 
 
-def _objects(p: Property) -> Column:
+def _whole(df: DataFrame) -> frozenset[str]:
+    return frozenset(n for n, t in df.dtypes if t in ("tinyint", "smallint", "int", "bigint"))
+
+
+def _objects(p: Property, whole: frozenset[str]) -> Column:
     """Array of object texts; list functions give several, no value gives none."""
     if p.constant is not None:
         value = F.lit(p.constant)
     elif p.template is not None:
-        value = iri(p.template)
+        value = iri(p.template, whole)
     elif p.function is not None:
         value = function(p.function)(*[F.col(f"`{c}`") for c in (p.columns or (p.column,))], *p.args)
     else:
@@ -66,23 +72,24 @@ def quads(source: DataFrame, spec: Map, graph: str, only: tuple[str, ...] | None
     only: predicates that are asked for; others are not made and their columns not read (a filter behind the explode
     cannot reach the scan). distinct=False leaves repeated quads in, for a caller who makes a set of several maps.
     """
+    whole = _whole(source)
     entries = [F.array(*[F.struct(F.lit(TYPE).alias("p"), F.lit(c).alias("o"), F.lit("iri").alias("kind"), F.lit("").alias("dt"), F.lit("").alias("lang")) for c in spec.classes])] if spec.classes and (only is None or TYPE in only) else []
     for p in spec.properties:
         if only is None or p.predicate in only:
-            entries.append(_entries(p, "iri" if p.template is not None or p.iri else "literal"))
+            entries.append(_entries(p, "iri" if p.template is not None or p.iri else "literal", whole))
     if not entries:
         entries = [F.array().cast("array<struct<p:string,o:string,kind:string,dt:string,lang:string>>")]
-    rows = source.select(iri(spec.subject).alias("s"), F.explode(F.concat(*entries)).alias("e")).where("s is not null")
+    rows = source.select(iri(spec.subject, whole).alias("s"), F.explode(F.concat(*entries)).alias("e")).where("s is not null")
     rows = rows.select(F.lit(graph).alias("g"), "s", "e.*")
     rows = rows.withColumn("o_num", F.when((F.col("kind") == "literal") & F.col("dt").isin("xsd:integer", "xsd:double", "xsd:decimal"), to_double(F.col("o")))).select(*QUAD)
     return rows.dropDuplicates(QUAD[:-1]) if distinct else rows
 
 
-def _entries(p: Property, kind: str) -> Column:
+def _entries(p: Property, kind: str, whole: frozenset[str]) -> Column:
     def entry(o: Column) -> Column:
         return F.struct(F.lit(p.predicate).alias("p"), o.alias("o"), F.lit(kind).alias("kind"), F.lit(p.datatype or "").alias("dt"), F.lit(p.language or "").alias("lang"))
 
-    return F.transform(_objects(p), entry)
+    return F.transform(_objects(p, whole), entry)
 
 
 def all_quads(*parts: DataFrame) -> DataFrame:
