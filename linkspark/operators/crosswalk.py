@@ -92,3 +92,11 @@ def classify(values: DataFrame) -> DataFrame:
     out = values.groupBy("participant").agg(F.count(F.lit(1)).alias("n"), F.count_if(full).alias("filled"), F.count_distinct(F.when(full, v)).alias("distinct"), F.count_if(full & (F.length(v) > 120)).alias("long"), F.count_if(full & v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")).alias("numbers"))
     why = F.when(F.col("long") >= 0.5 * F.greatest("filled", F.lit(1)), "free_text").when(F.col("filled") == 0, "empty").when(F.col("distinct") == 1, "constant").when(F.col("numbers") >= 0.95 * F.col("filled"), "numeric")
     return out.select("participant", "filled", "distinct", why.alias("excluded"))
+
+
+def link_counts(links: DataFrame) -> DataFrame:
+    """(participant, links, hubs) of the links of hub(); participant null: all of them. Two steps, so no row is copied."""
+    each = links.groupBy("hub", "participant").agg(F.count(F.lit(1)).alias("links"))
+    own = each.groupBy("participant").agg(F.sum("links").alias("links"), F.count(F.lit(1)).alias("hubs"))
+    every = each.groupBy("hub").agg(F.sum("links").alias("links")).agg(F.sum("links").alias("links"), F.count(F.lit(1)).alias("hubs"))
+    return own.unionByName(every.where("hubs > 0").select(F.lit(None).cast("string").alias("participant"), "links", "hubs"))

@@ -62,3 +62,97 @@ def ground(labels: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     met = met.select("label", "name").distinct().join(a, "label").join(b, "name").withColumn("score", _score("l", "t")).where("score > 0")
     best = Window.partitionBy("label").orderBy(F.desc("score"), F.length("name"), "name")
     return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).select("label", "name", F.col("score").cast("int").alias("score"), "place")
+
+
+def term_iri(df: DataFrame, column: str, terms: DataFrame, fold: bool = False) -> DataFrame:
+    """df and `iri`, that of the term named in the column; null for null and unknown names. terms: name, iri; of a name
+    that comes twice the least IRI. fold: case does not count, for quantities; it counts for units (m is not M)."""
+    key = (lambda c: F.lower(F.trim(c))) if fold else F.trim
+    known = terms.groupBy(key(F.col("name")).alias("__key")).agg(F.min("iri").alias("iri"))
+    return df.drop("iri").withColumn("__key", key(F.col(f"`{column}`"))).join(known, "__key", "left").drop("__key")
+
+
+def _within(a: DataFrame, x: str, b: DataFrame, y: str, keep: tuple[str, ...]) -> DataFrame:
+    """Pairs of rows of which the text x of a may stand inside the text y of b."""
+    inner = a.where(F.col(x) != "").withColumn("__by", F.substring(x, 1, GRAM))
+    outer = b.where(F.col(y) != "").withColumn("__by", F.explode(_grams(F.col(y))))
+    return inner.join(outer, "__by").select(*keep)
+
+
+def units(queries: DataFrame, catalog: DataFrame, spellings: DataFrame, n: int = 6) -> DataFrame:
+    """(query, name, matched_on, place, resolved): units for each distinct text, best first.
+
+    catalog: name, label, symbol, ucum array<string>, si boolean; spellings: spelling, name. The first of these that hits
+    counts alone: a spelling, a spelling in any case, a symbol, a code, a name, a label in any case. Of several hits the
+    only SI unit comes first and resolves the text, as a single hit does. Texts without a hit get up to n suggestions
+    whose symbol or label holds the text, or whose label is in it. Empty and null texts give nothing."""
+    q = queries.select(F.trim("query").alias("query")).where("query <> ''").distinct()
+    si = catalog.select("name", F.coalesce("si", F.lit(False)).alias("si"))
+    low = F.lower(F.trim("spelling"))
+    keys = [
+        spellings.groupBy(F.col("spelling").alias("key")).agg(F.min("name").alias("name")).select(F.lit(0).alias("rank"), F.lit("alias").alias("matched_on"), F.lit(False).alias("folded"), "key", "name"),
+        spellings.groupBy(low.alias("key")).agg(F.min_by("name", "spelling").alias("name")).select(F.lit(1), F.lit("alias"), F.lit(True), "key", "name"),
+        catalog.select(F.lit(2), F.lit("symbol"), F.lit(False), "symbol", "name"),
+        catalog.select(F.lit(3), F.lit("ucum"), F.lit(False), F.explode("ucum"), "name"),
+        catalog.select(F.lit(4), F.lit("name"), F.lit(False), "name", F.col("name").alias("n")),
+        catalog.select(F.lit(5), F.lit("label"), F.lit(True), F.lower(F.trim("label")), "name"),
+    ]
+    table = keys[0]
+    for k in keys[1:]:
+        table = table.union(k)
+    asked = q.select("query", F.explode(F.array(F.struct(F.lit(False).alias("folded"), F.col("query").alias("key")), F.struct(F.lit(True).alias("folded"), F.lower("query").alias("key")))).alias("k")).select("query", "k.*")
+    hits = asked.join(table, ["folded", "key"]).join(si, "name").select("query", "name", "matched_on", "rank", "si").distinct()
+    of = Window.partitionBy("query")
+    hits = hits.withColumn("best", F.min("rank").over(of)).where("rank = best")
+    hits = hits.withColumn("hits", F.count(F.lit(1)).over(of)).withColumn("sis", F.count_if("si").over(of))
+    one = F.col("sis") == 1
+    place = F.row_number().over(of.orderBy(F.when(one & F.col("si"), 0).otherwise(1), "name"))
+    hits = hits.withColumn("place", place).select("query", "name", "matched_on", "place", ((F.col("hits") == 1) | one).alias("resolved"))
+    rest = q.join(hits.select("query").distinct(), "query", "left_anti").withColumn("low", F.lower("query"))
+    lower = catalog.select("name", F.lower(F.coalesce("label", F.lit(""))).alias("label"), F.lower(F.coalesce("symbol", F.lit(""))).alias("symbol"))
+    keep = ("query", "low", "name", "label", "symbol")
+    near = _within(rest, "low", lower, "label", keep).union(_within(rest, "low", lower, "symbol", keep)).union(_within(lower, "label", rest, "low", keep)).distinct()
+    a, label, symbol = F.col("low"), F.col("label"), F.col("symbol")
+    rank = F.when(symbol == a, 0).when(label.startswith(a) | symbol.startswith(a), 1).when(label.contains(a) | symbol.contains(a), 2).when((label != "") & a.contains(label), 3)
+    near = near.withColumn("rank", rank).where("rank is not null")
+    near = near.withColumn("place", F.row_number().over(of.orderBy("rank", F.length("name"), "name"))).where(F.col("place") <= n)
+    return hits.union(near.select("query", "name", F.lit("suggestion").alias("matched_on"), "place", F.lit(False).alias("resolved")))
+
+
+def quantity_kinds(queries: DataFrame, kinds: DataFrame, n: int = 8) -> DataFrame:
+    """(query, unit, name, score, unit_fits, place): quantities for each distinct column name with its unit, best first.
+
+    queries: query, unit (the name of a resolved unit, null: none known); kinds: name, label, units array<string>. Scores are
+    those of ground(), for names of 4 letters or more; shorter ones match as a whole only. A unit that fits adds 15, alone it
+    is 25; quantities that it does not fit are left out unless their name is the same. A single answer of 100 or more stands
+    alone. Of equal scores those that fit come first, then the shorter name, then the name."""
+    text_of = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    q = queries.select(text_of("query").alias("query"), text_of("unit").alias("unit")).distinct().where("query <> '' or unit <> ''")
+    q = q.select("query", "unit", plain(F.col("query")).alias("q"), words(F.col("query")).alias("q_words"))
+    k = kinds.select("name", plain(F.col("name")).alias("k"), plain(F.col("label")).alias("l"), F.array_union(words(F.col("name")), words(F.col("label"))).alias("k_words"), F.coalesce("units", F.array().cast("array<string>")).alias("units"))
+    keep = ("query", "unit", "name")
+    met = q.select("query", "unit", F.explode("q_words").alias("w")).join(k.select("name", F.explode("k_words").alias("w")), "w").select(*keep)
+    met = met.union(_within(q, "q", k, "k", keep)).union(_within(k, "k", q, "q", keep)).union(_within(q, "q", k, "l", keep))
+    met = met.union(q.where("unit <> ''").join(k.select("name", F.explode("units").alias("unit")), "unit").select(*keep)).distinct()
+    both = met.join(q, ["query", "unit"]).join(k, "name")
+    a, b, c, x, y = (F.col(i) for i in ("q", "k", "l", "q_words", "k_words"))
+    common = F.size(F.array_intersect(x, y))
+    inside = (common == F.size(x)) & (F.size(x) > 0)
+    name = F.when((a != "") & ((a == b) | (a == c)), 100).when(F.length(a) < 4, 0).when(inside & (F.size(x) == F.size(y)), 90).when(inside, 70 + F.greatest(F.lit(0), 10 - (F.size(y) - F.size(x)))).when(b.contains(a) | a.contains(b) | c.contains(a), 50).when(common > 0, 20 + common).otherwise(0)
+    fits = (F.col("unit") != "") & F.array_contains("units", F.col("unit"))
+    both = both.withColumn("s", name).withColumn("unit_fits", fits)
+    score = F.when((F.col("s") < 30) & F.col("unit_fits"), 25).when(F.col("s") < 30, None).when((F.col("unit") != "") & ~F.col("unit_fits") & (F.col("s") < 100), None).otherwise(F.col("s") + F.when(F.col("unit_fits"), 15).otherwise(0))
+    of = Window.partitionBy("query", "unit")
+    out = both.withColumn("score", score).where("score is not null").withColumn("sure", F.count_if(F.col("score") >= 100).over(of)).where("sure <> 1 or score >= 100")
+    place = F.row_number().over(of.orderBy(F.desc("score"), F.desc("unit_fits"), F.length("name"), "name"))
+    return out.select("query", "unit", "name", "score", "unit_fits", place.alias("place")).where(F.col("place") <= n)
+
+
+def schema_terms(minted: DataFrame, terms: DataFrame, known: tuple[str, ...], n: int = 3, least: int = 40) -> DataFrame:
+    """(kind, term, name, score, place): up to n terms of a vocabulary, of `least` score or more, for each minted class or
+    property. minted: kind, term (prefix:local, or local); terms: name, kind. Terms under a known prefix are in use already
+    and left out, as are terms without candidates, empty and null ones."""
+    local = F.regexp_replace("term", "^[^:]*:", "")
+    new = minted.where(~F.when(F.col("term").contains(":"), F.substring_index("term", ":", 1)).otherwise("").isin(*known)).select("kind", "term", local.alias("label")).where("label <> ''").distinct()
+    out = [ground(new.where(F.col("kind") == kind), terms.where(F.col("kind") == kind), n).withColumn("kind", F.lit(kind)) for kind in ("class", "property")]
+    return new.join(out[0].unionByName(out[1]), ["kind", "label"]).where(F.col("score") >= least).select("kind", "term", "name", "score", "place")

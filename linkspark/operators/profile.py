@@ -256,3 +256,22 @@ def subset(table: DataFrame, labelled: DataFrame, key: str, n: int) -> DataFrame
     """Every row of a table whose key is among the first `n` keys of the labelled rows."""
     first = labelled.select(key).where(F.col(key).isNotNull()).distinct().orderBy(key).limit(n)
     return table.join(F.broadcast(first), key, "left_semi")  # n keys
+
+
+def column_order(rows: DataFrame, order: str, names: str) -> DataFrame:
+    """(name, row, position) of each name in the arrays `names` of sparse rows: where it comes first by the column `order`.
+    Sorted by row and position this is the order of the columns of a table of all rows. Null names are left out."""
+    each = rows.select(F.col(order).alias("row"), F.posexplode(names).alias("position", "name")).where("name is not null")
+    return each.groupBy("name").agg(F.min(F.struct("row", "position")).alias("first")).select("name", "first.row", "first.position")
+
+
+def transform_coverage(maps: DataFrame, gate: float = 0.05) -> DataFrame:
+    """(dataset, total, functions, raws, directs, raw_rate, passes), a row a dataset and one with null for all. maps: dataset,
+    kind (function, raw or direct; others count in total alone). raw_rate: raws of raws and functions, null without any;
+    passes: of the pooled row alone, whether its rate is under the gate."""
+    each = maps.where("dataset is not null").groupBy("dataset", "kind").agg(F.count(F.lit(1)).alias("n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0).cast("long"))
+    out = each.rollup("dataset").agg(F.grouping("dataset").alias("all"), F.sum("n").alias("total"), of("function").alias("functions"), of("raw").alias("raws"), of("direct").alias("directs"))
+    rate = F.when(F.col("raws") + F.col("functions") > 0, F.col("raws") / (F.col("raws") + F.col("functions")))
+    out = out.withColumn("raw_rate", rate).where("total is not null")
+    return out.select("dataset", "total", "functions", "raws", "directs", "raw_rate", F.when(F.col("all") == 1, F.col("raw_rate") < gate).alias("passes"))

@@ -94,3 +94,13 @@ def write_new(new: DataFrame, path: str, key: list[str]) -> None:
         same = reduce(lambda a, b: a & b, [F.col(f"f.`{k}`").eqNullSafe(F.col(f"h.`{k}`")) for k in key])  # a null key part is a value
         fresh = fresh.alias("f").join(held, same, "left_anti")
     fresh.write.mode("append").parquet(path)
+
+
+def write_graph(q: DataFrame, path: str, rows: int = 50_000) -> None:
+    """Append quads, a folder a graph, in files of at most `rows` quads: a lost writer loses one such file's work."""
+    q.write.mode("append").partitionBy("g").option("maxRecordsPerFile", rows).parquet(path)
+
+
+def accumulate(batch: DataFrame, path: str, batch_id: str) -> None:
+    """Grow a stored source by a batch: a folder a batch, written over if the batch is sent again, so it counts once."""
+    batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")

@@ -42,3 +42,37 @@ def quarantined(rows: DataFrame, good) -> tuple[DataFrame, DataFrame]:
     """Rows that pass, and those set aside with the time of their batch; a null condition fails."""
     ok = F.coalesce(good, F.lit(False))
     return rows.where(ok), rows.where(~ok).withColumn("quarantined_at", F.current_timestamp())
+
+
+def drop_dir(spark: SparkSession, root: str, schema: str, each, checkpoint: str, suffix: str = "parquet", kind: str = "parquet") -> None:
+    """Hand every new file below a folder to each(rows, batch_id), with the column dataset, the first folder below root (null
+    for files in root itself). Only files of the suffix; parts of the path that start with a dot or underscore are hidden.
+    Writers rename whole files into place. The checkpoint remembers files, so each() has to bear a batch sent again."""
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{suffix}").format(kind).load(root)
+    below = F.split_part(F.col("_metadata.file_path"), F.lit("/" + root.strip("/") + "/"), F.lit(2))
+    rows = stream.withColumn("__below", below).where(~F.col("__below").rlike(r"(^|/)[._]"))
+    rows = rows.withColumn("dataset", F.when(F.col("__below").contains("/"), F.substring_index("__below", "/", 1))).drop("__below")
+    rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def rechecked(target: str, findings: str, key: list[str], check):
+    """A batch's function for drop_dir(): append its quads to target as a set, then write check(all quads, classes of the
+    batch) as this batch's findings. A batch sent again writes the same folder over."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_new(batch, target, key)
+        classes = batch.where("p = 'rdf:type'").select(F.col("o").alias("class")).distinct()
+        check(batch.sparkSession.read.parquet(target), classes).write.mode("overwrite").parquet(f"{findings}/batch={batch_id}")
+
+    return each
+
+
+def refreshed(target: str, hubs: str, key: list[str], build):
+    """A batch's function: append its rows to target as a set and build the hub anew from all of them, once a batch however
+    many files it holds. Each build has its own folder; readers take the one of the greatest number."""
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        write_new(batch, target, key)
+        build(batch.sparkSession.read.parquet(target)).write.mode("overwrite").parquet(f"{hubs}/build={batch_id}")
+
+    return each
