@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,46 +51,56 @@ def _whole(parts: dict[str, float], exact: bool) -> str | None:
     return "".join(e if n == div else f"{e}{n // div}" for e, n in ints.items())
 
 
-@pandas_udf(T.StructType([T.StructField(n, T.ArrayType(T.StringType())) for n in ("formulas", "dopants", "substituents")]))
-def _split(elements: pd.Series, amounts: pd.Series) -> pd.DataFrame:
-    """Of each formula: the formulas of its host (exact, rounded, each group of elements as its greatest), and the names of
-    its dopants and of the elements that lose to one of their group. Null formulas have null formulas and empty lists."""
+def _amounts(s: str | None) -> dict[str, float]:
+    """As parsed(), of one text inside a task; empty where that is null."""
+    s = (s or "").strip()
+    found = [] if re.search("[ (]|[a-z]{2,}", s) else re.findall(PART, s)
+    out: dict[str, float] = {}
+    for p in found if sum(map(len, found)) >= 0.9 * len(s) else []:
+        e = re.match("[A-Z][a-z]?", p)[0]
+        out[e] = out.get(e, 0.0) + float(p[len(e) :] or 1)
+    return out
+
+
+_MADE = T.StructType([T.StructField(n, T.ArrayType(t)) for n, t in (("formulas", T.StringType()), ("ways", T.IntegerType()), ("dopants", T.StringType()), ("rates", T.DoubleType()), ("substituents", T.StringType()))])
+
+
+@pandas_udf(_MADE)
+def _split(compositions: pd.Series, families: pd.Series) -> pd.DataFrame:
+    """Of each composition: the formulas of its host with the way (1 to 4) that gave each first, its dopants with their amounts,
+    and the elements that lose to one of their group. Without amounts only the family can be a candidate."""
     group = {e: g for g in GROUPS for e in g.split()}
 
-    def one(names, values):
-        if names is None:
-            return [None] * 3, [], []
-        share = sum(values) or 1.0
-        parts = dict(zip(names, values))
+    def one(composition, family):
+        parts, label = _amounts(composition), family.strip() if _amounts(family) else None
+        share = sum(parts.values()) or 1.0
         main = {e: a for e, a in parts.items() if a / share >= DILUTE} or parts
         kin: dict[str, list[str]] = {}
         for e in sorted(main, key=lambda e: -main[e]):
             kin.setdefault(group.get(e, e), []).append(e)
         losers = {e for same in kin.values() for e in same[1:]}
         merged = {e: sum(main[o] for o in kin[group.get(e, e)]) for e in main if e not in losers}
-        return [_whole(main, True), _whole(main, False), _whole(merged, False) if losers else None], [e for e in parts if e not in main], [e for e in main if e in losers]
+        tried = [label, _whole(main, True), _whole(main, False), _whole(merged, False) if losers else None]
+        first = {f: way for way, f in reversed(list(enumerate(tried, 1))) if f}
+        order = sorted(first, key=first.get)
+        rare = [e for e in parts if e not in main]
+        return order, [first[f] for f in order], rare, [float(parts[e]) for e in rare], [e for e in main if e in losers]
 
-    return pd.DataFrame([one(n, v) for n, v in zip(elements, amounts)], columns=["formulas", "dopants", "substituents"])
+    return pd.DataFrame([one(*row) for row in zip(compositions, families)], columns=_MADE.names)
 
 
 def hosts(df: DataFrame, composition: str, family: str) -> DataFrame:
     """df and candidates array<struct<formula, method, confidence>> in the order to try, dopants array<struct<element,
     amount>> and substituents array<string>. Elements under DILUTE of the atoms are dopants, unless all are. candidates is
     null where neither text is a formula; the arrays of others are empty then. Columns of df by these names are replaced."""
-    amounts, made = F.col("__amounts"), F.col("__made")
-    out = df.withColumn("__amounts", parsed(F.col(f"`{composition}`")))
+    made = F.col("__made")
     once = _split.asNondeterministic()  # so Spark neither repeats it nor moves it into a filter below a later explode
-    out = out.withColumn("__made", once(amounts["element"], amounts["amount"]))
-    label = F.regexp_replace(text(F.col(f"`{family}`")), r"^\s+|\s+$", "")
-    formulas = [F.when(parsed(label).isNotNull(), label), *[made["formulas"][i] for i in range(3)]]
-    kept = []
-    for i, (formula, (way, sure)) in enumerate(zip(formulas, WAYS)):  # a formula that an earlier way gave counts there
-        new = reduce(lambda ok, f: ok & ~formula.eqNullSafe(f), formulas[:i], formula.isNotNull())
-        kept.append(F.when(new, F.struct(formula.alias("formula"), F.lit(way).alias("method"), F.lit(sure).alias("confidence"))))
-    tried = F.array_compact(F.array(*kept))
-    out = out.withColumn("candidates", F.when(F.size(tried) > 0, tried))
-    out = out.withColumn("dopants", F.coalesce(F.filter(amounts, lambda p: F.array_contains(made["dopants"], p["element"])), F.array().cast("array<struct<element:string,amount:double>>")))
-    return out.withColumn("substituents", made["substituents"]).drop("__amounts", "__made")
+    out = df.withColumn("__made", once(F.col(f"`{composition}`").cast("string"), F.col(f"`{family}`").cast("string")))
+    ways, sure = (F.array(*[F.lit(w[i]) for w in WAYS]) for i in (0, 1))
+    tried = F.zip_with(made["formulas"], made["ways"], lambda f, w: F.struct(f.alias("formula"), F.element_at(ways, w).alias("method"), F.element_at(sure, w).alias("confidence")))
+    out = out.withColumn("candidates", F.when(F.size(made["formulas"]) > 0, tried))
+    out = out.withColumn("dopants", F.zip_with(made["dopants"], made["rates"], lambda e, a: F.struct(e.alias("element"), a.alias("amount"))))
+    return out.withColumn("substituents", made["substituents"]).drop("__made")
 
 
 def link_quads(matched: DataFrame, base: str, at: str) -> DataFrame:
