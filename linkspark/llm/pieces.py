@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,8 +19,10 @@ from linkspark.llm.common import slices
 
 #: The mark that stands for a blank (fixed by the file format).
 BLANK = "▁"
-#: Words whose pieces are kept between texts of a task, and the longest of them, in characters.
-KEPT, LONG = 100_000, 64
+#: Words after which a task forgets those that it has not met since, and the longest that share an agenda's matrix.
+KEPT, LONG = 150_000, 64
+#: Words that the library checks in one text; characters of a stretch of a long text.
+SIDE, STRETCH = 256, 1_000_000
 
 
 class Vocabulary:
@@ -98,61 +103,203 @@ class Vocabulary:
 
     def spell(self, ids: list[int]) -> str:
         """The text that a word's pieces stand for, blanks as BLANK."""
-        out: list[str] = []
-        held = bytearray()
+        if self.raw.keys().isdisjoint(ids):
+            return "".join([self.text[i] for i in ids])
+        out = bytearray()
         for i in ids:
-            if i in self.raw:
-                held.append(self.raw[i])
-                continue
-            if held:
-                out.append(held.decode(errors="replace"))
-                held = bytearray()
-            out.append(self.text[i])
-        return "".join(out) + held.decode(errors="replace")
+            out += bytes([self.raw[i]]) if i in self.raw else self.text[i].encode()
+        return out.decode(errors="replace")
 
     def decode(self, ids: list[int]) -> str:
         """A text from its ids: the pieces side by side, blanks back in place, less the one that was put first."""
         return self.spell(ids).removeprefix(BLANK).replace(BLANK, " ")
 
 
+class Agendas:
+    """Vocabulary.encode for many words side by side. Each word has a row of symbols and a row of the scores of its
+    adjacent pairs, its agenda; in a round every word merges its best pair, of equal scores the leftmost, and its two
+    neighbours are scored anew. Words without a pair that makes a piece leave."""
+
+    def __init__(self, vocabulary: Vocabulary):
+        merged = vocabulary.merged
+        self.vocabulary, self.first = vocabulary, len(vocabulary.text)
+        #: A character is its piece, or stands by its code point behind all pieces.
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.first
+        for piece, (_, i) in merged.items():
+            if len(piece) == 1:
+                self.symbol[ord(piece)] = i
+        rank = {x: r for r, x in enumerate(sorted({x for x, _ in merged.values()}))}
+        self.none = len(rank)
+        found: dict[int, tuple[int, int]] = {}
+        for piece, (score, i) in merged.items():
+            for k in range(1, len(piece)):
+                left, right = self._known(piece[:k]), self._known(piece[k:])
+                if left is not None and right is not None:
+                    found[left << 21 | right] = rank[score], i
+        self.keys = np.array(sorted(found), np.int64)
+        self.rank = np.array([found[k][0] for k in self.keys.tolist()], np.int64)
+        self.made = np.array([found[k][1] for k in self.keys.tolist()], np.int64)
+
+    def _known(self, part: str) -> int | None:
+        if len(part) == 1:
+            return int(self.symbol[ord(part)])
+        found = self.vocabulary.merged.get(part)
+        return found and found[1]
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pair stands among the pairs that make a piece, and its rank (none: behind all)."""
+        key = left << 21 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return at, np.where(self.keys[at] == key, self.rank[at], self.none)
+
+    def _lot(self, words: list[str]) -> list[list[int]]:
+        """Symbols of words of one length."""
+        n, width = len(words), len(words[0])
+        symbols = self.symbol[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)].reshape(n, width)
+        agenda = self._pairs(symbols[:, :-1], symbols[:, 1:])[1]
+        who = np.arange(n)
+        out: list[list[int]] = [[]] * n
+        while len(who):
+            best = agenda.argmin(1) if width > 1 else np.zeros(len(who), np.int64)
+            goes_on = agenda[np.arange(len(who)), best] < self.none if width > 1 else np.zeros(len(who), bool)
+            if not goes_on.all():
+                for k, row in zip(who[~goes_on].tolist(), symbols[~goes_on].tolist(), strict=True):
+                    out[k] = row
+                who, symbols, agenda, best = who[goes_on], symbols[goes_on], agenda[goes_on], best[goes_on]
+                if not len(who):
+                    break
+            rows = np.arange(len(who))
+            at, _ = self._pairs(symbols[rows, best], symbols[rows, best + 1])
+            symbols[rows, best] = self.made[at]
+            # every word loses the right half of its pair, and its agenda the pair itself
+            stays = np.ones(symbols.shape, bool)
+            stays[rows, best + 1] = False
+            symbols = symbols[stays].reshape(len(who), width - 1)
+            stays = np.ones(agenda.shape, bool)
+            stays[rows, best] = False
+            agenda = agenda[stays].reshape(len(who), width - 2)
+            width -= 1
+            some = best > 0
+            r, b = rows[some], best[some]
+            agenda[r, b - 1] = self._pairs(symbols[r, b - 1], symbols[r, b])[1]
+            some = best < width - 1
+            r, b = rows[some], best[some]
+            agenda[r, b] = self._pairs(symbols[r, b], symbols[r, b + 1])[1]
+        return out
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        """Numbers of each word's pieces; words over LONG characters go through their own agenda."""
+        out: list[list[int]] = [[]] * len(words)
+        by: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                out[k] = self.vocabulary.encode(w)
+            else:
+                by.setdefault(len(w), []).append(k)
+        spelled = self.vocabulary.bytes
+        for some in by.values():
+            for k, row in zip(some, self._lot([words[k] for k in some]), strict=True):
+                if max(row) >= self.first:
+                    row = [i for s in row for i in ([s] if s < self.first else [spelled[b] for b in chr(s - self.first).encode()])]
+                out[k] = row
+        return out
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """A long text in pieces of about STRETCH characters that are encoded on their own: each cut is a blank behind
+    another character, which is the blank that is put before the next piece."""
+    low = 0
+    while len(text) - low > STRETCH:
+        cut = low + STRETCH
+        while (cut := text.find(" ", cut)) >= 0 and text[cut - 1] in (" ", BLANK):
+            cut += 1
+        if cut < 0:
+            break
+        yield text[low:cut]
+        low = cut + 1
+    yield text[low:]
+
+
+class Encoder:
+    """Words with their ids as text and what they spell; words of the last stretches are remembered, KEPT at a time."""
+
+    def __init__(self, file: bytes):
+        self.vocabulary = Vocabulary(file)
+        self.agendas = Agendas(self.vocabulary)
+        self.young: dict[str, tuple[str, str]] = {}
+        self.old: dict[str, tuple[str, str]] = {}
+        self.strange: set[str] = set()
+        self.digits = [str(i) for i in range(len(self.vocabulary.text))]
+
+    def _same(self, words: list[str], ids: list[list[int]]) -> bool:
+        """Whether the library gives these ids for the words side by side, and for these ids the text that they spell."""
+        library = self.vocabulary.model
+        # the library puts a blank in front of its own accord: the first word's first blank is that one
+        text = "".join(words).removeprefix(BLANK).replace(BLANK, " ")
+        mine = np.fromiter(chain.from_iterable(ids), np.int32)
+        if words == [BLANK]:  # an empty text would have no ids
+            return mine.tolist() == library.encode("x ")[len(library.encode("x")) :]
+        spelled = "".join([self.young[w][1] for w in words]).removeprefix(" ")
+        return np.array_equal(mine, library.encode(text, return_type="numpy")) and spelled == library.decode(mine)
+
+    def learn(self, words: set[str]) -> None:
+        """Have all these words ready. New ones are encoded, and the library has to come to the same."""
+        if len(self.young) > KEPT:
+            self.old, self.young = self.young, {}
+            self.strange &= self.old.keys()
+        new = []
+        for w in words:
+            if w not in self.young:
+                if w in self.old:
+                    self.young[w] = self.old[w]
+                else:
+                    new.append(w)
+        ids = self.agendas.encode(new)
+        spell, digits = self.vocabulary.spell, self.digits
+        for w, x in zip(new, ids, strict=True):
+            self.young[w] = ",".join([digits[i] for i in x]), spell(x).replace(BLANK, " ")
+        together = [k for k, w in enumerate(new) if self.vocabulary.parts and w[-1] != BLANK]
+        alone = [k for k, w in enumerate(new) if not self.vocabulary.parts or w[-1] == BLANK]
+        for low in range(0, len(together), SIDE):
+            some = together[low : low + SIDE]
+            if not self._same([new[k] for k in some], [ids[k] for k in some]):
+                alone += some
+        self.strange.update(new[k] for k in alone if not self._same([new[k]], [ids[k]]))
+
+
 def _rows(shared, text: str, keep: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(shared.value)
-        known: dict[str, tuple[list[int], str, str, bool]] = {}
-
-        def learn(new: list[str]) -> None:
-            """Pieces of words; the library has to come to the same ids and the same text."""
-            # the library puts a blank in front of its own accord: the word's first blank is that one
-            library = vocabulary.model
-            plain = [w.removeprefix(BLANK).replace(BLANK, " ") for w in new]
-            other = library.encode(plain, num_threads=1)
-            for w, p, theirs, back in zip(new, plain, other, library.decode(other, num_threads=1), strict=True):
-                ids = vocabulary.encode(w)
-                spelled = vocabulary.spell(ids).replace(BLANK, " ")
-                if not p and w:  # a lone last blank: an empty text would have no ids
-                    theirs = library.encode("x ")[len(library.encode("x")) :]
-                known[w] = ids, ",".join(map(str, ids)), spelled, ids == theirs and spelled.removeprefix(" ") == back
+        encoder = Encoder(shared.value)
+        watched = gc.isenabled()
+        gc.disable()  # some 100,000 words are held and nothing here makes cycles: looking for them took a quarter of the time
+        try:
+            yield from given(encoder, batches)
+        finally:
+            if watched:
+                gc.enable()
 
+    def given(encoder: Encoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            cols = [[], [], [], [], [], []]
-            for value in batch[text].to_pylist():
-                words = vocabulary.words(value or "")
-                if len(known) > KEPT:
-                    known.clear()
-                new = list({w for w in words if w not in known})
-                for low in range(0, len(new), 10_000):
-                    learn(new[low : low + 10_000])
-                got = [known[w] for w in words]
-                decoded = "".join(g[2] for g in got).removeprefix(" ")
-                cols[0].append(sum(len(g[0]) for g in got))
-                cols[1].append(hashlib.sha256(",".join(g[1] for g in got).encode()).hexdigest())
-                cols[2].append(hashlib.sha256(decoded.encode()).hexdigest())
-                cols[3].append(all(g[3] for g in got))
-                cols[4].append([i for g in got for i in g[0]] if keep else None)
-                cols[5].append(decoded if keep else None)
-                for w in new:
-                    if len(w) > LONG:
-                        known.pop(w, None)
+            texts = [v or "" for v in batch[text].to_pylist()]
+            # a slice holds texts of about one stretch together, or one longer text
+            lots = [[s] for s in _stretches(texts[0])] if len(texts) == 1 and encoder.vocabulary.parts else [texts]
+            done = [([hashlib.sha256(), hashlib.sha256()], [0, True], [[], []]) for _ in texts]
+            for number, lot in enumerate(lots):
+                words = [encoder.vocabulary.words(t) if t or not number else [BLANK] for t in lot]
+                encoder.learn(set().union(*words))
+                got = encoder.young
+                for own, (digests, counts, parts) in zip(words, done, strict=True):
+                    numbers, spelled = zip(*[got[w] for w in own], strict=True) if own else ((), ())
+                    ids, decoded = ",".join(numbers), "".join(spelled)
+                    counts[0] += ids.count(",") + 1 if ids else 0
+                    counts[1] = counts[1] and not (encoder.strange and encoder.strange.intersection(own))
+                    digests[0].update(("," * bool(number) + ids).encode())
+                    decoded = decoded if number else decoded.removeprefix(" ")
+                    digests[1].update(decoded.encode())
+                    if keep:
+                        parts[0] += map(int, filter(None, ids.split(",")))
+                        parts[1].append(decoded)
+            cols = [[c[0] for _, c, _ in done], [d[0].hexdigest() for d, _, _ in done], [d[1].hexdigest() for d, _, _ in done], [c[1] for _, c, _ in done], [p[0] for _, _, p in done], ["".join(p[1]) for _, _, p in done]]
             made = [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int32()), pa.string()), strict=True)]
             made, names = (made, [*NAMES, "ids", "decoded"]) if keep else (made[:4], NAMES)
             rest = [c for c in batch.schema.names if c not in names]
@@ -169,15 +316,16 @@ def encoded(docs: DataFrame, vocabulary: str, text: str = "text", keep: bool = F
 
     vocabulary: path of a merge-type model file, read on the driver and shipped (under 1 MB). Each whole text is encoded
     as the file's own library does, without begin or end ids, and decoded again. A text is cut where no piece of the
-    vocabulary reaches across, which is before each run of blanks; a word is encoded once in a task and its pieces are
-    kept for later texts (KEPT words, of LONG characters at most; longer ones are encoded whenever they come). A text
-    without blanks is one word, in time n log n. same_as_library: the library gave the same ids and the same text for
+    vocabulary reaches across, which is before each run of blanks. The words of about 2 MB of text run their
+    agendas side by side, as rows of a matrix; words over LONG characters each have a heap, in time n log n. A task
+    remembers the pieces of the words that it met lately (KEPT and twice that at most, and those of one stretch). A text
+    over 2 MB goes stretch by stretch; one without blanks is one word. same_as_library: the library gave the same ids and the same text for
     every word of the text.
 
     Null and empty texts have no tokens; their digests are those of an empty string. Characters outside the vocabulary
     are their UTF-8 bytes. A mark of a blank that stands in a text comes back as a blank, as with the library. Rows come
     back one for one, repeats and null ids included; other columns stay, but columns that have the name of a new one are
-    replaced. One narrow pass, no shuffle: texts of 2 MB at a time are in memory, or one longer text.
+    replaced. One narrow pass, no shuffle.
     """
     file = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     names = [*NAMES, "ids", "decoded"] if keep else NAMES

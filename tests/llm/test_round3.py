@@ -198,3 +198,20 @@ def test_triangles_meet_in_rounds(spark):
     r = whitening.triangle(df, lambda b: whitening._matrix(b, 6).astype(float), 6)
     assert np.allclose(r.T @ r, x.T @ x)
     assert df.where(F.lit(False)).count() == 0 and not whitening.triangle(df.where(F.lit(False)), lambda b: whitening._matrix(b, 6).astype(float), 6).size
+
+
+def test_pieces_long_texts_in_stretches(spark, monkeypatch):
+    model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(5)
+    text = "".join(rng.choice("abcdefgh  \n▁é ") for _ in range(4000))
+    monkeypatch.setattr(pieces, "STRETCH", 50)
+    parts = list(pieces._stretches(text))
+    assert len(parts) > 20 and " ".join(parts) == text
+    shared = type("Shared", (), {"value": open(MODEL, "rb").read()})
+    import pyarrow as pa
+
+    for t in (text, text + " ", text + "  ", "x" * 60 + " ", "x" * 60 + "  y", " " * 200, "x" * 200):
+        (out,) = pieces._rows(shared, "text", True)(iter([pa.RecordBatch.from_arrays([pa.array([t])], ["text"])]))
+        row = out.to_pylist()[0]
+        assert row["ids"] == model.encode(t) and row["decoded"] == model.decode(model.encode(t)) and row["same_as_library"]
+        assert row["ids_sha256"] == sha(",".join(map(str, row["ids"]))) and row["n_tokens"] == len(row["ids"])
