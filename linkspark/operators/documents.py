@@ -50,30 +50,3 @@ def fulltext(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
 def provenance(docs: DataFrame, base: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, activity): the parse of each document, named by a hash of its content; equal texts share one."""
     return docs.select(key, F.concat(F.lit(base), F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")), 256), 1, 12)).alias("activity"))
-
-
-def xml_inventory(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """Numbers of sections, figures and paragraphs of each article, and of those that have an id."""
-    n = lambda path: F.xpath_int(F.col(xml), F.lit(f"count({path})"))
-    return docs.select(key, n("//sec").alias("sections"), n("//sec[@id]").alias("sections_with_id"), n("//fig").alias("figures"), n("//fig[@id]").alias("figures_with_id"), n("//p").alias("paragraphs"))
-
-
-def _texts(xml: str, node: str, path: str) -> Column:
-    """For each node with an id the text at a path below it, "" where there is none: one match for each node, since Spark's
-    xpath takes fixed paths and leaves out what is missing."""
-    pieces = F.regexp_extract_all(F.col(xml), F.lit(f'(?s)<{node} id="[^"]*">.*?(?=<{node}[ >]|$)'), F.lit(0))
-    return F.transform(pieces, lambda p: F.trim(F.regexp_replace(F.regexp_extract(p, f"(?s)<{path}>(.*?)</{path}>", 1), "<[^>]*>", "")))
-
-
-def figures(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """(key, figure, label, caption) of figures that have an id; figures without one are passed over."""
-    ids = F.xpath(F.col(xml), F.lit("//fig[@id]/@id"))
-    rows = docs.select(key, F.explode(F.arrays_zip(ids.alias("figure"), _texts(xml, "fig", "label").alias("label"), _texts(xml, "fig", "caption").alias("caption"))).alias("f"))
-    return rows.select(key, "f.*")
-
-
-def sections(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
-    """(key, section, title) of sections that have an id, in order; a section without one is passed over."""
-    ids = F.xpath(F.col(xml), F.lit("//sec[@id]/@id"))
-    rows = docs.select(key, F.explode(F.arrays_zip(ids.alias("section"), _texts(xml, "sec", "title").alias("title"))).alias("f"))
-    return rows.select(key, "f.*")

@@ -178,33 +178,6 @@ def doc_provenance(spark, sf_dir):
     return documents.provenance(_t(spark, sf_dir, "documents"), "http://x/activity/")
 
 
-_XML = "xml_of as (select conv_id, count(*) as n, count(*) filter (turn % 2 = 0) as figs from conversations group by 1)"
-
-
-def _articles(spark, sf_dir):
-    """An article for each conversation: a section for each turn, nested in one section without an id for odd turns."""
-    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^A-Za-z0-9 ]", "")
-    section = F.concat(F.lit('<sec id="s'), F.col("turn"), F.lit('"><title>'), F.coalesce("role", F.lit("")), F.lit("</title><p>"), plain, F.lit("</p>"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit('<fig id="f'), F.col("turn"), F.lit('"><label>Fig</label><caption><p>cap '), F.col("turn"), F.lit("</p></caption></fig>"))).otherwise(""), F.lit("</sec>"))
-    rows = _t(spark, sf_dir, "conversations").select("conv_id", "turn", section.alias("x"))
-    body = rows.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "x"))), lambda r: r["x"]), "").alias("b"))
-    return body.select(F.col("conv_id").alias("doc_id"), F.concat(F.lit("<article><body>"), "b", F.lit("<fig><label>no id</label></fig></body></article>")).alias("xml"))
-
-
-@query("doc_xml_inventory", f"with {_XML} select conv_id as doc_id, n::int as sections, n::int as sections_with_id, (figs + 1)::int as figures, figs::int as figures_with_id, (n + figs)::int as paragraphs from xml_of")
-def doc_xml_inventory(spark, sf_dir):
-    return documents.xml_inventory(_articles(spark, sf_dir))
-
-
-@query("doc_figures", "select conv_id as doc_id, 'f' || turn as figure, 'Fig' as label, 'cap ' || turn as caption from conversations where turn % 2 = 0")
-def doc_figures(spark, sf_dir):
-    return documents.figures(_articles(spark, sf_dir))
-
-
-@query("doc_sections", "select conv_id as doc_id, 's' || turn as section, coalesce(role, '') as title from conversations")
-def doc_sections(spark, sf_dir):
-    return documents.sections(_articles(spark, sf_dir)).select("doc_id", "section", "title")
-
-
 @query("str_batch_digest", "select event_type, count(*) as rows from events group by 1")
 def str_batch_digest(spark, sf_dir):
     return incremental.batch_sizes(_t(spark, sf_dir, "events"), "event_type")

@@ -201,9 +201,9 @@ def win_top(spark, sf_dir):
     return graph.top_per_group(rows, "o_orderpriority", 3, F.desc("o_totalprice"), "o_orderkey")
 
 
-@query("win_sampling_grid", "with s as (select p_retailprice - lag(p_retailprice) over (order by p_partkey) as d from part where p_partkey in (select p_partkey from part order by p_partkey limit 5000)), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
+@query("win_sampling_grid", "with s as (select o_orderkey - lag(o_orderkey) over (order by o_orderkey) as d from orders), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
 def win_grid(spark, sf_dir):
-    return profile.sampling_grid(_t(spark, sf_dir, "part"), "p_partkey", "p_retailprice", first=5000)  # as its SQL
+    return profile.sampling_grid(_t(spark, sf_dir, "orders"), "o_orderkey", "o_orderkey")
 
 
 @query("win_sampling_grid_all", "with s as (select p_retailprice - lag(p_retailprice) over (order by p_partkey) as d from part), m as (select list_sort(list(d) filter (d is not null)) as l from s) select (select count(*) from s) as n, list_bool_and(list_transform(l, lambda x: abs(x - l[len(l) // 2 + 1]) <= 0.01 * abs(l[len(l) // 2 + 1]))) and l[len(l) // 2 + 1] <> 0 as is_grid from m")
@@ -415,4 +415,4 @@ def prof_composite_keys(spark, sf_dir):
     return profile.composite_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
 
 
-from linkspark.plans import graph_queries, linking_queries, profile_queries, value_queries  # noqa: E402, F401  they fill the registry too
+from linkspark.plans import article_queries, graph_queries, linking_queries, profile_queries, value_queries  # noqa: E402, F401  they fill the registry too
