@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,67 +134,77 @@ def broadcast_rows(content: DataFrame, dialect: Dialect) -> DataFrame:
     return rows.join(about, "file").select("file", "row", fitted.alias("cells"), "meta")
 
 
-def _sniff(data: bytes) -> tuple[str, str, int]:
-    """(encoding, delimiter, skip_rows) of one file's bytes."""
-    import csv
-    import io
-
-    def encoding() -> str:
-        if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
-            return "utf-16"
-        for name in ENCODINGS:
-            try:
-                data.decode(name)
-                return name
-            except UnicodeDecodeError:
-                pass
-        return "latin-1"
-
-    name = encoding()
-    lines = data[:SAMPLE_BYTES].decode(name, "replace").splitlines()
-    lines = (lines[:-1] if len(data) > SAMPLE_BYTES else lines)[:SAMPLE_LINES]
-    body = "\n".join(lines).rstrip()
-
-    def widths(sign: str) -> list[tuple[int, int]]:
-        if sign == WHITESPACE:
-            return [(i, len(line.split())) for i, line in enumerate(body.split("\n")) if line.strip()]
-        reader, out, at = csv.reader(io.StringIO(body, newline=""), delimiter=sign), [], 0
+@pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("sample", T.StringType())]))
+def _foreign(values: pd.Series) -> pd.DataFrame:
+    """Encoding and first bytes of files that are not UTF-8, decoded; Spark has no decoder for most of these."""
+
+    def one(raw: bytes) -> tuple[str, str]:
+        raw = bytes(raw)
+        name = "utf-16" if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else "cp932"
         try:
-            for row in reader:
-                if any(c.strip() for c in row):
-                    out.append((at, len(row)))
-                at = reader.line_num
-        except csv.Error:
-            return [(i, line.count(sign) + 1) for i, line in enumerate(body.split("\n")) if line.strip()]
-        return out
-
-    def table(sign: str) -> tuple[int, int, int] | None:
-        """(rows, columns, first line) of the rows of one width at the end."""
-        found = widths(sign)
-        same = 0
-        while same < len(found) and found[-1 - same][1] == found[-1][1]:
-            same += 1
-        return (same, found[-1][1], found[-same][0]) if same >= LEAST_RUN and found[-1][1] >= LEAST_COLUMNS else None
-
-    comma = {n for _, n in widths(",")}
-    if not body or (len(comma) == 1 and min(comma) >= LEAST_COLUMNS):
-        return name, ",", 0
-    good = [(t[0], t[1], -i, s, t[2]) for i, s in enumerate(SIGNS) if (t := table(s))]
-    best, blank = max(good, default=None), table(WHITESPACE)
-    if blank and (blank[0] > best[0] and blank[1] != best[1] if best else blank[2] == 0 or len(comma) > 1):
-        return name, WHITESPACE, blank[2]
-    return (name, best[3], best[4]) if best else (name, ",", 0)
+            raw.decode(name)
+        except UnicodeDecodeError:
+            name = name if name == "utf-16" else "latin-1"
+        return name, raw[:SAMPLE_BYTES].decode(name, "replace")
+
+    return pd.DataFrame([one(v) for v in values], columns=["encoding", "sample"])
+
+
+def _shape(body: Column, sign: str) -> Column:
+    """(first, width) of each record of a text that has any cell with text: its first line, from 0, and how many cells it
+    has under a sign. A cell that begins with a quote goes on to the quote that ends it, across signs and lines."""
+    if sign == WHITESPACE:
+        lines = F.transform(F.split(body, "\n"), lambda line, i: F.struct(i.alias("first"), F.regexp_count(line, F.lit(r"\S+")).alias("width")))
+        return F.filter(lines, lambda r: r["width"] > 0)
+    s = "\\" + sign if sign == "|" else sign
+    quoted = r'"[^"]*+(?:""[^"]*+)*+(?:"|\z)'
+    cell = rf"(?:{quoted})?+[^{s}\n]*+"
+    records = F.regexp_extract_all(body, F.lit(rf"{cell}(?:{s}{cell})*+(?:\n|\z)"), F.lit(0))
+    # a quoted cell counts as one letter: what signs are left part cells
+    signs = lambda r: F.regexp_count(F.regexp_replace(r, rf"(^|{s}){quoted}", "$1q"), F.lit(s))
+    begun = F.struct(F.lit(0).alias("line"), F.array().cast("array<struct<first:int,width:int>>").alias("rows"))
+
+    def add(done: Column, r: Column) -> Column:
+        row = F.struct(done["line"].alias("first"), (signs(r) + 1).alias("width"))
+        rows = F.when(F.regexp_replace(r, rf'[{s}"\s]+', "") == "", done["rows"]).otherwise(F.concat(done["rows"], F.array(row)))
+        return F.struct((done["line"] + F.regexp_count(r, F.lit("\n"))).alias("line"), rows.alias("rows"))
+
+    return F.aggregate(records, begun, add, lambda done: done["rows"])
+
+
+def _run(rows: Column) -> Column:
+    """(same, width, first) of the records of one width at the end; null where they make no table."""
+    width = F.element_at(rows, -1)["width"]
+    # rows before the run: up to the last one of another width
+    before = F.coalesce(F.array_max(F.transform(rows, lambda r, i: F.when(r["width"] != width, i + 1))), F.lit(0))
+    same = F.size(rows) - before
+    made = F.struct(same.alias("same"), width.alias("width"), F.get(rows, before)["first"].alias("first"))
+    return F.when((F.size(rows) > 0) & (same >= LEAST_RUN) & (width >= LEAST_COLUMNS), made)
 
 
 def detected(content: DataFrame) -> DataFrame:
     """(file, encoding, delimiter, skip_rows), a row a file, from its first 1 MiB and 200 lines; the encoding has to fit
     the whole file. Rows of one width at the file's end are its table; blanks part cells only where that gives a longer
-    table of another width. Files without a table, empty or null ones have the default, comma and no line skipped."""
-
-    @pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("delimiter", T.StringType()), T.StructField("skip_rows", T.IntegerType())]))
-    def of(values):
-        import pandas as pd
+    table of another width. Files without a table, empty or null ones have the default, comma and no line skipped.
 
-        return pd.DataFrame([_sniff(bytes(b) if b is not None else b"") for b in values], columns=["encoding", "delimiter", "skip_rows"])
-
-    return content.select("file", of("content").alias("d")).select("file", "d.*")
+    All counting is expressions over one row a file; Python decodes those files alone that are not UTF-8.
+    """
+    raw = F.coalesce("content", F.lit("").cast("binary"))
+    plain = F.is_valid_utf8(raw.cast("string")) & ~F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF")
+    rows = content.select("file", raw.alias("content"), plain.alias("plain"), (F.octet_length(raw) > SAMPLE_BYTES).alias("more"))
+    ours = rows.where("plain").select("file", "more", F.lit(ENCODINGS[0]).alias("encoding"), F.make_valid_utf8(F.substring("content", 1, SAMPLE_BYTES).cast("string")).alias("sample"))
+    theirs = rows.where("not plain").select("file", "more", _foreign("content").alias("f")).select("file", "more", "f.*")
+    lines = _lines(F.regexp_replace("sample", "^\ufeff", ""))
+    lines = F.slice(F.when(F.col("more"), F.slice(lines, 1, F.greatest(F.size(lines) - 1, F.lit(0)))).otherwise(lines), 1, SAMPLE_LINES)
+    body = F.regexp_replace(F.array_join(lines, "\n"), r"\s+$", "")
+    rows = ours.unionByName(theirs).select("file", "encoding", body.alias("body"))
+    rows = rows.select("*", *[_shape(F.col("body"), s).alias(f"s{i}") for i, s in enumerate((*SIGNS, WHITESPACE))])
+    runs = [F.struct(_run(F.col(f"s{i}"))["same"].alias("same"), _run(F.col(f"s{i}"))["width"].alias("width"), F.lit(-i).alias("i"), F.lit(s).alias("sign"), _run(F.col(f"s{i}"))["first"].alias("first")) for i, s in enumerate(SIGNS)]
+    rows = rows.select("*", F.array_max(F.filter(F.array(*runs), lambda r: r["same"].isNotNull())).alias("best"), _run(F.col(f"s{len(SIGNS)}")).alias("blank"))
+    commas = F.array_distinct(F.transform("s0", lambda r: r["width"]))
+    settled = (F.col("body") == "") | ((F.size(commas) == 1) & (F.get(commas, F.lit(0)) >= LEAST_COLUMNS))
+    longer = F.when(F.col("best").isNotNull(), (F.col("blank.same") > F.col("best.same")) & (F.col("blank.width") != F.col("best.width"))).otherwise((F.col("blank.first") == 0) | (F.size(commas) > 1))
+    by_blanks = F.col("blank").isNotNull() & longer
+    sign = F.when(settled, ",").when(by_blanks, WHITESPACE).otherwise(F.coalesce("best.sign", F.lit(",")))
+    first = F.when(settled, 0).when(by_blanks, F.col("blank.first")).otherwise(F.coalesce("best.first", F.lit(0)))
+    return rows.select("file", "encoding", sign.alias("delimiter"), first.cast("int").alias("skip_rows"))

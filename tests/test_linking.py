@@ -91,3 +91,46 @@ def test_sinks(spark, tmp_path):
         readers.accumulate(q, str(tmp_path / "s"), "b1")
     readers.accumulate(q, str(tmp_path / "s"), "b2")
     assert spark.read.parquet(str(tmp_path / "s")).count() == 20
+
+
+def test_detected_tables(spark):
+    table = "\n".join(f"{i}\t{i * 2}\t{i * 3}" for i in range(8))
+    files = {
+        "comma": b"a,b\n1,2\n",
+        "quoted": b'a,b\n"x,\n""y",2\n3,4\n',
+        "tab": ("# made by\nsome tool, v1\n\n" + table).encode(),
+        "bom": b"\xef\xbb\xbf" + table.encode(),
+        "wide": ("title, one\n" + table).encode("utf-16"),
+        "cp": "温度,圧力\n1,2\n".encode("cp932"),
+        "latin": "é\xff,b\n1,2\n".encode("latin-1") + b"\x81\x20,1\n",
+        "blank": b"\n".join(b"%d  %d %d" % (i, i, i) for i in range(6)),
+        "head": b"time   value, note\n" + b"\n".join(b"%d   %d" % (i, i) for i in range(9)),
+        "bar": b"x|y\n" * 6,
+        "semi": b"k;l;m\n" * 4 + b"no\n" + b"k;l;m\n" * 6,
+        "few": b"x|y\n" * 3,
+        "empty": b"",
+        "spaces": b" \n \n",
+        "long": b"1;2\n" * 400_000,
+        "crlf": b"note\r\n" + b"1,2,3\r\n" * 5,
+    }
+    rows = spark.createDataFrame([(k, bytearray(v)) for k, v in files.items()] + [("null", None)], "file string, content binary")
+    got = {r.file: tuple(r)[1:] for r in dialects.detected(rows).collect()}
+    assert got == {
+        "comma": ("utf-8-sig", ",", 0),
+        "quoted": ("utf-8-sig", ",", 0),
+        "tab": ("utf-8-sig", "\t", 3),
+        "bom": ("utf-8-sig", "\t", 0),
+        "wide": ("utf-16", "\t", 1),
+        "cp": ("cp932", ",", 0),
+        "latin": ("latin-1", ",", 0),
+        "blank": ("utf-8-sig", "whitespace", 0),
+        "head": ("utf-8-sig", "whitespace", 1),
+        "bar": ("utf-8-sig", "|", 0),
+        "semi": ("utf-8-sig", ";", 5),
+        "few": ("utf-8-sig", ",", 0),
+        "empty": ("utf-8-sig", ",", 0),
+        "spaces": ("utf-8-sig", ",", 0),
+        "long": ("utf-8-sig", ";", 0),
+        "crlf": ("utf-8-sig", ",", 1),
+        "null": ("utf-8-sig", ",", 0),
+    }
