@@ -105,12 +105,16 @@ def table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
 
 
 def _names(header: str, sep: str) -> list[str]:
-    """Names of a header's cells; an empty one is _cN, a repeated one gets _2, _3."""
     import csv
     import io
 
+    return named(next(csv.reader(io.StringIO(header, newline=""), delimiter=sep)))
+
+
+def named(cells: list[str]) -> list[str]:
+    """Names of a header's cells; an empty one is _cN, a repeated one gets _2, _3."""
     out: list[str] = []
-    for i, cell in enumerate(next(csv.reader(io.StringIO(header, newline=""), delimiter=sep))):
+    for i, cell in enumerate(cells):
         name = cell or f"_c{i}"
         k = 1
         while (name if k == 1 else f"{name}_{k}") in out:

@@ -9,21 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def table(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """A delimited file with a header: all cells text, a missing cell "" """
-    return spark.read.csv(path, header=True, sep=sep, multiLine=True, escape='"', inferSchema=False).na.fill("")
-
-
-def json_records(spark: SparkSession, path: str, record_path: str | None = None) -> DataFrame:
-    """Records of JSON files: the array at record_path, or else the records as they stand; nested objects become
-    dotted columns, arrays JSON text."""
-    df = spark.read.json(path, multiLine=True)
-    if record_path:
-        df = df.select(F.explode(record_path).alias("r")).select("r.*")
-    return flatten(df)
-
-
 def flatten(df: DataFrame) -> DataFrame:
+    """Text cells: nested objects as dotted columns, arrays and maps as JSON, null as "" """
+
     def walk(schema: T.StructType, at: str):
         for f in schema.fields:
             name = f"{at}.{f.name}" if at else f.name

@@ -56,3 +56,37 @@ def test_folder_tabs_and_empty(spark, tmp_path, small_ranges):
     assert delimited.table(spark, str(tmp_path / "e.csv")).columns == []
     (tmp_path / "h.csv").write_text("only,header\n")
     assert delimited.table(spark, str(tmp_path / "h.csv")).count() == 0
+
+
+def test_source_set(spark, tmp_path):
+    from linkspark.sources.source_set import inclusions, source_set
+
+    (tmp_path / "meta.csv").write_text("sample_id,name,note\nS0,zero,\nS1,one, x \nS9,,y\n")
+    (tmp_path / "inst.txt").write_bytes("\r\n".join(["前置き行", "sample_id\tvalue", *[f"S{i}\t{i}" for i in range(6)]]).encode("cp932") + b"\r\n")
+    (tmp_path / "wrap.json").write_text('{"took": 3, "hits": [{"x": 1}], "docs": [{"sample_id": "S1", "of": {"k": true}}, {"sample_id": "S5", "list": [1]}], "tags": ["a", "b", "c"]}')
+    (tmp_path / "top.geojson").write_text(' [{"name": "one"}, {"name": null}]')
+    (tmp_path / "flat.json").write_text('{"name": "zero", "tags": ["a"]}')
+    (tmp_path / "plain.json").write_text("[1, null, \"x\"]")
+    (tmp_path / "doc.xml").write_text("<article><body/></article>")
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "t.tsv").write_text("name\tz\none\t1\n")
+    got = source_set(spark, str(tmp_path))
+    assert {n: s.kind for n, s in got.items()} == {"meta.csv": "table", "inst.txt": "table", "wrap.json": "json", "top.geojson": "json", "flat.json": "json", "plain.json": "json", "doc.xml": "xml", "t.tsv": "table"}
+    assert got["inst.txt"].dialect.encoding == "cp932" and sorted(map(tuple, got["inst.txt"].rows.collect()))[0] == ("S0", "0")
+    rows = [r.asDict() for r in got["wrap.json"].rows.collect()]
+    assert rows == [{"list": "", "of.k": "true", "sample_id": "S1"}, {"list": '["1"]', "of.k": "", "sample_id": "S5"}]
+    assert sorted(r.value for r in got["plain.json"].rows.collect()) == ["", "1", "x"] and got["flat.json"].rows.first().tags == '["a"]'
+    assert [r.value for r in source_set(spark, str(tmp_path), record_path="tags")["wrap.json"].rows.collect()] == ["a", "b", "c"]
+    keys = inclusions({n: s.rows for n, s in got.items() if s.kind != "xml"})
+    found = {(r.from_source, r.to_source, r.from_column): (r.overlap, r.from_distinct, r.ratio) for r in keys.collect()}
+    assert found == {
+        ("flat.json", "meta.csv", "name"): (1, 1, 1.0),
+        ("inst.txt", "meta.csv", "sample_id"): (2, 6, 2 / 6),
+        ("inst.txt", "wrap.json", "sample_id"): (2, 6, 2 / 6),
+        ("inst.txt", "plain.json", "value"): (1, 6, 1 / 6),
+        ("meta.csv", "t.tsv", "name"): (1, 2, 0.5),
+        ("meta.csv", "top.geojson", "name"): (1, 2, 0.5),
+        ("meta.csv", "wrap.json", "sample_id"): (1, 3, 1 / 3),
+        ("t.tsv", "top.geojson", "name"): (1, 1, 1.0),
+    }
+    assert inclusions({"a": got["meta.csv"].rows}).count() == 0
