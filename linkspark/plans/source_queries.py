@@ -11,6 +11,7 @@ from linkspark.plans.registry import query
 from linkspark.plans.registry import table as _t
 from linkspark.sources import delimited
 from linkspark.sources.source_set import inclusions, source_set
+from linkspark.streaming import batches
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 _COLUMNS = {
@@ -90,3 +91,41 @@ def _renamed(spark, folder: str, to: str) -> None:
     fs.mkdirs(target.getParent())
     fs.rename(part, target)
     fs.delete(path, True)
+
+
+_TWO = "o_orderkey % 2 = 0", "o_orderkey % 3 = 0"
+
+
+@query(
+    "str_append_batch",
+    f"""with a as (select count(*) as n from orders where {_TWO[0]}), b as (select count(*) as n, count(*) filter (not ({_TWO[0]})) as fresh from orders where {_TWO[1]}),
+t as (select o_orderpriority as priority, count(*) as orders from orders where {_TWO[0]} or {_TWO[1]} group by 1)
+select 'first' as step, a.n as "rows", a.n as fresh, 1 as seq, false as replay from a union all select 'second', b.n, b.fresh, 2, false from b
+union all select 'first again', a.n, a.n, 1, true from a union all select priority, orders, orders, 0, false from t""",
+)
+def str_append_batch(spark, sf_dir):
+    """Orders in two batches that overlap, the first one sent again; what each did, and the table that they make."""
+    root, orders = _folder(spark), _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    steps = [(n, batches.append_batch(orders.where(w), root, ["o_orderkey"], by="o_orderpriority")) for n, w in (("first", _TWO[0]), ("second", _TWO[1]), ("first again", _TWO[0]))]
+    did = spark.createDataFrame([(n, o.rows, o.fresh, o.seq, o.replay) for n, o in steps], "step string, rows long, fresh long, seq int, replay boolean")
+    held = batches.live(spark, root).groupBy(F.col("o_orderpriority").alias("step")).agg(F.count(F.lit(1)).alias("rows"))
+    return did.unionByName(held.select("step", "rows", F.col("rows").alias("fresh"), F.lit(0).alias("seq"), F.lit(False).alias("replay")))
+
+
+@query(
+    "str_hub_refresh",
+    """with v as (select 'customer' as participant, c_custkey::varchar as entity, trim(split_part(c_name, '#', 2)) as raw from customer
+  union select 'supplier', s_suppkey::varchar, trim(split_part(s_name, '#', 2)) from supplier),
+k as (select lower(raw) as key from v where raw <> '' group by 1 having count(distinct participant) > 1)
+select 'hub/number/' || key as hub, participant, entity, raw from v join k on lower(v.raw) = k.key""",
+)
+def str_hub_refresh(spark, sf_dir):
+    """A hub of the numbers in names, kept up over two batches; the customers' batch alone gives no link."""
+    root, hubs = _folder(spark), _folder(spark)
+    number = lambda c: F.trim(F.split_part(F.col(c), F.lit("#"), F.lit(2))).alias("value")
+    customers = _t(spark, sf_dir, "customer").select(F.lit("customer").alias("participant"), F.col("c_custkey").cast("string").alias("entity"), number("c_name"))
+    suppliers = _t(spark, sf_dir, "supplier").select(F.lit("supplier").alias("participant"), F.col("s_suppkey").cast("string").alias("entity"), number("s_name"))
+    for values in (customers, suppliers):
+        batches.append_batch(batches.keyed_values(values), root, ["participant", "entity", "value"], by="bucket")
+        batches.refreshed_hub(spark, root, hubs, "number")
+    return batches.hub_rows(spark, hubs)

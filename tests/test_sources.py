@@ -90,3 +90,95 @@ def test_source_set(spark, tmp_path):
         ("t.tsv", "top.geojson", "name"): (1, 1, 1.0),
     }
     assert inclusions({"a": got["meta.csv"].rows}).count() == 0
+
+
+def test_digest_and_log(spark, tmp_path):
+    from linkspark.streaming import batches
+
+    df = spark.range(9000).selectExpr("id", "case when id % 3 > 0 then concat('x', id) end as v")
+    one = batches.digest(df)
+    assert one == batches.digest(df.repartition(7).select("v", "id")) and len(one) == 64
+    assert one != batches.digest(df.where("id > 0")) and one != batches.digest(df.unionByName(df.limit(1)))
+    pairs = [spark.createDataFrame([r], "a string, b string") for r in (("1", "23"), ("12", "3"), (None, "3"), ("", "3"), ("-", "3"))]
+    assert len({batches.digest(p) for p in pairs}) == 5
+    assert batches.digest(df.limit(0)) == batches.digest(df.limit(0)) != one
+    log = batches.Log(spark, str(tmp_path / "l"))
+    assert log.entries() == [] and log.commit({"x": 1}, 0) == {"x": 1, "seq": 1}
+    assert log.commit({"x": 2}, 0) is None and log.commit({"x": 3}, 1)["seq"] == 2 and [e["x"] for e in log.entries()] == [1, 3]
+
+
+def test_batches_count_once(spark, tmp_path, monkeypatch):
+    from linkspark.streaming import batches
+
+    root = str(tmp_path / "t")
+    control = spark.createDataFrame([("d", "promoted"), ("r", "retracted")], "dataset string, status string")
+    first = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "id long, p string")
+    for bad in ("r", "none"):
+        with pytest.raises(ValueError):
+            batches.append_batch(first, root, ["id"], control, bad)
+    assert batches.live(spark, root) is None
+    # the run ends behind the data and before the log
+    commit = batches.Log.commit
+    monkeypatch.setattr(batches.Log, "commit", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        batches.append_batch(first, root, ["id"], control, "d", by="p")
+    assert batches.live(spark, root) is None
+    monkeypatch.setattr(batches.Log, "commit", commit)
+    done = batches.append_batch(first, root, ["id"], control, "d", by="p")
+    assert (done.seq, done.rows, done.fresh, done.replay) == (1, 4, 3, False)
+    again = batches.append_batch(first.repartition(3), root, ["id"], control, "d", by="p")
+    assert again == batches.Outcome(done.batch, 1, 4, 3, True)
+    # another writer's entry comes between: new rows are found again
+    second, third = spark.createDataFrame([(3, "a"), (1, "a")], "id long, p string"), spark.createDataFrame([(3, "a"), (4, "b")], "id long, p string")
+    raced = []
+
+    def late(self, entry, after):
+        if not raced:
+            raced.append(1)
+            monkeypatch.setattr(batches.Log, "commit", commit)
+            batches.append_batch(third, root, ["id"], by="p")
+            monkeypatch.setattr(batches.Log, "commit", late)
+        return commit(self, entry, after)
+
+    monkeypatch.setattr(batches.Log, "commit", late)
+    got = batches.append_batch(second, root, ["id"], by="p")
+    assert (got.seq, got.fresh) == (3, 0)
+    assert sorted((r.id or 0, r.p) for r in batches.live(spark, root).collect()) == [(0, "c"), (1, "a"), (2, "b"), (3, "a"), (4, "b")]
+    assert batches.append_batch(first.limit(0), root, ["id"]).fresh == 0
+
+
+def test_hub_follows_batches(spark, tmp_path):
+    from linkspark.operators.crosswalk import hub
+    from linkspark.streaming import batches
+
+    rng = random.Random(9)
+    root, hubs = str(tmp_path / "v"), str(tmp_path / "h")
+    said, sizes = [], []
+    for n in range(4):
+        rows = [(f"p{rng.randint(0, 3)}", f"e{rng.randint(0, 50)}", f"Key {rng.randint(0, 40)}") for _ in range(60 if not n else 5)]
+        said += rows
+        values = batches.keyed_values(spark.createDataFrame(rows, "participant string, entity string, value string"), buckets=16)
+        batches.append_batch(values, root, ["participant", "entity", "value"], by="bucket")
+        if n == 1:
+            continue  # two batches, one build
+        sizes.append(len(batches.refreshed_hub(spark, root, hubs, "k", buckets=16)))
+        want = hub(spark.createDataFrame(said, "participant string, entity string, value string"), "k")
+        assert sorted(map(tuple, batches.hub_rows(spark, hubs).collect())) == sorted(map(tuple, want.collect()))
+    assert sizes[0] > 8 and sizes[2] <= 5 and batches.refreshed_hub(spark, root, hubs, "k", buckets=16) == []
+
+
+def test_recheck_equals_full_check(spark):
+    from linkspark.operators import checks
+    from linkspark.streaming import batches
+
+    schema = "g string, s string, p string, o string, kind string, dt string, lang string, o_num double"
+    q = lambda s, p, o, kind: ("g", s, p, o, kind, "", "", None)
+    before = [q("a", "rdf:type", "T", "iri"), q("a", "x:of", "b", "iri"), q("c", "rdf:type", "T", "iri"), q("c", "x:of", "gone", "iri"), q("d", "x:of", "e", "iri"), q("e", "rdf:type", "U", "iri"), q("h", "x:of", "i", "iri"), q("i", "rdf:type", "W", "iri")]
+    new = [q("b", "rdf:type", "U", "iri"), q("f", "rdf:type", "T", "iri"), q("f", "x:of", "e", "iri"), q("gone", "rdf:type", "V", "iri")]
+    check = lambda df: checks.wrong_class(df, "x:of", "U")
+    old, batch = spark.createDataFrame(before, schema), spark.createDataFrame(new, schema)
+    every = old.unionByName(batch)
+    got = batches.rechecked(check(old), batch, every, check, "o")
+    assert {r.o for r in check(every).collect()} == {"gone", "i"}
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, check(every).collect()))
+    assert {r.s for r in batches.touched(batch, every).collect()} >= {"a", "b", "c", "f", "gone"}
