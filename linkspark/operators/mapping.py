@@ -97,6 +97,17 @@ def all_quads(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).dropDuplicates(["g", "s", "p", "o", "kind", "dt", "lang"])
 
 
+def stored(q: DataFrame, name: str, path: str, buckets: int | None = None) -> DataFrame:
+    """Quads as a table of the session's catalog, with its files at path: a folder a predicate, so that questions about
+    some predicates read those alone, and buckets of subjects (as many as shuffle partitions unless given), so that
+    grouping and joining by subject move nothing. q has to be a set already; it is written once, then asked often."""
+    spark = q.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = q.repartition(buckets, "s")  # a task writes one bucket of each predicate
+    rows.write.partitionBy("p").bucketBy(buckets, "s").sortBy("s").option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def parent_links(child: DataFrame, spec: Map, predicate: str, parent: DataFrame, parent_spec: Map, on: list[tuple[str, str]]) -> DataFrame:
     """(s, p, o): links from a map's subjects to another map's, where columns of the two sources are equal. Rows without a
     partner or a subject give none; repeated links are one."""
@@ -132,9 +143,10 @@ def infer_terms(q: DataFrame) -> DataFrame:
 
 
 def to_ntriples(q: DataFrame) -> DataFrame:
-    """Lines of N-Triples."""
+    """Lines of N-Triples; subjects that begin with _: and objects of the kind blank are blank nodes."""
     from linkspark.functions.values import nt_escape
 
     literal = F.concat(F.lit('"'), nt_escape(F.col("o")), F.lit('"'), F.when(F.col("lang") != "", F.concat(F.lit("@"), F.col("lang"))).when(F.col("dt") != "", F.concat(F.lit("^^<"), F.col("dt"), F.lit(">"))).otherwise(""))
-    o = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(literal)
-    return q.select(F.concat(F.lit("<"), "s", F.lit("> <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))
+    o = F.when(F.col("kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).when(F.col("kind") == "blank", F.col("o")).otherwise(literal)
+    s = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(F.concat(F.lit("<"), "s", F.lit(">")))
+    return q.select(F.concat(s, F.lit(" <"), "p", F.lit("> "), o, F.lit(" .")).alias("value"))

@@ -246,12 +246,19 @@ def ver_legacy_migrate(spark, sf_dir):
     return again.select("g", "s", "p")
 
 
-@query("ver_reinstate", "select dataset, status from (values ('a', 'promoted'), ('b', 'retracted')) v(dataset, status) where exists (select 1 from nation)")
+@query(
+    "ver_reinstate",
+    """select n_name as dataset, case when n_name = 'GERMANY' then 'promoted' when n_name = 'FRANCE' then 'retracted' when n_regionkey = 2 then 'draft' when n_regionkey = 4 then 'retracted' else 'promoted' end as status,
+  case when n_regionkey <> 2 or n_name in ('GERMANY', 'FRANCE') then 'http://x/' || n_nationkey || '/v1' end as live from nation""",
+)
 def ver_reinstate(spark, sf_dir):
-    one = _t(spark, sf_dir, "nation").limit(1)
-    control = one.select(F.explode(F.array(F.lit("a"), F.lit("b"))).alias("dataset"), F.lit("promoted").alias("status"), F.lit("v1").alias("live"), F.lit(None).cast("string").alias("staged"))
-    both = versions.retract(versions.retract(control, "a"), "b")
-    return versions.reinstate(both, "a").select("dataset", "status")
+    """A dataset a nation, drafts and retracted ones among them; two are retracted, one of these and a draft reinstated."""
+    region = F.col("n_regionkey")
+    status = F.when(region == 2, "draft").when(region == 4, "retracted").otherwise("promoted")
+    live = F.when(region != 2, F.concat(F.lit("http://x/"), F.col("n_nationkey").cast("string"), F.lit("/v1")))
+    control = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("dataset"), status.alias("status"), live.alias("live"), F.lit(None).cast("string").alias("staged"))
+    both = versions.retract(versions.retract(control, "GERMANY"), "FRANCE")
+    return versions.reinstate(versions.reinstate(both, "GERMANY"), "FRANCE X").select("dataset", "status", "live")
 
 
 MAPS = {"order": ORDER, "customer": CUSTOMER, "nation": NATION}

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import values as V
 from linkspark.operators import checks, crosswalk, documents, graph, grounding, profile, versions
-from linkspark.operators.mapping import TYPE, Map, Property, all_quads, compress_iri, expand_curie, infer_terms, quads, to_ntriples
-from linkspark.plans.registry import QUERIES, SQL, query
+from linkspark.operators.mapping import TYPE, Map, Property, all_quads, compress_iri, expand_curie, infer_terms, quads, stored, to_ntriples
+from linkspark.plans.registry import QUERIES, SQL, folder, query
 from linkspark.plans.registry import table as _t
 
 __all__ = ["QUERIES", "SQL"]
@@ -18,10 +20,25 @@ CUSTOMER = Map("http://x/customer/{c_custkey}", ("x:Customer",), (Property("x:na
 NATION = Map("http://x/nation/{n_nationkey}", ("x:Nation",), (Property("x:name", column="n_name"), Property("x:region", template="http://x/region/{n_regionkey}")))
 
 
+def _mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quads of three tables as one set, made anew."""
+    return all_quads(*[quads(_t(spark, sf_dir, n), spec, n, distinct=False) for n, spec in (("orders", ORDER), ("customer", CUSTOMER), ("nation", NATION))])
+
+
+#: Names of the tables of quads by session and folder: a graph is loaded once and then asked.
+_LOADED: dict[tuple[str, str], str] = {}
+
+
 def _quads(spark: SparkSession, sf_dir: str, *only: str) -> DataFrame:
-    """Quads of three tables as one set; of the predicates `only`, if any are named."""
-    made = [quads(_t(spark, sf_dir, n), spec, n, only or None, distinct=False) for n, spec in (("orders", ORDER), ("customer", CUSTOMER), ("nation", NATION))]
-    return all_quads(*made)
+    """The same quads from a table that is written when they are first asked for in a session; of the predicates `only`,
+    if any are named."""
+    at = spark.sparkContext.applicationId, sf_dir
+    if at not in _LOADED:
+        name = f"linkspark_quads_{uuid.uuid4().hex}"
+        stored(_mapped(spark, sf_dir), name, folder(spark, "quads"))
+        _LOADED[at] = name
+    q = spark.table(_LOADED[at])
+    return q.where(F.col("p").isin(*only)) if only else q
 
 
 #: The same quads from the base tables, for the SQL side.
@@ -44,9 +61,9 @@ q as (
 """
 
 
-@query("map_quads", f"with {_Q} select g, s, p, kind, count(*) as n from q where p <> 'x:total' group by all")
+@query("map_quads", f"with {_Q} select g, s, p, kind, count(*) as n from q group by all")
 def map_quads(spark, sf_dir):
-    return _quads(spark, sf_dir).where("p <> 'x:total'").groupBy("g", "s", "p", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return _mapped(spark, sf_dir).groupBy("g", "s", "p", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("map_multivalue_explode", "select distinct 'http://x/part/' || p_partkey as s, w as o from (select p_partkey, unnest(string_split(p_name, ' ')) as w from part) where w <> ''")
@@ -159,9 +176,10 @@ def agg_class_shapes(spark, sf_dir):
     return graph.class_shapes(_quads(spark, sf_dir))
 
 
-@query("agg_literal_profile", f"with {_Q} select g, p as predicate, count(*) as n, min(o) as sample from q where kind = 'literal' and p <> 'x:total' group by g, p")
+@query("agg_literal_profile", f"with {_Q} select g, p as predicate, count(*) as n, case when p <> 'x:total' then min(o) end as sample from q where kind = 'literal' group by g, p")
 def agg_literal_profile(spark, sf_dir):
-    return graph.literal_profile(_quads(spark, sf_dir).where("p <> 'x:total'"))
+    rows = graph.literal_profile(_quads(spark, sf_dir))
+    return rows.withColumn("sample", F.when(F.col("predicate") != "x:total", F.col("sample")))  # doubles are spelled in two ways
 
 
 @query("agg_numeric_range", "select 'x:total' as predicate, count(*) as n, min(o_totalprice) as low, max(o_totalprice) as high from orders")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark: SparkSession, kind: str) -> str:
+    """A new folder under the one that all executors share; a temporary one where the session names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="linkspark-")
+    return f"{base.rstrip('/')}/linkspark-{kind}/{uuid.uuid4().hex}"
+
+
 def query(name: str, sql: str | None):
     """Register a query and the SQL that gives the same rows."""
 

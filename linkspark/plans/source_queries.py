@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
-from linkspark.plans.registry import query
+from linkspark.plans.registry import folder, query
 from linkspark.plans.registry import table as _t
 from linkspark.sources import delimited
 from linkspark.sources.source_set import inclusions, source_set
@@ -26,9 +23,7 @@ _COLUMNS = {
 
 
 def _folder(spark) -> str:
-    """A new folder under the one that all executors share; a temporary one where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="linkspark-")
-    return f"{base.rstrip('/')}/linkspark-sources/{uuid.uuid4().hex}"
+    return folder(spark, "sources")
 
 
 def _inclusions_sql() -> str:

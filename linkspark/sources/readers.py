@@ -26,24 +26,34 @@ def flatten(df: DataFrame) -> DataFrame:
     return df.select(*walk(df.schema, ""))
 
 
-_LINE = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z][A-Za-z0-9-]*)|\^\^<([^>]*)>)?)\s*\.\s*$'
+_NODE = r"<([^<>\x22{}|^`\x00-\x20]*)>|(_:[\p{L}\p{N}_][\p{L}\p{N}_.:\u00B7-]*)"
+_LINE = rf'^\s*(?:{_NODE})\s*<([^<>]*)>\s*(?:{_NODE}|"([^"\\]*+(?:\\.[^"\\]*+)*+)"(?:@([A-Za-z]+(?:-[A-Za-z0-9]+)*)|\^\^<([^<>]*)>)?)\s*\.\s*(?:#.*)?$'
 
 
 def _unescaped(c):
-    """Text of a literal: the escapes of nt_escape undone, a doubled backslash first set aside."""
+    """A literal or IRI with its escapes undone, a doubled backslash first set aside."""
     out = F.replace(c, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
+    numbers = F.array_distinct(F.regexp_extract_all(out, F.lit(r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"), F.lit(0)))
+    point = lambda r: F.conv(F.substring(r, F.lit(3), F.length(r)), 16, 10).cast("long")
+    sound = lambda n: n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    spelled = lambda r: F.decode(F.unhex(F.lpad(F.hex(F.when(sound(point(r)), point(r)).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    out = F.when(F.size(numbers) > 0, F.aggregate(numbers, out, lambda done, r: F.replace(done, r, spelled(r)))).otherwise(out)
+    for a, b in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.replace(out, F.lit("\x00"), F.lit("\\"))
 
 
 def ntriples_of(lines: DataFrame) -> DataFrame:
-    """Quads without a graph of lines (value) of N-Triples. Blank lines and comments are passed over; lines that do not
-    parse are in error_lines()."""
+    """Quads without a graph of lines (value) of N-Triples. Subjects and objects may be blank nodes, named _: and their
+    label (kind blank as objects); a comment may follow a triple. Blank lines and comments are passed over; lines that do
+    not parse are in error_lines()."""
     get = lambda i: F.regexp_extract("value", _LINE, i)
     rows = lines.where(F.col("value").rlike(_LINE))
-    iri = F.col("value").rlike(r"^\s*<[^>]*>\s+<[^>]*>\s+<")
-    return rows.select(get(1).alias("s"), get(2).alias("p"), F.when(iri, get(3)).otherwise(_unescaped(get(4))).alias("o"), F.when(iri, "iri").otherwise("literal").alias("kind"), get(6).alias("dt"), get(5).alias("lang"))
+    subject = F.when(get(2) != "", get(2)).otherwise(_unescaped(get(1)))
+    literal = F.col("value").rlike(rf"^\s*(?:{_NODE})\s*<[^<>]*>\s*\x22")
+    kind = F.when(literal, "literal").when(get(5) != "", "blank").otherwise("iri")
+    o = F.when(literal, _unescaped(get(6))).when(get(5) != "", get(5)).otherwise(_unescaped(get(4)))
+    return rows.select(subject.alias("s"), _unescaped(get(3)).alias("p"), o.alias("o"), kind.alias("kind"), _unescaped(get(8)).alias("dt"), get(7).alias("lang"))
 
 
 def error_lines(lines: DataFrame) -> DataFrame:

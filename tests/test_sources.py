@@ -182,3 +182,36 @@ def test_recheck_equals_full_check(spark):
     assert {r.o for r in check(every).collect()} == {"gone", "i"}
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, check(every).collect()))
     assert {r.s for r in batches.touched(batch, every).collect()} >= {"a", "b", "c", "f", "gone"}
+
+
+def test_ntriples_forms(spark):
+    from linkspark.operators.mapping import to_ntriples
+    from linkspark.sources import readers
+
+    lines = [
+        r'<http://x/a> <http://x/p> "café \U0001F600 \\u0041 \t\"q\"" . # said so',
+        '_:b0 <p> _:c.1 .',
+        '<http://x/\\u00e9><p><o>.',
+        '<a> <p> "x"@en-GB .',
+        '<a> <p> "1"^^<int> .#c',
+        '<a> <p> "no end .',
+        'junk',
+        '<a> "p" <o> .',
+        "",
+        "  # only a comment",
+        '<a> <p> "bad \\uD800 half" .',
+    ]
+    df = spark.createDataFrame([(x,) for x in lines], "value string")
+    rows = readers.ntriples_of(df)
+    got = {(r.s, r.p, r.o, r.kind, r.dt, r.lang) for r in rows.collect()}
+    assert got == {
+        ("http://x/a", "http://x/p", 'café 😀 \\u0041 \t"q"', "literal", "", ""),
+        ("_:b0", "p", "_:c.1", "blank", "", ""),
+        ("http://x/é", "p", "o", "iri", "", ""),
+        ("a", "p", "x", "literal", "", "en-GB"),
+        ("a", "p", "1", "literal", "int", ""),
+        ("a", "p", "bad � half", "literal", "", ""),
+    }
+    assert sorted(r.value for r in readers.error_lines(df).collect()) == sorted(['<a> <p> "no end .', "junk", '<a> "p" <o> .'])
+    again = readers.ntriples_of(to_ntriples(rows))
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in rows.collect()}
