@@ -198,3 +198,35 @@ def top_per_group(rows: DataFrame, group: str, n: int, *order) -> DataFrame:
     """The first n rows of each group by `order`, with their rank; null is a group. Name a total order, ties are cut as they
     come. Spark keeps n rows of each group on the map side."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("rank") <= n)
+
+
+def schema_summary(q: DataFrame, classes: int = 50, predicates: int = 100, shape: int = 25, labels: DataFrame | None = None) -> DataFrame:
+    """(kind, class, predicate, n, place, truncated, label) of the terms in use: kind class (instances of each class),
+    predicate (quads of each) and shape (quads of each predicate on a class's instances).
+
+    The most used ones, at most as many as the three limits say, shapes of the listed classes alone; truncated tells that
+    there were more. Equal counts go by name. labels (term, label): of a term's labels the smallest is shown.
+
+    The quads are read once: a subject's classes and its counts by predicate meet, and one sum over classes, predicates
+    and pairs of them follows, as large as the vocabulary. Quads stored in buckets of subjects move only for that.
+    """
+    cell = q.groupBy("s", "p").agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.when(F.col("p") == TYPE, F.col("o"))).alias("cs"))
+    subject = cell.groupBy("s").agg(F.collect_list(F.struct("p", "n")).alias("ps"), F.array_distinct(F.flatten(F.collect_list("cs"))).alias("cs"))
+    none = F.lit(None).cast("string")
+    entry = lambda kind, c, p, n: F.struct(F.lit(kind).alias("kind"), c.alias("class"), p.alias("predicate"), n.cast("long").alias("n"))
+    own = F.transform("cs", lambda c: entry("class", c, none, F.lit(1)))
+    used = F.transform("ps", lambda x: entry("predicate", none, x["p"], x["n"]))
+    pairs = F.flatten(F.transform("cs", lambda c: F.transform("ps", lambda x: entry("shape", c, x["p"], x["n"]))))
+    rows = subject.select(F.inline(F.concat(own, used, pairs))).groupBy("kind", "class", "predicate").agg(F.sum("n").alias("n"))
+    group = F.when(F.col("kind") == "shape", F.col("class"))
+    by = Window.partitionBy("kind", group)
+    rows = rows.withColumn("place", F.row_number().over(by.orderBy(F.desc("n"), "class", "predicate"))).withColumn("all", F.count(F.lit(1)).over(by))
+    most = F.when(F.col("kind") == "class", classes).when(F.col("kind") == "predicate", predicates).otherwise(shape)
+    listed = rows.where((F.col("kind") == "class") & (F.col("place") <= classes)).select("class")
+    kept = rows.where(F.col("kind") != "shape").unionByName(rows.where("kind = 'shape'").join(listed, "class", "left_semi").select(*rows.columns))
+    kept = kept.where(F.col("place") <= most).select("kind", "class", "predicate", "n", "place", (F.col("all") > most).alias("truncated"))
+    if labels is None:
+        return kept.withColumn("label", F.lit(None).cast("string"))
+    said = labels.groupBy("term").agg(F.min("label").alias("label"))
+    term = F.when(F.col("kind") == "class", F.col("class")).otherwise(F.col("predicate"))
+    return kept.withColumn("term", term).join(said, "term", "left").drop("term")

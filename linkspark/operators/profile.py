@@ -8,25 +8,62 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkspark.functions.values import is_number, text
+from linkspark.functions.values import is_number, text, unit_from_label
 
 INTEGER = r"^[+-]?\d+$"
 DATE, DATETIME = r"^\d{4}-\d\d-\d\d$", r"^\d{4}-\d\d-\d\d[T ]\d\d:\d\d(:\d\d(\.\d+)?)?(Z|[+-]\d\d:?\d\d)?$"
 
 
+def _distinct_cells(df: DataFrame) -> DataFrame:
+    """(column, value, n): how often each filled cell stands in its column. Equal cells meet on the map side, so what is
+    shuffled is the distinct cells, once, however many columns there are."""
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.trim(text(F.col(f"`{c}`"))).alias("value")) for c in df.columns]))
+    return df.select(cells).where("value <> ''").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _kind(v: Column) -> Column:
+    """Most specific type that one cell fits."""
+    plain = F.when(v.rlike(INTEGER), "integer").when(is_number(v), "double").when(v.rlike(DATE), "date").when(v.rlike(DATETIME), "dateTime")
+    shape = F.when(v.rlike(r"^[\[{]"), F.substring(F.schema_of_variant(F.try_parse_json(v)), 1, 5))
+    return plain.when(shape == "ARRAY", "json-array").when(shape == "OBJEC", "json-object").when(F.lower(v).isin("true", "false"), "boolean").otherwise("string")
+
+
+def _common(kinds: Column) -> Column:
+    """The narrowest type that takes all the kinds of a column's cells; mixed ones are string."""
+    only = lambda *names: F.size(F.array_except(kinds, F.array(*map(F.lit, names)))) == 0
+    found = F.when(F.size(kinds) == 0, "string")
+    for kind, below in (("integer", ()), ("double", ("integer",)), ("date", ()), ("dateTime", ("date",)), ("json-array", ()), ("json-object", ()), ("boolean", ())):
+        found = found.when(only(kind, *below), kind)
+    return found.otherwise("string")
+
+
+def summaries(df: DataFrame) -> DataFrame:
+    """(column, total, filled, distinct, type, mixed, element, unit, samples): one row for each column.
+
+    filled: cells with text; distinct: their different texts, trimmed. type: integer, double, date, dateTime, boolean,
+    json-array, json-object or string, the narrowest that all filled cells fit; mixed: whether they are of kinds that only
+    string takes together. element: object, number or string if the first elements of all JSON arrays are such. unit: what
+    the column's name says in brackets. samples: the smallest, the most frequent and the largest cell. All cells count,
+    nothing is sampled. Two grouped sums: distinct cells, then a state a column; a column without filled cells is string.
+    """
+    cells = _distinct_cells(df).withColumn("kind", _kind(F.col("value")))
+    first = F.substring(F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$[0]", "variant")), 1, 3)
+    element = F.when(F.col("kind") == "json-array", F.when(first == "OBJ", "object").when(first.isin("BIG", "DEC", "DOU", "FLO", "INT"), "number").when(first == "STR", "string"))
+    often = F.max_by("value", F.struct("n", "value"))
+    state = cells.groupBy("column").agg(F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct"), F.collect_set("kind").alias("kinds"), F.collect_set(element).alias("elements"), F.min("value").alias("low"), often.alias("often"), F.max("value").alias("high"))
+    names = df.agg(F.count(F.lit(1)).alias("total")).select("total", F.explode(F.array(*map(F.lit, df.columns))).alias("column"))
+    rows = names.join(state, "column", "left")
+    kinds = F.coalesce("kinds", F.array().cast("array<string>"))
+    kind = _common(kinds)
+    said = F.array_compact(F.array_distinct(F.array("low", "often", "high")))
+    one = F.when((kind == "json-array") & (F.size("elements") == 1), F.get("elements", F.lit(0)))
+    mixed = (kind == "string") & (F.size(kinds) > 1)
+    return rows.select("column", "total", F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("distinct", F.lit(0)).alias("distinct"), kind.alias("type"), mixed.alias("mixed"), one.alias("element"), unit_from_label(F.col("column")).alias("unit"), said.alias("samples"))
+
+
 def columns(df: DataFrame) -> DataFrame:
-    """One row for each column: filled cells, distinct values and the most specific type that all filled cells fit.
-    All columns in one pass over the rows."""
-    aggs = []
-    for i, c in enumerate(df.columns):
-        v = F.trim(text(F.col(f"`{c}`")))
-        full = v != ""
-        fits = lambda rule, v=v, full=full: F.coalesce(F.bool_and(F.when(full, rule)), F.lit(False))
-        day, moment = v.rlike(DATE), v.rlike(DATETIME)
-        kind = F.when(fits(v.rlike(INTEGER)), "integer").when(fits(is_number(v)), "double").when(fits(day), "date").when(fits(day | moment), "dateTime").otherwise("string")
-        aggs.append(F.struct(F.lit(c).alias("column"), F.count_if(full).alias("filled"), F.count_distinct(F.when(full, v)).alias("distinct"), kind.alias("type")).alias(f"c{i}"))
-    row = df.agg(*aggs)
-    return row.select(F.explode(F.array(*row.columns)).alias("r")).select("r.*")
+    """(column, filled, distinct, type) of summaries()."""
+    return summaries(df).select("column", "filled", "distinct", "type")
 
 
 def _full(key: tuple[str, ...]) -> Column:

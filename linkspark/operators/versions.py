@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from urllib.parse import quote, unquote
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +27,49 @@ def stage(control: DataFrame, dataset: str, version: str) -> DataFrame:
     return control.withColumn("staged", F.when(F.col("dataset") == dataset, version).otherwise(F.col("staged")))
 
 
+def replaced(control: DataFrame, dataset: str) -> DataFrame:
+    """(g) of a dataset's staged version, which stage() is about to take the place of: to be queued for removal."""
+    return control.where((F.col("dataset") == dataset) & F.col("staged").isNotNull()).select(F.col("staged").alias("g"))
+
+
+class Removals:
+    """Graphs of a table at `path` (a folder a graph, as write_graph() makes) that are to be removed. The queue is a folder
+    of empty files beside the data, so it outlives the run; a graph is queued once however often it is asked for."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.hadoop = spark._jvm.org.apache.hadoop.fs
+        self.root = path.rstrip("/")
+        self.fs = self.hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _files(self, folder: str) -> list[str]:
+        where = self.hadoop.Path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(where)) if self.fs.exists(where) else []
+
+    def queued(self) -> list[str]:
+        """Graphs that wait, by name."""
+        return [unquote(n) for n in self._files(f"{self.root}/_removals")]
+
+    def add(self, graphs: DataFrame, control: DataFrame) -> None:
+        """Queue graphs (g) that no dataset of the control table points at; others are a ValueError. Versions are few, their
+        names come to the driver."""
+        used = control.select(F.explode(F.array_compact(F.array("dataset", "live", "staged"))).alias("g"))
+        if graphs.join(used, "g", "left_semi").head(1):
+            raise ValueError("a graph that a dataset points at can't be removed")
+        for r in graphs.where("g is not null").distinct().collect():
+            self.fs.create(self.hadoop.Path(f"{self.root}/_removals/{quote(r['g'], safe='')}"), True).close()
+
+    def sweep(self, most: int | None = None) -> list[str]:
+        """Remove waiting graphs one by one, each as a whole folder, and then their queue file; those that are done. A run
+        that ends between the two finds the folder gone and goes on."""
+        folders = {unquote(n.removeprefix("g=")): n for n in self._files(self.root) if n.startswith("g=")}
+        done = self.queued()[:most]
+        for g in done:
+            if g in folders:
+                self.fs.delete(self.hadoop.Path(f"{self.root}/{folders[g]}"), True)
+            self.fs.delete(self.hadoop.Path(f"{self.root}/_removals/{quote(g, safe='')}"), False)
+        return done
+
+
 def promote(control: DataFrame, dataset: str) -> DataFrame:
     """Point live at staged: a change of one control row, no data moves."""
     this = (F.col("dataset") == dataset) & F.col("staged").isNotNull()

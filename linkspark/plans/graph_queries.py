@@ -311,3 +311,22 @@ def dq_domain_limits(spark, sf_dir):
 def t1_key_uniqueness(spark, sf_dir):
     one = profile.uniqueness(_t(spark, sf_dir, "orders"), ("o_orderkey",)).select(F.lit("o_orderkey").alias("key"), "is_unique")
     return one.unionByName(profile.uniqueness(_t(spark, sf_dir, "lineitem"), ("l_linenumber", "l_orderkey")).select(F.lit("l_linenumber,l_orderkey").alias("key"), "is_unique"))
+
+
+@query(
+    "tool_schema_summary",
+    f"""with {_Q}, t as (select distinct s, o as class from q where p = 'rdf:type'),
+cl as (select 'class' as kind, class, null as predicate, count(*) as n from t group by 2), us as (select 'predicate' as kind, null as class, p as predicate, count(*) as n from q group by 3),
+sh as (select 'shape' as kind, class, p as predicate, count(*) as n from q join t using (s) group by 2, 3),
+ra as (select *, row_number() over (partition by kind, case when kind = 'shape' then class end order by n desc, class, predicate) as place,
+  count(*) over (partition by kind, case when kind = 'shape' then class end) as every from (select * from cl union all select * from us union all select * from sh)),
+ma as (select *, case kind when 'class' then 2 when 'predicate' then 5 else 3 end as most from ra)
+select kind, class, predicate, n, place, every > most as truncated, case when kind = 'class' then 'Class ' || class when predicate <> 'rdf:type' then 'Term ' || predicate end as label from ma
+where place <= most and (kind <> 'shape' or class in (select class from ma where kind = 'class' and place <= 2))""",
+)
+def tool_schema_summary(spark, sf_dir):
+    """The two largest classes, the five most used predicates and three of each class, with labels."""
+    q = _quads(spark, sf_dir)
+    terms = q.select(F.when(F.col("p") == TYPE, F.col("o")).otherwise(F.col("p")).alias("term"), (F.col("p") == TYPE).alias("class")).distinct()
+    labels = terms.select("term", F.concat(F.when(F.col("class"), "Class ").otherwise("Term "), "term").alias("label"))
+    return graph.schema_summary(q, 2, 5, 3, labels)

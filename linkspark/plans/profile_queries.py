@@ -200,3 +200,20 @@ def sample_even(spark, sf_dir):
 def subset_by_first_keys(spark, sf_dir):
     orders = _t(spark, sf_dir, "orders")
     return profile.subset(orders, orders.where("o_orderpriority = '1-URGENT'"), "o_custkey", 5).select("o_orderkey", "o_custkey")
+
+
+@query(
+    "prof_summaries",
+    """with t as (select count(*) as total from conversations), v as (
+  select 'conv_id' as c, conv_id::varchar as v, 'integer' as type, null as element from conversations union all select 'role', trim(coalesce(role, '')), 'string', null from conversations
+  union all select 'len (chars)', case when turn % 2 = 0 then length(text)::varchar else (length(text) || '.5') end, 'double', null from conversations
+  union all select 'tags', '["' || role || '"]', 'json-array', 'string' from conversations union all select 'of', '{"t":' || turn || '}', 'json-object', null from conversations
+  union all select 'first', (turn = 0)::varchar, 'boolean', null from conversations union all select 'none', '', 'string', null from conversations)
+select c as column, total, count(*) filter (v <> '') as filled, count(distinct v) filter (v <> '') as "distinct", max(type) as type, false as mixed, max(element) as element,
+  case when c = 'len (chars)' then 'chars' end as unit, min(v) filter (v <> '') as low from v, t group by c, total""",
+)
+def prof_summaries(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").where("role is not null and text is not null")
+    size = F.concat(F.length("text").cast("string"), F.when(F.col("turn") % 2 == 0, "").otherwise(".5"))
+    rows = rows.select("conv_id", "role", size.alias("len (chars)"), F.to_json(F.array("role")).alias("tags"), F.to_json(F.struct(F.col("turn").alias("t"))).alias("of"), (F.col("turn") == 0).alias("first"), F.lit(" ").alias("none"))
+    return profile.summaries(rows).select("column", "total", "filled", "distinct", "type", "mixed", "element", "unit", F.get("samples", F.lit(0)).alias("low"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,6 +76,20 @@ def ingest_stats(rows: DataFrame, good, triples: int = 1) -> DataFrame:
     return out.select("rows_in", "rows_ok", err.alias("rows_err"), (F.col("rows_ok") * triples).alias("triples_out"), status.alias("status"))
 
 
+def observed_write(rows: DataFrame, good, write) -> dict:
+    """What a run did: rows_in, rows_ok, rows_err, status, started and ended (UTC). write(good rows) has to write them;
+    rows are counted as they pass, so the source is read once. Null conditions count as errors; a run without any row is
+    ok. Counts are those of the writing job, which repeats no row of tasks that were lost."""
+    from datetime import UTC, datetime
+
+    started, seen = datetime.now(UTC), Observation()
+    passed = F.coalesce(good, F.lit(False))
+    write(rows.observe(seen, F.count(F.lit(1)).alias("rows_in"), F.count_if(passed).alias("rows_ok")).where(passed))
+    n, ok = seen.get["rows_in"], seen.get["rows_ok"]
+    status = "ok" if n == ok else "partial" if ok else "error"
+    return {"rows_in": n, "rows_ok": ok, "rows_err": n - ok, "status": status, "started": started, "ended": datetime.now(UTC)}
+
+
 def error_rows(rows: DataFrame, order: str, good, reason: str) -> DataFrame:
     """Rows that fail, with the column `order` that tells where they stand, their error and themselves as JSON."""
     bad = rows.where(~F.coalesce(good, F.lit(False)))

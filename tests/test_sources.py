@@ -215,3 +215,54 @@ def test_ntriples_forms(spark):
     assert sorted(r.value for r in readers.error_lines(df).collect()) == sorted(['<a> <p> "no end .', "junk", '<a> "p" <o> .'])
     again = readers.ntriples_of(to_ntriples(rows))
     assert {tuple(r) for r in again.collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_observed_write_reads_once(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from linkspark.sources import readers
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 > 0, F.col("id")).alias("v")).mapInPandas(count, "id long, v long")
+    did = readers.observed_write(rows, F.col("v") > 500, lambda df: df.write.parquet(str(tmp_path / "o")))
+    assert (did["rows_in"], did["rows_ok"], did["rows_err"], did["status"]) == (1000, 450, 550, "partial") and did["started"] <= did["ended"]
+    assert seen.value == 1000 and spark.read.parquet(str(tmp_path / "o")).count() == 450
+    assert readers.observed_write(spark.range(0), F.lit(True), lambda df: df.write.format("noop").mode("overwrite").save())["status"] == "ok"
+
+
+def test_removals_go_on(spark, tmp_path, monkeypatch):
+    from linkspark.operators import versions
+    from linkspark.sources.readers import write_graph
+
+    path = str(tmp_path / "q")
+    write_graph(spark.createDataFrame([(f"http://x/{v}", str(i)) for v in ("d/v1", "d/v2", "d/v3", "e é") for i in range(5)], "g string, s string"), path)
+    control = spark.createDataFrame([("d", "promoted", "http://x/d/v1", "http://x/d/v2")], "dataset string, status string, live string, staged string")
+    queue = versions.Removals(spark, path)
+    with pytest.raises(ValueError):
+        queue.add(versions.replaced(control, "d"), control)
+    after = versions.stage(control, "d", "http://x/d/v3")
+    queue.add(versions.replaced(control, "d"), after)
+    queue.add(spark.createDataFrame([("http://x/e é",), ("http://x/never",), (None,)], "g string"), after)
+    assert versions.Removals(spark, path).queued() == ["http://x/d/v2", "http://x/e é", "http://x/never"]
+    assert queue.sweep(1) == ["http://x/d/v2"] and queue.queued() == ["http://x/e é", "http://x/never"]
+    assert {r.g for r in spark.read.parquet(path).select("g").distinct().collect()} == {"http://x/d/v1", "http://x/d/v3", "http://x/e é"}
+    assert len(queue.sweep()) == 2 and queue.sweep() == [] and spark.read.parquet(path).count() == 10
+
+
+def test_summaries(spark):
+    from linkspark.operators import profile
+
+    rows = [("1", "2020-01-01", "[1]", "x", "true", None), (" 2", "2020-01-01T00:00:00Z", '[{"a":1}]', "3", "FALSE", " "), ("2.5", None, "[]", "", "no", None)]
+    df = spark.createDataFrame(rows, ["n", "day", "list", "mix", "flag", "none"])
+    got = {r["column"]: r for r in profile.summaries(df).collect()}
+    assert {k: r.type for k, r in got.items()} == {"n": "double", "day": "dateTime", "list": "json-array", "mix": "string", "flag": "string", "none": "string"}
+    assert got["mix"].mixed and got["flag"].mixed and not got["none"].mixed and got["list"].element is None and (got["none"].filled, got["none"].total) == (0, 3)
+    assert profile.summaries(df.limit(0)).where("filled = 0 and total = 0").count() == 6
+    plan = profile.summaries(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
