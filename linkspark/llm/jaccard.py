@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -16,6 +17,8 @@ from linkspark.llm.components import components
 
 #: Shingles that are counted exactly and put last in every prefix order: a bound on what is broadcast (4 MB).
 HEAVY = 262_144
+#: Sets whose prefixes may hold a token that was taken for a rare one; and that share of all prefix rows, 1 in HEAVY.
+CROWD = 1000
 #: Shingles that a task counts at once.
 TALLY = 4_000_000
 #: A document may ask for so many shared prefix tokens.
@@ -45,7 +48,7 @@ def _repeated(nodes: list[bytes], counts: list[int]) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, 16 * (len(data) + 1), 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _digest(n: int):
+def _digest(n: int, tally: int):
     """Size and hash of each document's set; and, with how many documents of a stretch hold them, its frequent shingles."""
 
     def out(ids, sizes, nodes, tokens, seen) -> pa.RecordBatch:
@@ -67,7 +70,7 @@ def _digest(n: int):
             yield out(batch["doc_id"], [len(s) for s in sets], [_node(s) if len(s) else None for s in sets], none, none)
             held += sets
             total, docs = total + sum(map(len, sets)), docs + len(sets)
-            if total > TALLY:
+            if total > tally:
                 yield frequent()
                 held, total, docs = [], 0, 0
         if total:
@@ -236,13 +239,38 @@ def _best(rows: DataFrame, percent: int, tries: int = 4) -> DataFrame:
     return counted.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= tries).select("node", F.col("to").alias("pivot"))
 
 
+def _prefix_rows(own: DataFrame, heavy, n: int, percent: int, rounds: int = 4) -> DataFrame:
+    """Prefix rows (token, salt, node, n, matches, central) of all sets, without tokens that one set alone has.
+
+    heavy (token, seen) is what counting by stretches found, which misses a token that stands in a few documents of each
+    stretch. Such a token comes first in its documents' prefixes, so it is seen there: tokens that more than CROWD sets,
+    and more than one in HEAVY of all rows, have in their prefixes are added with that count, and prefixes are made anew.
+    So no token keeps a larger share unsalted; any order gives the same links."""
+    spark = own.sparkSession
+    for left in range(rounds, 0, -1):
+        tokens = heavy["token"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(tokens)
+        shared = spark.sparkContext.broadcast((tokens[order], heavy["seen"].to_numpy(np.int64)[order]))
+        rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node binary, n int, matches int, central long")
+        here = Window.partitionBy("token", "salt")
+        rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here), "many": F.count(F.lit(1)).over(here)}).where("salt > 0 or low < high")
+        rows, path = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
+        share = max(CROWD, rows.count() // HEAVY)
+        crowded = rows.where((F.col("salt") == 0) & (F.col("many") > share)).groupBy("token").agg(F.max("many").alias("seen"))
+        found = crowded.orderBy(F.desc("seen"), "token").limit(HEAVY).toPandas()  # as heavy: 4 MB
+        if found.empty or left == 1:
+            return rows.drop("many")
+        heavy = pd.concat([heavy, found]).nlargest(HEAVY, "seen")
+        drop(spark, path)
+
+
 def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members, nodes, links). members: a row for each row of docs (doc_id, n_shingles, node), node being the hash of its
     shingle set (null for none). nodes: each with its smallest document. links: (a, b), links between nodes that join all
     nodes which similar pairs join.
 
     Two sets link when 100 * shared >= percent * union. Shingles stand in one global order: those that many documents
-    hold (counted over all documents, HEAVY at most) last. Sets that link share at least m of the first
+    hold (counted over all documents, and again in the prefixes; HEAVY at most) last. Sets that link share at least m of the first
     size - ceil(percent * size / 100) + m shingles of each, so each document takes the m with the least estimated cost
     of candidates, and a pair has to share the smaller m of its two documents. Documents with equal sets are one node,
     met once.
@@ -253,16 +281,10 @@ def jaccard_links(docs: DataFrame, n: int = 5, percent: int = 75, turns: int = 2
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    digest, _ = save(own.mapInArrow(_digest(n), "doc_id long, n_shingles long, node binary, token long, seen long"))
+    digest, _ = save(own.mapInArrow(_digest(n, TALLY), "doc_id long, n_shingles long, node binary, token long, seen long"))
     members = digest.where("seen is null").select("doc_id", "n_shingles", "node")
     heavy = digest.where("seen is not null").groupBy("token").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "token").limit(HEAVY).toPandas()
-    tokens = heavy["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    shared = spark.sparkContext.broadcast((tokens[order], heavy["seen"].to_numpy(np.int64)[order]))
-    rows = own.select("text").mapInArrow(_prefixes(n, percent, shared), "token long, salt int, node binary, n int, matches int, central long")
-    here = Window.partitionBy("token", "salt")
-    rows = rows.withColumns({"low": F.min("node").over(here), "high": F.max("node").over(here)}).where("salt > 0 or low < high")
-    rows, _ = save(rows.drop("low", "high").dropDuplicates(["token", "salt", "node"]))
+    rows = _prefix_rows(own, heavy, n, percent)
     reps, _ = save(members.where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
     rows = rows.join(reps, "node").withColumnRenamed("doc_id", "component")
     links = None

@@ -215,3 +215,32 @@ def test_pieces_long_texts_in_stretches(spark, monkeypatch):
         row = out.to_pylist()[0]
         assert row["ids"] == model.encode(t) and row["decoded"] == model.decode(model.encode(t)) and row["same_as_library"]
         assert row["ids_sha256"] == sha(",".join(map(str, row["ids"]))) and row["n_tokens"] == len(row["ids"])
+
+
+def test_jaccard_finds_crowded_tokens(spark, monkeypatch):
+    """A shingle that stands in few documents of each stretch, but in many in all, is ordered last in a second round."""
+    from linkspark.llm import jaccard
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, tail = [], "one two three four five six seven eight nine ten eleven twelve"
+    for _ in range(60):
+        own = [word() for _ in range(40)]
+        texts.append(" ".join([*own, tail]))
+        if rng.random() < 0.5:
+            texts.append(" ".join([*own, tail, word()]))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts)), len(texts) // 2), "doc_id long, text string")
+    for name, value in (("TALLY", 40), ("CROWD", 20)):
+        monkeypatch.setattr(jaccard, name, value)
+    made, real = [], jaccard._prefixes
+    monkeypatch.setattr(jaccard, "_prefixes", lambda n, percent, heavy: made.append(len(heavy.value[0])) or real(n, percent, heavy))
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(root)) and len(set(root)) == 60
+    assert len(made) > 1 and made[-1] > made[0]
