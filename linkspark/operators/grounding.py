@@ -9,6 +9,11 @@ from linkspark.functions.values import text
 
 #: Grams by which a text is found inside another: the first one of the inner text is among those of the outer.
 GRAM = 3
+#: First words that a label may leave out of a property (fixed values).
+LEADS = ("has", "is", "was")
+#: What a query asks for, and the vocabulary terms that it is held to.
+SCOPE = ["asked_kind", "asked_domain"]
+QUERY = ["label", *SCOPE]
 
 
 def plain(c: Column) -> Column:
@@ -16,10 +21,15 @@ def plain(c: Column) -> Column:
     return F.regexp_replace(F.lower(text(c)), r"[^\p{L}\p{Nd}]+", "")
 
 
+def _parts(c: Column) -> Column:
+    """Lower-case words in their order; camelCase, the end of an acronym and other signs part them."""
+    parted = F.regexp_replace(text(c), r"(?<=\p{Ll}|\p{Nd})(?=\p{Lu})|(?<=\p{Lu})(?=\p{Lu}\p{Ll})", " ")
+    return F.filter(F.split(F.lower(parted), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
+
+
 def words(c: Column) -> Column:
-    """Distinct lower-case words; camelCase and other signs part them."""
-    parted = F.regexp_replace(text(c), r"(\p{Ll}|\p{Nd})(\p{Lu})", "$1 $2")
-    return F.array_distinct(F.filter(F.split(F.lower(parted), r"[^\p{L}\p{Nd}]+"), lambda w: w != ""))
+    """Distinct lower-case words."""
+    return F.array_distinct(_parts(c))
 
 
 def _grams(c: Column) -> Column:
@@ -33,35 +43,123 @@ def _grams(c: Column) -> Column:
     return F.array_distinct(F.concat(*each))
 
 
-def _score(label: str, term: str) -> Column:
-    """100 same text, 90 same words, 70 to 80 the label's words among the term's, 50 one text inside the other, 20 and the
-    number of common words, 0 none."""
-    a, b, x, y = (F.col(c) for c in (f"{label}_plain", f"{term}_plain", f"{label}_words", f"{term}_words"))
-    common = F.size(F.array_intersect(x, y))
-    inside = common == F.size(x)
-    tight = F.greatest(F.lit(0), F.lit(10) - (F.size(y) - F.size(x)))
-    score = F.when(a == b, 100).when(inside & (F.size(x) > 0) & (F.size(x) == F.size(y)), 90).when(inside & (F.size(x) > 0), 70 + tight)
-    return score.when(b.contains(a) | a.contains(b), 50).when(common > 0, 20 + common).otherwise(0)
+def _judged(pairs: DataFrame) -> DataFrame:
+    """Score and kind of match of pairs of a label (p plain, w words) and a term (np, lp, cp: name, label and name without
+    its lead, plain; y words)."""
+    p, w, y = F.col("p"), F.col("w"), F.col("y")
+    common = F.size(F.array_intersect(w, y))
+    inside = (common == F.size(w)) & (F.size(w) > 0)
+    tight = F.greatest(F.lit(0), F.lit(10) - (F.size(y) - F.size(w)))
+    ways = [
+        ("exact", p.isin(F.col("np"), F.col("lp"), F.col("cp")), F.lit(100)),
+        ("exact_tokens", inside & (F.size(w) == F.size(y)), F.lit(90)),
+        ("tokens_subset", inside, 70 + tight),
+        ("substring", F.col("np").contains(p) | p.contains(F.col("np")) | F.col("lp").contains(p), F.lit(50)),
+        ("overlap", common > 0, 20 + common),
+    ]
+    score, match = F.lit(0), F.lit("")
+    for name, holds, points in reversed(ways):
+        score, match = F.when(holds, points).otherwise(score), F.when(holds, F.lit(name)).otherwise(match)
+    return pairs.withColumn("score", score.cast("int")).withColumn("match", match).where("score > 0")
 
 
-def ground(labels: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
-    """(label, name, score, place): for each distinct label its `n` best terms, best first, then the shorter name, then the
-    name. labels: label; terms: name. Labels and terms without letters or digits match nothing.
+def _first(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
+    """The first n rows of each group; a group is cut to n rows before it is shuffled."""
+    return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+
+
+def _rarest(inner: DataFrame, x: str, outer: DataFrame) -> DataFrame:
+    """inner and `gram`: of the grams of the text x the one that stands in the fewest rows of outer (scope and gram); a
+    text of GRAM characters or fewer is its own gram. Texts with a gram that outer does not have are left out."""
+    short = inner.where(F.length(x) <= GRAM).withColumn("gram", F.col(x))
+    whole = inner.where(F.length(x) > GRAM)
+    rows = outer.groupBy(*SCOPE, "gram").agg(F.count(F.lit(1)).alias("rows"))
+    each = whole.select(*SCOPE, x).distinct().withColumn("gram", F.explode(F.filter(_grams(F.col(x)), lambda g: F.length(g) == GRAM)))
+    least = each.join(rows, [*SCOPE, "gram"], "left").groupBy(*SCOPE, x).agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("gram"), F.count_if(F.col("rows").isNull()).alias("gone"))
+    return short.unionByName(whole.join(least.where("gone = 0").drop("gone"), [*SCOPE, x]))
+
+
+def _text_columns(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
+    return [(F.coalesce(text(F.col(c)), F.lit("")) if c in df.columns else F.lit("")).alias(c) for c in names]
+
 
-    Only pairs that share a word, or of which one may stand inside the other, are met: joins by word and by gram, no
-    product of the two tables.
+def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
+    """(label, asked_kind, asked_domain, prefix, name, kind, domain, score, match, place): the n best terms of a vocabulary
+    for each distinct query, best first.
+
+    queries: label, and if wanted kind and domain to which the terms are held (null, empty or no such column: any).
+    terms: name, and if known prefix, kind, label, domain. A property is also known without its lead (`has`, `is`, `was`).
+    100: the same letters and digits as the name, the label or the name without its lead; 90: the same words as name and
+    label have together; 70 to 80: all words of the query among them, fewer others first; 50: the query inside name or
+    label, or the name inside the query; 20 and the number of common words. Equal scores: the shorter name, then prefix,
+    name, kind, label, domain. Queries and names without letters or digits match nothing; repeated rows count once.
+
+    A term is met only if it can still enter the n best:
+    1. Of the terms that a query shares but one word with, or that have its spelling, only the first n of that word or
+       spelling can enter, and these do not depend on the query: lists of n are joined.
+    2. Terms that hold all words of a query hold its rarest one: one posting list a query.
+    3. The n-th score of these is the bound. To reach it by common words alone, a term needs c of them, so it has one of
+       the k - c + 1 rarest of k; the most common word of a query is never joined by.
+    4. Texts inside of each other are looked for only where the bound is 50 or less, by the rarest group of GRAM letters
+       of the inner text; texts of GRAM letters or fewer by lists of n.
     """
-    a = labels.select("label").distinct().select("label", plain(F.col("label")).alias("l_plain"), words(F.col("label")).alias("l_words")).where("l_plain <> ''")
-    b = terms.select("name").distinct().select("name", plain(F.col("name")).alias("t_plain"), words(F.col("name")).alias("t_words")).where("t_plain <> ''")
-    whole = {"l": a, "t": b}
-    name = {"l": "label", "t": "name"}
-    word = {k: d.select(name[k], F.explode(f"{k}_words").alias("by")) for k, d in whole.items()}
-    first = {k: d.select(name[k], F.substring(f"{k}_plain", 1, GRAM).alias("by")) for k, d in whole.items()}
-    grams = {k: d.select(name[k], F.explode(_grams(F.col(f"{k}_plain"))).alias("by")) for k, d in whole.items()}
-    met = word["l"].join(word["t"], "by").unionByName(first["l"].join(grams["t"], "by")).unionByName(grams["l"].join(first["t"], "by"))
-    met = met.select("label", "name").distinct().join(a, "label").join(b, "name").withColumn("score", _score("l", "t")).where("score > 0")
-    best = Window.partitionBy("label").orderBy(F.desc("score"), F.length("name"), "name")
-    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).select("label", "name", F.col("score").cast("int").alias("score"), "place")
+    q = queries.select(*_text_columns(queries, ("label", "kind", "domain"))).distinct()
+    q = q.select("label", F.col("kind").alias("asked_kind"), F.col("domain").alias("asked_domain"), plain(F.col("label")).alias("p"), words(F.col("label")).alias("w")).where("p <> ''")
+    t = terms.select(*_text_columns(terms, ("prefix", "name", "kind", "label", "domain"))).distinct()
+    parts = _parts(F.col("name"))
+    led = (F.col("kind") == "property") & F.coalesce(F.get(parts, F.lit(0)).isin(*LEADS), F.lit(False))
+    core = F.when(led, F.array_join(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), "")).otherwise(plain(F.col("name")))
+    own = F.struct(F.length("name").alias("length"), "prefix", "name", "kind", "label", "domain")
+    t = t.select(own.alias("t"), plain(F.col("name")).alias("np"), plain(F.col("label")).alias("lp"), core.alias("cp"), F.array_union(words(F.col("name")), words(F.col("label"))).alias("y")).where("np <> ''")
+    any_of = lambda c: F.array_distinct(F.array(F.col(c), F.lit("")))
+    t = t.withColumn("asked_kind", F.explode(any_of("t.kind"))).withColumn("asked_domain", F.explode(any_of("t.domain"))).join(q.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    both = ["p", "w", "t", "np", "lp", "cp", "y"]
+    pairs = lambda df: df.select(*QUERY, *both)
+
+    # 1: lists of n by word and by spelling
+    posting = t.withColumn("word", F.explode("y"))
+    listed = [*SCOPE, "word"]
+    few = _first(posting, listed, n, F.col("t")).unionByName(_first(posting, listed, n, F.least(F.size("y"), F.lit(11)), F.col("t"))).drop("place").distinct()
+    asked = q.withColumn("word", F.explode("w"))
+    spelt = t.withColumn("p", F.explode(F.array_distinct(F.array("np", "lp", "cp"))))
+    spelt = _first(spelt, [*SCOPE, "p"], n, F.col("t")).drop("place")
+    met = pairs(asked.join(few, listed)).unionByName(pairs(q.join(spelt, [*SCOPE, "p"])))
+
+    # 2: the rarest word
+    frequency = posting.groupBy(*listed).agg(F.count(F.lit(1)).alias("rows"))
+    ranked = asked.join(frequency, listed).groupBy(*QUERY, "p", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("rows", "word"))), lambda r: r["word"]).alias("known")).where(F.size("known") >= 2)
+    met = met.unionByName(pairs(ranked.withColumn("word", F.col("known")[0]).join(posting, listed)))
+    scored = _judged(met.distinct())
+    best = [F.desc("score"), F.col("t")]
+    held = _first(scored, QUERY, n, *best)
+    bound = held.groupBy(*QUERY).agg(F.when(F.count(F.lit(1)) == n, F.min("score")).otherwise(0).alias("bound"))
+
+    # 3: common words that can still reach the bound
+    need = F.greatest(F.lit(2), F.col("bound") - 20)
+    more = ranked.join(bound, QUERY).withColumn("left", F.size("known") - need).where("left > 0")
+    wider = pairs(more.withColumn("word", F.explode(F.slice("known", F.lit(2), F.col("left")))).join(posting, listed))
+
+    # 4: texts inside of each other
+    open_ = q.join(bound.where("bound > 50"), QUERY, "left_anti")
+    key = [*SCOPE, "gram"]
+    of_terms = t.withColumn("gram", F.explode(F.array_union(_grams(F.col("np")), _grams(F.col("lp")))))
+    brief = _first(of_terms.where(F.length("gram") <= GRAM), key, n, F.col("t")).drop("place")
+    inner = _rarest(open_, "p", of_terms)
+    tiny, larger = F.length("p") <= GRAM, F.length("p") > GRAM
+    within = pairs(inner.where(tiny).join(brief, key)).unionByName(pairs(inner.where(larger).join(of_terms, key)))
+    of_queries = open_.withColumn("gram", F.explode(_grams(F.col("p"))))
+    names = _rarest(_first(t, [*SCOPE, "np"], n, F.col("t")).drop("place"), "np", of_queries)
+    around = pairs(of_queries.join(names, key))
+
+    rest = _judged(wider.unionByName(within).unionByName(around).distinct())
+    out = _first(held.drop("place").unionByName(rest).distinct(), QUERY, n, *best)
+    return out.select(*QUERY, "t.prefix", "t.name", "t.kind", "t.domain", "score", "match", "place")
+
+
+def ground(labels: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
+    """(label, name, score, place): for each distinct label its `n` best terms, as candidates() finds them by name alone.
+    labels: label; terms: name. Labels and terms without letters or digits match nothing."""
+    return candidates(labels.select("label"), terms.select("name"), n).select("label", "name", "score", "place")
 
 
 def term_iri(df: DataFrame, column: str, terms: DataFrame, fold: bool = False) -> DataFrame:
@@ -154,5 +252,5 @@ def schema_terms(minted: DataFrame, terms: DataFrame, known: tuple[str, ...], n:
     and left out, as are terms without candidates, empty and null ones."""
     local = F.regexp_replace("term", "^[^:]*:", "")
     new = minted.where(~F.when(F.col("term").contains(":"), F.substring_index("term", ":", 1)).otherwise("").isin(*known)).select("kind", "term", local.alias("label")).where("label <> ''").distinct()
-    out = [ground(new.where(F.col("kind") == kind), terms.where(F.col("kind") == kind), n).withColumn("kind", F.lit(kind)) for kind in ("class", "property")]
-    return new.join(out[0].unionByName(out[1]), ["kind", "label"]).where(F.col("score") >= least).select("kind", "term", "name", "score", "place")
+    out = candidates(new.where(F.col("kind").isin("class", "property")), terms.select("name", "kind"), n).select(F.col("asked_kind").alias("kind"), "label", "name", "score", "place")
+    return new.join(out, ["kind", "label"]).where(F.col("score") >= least).select("kind", "term", "name", "score", "place")

@@ -176,6 +176,29 @@ def gnd_quantity_kinds(spark, sf_dir):
     return grounding.quantity_kinds(part.select(F.col("p_name").alias("query"), F.when(F.col("p_size") % 3 != 0, F.col("p_brand")).alias("unit")), kinds)
 
 
+_ASKED_TERMS = """select distinct p_name || ' ' || p_type as label, case p_size % 3 when 0 then '' when 1 then 'class' else 'property' end as kind, case when p_size % 2 = 0 then p_brand else '' end as domain from part
+  union select distinct p_type, '', '' from part union select distinct substr(p_name, 2, 3), 'class', '' from part union select distinct substr(p_name, 1, 2), '', p_brand from part"""
+_TERMS = """select distinct 'v' || (p_size % 3) as prefix, case when p_size % 2 = 0 then 'has ' || p_name else p_name end as name, case when p_size % 2 = 0 then 'property' else 'class' end as kind,
+    case when p_size % 5 = 0 then lower(p_type) || ' item' else p_name end as label, p_brand as domain from part
+  union select distinct 'w', substring_index(p_name, ' ', 1), 'class', p_type, '' from part union select distinct 'w', substring_index(p_name, ' ', -1), 'property', 'the ' || p_type, p_brand from part"""
+
+
+@query("gnd_candidates", rf"""
+with q as ({_ASKED_TERMS}),
+t as ({_TERMS.replace("substring_index(p_name, ' ', 1)", "string_split(p_name, ' ')[1]").replace("substring_index(p_name, ' ', -1)", "string_split(p_name, ' ')[-1]")}),
+a as (select label, kind as asked_kind, domain as asked_domain, replace(lower(label), ' ', '') as p, list_distinct(list_filter(string_split(lower(label), ' '), lambda x: x <> '')) as w from q),
+u as (select *, replace(lower(name), ' ', '') as np, replace(lower(label), ' ', '') as lp, case when kind = 'property' and starts_with(lower(name), 'has ') then replace(lower(name)[5:], ' ', '') else replace(lower(name), ' ', '') end as cp,
+  list_distinct(string_split(lower(name), ' ') || string_split(lower(label), ' ')) as y from t),
+m as (select a.label, asked_kind, asked_domain, prefix, name, kind, domain, u.label as term_label, p, w, np, lp, cp, y, len(list_intersect(w, y)) as c from a, u where asked_kind in ('', kind) and asked_domain in ('', domain)),
+s as (select *, case when p in (np, lp, cp) then 'exact' when c = len(w) and len(w) = len(y) then 'exact_tokens' when c = len(w) then 'tokens_subset' when contains(np, p) or contains(p, np) or contains(lp, p) then 'substring' when c > 0 then 'overlap' end as match from m),
+r as (select *, case match when 'exact' then 100 when 'exact_tokens' then 90 when 'tokens_subset' then 70 + greatest(0, 10 - (len(y) - len(w))) when 'substring' then 50 else 20 + c end as score from s where match is not null),
+o as (select *, row_number() over (partition by label, asked_kind, asked_domain order by score desc, length(name), prefix, name, kind, term_label, domain) as place from r)
+select label, asked_kind, asked_domain, prefix, name, kind, domain, cast(score as integer) as score, match, cast(place as integer) as place from o where place <= 5""")
+def gnd_candidates(spark, sf_dir):
+    _t(spark, sf_dir, "part").createOrReplaceTempView("part")
+    return grounding.candidates(spark.sql(_ASKED_TERMS), spark.sql(_TERMS), 5)
+
+
 @query("gnd_schema", r"""
 with a as (select distinct 'm:' || p_name as term, string_split(lower(p_name), ' ') as x, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') as p from part where p_partkey % 2 = 0),
 b as (select distinct word as name, [lower(word)] as y, lower(word) as q from (select unnest(string_split(p_name, ' ')) as word from part)),
