@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,15 @@ def pattern(q: DataFrame, *triples: tuple[str, str, str]) -> DataFrame:
     return out
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a checkpoint in the session's shared folder (a temporary one where the session names none), so that what
+    follows is planned from there."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkspark-"))
+    return df.checkpoint()
+
+
 def closure(edges: DataFrame, depth: int = 100, least: int = 1) -> DataFrame:
     """(a, b): every pair that edges (a, b) reach in one or more steps, with least=0 also each node with itself; cycles
     end. The pairs are the result, so their number is the caller's choice of edges. Each round joins what the last one
@@ -41,16 +52,12 @@ def closure(edges: DataFrame, depth: int = 100, least: int = 1) -> DataFrame:
         edges = edges.select("a", "b")
         nodes = edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).where("a is not null").distinct()
         return closure(edges, depth).unionByName(nodes.select("a", F.col("a").alias("b"))).distinct()
-    spark = edges.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="linkspark-"))
     steps = edges.select("a", "b").distinct()
-    known = fresh = steps.checkpoint()
+    known = fresh = cut(steps)
     for _ in range(depth):
         found = fresh.select("a", F.col("b").alias("via")).join(steps.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
-        fresh = found.join(known, ["a", "b"], "left_anti").checkpoint()
+        fresh = found.join(known, ["a", "b"], "left_anti")
+        fresh = cut(fresh)
         if fresh.isEmpty():
             return known
         known = known.unionByName(fresh)

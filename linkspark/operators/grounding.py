@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkspark.functions.values import text
+from linkspark.operators.graph import cut
 
 #: Grams by which a text is found inside another: the first one of the inner text is among those of the outer.
 GRAM = 3
@@ -60,7 +61,7 @@ def _judged(pairs: DataFrame) -> DataFrame:
     score, match = F.lit(0), F.lit("")
     for name, holds, points in reversed(ways):
         score, match = F.when(holds, points).otherwise(score), F.when(holds, F.lit(name)).otherwise(match)
-    return pairs.withColumn("score", score.cast("int")).withColumn("match", match).where("score > 0")
+    return pairs.select(*QUERY, "t", score.cast("int").alias("score"), match.alias("match")).where("score > 0").distinct()
 
 
 def _first(df: DataFrame, by: list[str], n: int, *order: Column) -> DataFrame:
@@ -102,9 +103,12 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
        the k - c + 1 rarest of k; the most common word of a query is never joined by.
     4. Texts inside of each other are looked for only where the bound is 50 or less, by the rarest group of GRAM letters
        of the inner text; texts of GRAM letters or fewer by lists of n.
+
+    Queries, terms and what steps 1 and 2 hold are checkpoints, for the later steps ask them several times.
     """
     q = queries.select(*_text_columns(queries, ("label", "kind", "domain"))).distinct()
     q = q.select("label", F.col("kind").alias("asked_kind"), F.col("domain").alias("asked_domain"), plain(F.col("label")).alias("p"), words(F.col("label")).alias("w")).where("p <> ''")
+    q = cut(q)
     t = terms.select(*_text_columns(terms, ("prefix", "name", "kind", "label", "domain"))).distinct()
     parts = _parts(F.col("name"))
     led = (F.col("kind") == "property") & F.coalesce(F.get(parts, F.lit(0)).isin(*LEADS), F.lit(False))
@@ -112,7 +116,7 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     own = F.struct(F.length("name").alias("length"), "prefix", "name", "kind", "label", "domain")
     t = t.select(own.alias("t"), plain(F.col("name")).alias("np"), plain(F.col("label")).alias("lp"), core.alias("cp"), F.array_union(words(F.col("name")), words(F.col("label"))).alias("y")).where("np <> ''")
     any_of = lambda c: F.array_distinct(F.array(F.col(c), F.lit("")))
-    t = t.withColumn("asked_kind", F.explode(any_of("t.kind"))).withColumn("asked_domain", F.explode(any_of("t.domain"))).join(q.select(*SCOPE).distinct(), SCOPE, "left_semi")
+    t = cut(t).withColumn("asked_kind", F.explode(any_of("t.kind"))).withColumn("asked_domain", F.explode(any_of("t.domain"))).join(q.select(*SCOPE).distinct(), SCOPE, "left_semi")
     both = ["p", "w", "t", "np", "lp", "cp", "y"]
     pairs = lambda df: df.select(*QUERY, *both)
 
@@ -129,9 +133,9 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     frequency = posting.groupBy(*listed).agg(F.count(F.lit(1)).alias("rows"))
     ranked = asked.join(frequency, listed).groupBy(*QUERY, "p", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("rows", "word"))), lambda r: r["word"]).alias("known")).where(F.size("known") >= 2)
     met = met.unionByName(pairs(ranked.withColumn("word", F.col("known")[0]).join(posting, listed)))
-    scored = _judged(met.distinct())
+    scored = _judged(met)
     best = [F.desc("score"), F.col("t")]
-    held = _first(scored, QUERY, n, *best)
+    held = cut(_first(scored, QUERY, n, *best))
     bound = held.groupBy(*QUERY).agg(F.when(F.count(F.lit(1)) == n, F.min("score")).otherwise(0).alias("bound"))
 
     # 3: common words that can still reach the bound
@@ -151,7 +155,7 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     names = _rarest(_first(t, [*SCOPE, "np"], n, F.col("t")).drop("place"), "np", of_queries)
     around = pairs(of_queries.join(names, key))
 
-    rest = _judged(wider.unionByName(within).unionByName(around).distinct())
+    rest = _judged(wider.unionByName(within).unionByName(around))
     out = _first(held.drop("place").unionByName(rest).distinct(), QUERY, n, *best)
     return out.select(*QUERY, "t.prefix", "t.name", "t.kind", "t.domain", "score", "match", "place")
 

@@ -134,3 +134,63 @@ def test_detected_tables(spark):
         "crlf": ("utf-8-sig", ",", 1),
         "null": ("utf-8-sig", ",", 0),
     }
+
+
+def _by_hand(queries, terms, n):
+    """Every pair scored, in plain Python."""
+    import re
+
+    def parts(x):
+        x = re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ", x)
+        return [w for w in re.split(r"[^A-Za-z0-9]+", x.lower()) if w]
+
+    out = set()
+    for label, kind, domain in {(a or "", b or "", c or "") for a, b, c in queries}:
+        p, w, found = "".join(parts(label)), set(parts(label)), []
+        for prefix, name, k, called, d in {tuple(x or "" for x in t) for t in terms}:
+            m = parts(name)
+            if not p or not m or kind not in ("", k) or domain not in ("", d):
+                continue
+            core = m[1:] if k == "property" and m[0] in grounding.LEADS else m
+            y, np, lp = set(m) | set(parts(called)), "".join(m), "".join(parts(called))
+            if p in (np, lp, "".join(core)):
+                score = 100, "exact"
+            elif w == y:
+                score = 90, "exact_tokens"
+            elif w <= y:
+                score = 70 + max(0, 10 - len(y) + len(w)), "tokens_subset"
+            elif p in np or np in p or p in lp:
+                score = 50, "substring"
+            elif w & y:
+                score = 20 + len(w & y), "overlap"
+            else:
+                continue
+            found.append((-score[0], len(name), prefix, name, k, called, d, score[1]))
+        for place, (s, _, prefix, name, k, _, d, match) in enumerate(sorted(found)[:n], 1):
+            out.add((label, kind, domain, prefix, name, k, d, -s, match, place))
+    return out
+
+
+def test_candidates_as_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    common, rare = ["the", "of", "has", "a", "is"], ["age", "cell", "unit", "crystal", "lattice", "mass", "xy", "cellUnit", "HTMLPage", "q"]
+    some = lambda k: " ".join(rng.choice(common if rng.random() < 0.6 else rare) for _ in range(k))
+    terms = [(rng.choice(["u", "v", None]), some(rng.randint(1, 5)).title().replace(" ", rng.choice(["", " ", "_"])), rng.choice(["class", "property", None]), rng.choice([None, some(2)]), rng.choice(["m", "n", None])) for _ in range(250)]
+    terms += [(None, None, None, None, None), ("u", "", "class", "x", "m"), ("u", "--", "class", "age", "m"), ("u", "has", "property", "", "m"), ("u", "the " * 400, "class", "", "m"), terms[0]]
+    queries = [(some(rng.randint(1, 6)), rng.choice(["class", "property", "", None, "other"]), rng.choice(["m", "", None, "none"])) for _ in range(60)]
+    queries += [(None, None, None), ("", "class", ""), ("!!", "", ""), ("e", "", ""), ("ll", "class", "m"), ("zzzz", "", ""), ("the of a " * 200, "", ""), queries[0]]
+    asked = spark.createDataFrame(queries, "label string, kind string, domain string").withColumn("score", F.lit("clash"))
+    known = spark.createDataFrame(terms, "prefix string, name string, kind string, label string, domain string").withColumn("place", F.lit(1)).withColumn("p", F.lit(2))
+    for n in (1, 4):
+        got = [tuple(r) for r in grounding.candidates(asked, known, n).collect()]
+        assert len(got) == len(set(got)) and set(got) == _by_hand(queries, terms, n)
+    assert grounding.candidates(asked.limit(0), known).count() == 0 and grounding.candidates(asked, known.limit(0)).count() == 0
+
+
+def test_property_without_lead(spark):
+    terms = spark.createDataFrame([("c", "hasSpaceGroup", "property"), ("c", "SpaceGroup", "class"), ("c", "Group", "class")], "prefix string, name string, kind string")
+    asked = spark.createDataFrame([("space group", "property"), ("space group", None)], "label string, kind string")
+    got = sorted((r.asked_kind, r.place, r.name, r.match) for r in grounding.candidates(asked, terms).collect())
+    assert got == [("", 1, "SpaceGroup", "exact"), ("", 2, "hasSpaceGroup", "exact"), ("", 3, "Group", "substring"), ("property", 1, "hasSpaceGroup", "exact")]
