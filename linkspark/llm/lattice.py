@@ -93,21 +93,16 @@ def _vocabulary(file: bytes) -> tuple[list[str], np.ndarray]:
     return pieces, weight / weight.sum()
 
 
-def _piece_counts(shared):
-    """Pieces of the vocabulary's own segmentation of each word, as often as the word stands in training text."""
+def _expected(shared):
+    """Pieces of the words, as often as the segmentations of each word hold them on average; each word counts once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import sentencepiece
-
-        model = sentencepiece.SentencePieceProcessor(model_proto=shared.value)
-        total = np.zeros(model.get_piece_size())
+        lattices = Lattices(shared.value)
+        total = np.zeros(len(lattices.names))
         for batch in batches:
-            ids = model.encode(batch["word"].to_pylist(), num_threads=1)
-            n = np.array([len(i) for i in ids])
-            if n.sum():
-                total += np.bincount(np.concatenate([np.array(i, np.int64) for i in ids if i]), np.repeat(batch["seen"].to_numpy(), n), len(total))
+            total += lattices.expected(batch["word"].to_pylist())
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["piece", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([lattices.names[i] for i in some.tolist()], pa.string()), pa.array(total[some])], ["piece", "n"])
 
     return run
 
@@ -136,12 +131,42 @@ def word_log10(word: str, pieces: dict[str, float], longest: int) -> float:
     return (top + math.log(sum(math.exp(p - top) for p in ahead[n]))) / math.log(10)
 
 
+def word_counts(word: str, pieces: dict[str, float], longest: int) -> dict[str, float]:
+    """How often each piece stands in the segmentations of a word, weighted by their chances: forward and backward sums."""
+    text = START + word
+    n = len(text)
+    add = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) if min(x, y) > -math.inf else max(x, y)
+
+    def steps(i: int) -> Iterator[tuple[int, list[str], float]]:
+        for j in range(i + 1, min(n, i + longest) + 1):
+            if text[i:j] in pieces:
+                yield j, [text[i:j]], pieces[text[i:j]]
+        if text[i] not in pieces:
+            spelled = [f"<0x{b:02X}>" for b in text[i].encode("utf-8", "surrogatepass")]
+            yield i + 1, spelled, sum(pieces[b] for b in spelled)
+
+    ahead, back = [0.0] + [-math.inf] * n, [-math.inf] * n + [0.0]
+    for i in range(n):
+        for j, _, p in steps(i):
+            ahead[j] = add(ahead[j], ahead[i] + p)
+    out: dict[str, float] = {}
+    for i in reversed(range(n)):
+        for j, names, p in steps(i):
+            back[i] = add(back[i], p + back[j])
+            for name in names:
+                out[name] = out.get(name, 0.0) + math.exp(ahead[i] + p + back[j] - ahead[n])
+    return out
+
+
 class Lattices:
     """The same sum as word_log10 for many words side by side: the pieces are a trie, and all words of a lot walk it
     together from each of their characters."""
 
     def __init__(self, pieces: dict[str, float]):
         self.pieces, self.longest = pieces, max(map(len, pieces))
+        self.names = list(pieces)
+        self.number = {p: i for i, p in enumerate(self.names)}
+        made = [-1]
         children: dict[tuple[int, int], int] = {}
         self.value = [-np.inf]
         for piece, p in pieces.items():
@@ -151,8 +176,11 @@ class Lattices:
                 if step not in children:
                     children[step] = len(self.value)
                     self.value.append(-np.inf)
+                    made.append(-1)
                 at = children[step]
             self.value[at] = p
+            made[at] = self.number[piece]
+        self.made = np.array(made)
         self.value = np.array(self.value)
         self.keys = np.array([at << 21 | ch for at, ch in children], np.int64)
         order = np.argsort(self.keys)
@@ -162,7 +190,9 @@ class Lattices:
         """Chance of a character that is no piece, as its bytes."""
         return -np.inf if chr(ch) in self.pieces else sum(self.pieces[f"<0x{b:02X}>"] for b in chr(ch).encode("utf-8", "surrogatepass"))
 
-    def _lot(self, words: list[str]) -> np.ndarray:
+    def _lot(self, words: list[str], edges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Chances of the beginnings of words, and where the words end; edges takes the pieces on the way: begin, end, words,
+        chances, and the numbers of the pieces, or of characters (behind them) that are no pieces."""
         size = np.array([len(w) for w in words]) + 1
         width = int(size.max())
         chars = np.full((len(words), width), -1, np.int64)
@@ -173,9 +203,16 @@ class Lattices:
         spelled[chars >= 0] = np.array([self._spelled(c) for c in kinds.tolist()])[inverse]
         ahead = np.full((len(words), width + 1), -np.inf)
         ahead[:, 0] = 0.0
+
+        def step(i: int, j: int, rows: np.ndarray, value: np.ndarray, what: np.ndarray) -> None:
+            ahead[rows, j] = np.logaddexp(ahead[rows, j], ahead[rows, i] + value)
+            if edges is not None and len(rows):
+                edges.append((i, j, rows, value, what))
+
         for i in range(width):
             who = np.flatnonzero((i < size) & (ahead[:, i] > -np.inf))
-            ahead[who, i + 1] = np.logaddexp(ahead[who, i + 1], ahead[who, i] + spelled[who, i])
+            none = who[spelled[who, i] > -np.inf]
+            step(i, i + 1, none, spelled[none, i], chars[none, i] + len(self.names))
             at = np.zeros(len(who), np.int64)
             for j in range(i, min(width, i + self.longest)):
                 key = at << 21 | chars[who, j]
@@ -185,22 +222,55 @@ class Lattices:
                 if not len(who):
                     break
                 some = self.value[at] > -np.inf
-                end = who[some]
-                ahead[end, j + 1] = np.logaddexp(ahead[end, j + 1], ahead[end, i] + self.value[at[some]])
-        return ahead[np.arange(len(words)), size] / math.log(10)
+                step(i, j + 1, who[some], self.value[at[some]], self.made[at[some]])
+        return ahead, size
 
-    def log10(self, words: list[str]) -> np.ndarray:
-        out = np.empty(len(words))
+    def _lots(self, words: list[str]) -> Iterator[tuple[list[int], list[int]]]:
+        """Numbers of words of like length, SIDE at a time: those of LONG characters or fewer, and the longer ones."""
         order = sorted(range(len(words)), key=lambda k: len(words[k]))
         for low in range(0, len(order), SIDE):
             lot = order[low : low + SIDE]
             short = [k for k in lot if len(words[k]) <= LONG]
+            yield short, lot[len(short) :]
+
+    def log10(self, words: list[str]) -> np.ndarray:
+        out = np.empty(len(words))
+        for short, long in self._lots(words):
             if short:
-                out[short] = self._lot([words[k] for k in short])
-            for k in lot[len(short) :]:
+                ahead, size = self._lot([words[k] for k in short])
+                out[short] = ahead[np.arange(len(short)), size] / math.log(10)
+            for k in long:
                 out[k] = word_log10(words[k], self.pieces, self.longest)
         return out
 
+    def expected(self, words: list[str]) -> np.ndarray:
+        """word_counts of all words, summed, by number of the piece."""
+        out = np.zeros(len(self.names))
+        spelled: dict[int, float] = {}
+        for short, long in self._lots(words):
+            edges: list = []
+            if short:
+                ahead, size = self._lot([words[k] for k in short], edges)
+                row = np.arange(len(short))
+                whole = ahead[row, size]
+                back = np.full(ahead.shape, -np.inf)
+                back[row, size] = 0.0
+            for i, j, rows, value, what in reversed(edges):
+                through = value + back[rows, j]
+                back[rows, i] = np.logaddexp(back[rows, i], through)
+                share = np.exp(ahead[rows, i] + through - whole[rows])
+                piece = what < len(self.names)
+                np.add.at(out, what[piece], share[piece])
+                for ch, n in zip((what[~piece] - len(out)).tolist(), share[~piece].tolist(), strict=True):
+                    spelled[ch] = spelled.get(ch, 0.0) + n
+            for k in long:
+                for piece, n in word_counts(words[k], self.pieces, self.longest).items():
+                    out[self.number[piece]] += n
+        for ch, n in spelled.items():
+            for b in chr(ch).encode("utf-8", "surrogatepass"):
+                out[self.number[f"<0x{b:02X}>"]] += n
+        return out
+
 
 def _score_words(shared, own: float, total: int):
     """Chance of each word: its lattice, and the word itself as one piece of the weight `own`."""
@@ -239,15 +309,18 @@ def _score_docs(base: float, end_base: float, end_known: int, end_score: float,
     return run
 
 
-def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, prior: float = 30_000.0, own: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, prior: float = 3_000.0, own: float | None = None, rounds: int = 2) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     A text is its words (A-Z as a-z) and one end. base_score: log10 of add-one word frequencies of the training rows.
-    score: log10 of the marginal probability over every segmentation of every word into pieces. A piece of an existing
-    vocabulary has its count in the training rows (under the vocabulary's own segmentation) and `prior` pseudo-counts
-    spread by the vocabulary's scores; these are ranks in a BPE file, so a piece of rank r weighs 1 / (r + 10). One more
-    segmentation of a word is the word itself, with its training frequency; it has the share `own` of the weight (0:
-    pieces alone), so that what the model knows grows with the corpus. The end is one more piece.
+    score: log10 of the marginal probability over every segmentation of every word into pieces of an existing vocabulary.
+    Its scores weigh the pieces (they are ranks in a BPE file, so a piece of rank r weighs 1 / (r + 10)) with `prior`
+    pseudo-counts; `rounds` times the counts that all segmentations of the training words hold on average are added, under
+    the weights so far (expectation maximization). Each distinct word counts once there, because pieces serve the words
+    that training does not hold. One more segmentation of a word is the word itself, with its training frequency, so that
+    what the model knows grows with the corpus. It has the share `own` of the weight; null: what words that training holds
+    once leave of all tokens, the usual estimate of the share of words seen before (0: pieces alone). The end is one more
+    piece.
 
     Documents are read once, in blocks of about BLOCK bytes; a block hands on each of its words once, and gets its
     count and score back. So a word that stands in all documents is as many rows as there are blocks, which is less than
@@ -265,21 +338,25 @@ def score(docs: DataFrame, held_out: Column, vocabulary: str = VOCABULARY, prior
     words = blocks.where("word is not null").select("word", "block", "number", seen.alias("seen"), (F.row_number().over(word) == 1).alias("head"))
     words, _ = save(words)  # in order of the words: a word's blocks stand together
     first = words.where("head and seen > 0").select("word", "seen")
-    total, distinct = first.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct, once = first.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.count(F.lit(1)), F.count_if(F.col("seen") == 1)).first()
     ends = blocks.where("word is null and not held_out").count()
     train, distinct = total + ends, distinct + (ends > 0)
-    file = Path(vocabulary).read_bytes()
-    pieces, weight = _vocabulary(file)
-    count = np.zeros(len(pieces))
-    for r in first.mapInArrow(_piece_counts(spark.sparkContext.broadcast(file)), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect():
-        count[r["piece"]] = r["n"]  # one row for each piece of the vocabulary
-    count[weight == 0] = 0
-    mass = count.sum() + ends + prior + 1
-    chance = (count + prior * weight) / mass
-    model = {p: math.log(c) for p, c in zip(pieces, chance.tolist(), strict=True) if c > 0}
+    pieces, weight = _vocabulary(Path(vocabulary).read_bytes())
+    usable = np.flatnonzero(weight)
+    chance = weight[usable] / (1 + 1 / prior)
+    for r in range(rounds + 1):
+        model = {pieces[i]: c for i, c in zip(usable.tolist(), np.log(chance).tolist(), strict=True)}
+        shared = spark.sparkContext.broadcast(model)  # one number for each piece of the vocabulary
+        if r == rounds:
+            break
+        gained = {x["piece"]: x["n"] for x in first.mapInArrow(_expected(shared), "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()}
+        count = np.array([gained.get(pieces[i], 0.0) for i in usable.tolist()])
+        chance = (count + prior * weight[usable]) / (count.sum() + prior + 1)
+    if own is None:
+        own = 1 - (once + 1) / (train + 2)
     own = own if train else 0.0
-    end = own * ends / max(train, 1) + (1 - own) * (ends + 1) / mass
-    scored = words.select("word", "block", "number", "seen").mapInArrow(_score_words(spark.sparkContext.broadcast(model), own, train), "block long, number int, seen long, log10 double")
+    end = own * ends / max(train, 1) + (1 - own) * (1 - chance.sum())
+    scored = words.select("word", "block", "number", "seen").mapInArrow(_score_words(shared, own, train), "block long, number int, seen long, log10 double")
     base = train + distinct + 1
     give = _score_docs(base, math.log10((ends + 1) / base), int(ends > 0), math.log10(end), train)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

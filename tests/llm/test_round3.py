@@ -1,6 +1,7 @@
 """Pieces, centroids and whitening against the library, a brute-force version and numpy, with nulls, repeats and ties."""
 
 import hashlib
+import itertools
 import math
 import random
 
@@ -10,13 +11,16 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from linkspark.llm import bidiagonal, centroids, pieces, queries, whitening
+from linkspark.llm import bidiagonal, centroids, lattice, pieces, queries, whitening
 
 SF = "/root/testdata/sf0.001"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 ODD = ["", " ", "  ", "a", " a", "a ", "  a   b  ", "▁", "a▁b", "▁▁ x", "a\x00b", "\t\n x\r\n", "　全角　空白", "é😀 é", "<s> hi </s>", "<0x0A>", "<unk>", " " * 41 + "x" + " " * 7, "aaaa" * 60, "the of and " * 50, "Zażółć gęślą jaźń", "﻿x", " "]
 
 
+PIECES = {"▁": 0.2, "▁a": 0.1, "a": 0.3, "b": 0.1, "ab": 0.05, "▁ab": 0.02, "c": 0.05}
+
+
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
@@ -244,3 +248,48 @@ def test_jaccard_finds_crowded_tokens(spark, monkeypatch):
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(docs).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) == 60
     assert len(made) > 1 and made[-1] > made[0]
+
+
+def test_expected_counts_of_all_segmentations():
+    chance = PIECES | {f"<0x{b:02X}>": 1e-4 for b in range(256)}
+    model = {k: float(np.log(v)) for k, v in chance.items()}
+    words = ["ab", "cab", "aabb", "b", "é", "aéb", "漢a", "", "ab" * 40]
+    total = np.zeros(len(model))
+    for word in words[:8]:
+        text, found = lattice.START + word, {}
+        for n in range(len(text)):
+            for cuts in itertools.combinations(range(1, len(text)), n):
+                ends = [0, *cuts, len(text)]
+                parts = [text[a:b] for a, b in itertools.pairwise(ends)]
+                parts = [q for p in parts for q in ([p] if p in PIECES or len(p) > 1 else [f"<0x{b:02X}>" for b in p.encode()])]
+                found[tuple(ends)] = parts, float(np.prod([chance.get(p, 0.0) for p in parts]))
+        whole = sum(c for _, c in found.values())
+        want = {}
+        for parts, c in found.values():
+            for p in parts if c else []:
+                want[p] = want.get(p, 0.0) + c / whole
+        assert lattice.word_counts(word, model, 3) == pytest.approx(want)
+        for p, v in want.items():
+            total[list(model).index(p)] += v
+    side = lattice.Lattices(model)
+    assert side.expected(words[:8]) == pytest.approx(total)
+    long = lattice.word_counts(words[8], model, 3)  # more characters than words side by side may have
+    assert side.expected(words[8:])[list(model).index("ab")] == pytest.approx(long["ab"]) and side.expected([]).sum() == 0
+
+
+def test_rounds_raise_the_training_likelihood(spark):
+    names = [*PIECES, *(f"<0x{b:02X}>" for b in range(256))]
+    words, chance, before = ["ab", "cab", "aabb", "abab", "é"], np.full(len(names), 1 / len(names)), -np.inf
+    for _ in range(6):
+        side = lattice.Lattices({n: float(np.log(c)) for n, c in zip(names, chance, strict=True) if c > 0})
+        now = side.log10(words).sum()
+        assert now >= before - 1e-12
+        before = now
+        count = dict(zip(side.names, side.expected(words), strict=True))
+        chance = np.array([count.get(n, 0.0) for n in names]) / sum(count.values())
+    docs = spark.createDataFrame([(i, f"anderung sanderung {'derung' * (i % 3)}") for i in range(12)] + [(12, "sanderungs"), (13, None), (None, "anderung")], "doc_id long, text string")
+    mean = [sum(r.score for r in lattice.score(docs, F.col("doc_id") == 12, prior=1.0, own=0.0, rounds=k).collect()) for k in (0, 1, 2)]
+    assert mean[0] < mean[1] < mean[2]
+    same = [sorted((str(r.doc_id), round(r.score, 9), r.held_out) for r in lattice.score(docs.repartition(k), F.col("doc_id") == 12).collect()) for k in (1, 5)]
+    assert same[0] == same[1] and all(np.isfinite(s) for _, s, _ in same[0])
+    assert lattice.score(docs.limit(0), F.col("doc_id") == 12).count() == 0
