@@ -231,6 +231,37 @@ def ver_tombstone(spark, sf_dir):
     return versions.resolve(graphs, versions.tombstone(control, "customer"))
 
 
+_VERSIONS = """v as (select c_mktsegment || '/v' || (c_custkey % 3) as g, c_mktsegment as dataset from customer),
+c as (select distinct dataset, dataset || '/v0' as live, case when length(dataset) % 2 = 0 then dataset || '/v1' end as staged from v)"""
+
+
+def _versions(spark, sf_dir):
+    """Customers as quads, a dataset for each segment in three versions, and their control table."""
+    q = quads(_t(spark, sf_dir, "customer"), Map("http://x/c/{c_custkey}", (), (Property("x:segment", column="c_mktsegment"),)), "all")
+    q = q.withColumn("g", F.concat("o", F.lit("/v"), F.substring_index("s", "/", -1).cast("long") % 3))
+    staged = F.when(F.length("o") % 2 == 0, F.concat("o", F.lit("/v1")))
+    return q, q.select(F.col("o").alias("dataset"), F.lit("promoted").alias("status"), F.concat("o", F.lit("/v0")).alias("live"), staged.alias("staged")).distinct()
+
+
+@query("set_orphans", f"with {_VERSIONS} select g, count(*) as n from v where g not in (select live from c) and g not in (select staged from c where staged is not null) group by g")
+def set_orphans(spark, sf_dir):
+    q, control = _versions(spark, sf_dir)
+    return q.join(versions.orphans(q, control), "g", "left_semi").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "ver_stage",
+    f"""with {_VERSIONS}, r as (select 'BUILDING' as dataset, 'BUILDING/v1' as waiting), d as (select dataset, live, case when dataset = 'BUILDING' then 'BUILDING/v2' else staged end as staged from c)
+select d.dataset, live, staged, waiting, (select count(*) from v where g = staged) as n_staged from d left join r using (dataset)""",
+)
+def ver_stage(spark, sf_dir):
+    q, control = _versions(spark, sf_dir)
+    waiting = versions.replaced(control, "BUILDING").select(F.lit("BUILDING").alias("dataset"), F.col("g").alias("waiting"))
+    size = q.groupBy(F.col("g").alias("staged")).agg(F.count(F.lit(1)).alias("n"))
+    out = versions.stage(control, "BUILDING", "BUILDING/v2").join(waiting, "dataset", "left").join(size, "staged", "left")
+    return out.select("dataset", "live", "staged", "waiting", F.coalesce("n", F.lit(0)).alias("n_staged"))
+
+
 @query("ver_vacuum", f"with {_Q} select g, s, p from q where g <> 'customer' and p = 'rdf:type'")
 def ver_vacuum(spark, sf_dir):
     q = _quads(spark, sf_dir, TYPE)
