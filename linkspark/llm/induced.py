@@ -1,13 +1,16 @@
 """External induced sorting of suffixes, with common-prefix values.
 
-Suffixes are of type L or S by their next character; S suffixes behind an L suffix (S*) are sorted first, by names of the
-pieces between them and of runs of such pieces where STARS hold them all, else dealt by two characters at a time into
-files until LEAF hold a part. The order of all L suffixes then follows by a scan in ascending order, and
-that of all S suffixes by a scan in descending order: each suffix that a scan takes puts the suffix one character longer
-into the priority queue of its first character. A queue entry is a tuple of position and common prefix with the entry
-before it; the common prefix of two neighbours is one more than the least value between those that induced them. Queues
-keep a bounded part in memory and the rest in a file, in the order in which they were filled, which is the order in which
-they are taken; what a scan takes out is kept the same way, and the text is a memory map. Common prefixes are counted up to a cap, and order is exact up to the cap.
+Suffixes are of type L or S by their next character; S suffixes behind an L suffix (S*) are sorted first: the pieces
+between them are named in order, and where names repeat, the suffixes of the string of names are sorted in the same way,
+by recursion, each level with half the characters at most and half the cap. The order of all L suffixes then follows by a
+scan in ascending order, and that of all S suffixes by a scan in descending order: each suffix that a scan takes puts the
+suffix one character longer into the priority queue of its first character (of text), or of the window of characters that
+it falls in (of names). A queue entry for text is a tuple of position and common prefix with the entry before it; the
+common prefix of two neighbours is one more than the least value between those that induced them. Queues keep a bounded
+part in memory and the rest in a file (those of names are files), in the order in which they were filled, which is the
+order in which they are taken; what a scan takes out is kept the same way; text, names and orders are memory maps. In
+memory are one window of names (WINDOW of them, or the rows of one name where it has more) and LEAF pieces at once.
+Common prefixes are counted up to a cap, and order is exact up to the cap.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import numpy as np
 #: Entries that a scan takes at once, and entries that all queues and scan outputs keep in memory.
 STEP = 1 << 16
 MEMORY = 1 << 24
-#: S* suffixes that are named in memory; entries of a part that is sorted by itself where there are more.
-STARS, LEAF = 1 << 21, 1 << 20
+#: Pieces that are named at once; suffixes of a window of characters that are induced at once.
+LEAF, WINDOW = 1 << 20, 1 << 18
 
 
 def mapped(n: int, kind: type = np.uint8) -> np.ndarray:
@@ -46,6 +49,9 @@ class Pile:
             self.file.seek(8 * at)
             yield np.fromfile(self.file, np.int64, min(size, self.n - at))
 
+    def all(self) -> np.ndarray:
+        return np.concatenate([np.zeros(0, np.int64), *self.chunks()])
+
 
 class Output:
     """(position, common prefix) of each bucket, in the order put; parts beyond the shared allowance are in a file."""
@@ -190,95 +196,273 @@ def _ranks(keys: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     return high, kinds
 
 
-def _sort_stars(text: np.ndarray, stars: np.ndarray, n: int, cap: int) -> np.ndarray:
-    """S* suffixes in order: names of the pieces up to the next S*, then of 2, 4, 8, ... pieces in a row, until all
-    names differ or the pieces (two characters each at least) reach over the cap."""
-    length = np.minimum(np.diff(stars, append=n) + 1, 57)
-    words = _words(text)
-    names, kinds = _ranks(words[stars], 64)
-    for k in range(8, min(int(length.max()), 56), 8):
-        long = length > k
-        rank = np.full(len(stars), int(long.sum()), np.int64)
-        rank[long] = _ranks(words[stars[long] + k], 64)[0]
-        b = max(1, len(stars).bit_length())
-        names, kinds = _ranks(names << b | rank, 2 * b)
-    names, kinds = _ranks(names << 6 | (57 - length), 6 + kinds.bit_length())
-    reach = 1
-    while kinds < len(stars) and 2 * reach < cap:
-        after = np.zeros(len(stars), np.int64)
-        after[:-reach] = names[reach:] + 1
-        b = kinds.bit_length()
-        names, kinds = _ranks(names << b | after, 2 * b)
-        reach *= 2
-    return stars[np.argsort(names, kind="stable")]
-
-
-def _stars(text: np.ndarray, n: int) -> Pile:
-    """S* suffixes, from the last to the first."""
-    out, after, high = Pile(), False, n  # the last suffix is before all that go on
+def _types(chars: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, whether each suffix from there on is of type S, with that of the one behind), from the last stretch to the first."""
+    after, high = False, n  # the last suffix is before all that go on
     while high:
         low = max(0, high - 4 * STEP)
-        step = text[low + 1 : high + 1].astype(np.int16) - text[low:high]
+        step = np.sign(chars[low + 1 : high + 1].astype(np.int64) - chars[low:high]).astype(np.int8)
         if high == n:
             step[-1] = -1
         where = np.minimum.accumulate(np.where(step != 0, np.arange(high - low), high - low)[::-1])[::-1]
-        small = np.append(np.where(where < high - low, step[np.minimum(where, high - low - 1)] > 0, after), after)  # type S
-        out.push((np.flatnonzero(small[1:] & ~small[:-1]) + low + 1)[::-1])
+        small = np.append(np.where(where < high - low, step[np.minimum(where, high - low - 1)] > 0, after), after)
+        yield low, small
         after, high = bool(small[0]), low
-    return out
 
 
-def _deal(text: np.ndarray, pile: Pile, depth: int) -> list[Pile]:
-    """Parts of a pile by the two characters at depth, in order; a part of more than LEAF has one such pair."""
-    pair = lambda pos: text[pos + depth].astype(np.int64) << 8 | text[pos + depth + 1]
-    count = np.zeros(1 << 16, np.int64)
+def _stars(chars: np.ndarray, n: int) -> np.ndarray:
+    """S* suffixes by place."""
+    pile = Pile()
+    for low, small in _types(chars, n):
+        pile.push((np.flatnonzero(small[1:] & ~small[:-1]) + low + 1)[::-1])
+    stars, at = mapped(pile.n, np.int64), pile.n
     for pos in pile.chunks():
-        count += np.bincount(pair(pos), minlength=1 << 16)
-    group, total, kinds = np.zeros(1 << 16, np.int64), 0, 0
+        stars[at - len(pos) : at] = pos[::-1]
+        at -= len(pos)
+    return stars
+
+
+def _deal(pile: Pile, value: Callable[[np.ndarray], np.ndarray], size: int) -> list[Pile]:
+    """Parts of a pile by a value below size, in order; a part of more than LEAF has one such value."""
+    count = np.zeros(size, np.int64)
+    for own in pile.chunks():
+        count += np.bincount(value(own), minlength=size)
+    group, total, kinds = np.zeros(size, np.int64), 0, 0
     for v in np.flatnonzero(count).tolist():
         if total and total + count[v] > LEAF:
             total, kinds = 0, kinds + 1
         group[v] = kinds
         total += count[v]
     piles = [Pile() for _ in range(kinds + 1)]
-    for pos in pile.chunks():
-        which = group[pair(pos)]
+    for own in pile.chunks():
+        which = group[value(own)]
         order = np.argsort(which, kind="stable")
         edges = np.searchsorted(which[order], np.arange(kinds + 2))
         for k in np.flatnonzero(np.diff(edges)).tolist():
-            piles[k].push(pos[order[edges[k] : edges[k + 1]]])
+            piles[k].push(own[order[edges[k] : edges[k + 1]]])
     return piles
 
 
-def _leaves(text: np.ndarray, pile: Pile, n: int, cap: int, depth: int = 0) -> Iterator[np.ndarray]:
-    """The suffixes of a pile, which share depth characters, in order up to the cap."""
-    if pile.n <= LEAF:
-        words = _words(text)
-        for pos in pile.chunks(LEAF):
-            yield pos[np.lexsort([np.minimum(n - pos, 57), *[words[pos + k] for k in range(48, -1, -8)]])]
-        return
-    if depth >= cap:
-        yield from pile.chunks()
+def _pieces(view: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, int]:
+    """Rank of each piece of bytes and the number of ranks. A piece that goes on where another ends comes first; eight bytes
+    are always compared, which are in order with the suffixes."""
+    words = _words(view)
+    names, kinds = _ranks(words[at], 64)
+    top = int(length.max())
+    for k in range(8, top, 8):
+        long = length > k
+        rank = np.full(len(at), int(long.sum()), np.int64)
+        rank[long] = _ranks(words[at[long] + k], 64)[0]
+        b = max(1, len(at).bit_length())
+        names, kinds = _ranks(names << b | rank, b + kinds.bit_length())
+    b = top.bit_length()
+    return _ranks(names << b | (top - length), b + kinds.bit_length())
+
+
+def _named(chars: np.ndarray, stars: np.ndarray, n: int, cap: int) -> tuple[np.ndarray, int]:
+    """Names, from 1 on and in order, of the pieces from each S* to the next; cut behind cap characters. Pieces are dealt by
+    two bytes at a time until LEAF hold a part, which is named in memory."""
+    width = chars.dtype.itemsize
+    view, m = chars.view(np.uint8), len(stars)
+    names, kinds = mapped(m + 64, ">u4"), 0
+
+    def place(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = stars[own]
+        ends = np.where(own + 1 < m, stars[np.minimum(own + 1, m - 1)], n)
+        return at * width, np.minimum(ends - at + 1, cap + 1) * width
+
+    whole, most = Pile(), (cap + 1) * width
+    for low in range(0, m, STEP):
+        whole.push(np.arange(low, min(m, low + STEP)))
+    parts = [(whole, 0)]
+    while parts:
+        pile, depth = parts.pop()
+        if pile.n <= LEAF:
+            for own in pile.chunks(LEAF):
+                rank, k = _pieces(view, *place(own))
+                names[own] = rank + kinds + 1
+                kinds += k
+        elif depth > most:  # alike in length too
+            kinds += 1
+            for own in pile.chunks():
+                names[own] = kinds
+        else:
+
+            def value(own: np.ndarray, depth: int = depth) -> np.ndarray:
+                at, length = place(own)
+                if depth >= most:
+                    return most - length
+                pair = view[at + depth].astype(np.int64) << 8 | view[at + depth + 1]
+                return pair if depth < 8 else np.where(length > depth, pair, 1 << 16)
+
+            after = depth + 2 if depth < most else most + 1
+            parts += [(part, after) for part in reversed(_deal(pile, value, (1 << 16) + 1))]
+    return names, kinds
+
+
+def _ordered_stars(chars: np.ndarray, n: int, cap: int) -> np.ndarray:
+    """S* suffixes in order up to cap characters: by the names of their pieces where these differ, else by the order of the
+    suffixes of the string of names. A piece has two characters of its own at least, so half the cap is enough there."""
+    stars = _stars(chars, n)
+    m = len(stars)
+    if not m:
+        return stars
+    names, kinds = _named(chars, stars, n, cap)
+    out = mapped(m, np.int64)
+    if kinds == m:
+        for low in range(0, m, STEP):
+            out[names[low : min(m, low + STEP)].astype(np.int64) - 1] = stars[low : low + STEP]
+        return out
+    order = _ordered(names, m, kinds, max(1, (cap + 1) // 2))
+    for low in range(0, m, STEP):
+        out[low : low + STEP] = stars[order[low : low + STEP]]
+    return out
+
+
+def _ordered(names: np.ndarray, n: int, kinds: int, cap: int) -> np.ndarray:
+    """Suffixes of a string of names in order up to cap names: its S* by recursion, then both inductions."""
+    if cap == 1:
+        count = np.zeros(kinds + 2, np.int64)
+        for low in range(0, n, STEP):
+            count += np.bincount(names[low : min(n, low + STEP)].astype(np.int64) + 1, minlength=kinds + 2)[: kinds + 2]
+        start, out = np.cumsum(count), mapped(n, np.int64)
+        for low in range(0, n, STEP):
+            own = names[low : min(n, low + STEP)].astype(np.int64)
+            by = np.argsort(own, kind="stable")
+            head = np.searchsorted(own[by], own[by])
+            out[start[own[by]] + np.arange(len(by)) - head] = by + low
+            start += np.bincount(own, minlength=kinds + 2)
+        return out
+    count = np.zeros(kinds + 1, np.int64)
+    for low in range(0, n, STEP):
+        count += np.bincount(names[low : min(n, low + STEP)].astype(np.int64), minlength=kinds + 1)
+    before = np.append(0, np.cumsum(count))
+    edges = [0]
+    while edges[-1] <= kinds:
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(before, before[edges[-1]] + max(WINDOW, n >> 8), "right")) - 1))
+    edges[-1] = kinds + 1
+    spans = [(a, b, int(before[a]), int(before[b])) for a, b in zip(edges, edges[1:], strict=False)]
+    window = np.repeat(np.arange(len(spans)), np.diff(edges)).astype(np.int16)  # few: each but the last two holds a 512th at least
+    small = mapped(n, np.bool_)
+    for low, part in _types(names, n):
+        small[low : low + len(part) - 1] = part[:-1]
+    members, seeds = {True: [Pile() for _ in spans], False: [Pile() for _ in spans]}, [Pile() for _ in spans]
+    for low in range(0, n, STEP):
+        part, pos = small[low : min(n, low + STEP)], np.arange(low, min(n, low + STEP))
+        for up in (True, False):
+            own = pos[part != up]
+            _push(members[up], window[names[own].astype(np.int64)], own)
+    stars = _ordered_stars(names, n, cap)
+    for low in range(0, len(stars), STEP):
+        pos = stars[low : low + STEP]
+        _push(seeds, window[names[pos].astype(np.int64)], pos)
+    out = mapped(n, np.int64)
+    for up in (True, False):
+        queues = [Pile() for _ in spans]
+        if up:
+            queues[window[int(names[n - 1])]].push(np.array([n - 1]))
+        for w in range(len(spans)) if up else range(len(spans) - 1, -1, -1):
+            a, b, low, high = spans[w]
+            own, seed = members[up][w].all(), seeds[w].all()
+            if not up:
+                seed = seed[::-1]
+            char = (lambda pos, a=a, b=b: (names[pos].astype(np.int64) - a if up else b - 1 - names[pos].astype(np.int64)))
+            got = own[_by_chain(char, own, queues[w].all(), seed, cap)]
+            both = np.concatenate([got, seed])
+            code = np.concatenate([char(got) * 2, char(seed) * 2 + 1])
+            both = both[np.argsort(code, kind="stable")]
+            if up:
+                seeds[w] = Pile()
+                seeds[w].push(got)  # what the other scan meets
+            else:
+                out[low:high] = both[::-1]
+            behind = both[both > 0] - 1
+            to = window[names[behind].astype(np.int64)]
+            ok = (small[behind] != up) & ((to > w) if up else (to < w))
+            _push(queues, to[ok], behind[ok])
+            queues[w] = None
+    return out
+
+
+def _push(piles: list, which: np.ndarray, pos: np.ndarray) -> None:
+    if not len(pos):
         return
-    for part in _deal(text, pile, depth):
-        yield from _leaves(text, part, n, cap, depth + 2)
+    order = np.argsort(which, kind="stable")
+    kinds, heads = np.unique(which[order], return_index=True)
+    for k, a, b in zip(kinds.tolist(), heads.tolist(), [*heads[1:].tolist(), len(which)], strict=True):
+        piles[k].push(pos[order[a:b]])
+
+
+def _by_chain(char: Callable[[np.ndarray], np.ndarray], own: np.ndarray, queued: np.ndarray, seed: np.ndarray, cap: int) -> np.ndarray:
+    """Order of the suffixes (own, by place) of one window of characters. Each was induced from outside and is in the queue,
+    or by a seed of the window, or by the next suffix if that is in own as well: such chains are compared character by
+    character up to their end, which has its place in the queue or among the seeds."""
+    n = len(own)
+    if not n:
+        return np.zeros(0, np.int64)
+    last = np.append(own[1:] != own[:-1] + 1, True)
+    ends = np.flatnonzero(last)
+    end = ends[np.searchsorted(ends, np.arange(n))]
+    depth = end - np.arange(n)
+    by = np.argsort(queued)
+    at = np.minimum(np.searchsorted(queued[by], own[ends]), max(0, len(by) - 1))
+    arrived = queued[by[at]] == own[ends] if len(by) else np.zeros(len(ends), bool)
+    turn = np.zeros(len(ends), np.int64)
+    turn[arrived] = by[at[arrived]]
+    to = np.argsort(seed)
+    if not arrived.all():
+        turn[~arrived] = to[np.searchsorted(seed[to], own[ends[~arrived]] + 1)]
+    code, code_seed = char(own) * 4, char(seed) * 4 + 2
+    outside = np.zeros(n, bool)
+    outside[ends] = arrived
+    code[~outside] += 1
+    tails = np.zeros((2, n), np.int64)  # what follows the last of a chain: its place in the queue, or seed and place of that
+    tails[0, ends[arrived]] = turn[arrived]
+    tails[0, ends[~arrived]] = code_seed[turn[~arrived]]
+    tails[1, ends[~arrived]] = turn[~arrived]
+
+    def column(j: int, i: np.ndarray) -> np.ndarray:
+        left = depth[i] - j  # steps to the end of the chain
+        value = np.zeros(len(i), np.int64)
+        value[left >= 0] = code[i[left >= 0] + j]
+        for k in (0, 1):
+            here = left == -1 - k
+            value[here] = tails[k, end[i[here]]]
+        return value
+
+    everyone = np.arange(n)
+    bits = max(int(code.max()), int(code_seed.max()) if len(seed) else 0, len(queued), len(seed), 1).bit_length()
+    dense, kinds = _ranks(column(0, everyone) << bits | column(1, everyone), 2 * bits)
+    size = np.bincount(dense)
+    rank = (np.cumsum(size) - size)[dense]  # how many are before
+    open_ = np.flatnonzero(size[dense] > 1)
+    for j in range(2, cap + 3, 2):
+        if not len(open_):
+            break
+        base = rank[open_]
+        group, groups = _ranks(base, max(1, n.bit_length()))
+        inner, k = _ranks(column(j, open_) << bits | column(j + 1, open_), 2 * bits)
+        dense, kinds = _ranks(group << k.bit_length() | inner, groups.bit_length() + k.bit_length())
+        size, of = np.bincount(dense), np.bincount(group)
+        rank[open_] = base + (np.cumsum(size) - size)[dense] - (np.cumsum(of) - of)[group]
+        open_ = open_[size[dense] > 1]
+    if len(open_):
+        return np.argsort(rank, kind="stable")  # alike up to the cap
+    out = np.empty(n, np.int64)
+    out[rank] = everyone
+    return out
 
 
 def _sorted_stars(text: np.ndarray, n: int, cap: int, room: list[int]) -> Output:
     """S* suffixes in order with common prefixes, by first character."""
-    pile, out, last = _stars(text, n), Output(room), None
-    if pile.n <= STARS:
-        parts = (_sort_stars(text, pos[::-1], n, cap) for pos in pile.chunks(STARS))
-    else:
-        parts = _leaves(text, pile, n, cap)
-    for part in parts:
-        for low in range(0, len(part), STEP):
-            pos = part[low : low + STEP]
-            lcp = common(text, np.append(pos[0] if last is None else last, pos[:-1]), pos, cap)
-            last, ch = pos[-1], text[pos]
-            for c in np.unique(ch).tolist():
-                a, b = np.searchsorted(ch, [c, c + 1])
-                out.put(c, pos[a:b], lcp[a:b])
+    stars, out, last = _ordered_stars(text, n, cap), Output(room), None
+    for low in range(0, len(stars), STEP):
+        pos = np.array(stars[low : low + STEP])
+        lcp = common(text, np.append(pos[0] if last is None else last, pos[:-1]), pos, cap)
+        last, ch = pos[-1], text[pos]
+        for c in np.unique(ch).tolist():
+            a, b = np.searchsorted(ch, [c, c + 1])
+            out.put(c, pos[a:b], lcp[a:b])
     return out
 
 

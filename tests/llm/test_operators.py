@@ -94,8 +94,8 @@ def test_induced_order():
 
 
 def test_induced_memory(monkeypatch):
-    for name, value in (("STEP", 1 << 10), ("MEMORY", 1 << 12), ("STARS", 1 << 12), ("LEAF", 1 << 10)):
-        monkeypatch.setattr(induced, name, value, raising=False)
+    for name, value in (("STEP", 1 << 10), ("MEMORY", 1 << 12), ("WINDOW", 1 << 10), ("LEAF", 1 << 10)):
+        monkeypatch.setattr(induced, name, value)
     rng = np.random.default_rng(5)
     base = rng.integers(97, 101, 40_000, dtype=np.uint8).tobytes()
     raw = base + b"e" * 2000 + base[:30_000] + b"ab" * 5000 + base[10_000:]
@@ -115,6 +115,27 @@ def test_induced_memory(monkeypatch):
     assert n == len(raw) and seen.all()
 
 
+@pytest.mark.parametrize(("leaf", "window"), [(1 << 20, 1 << 18), (40, 16), (3, 2)])
+def test_induced_recursion(monkeypatch, leaf, window):
+    """Order and common prefixes of all suffixes by brute force, over few letters, copies and runs, so that names repeat on
+    several levels; small parts and windows give the same as large ones."""
+    monkeypatch.setattr(induced, "LEAF", leaf)
+    monkeypatch.setattr(induced, "WINDOW", window)
+    levels, inner = set(), induced._ordered
+    monkeypatch.setattr(induced, "_ordered", lambda names, n, kinds, cap: (levels.add(cap), inner(names, n, kinds, cap))[1])
+    rng = np.random.default_rng(7)
+    for trial in range(40):
+        data = (97 + rng.integers(0, 1 + trial % 5, rng.integers(1, 500))).astype(np.uint8)
+        data = np.tile(data[: 1 + len(data) // 5], 6) if trial % 3 == 0 else np.repeat(data, 3) if trial % 7 == 0 else data
+        raw, parts = data.tobytes(), list(sorted_suffixes(data))
+        pos, lcp = (np.concatenate(x).tolist() for x in zip(*parts, strict=True))
+        keys = [raw[p : p + 50] for p in pos]
+        assert sorted(pos) == list(range(len(raw))) and keys == sorted(keys)
+        for before, key, n in zip(keys, keys[1:], lcp[1:], strict=False):
+            assert n == next((i for i, (a, b) in enumerate(zip(before, key, strict=False)) if a != b), min(len(before), len(key)))
+    assert len(levels) >= 3
+
+
 def test_suffix_blocks_by_bytes(spark):
     long = spark.range(20).select(F.col("id").alias("doc_id"), F.repeat(F.lit("0123456789"), 300_000).alias("text"))
     assert suffixes._parts(long, "text") >= 14  # 60 MB in few documents
