@@ -198,7 +198,8 @@ def float_array_min(c: Column) -> Column:
 
 
 def float_array_count(x: Column, y: Column) -> Column:
-    n = F.least(F.size(floats(x)), F.size(floats(y)))
+    size = lambda c: F.coalesce(F.size(floats(c)), F.lit(0))  # noqa: E731  least() would pass over a null
+    n = F.least(size(x), size(y))
     return F.when(n > 0, n.cast("string")).otherwise("")
 
 

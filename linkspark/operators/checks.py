@@ -173,3 +173,12 @@ def domain_limits(name_x: Column, low_x: Column, name_y: Column, low_y: Column,
 def missing(**cells: Column) -> list[tuple[str, str, Column]]:
     """Audit rules: rows without a value."""
     return [("suspicious", f"missing_{name}", F.trim(text(c)) == "") for name, c in cells.items()]
+
+
+def examples_have_rows(examples: dict[str, DataFrame]) -> DataFrame:
+    """(name, has_rows): whether each example query gives a row. Each runs to its first row, all in one job. No
+    examples are an error."""
+    if not examples:
+        raise ValueError("no examples")
+    found = [df.limit(1).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), (F.col("n") > 0).alias("has_rows")) for name, df in examples.items()]
+    return reduce(DataFrame.unionByName, found)

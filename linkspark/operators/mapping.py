@@ -62,7 +62,8 @@ def _objects(p: Property, whole: frozenset[str]) -> Column:
         value = function(p.function)(*[F.col(f"`{c}`") for c in (p.columns or (p.column,))], *p.args)
     else:
         value = text(F.col(f"`{p.column}`"))
-    array = value if p.function in ("json_array", "json_pluck", "split", "tokens") else F.array(value)
+    # a list function has null for no values; null here would take the other properties of the row with it
+    array = F.coalesce(value, F.array().cast("array<string>")) if p.function in ("json_array", "json_pluck", "split", "tokens", "projects") else F.array(value)
     return F.filter(array, lambda v: v.isNotNull() & (v != ""))
 
 

@@ -433,4 +433,4 @@ def prof_composite_keys(spark, sf_dir):
     return profile.composite_keys(_t(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey"])
 
 
-from linkspark.plans import article_queries, graph_queries, linking_queries, profile_queries, source_queries, value_queries  # noqa: E402, F401  they fill the registry too
+from linkspark.plans import article_queries, graph_queries, linking_queries, profile_queries, publication_queries, source_queries, value_queries  # noqa: E402, F401  they fill the registry too

@@ -69,3 +69,8 @@ def test_element_canonical(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "v string")
     got = {r[0]: r[1] for r in rows.select("v", crosswalk.element_canonical(F.col("v"))).collect()}
     assert got == cases
+
+
+def test_float_array_count_of_no_array(spark):
+    rows = spark.createDataFrame([("[1, 2]", "[3]"), ("none", "[3]"), (None, "[3]"), ("[1]", ""), ("[]", "[1]")], "x string, y string")
+    assert [r.n for r in rows.select(V.float_array_count(F.col("x"), F.col("y")).alias("n")).collect()] == ["1", "", "", "", ""]
