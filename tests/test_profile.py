@@ -13,3 +13,16 @@ def test_grid_judges_all_rows(spark):
         assert tuple(profile.sampling_grid(broken, "id", "v", share=share).first()) == (12_000, False)
     assert tuple(profile.sampling_grid(broken, "id", "v", first=5000).first()) == (5000, True)
     assert tuple(profile.sampling_grid(rows.limit(0), "id", "v").first()) == (0, False)
+
+
+def test_discover_sql_says_high_fanout(spark, tmp_path):
+    import duckdb
+
+    from linkspark.plans.queries import QUERIES, SQL
+
+    spark.range(18_000).select(F.col("id").alias("p_partkey"), F.concat(F.lit("Name "), F.col("id") % 16).alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = [tuple(r) for r in QUERIES["xw_discover"](spark, str(tmp_path)).collect()]
+    assert got == [tuple(r) for r in con.sql(SQL["xw_discover"]).fetchall()]
+    assert "high_fanout" in got[0][-1]
