@@ -76,8 +76,14 @@ def _rarest(inner: DataFrame, x: str, outer: DataFrame) -> DataFrame:
     whole = inner.where(F.length(x) > GRAM)
     rows = outer.groupBy(*SCOPE, "gram").agg(F.count(F.lit(1)).alias("rows"))
     each = whole.select(*SCOPE, x).distinct().withColumn("gram", F.explode(F.filter(_grams(F.col(x)), lambda g: F.length(g) == GRAM)))
-    least = each.join(rows, [*SCOPE, "gram"], "left").groupBy(*SCOPE, x).agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("gram"), F.count_if(F.col("rows").isNull()).alias("gone"))
-    return short.unionByName(whole.join(least.where("gone = 0").drop("gone"), [*SCOPE, x]))
+    least = _met(each, rows, [*SCOPE, "gram"], "left").groupBy(*SCOPE, x).agg(F.min_by("gram", F.struct(F.coalesce("rows", F.lit(0)).alias("rows"), "gram")).alias("gram"), F.count_if(F.col("rows").isNull()).alias("gone"))
+    return short.unionByName(_met(whole, least.where("gone = 0").drop("gone"), [*SCOPE, x]))
+
+
+def _met(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """a joined with b by a shuffle. Words and groups of letters make many rows of few, which Spark's sizes do not tell: it
+    would send such a side whole to the driver and to every task."""
+    return a.join(b.hint("merge"), on, how)
 
 
 def _text_columns(df: DataFrame, names: tuple[str, ...]) -> list[Column]:
@@ -127,12 +133,12 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
     asked = q.withColumn("word", F.explode("w"))
     spelt = t.withColumn("p", F.explode(F.array_distinct(F.array("np", "lp", "cp"))))
     spelt = _first(spelt, [*SCOPE, "p"], n, F.col("t")).drop("place")
-    met = pairs(asked.join(few, listed)).unionByName(pairs(q.join(spelt, [*SCOPE, "p"])))
+    met = pairs(_met(asked, few, listed)).unionByName(pairs(_met(q, spelt, [*SCOPE, "p"])))
 
     # 2: the rarest word
     frequency = posting.groupBy(*listed).agg(F.count(F.lit(1)).alias("rows"))
-    ranked = asked.join(frequency, listed).groupBy(*QUERY, "p", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("rows", "word"))), lambda r: r["word"]).alias("known")).where(F.size("known") >= 2)
-    met = met.unionByName(pairs(ranked.withColumn("word", F.col("known")[0]).join(posting, listed)))
+    ranked = _met(asked, frequency, listed).groupBy(*QUERY, "p", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("rows", "word"))), lambda r: r["word"]).alias("known")).where(F.size("known") >= 2)
+    met = met.unionByName(pairs(_met(ranked.withColumn("word", F.col("known")[0]), posting, listed)))
     scored = _judged(met)
     best = [F.desc("score"), F.col("t")]
     held = cut(_first(scored, QUERY, n, *best))
@@ -140,20 +146,20 @@ def candidates(queries: DataFrame, terms: DataFrame, n: int = 8) -> DataFrame:
 
     # 3: common words that can still reach the bound
     need = F.greatest(F.lit(2), F.col("bound") - 20)
-    more = ranked.join(bound, QUERY).withColumn("left", F.size("known") - need).where("left > 0")
-    wider = pairs(more.withColumn("word", F.explode(F.slice("known", F.lit(2), F.col("left")))).join(posting, listed))
+    more = _met(ranked, bound, QUERY).withColumn("left", F.size("known") - need).where("left > 0")
+    wider = pairs(_met(more.withColumn("word", F.explode(F.slice("known", F.lit(2), F.col("left")))), posting, listed))
 
     # 4: texts inside of each other
-    open_ = q.join(bound.where("bound > 50"), QUERY, "left_anti")
+    open_ = _met(q, bound.where("bound > 50"), QUERY, "left_anti")
     key = [*SCOPE, "gram"]
     of_terms = t.withColumn("gram", F.explode(F.array_union(_grams(F.col("np")), _grams(F.col("lp")))))
     brief = _first(of_terms.where(F.length("gram") <= GRAM), key, n, F.col("t")).drop("place")
     inner = _rarest(open_, "p", of_terms)
     tiny, larger = F.length("p") <= GRAM, F.length("p") > GRAM
-    within = pairs(inner.where(tiny).join(brief, key)).unionByName(pairs(inner.where(larger).join(of_terms, key)))
+    within = pairs(_met(inner.where(tiny), brief, key)).unionByName(pairs(_met(inner.where(larger), of_terms, key)))
     of_queries = open_.withColumn("gram", F.explode(_grams(F.col("p"))))
     names = _rarest(_first(t, [*SCOPE, "np"], n, F.col("t")).drop("place"), "np", of_queries)
-    around = pairs(of_queries.join(names, key))
+    around = pairs(_met(of_queries, names, key))
 
     rest = _judged(wider.unionByName(within).unionByName(around))
     out = _first(held.drop("place").unionByName(rest).distinct(), QUERY, n, *best)
@@ -178,7 +184,7 @@ def _within(a: DataFrame, x: str, b: DataFrame, y: str, keep: tuple[str, ...]) -
     """Pairs of rows of which the text x of a may stand inside the text y of b."""
     inner = a.where(F.col(x) != "").withColumn("__by", F.substring(x, 1, GRAM))
     outer = b.where(F.col(y) != "").withColumn("__by", F.explode(_grams(F.col(y))))
-    return inner.join(outer, "__by").select(*keep)
+    return _met(inner, outer, ["__by"]).select(*keep)
 
 
 def units(queries: DataFrame, catalog: DataFrame, spellings: DataFrame, n: int = 6) -> DataFrame:
@@ -233,9 +239,10 @@ def quantity_kinds(queries: DataFrame, kinds: DataFrame, n: int = 8) -> DataFram
     q = q.select("query", "unit", plain(F.col("query")).alias("q"), words(F.col("query")).alias("q_words"))
     k = kinds.select("name", plain(F.col("name")).alias("k"), plain(F.col("label")).alias("l"), F.array_union(words(F.col("name")), words(F.col("label"))).alias("k_words"), F.coalesce("units", F.array().cast("array<string>")).alias("units"))
     keep = ("query", "unit", "name")
-    met = q.select("query", "unit", F.explode("q_words").alias("w")).join(k.select("name", F.explode("k_words").alias("w")), "w").select(*keep)
+    met = q.select("query", "unit", F.explode("q_words").alias("w"))
+    met = _met(met, k.select("name", F.explode("k_words").alias("w")), ["w"]).select(*keep)
     met = met.union(_within(q, "q", k, "k", keep)).union(_within(k, "k", q, "q", keep)).union(_within(q, "q", k, "l", keep))
-    met = met.union(q.where("unit <> ''").join(k.select("name", F.explode("units").alias("unit")), "unit").select(*keep)).distinct()
+    met = met.union(_met(q.where("unit <> ''"), k.select("name", F.explode("units").alias("unit")), ["unit"]).select(*keep)).distinct()
     both = met.join(q, ["query", "unit"]).join(k, "name")
     a, b, c, x, y = (F.col(i) for i in ("q", "k", "l", "q_words", "k_words"))
     common = F.size(F.array_intersect(x, y))

@@ -194,3 +194,9 @@ def test_property_without_lead(spark):
     asked = spark.createDataFrame([("space group", "property"), ("space group", None)], "label string, kind string")
     got = sorted((r.asked_kind, r.place, r.name, r.match) for r in grounding.candidates(asked, terms).collect())
     assert got == [("", 1, "SpaceGroup", "exact"), ("", 2, "hasSpaceGroup", "exact"), ("", 3, "Group", "substring"), ("property", 1, "hasSpaceGroup", "exact")]
+
+
+def test_candidates_send_no_word_lists_whole(spark):
+    known = spark.range(400).select(F.concat_ws(" ", F.lit("common"), F.col("id") % 20, "id").alias("name"))
+    plan = grounding.candidates(known.select(F.col("name").alias("label")), known)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") > 1 and plan.count("BroadcastHashJoin") <= plan.count("LeftSemi, BuildRight")  # the scopes alone
