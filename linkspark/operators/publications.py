@@ -7,11 +7,13 @@ parse and repeated rows are allowed.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkspark.functions import values as V
-from linkspark.operators.mapping import Map, Property, all_quads, quads
+from linkspark.operators.mapping import Map, Property, all_quads, keyed_set, quads, several
 
 # Keys and columns of the three tables.
 PAPER_KEY, SAMPLE_KEY, CURVE_KEY = ("SID",), ("SID", "sample_id"), ("SID", "figure_id", "sample_id")
@@ -34,6 +36,12 @@ def keyless(rows: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return rows if len(held) < len(key) else rows.where(F.array_contains(F.array(*[F.trim(V.text(F.col(f"`{c}`"))) == "" for c in held]), True))
 
 
+def _held(rows: DataFrame, spec: Map) -> Map:
+    """The map without properties of a column that rows do not have: these are empty."""
+    lacks = (set(PAPER) | set(SAMPLE) | set(CURVE)) - set(rows.columns)
+    return replace(spec, properties=tuple(p for p in spec.properties if p.column not in lacks))
+
+
 def _said(predicate: str, column: str) -> Property:
     return Property(predicate, function="strip_quoted", column=column)
 
@@ -57,9 +65,11 @@ def papers(rows: DataFrame, ns: str, graph: str, run: str | None = None) -> Data
     person = Map(f"{ns}person/{{SID}}/{{place}}", ("schema:Person", "prov:Agent"), (Property("schema:givenName", column="given"), Property("schema:familyName", column="family")))
     link = Map(f"{ns}paper/{{SID}}", (), (Property("schema:author", template=f"{ns}person/{{SID}}/{{place}}"),))
     own = own.withColumn("doi", F.trim("DOI"))
-    people = own.select("SID", F.posexplode(V.authors(F.col("author"))).alias("place", "who")).select("SID", "place", "who.*")
+    key, paper = V.percent_encode(F.col("SID")), _held(rows, paper)
     journals = own.where("slug is not null").select("slug", "journal", "container_title_short").distinct()
-    return all_quads(*[quads(d, m, graph, distinct=False) for d, m in ((own, paper), (journals, periodical), (people, person), (people, link))])
+    people = lambda d: d.select("SID", F.posexplode_outer(V.authors(F.col("author"))).alias("place", "who")).where("place is not null").select("SID", "place", "who.*")
+    made = keyed_set(own, key, lambda d: several(d, (paper,), graph).unionByName(several(people(d), (person, link), graph)))
+    return made.unionByName(quads(journals, periodical, graph))
 
 
 def descriptors(info: Column) -> Column:
@@ -80,38 +90,43 @@ def samples(rows: DataFrame, ns: str, graph: str, run: str | None = None) -> Dat
         _said("dcterms:created", "created_at"), _said("dcterms:modified", "updated_at")))
     descriptor = Map(f"{ns}descriptor/{{key}}/{{place}}", ("x:Descriptor",), tuple(Property(f"x:descriptor{c.capitalize()}", column=c) for c in ("name", "category", "comment", "extracted")))
     link = Map(f"{ns}sample/{{key}}", (), (Property("x:hasDescriptor", template=f"{ns}descriptor/{{key}}/{{place}}"),))
-    parts = own.select("key", F.posexplode(descriptors(F.col("sample_info"))).alias("place", "d")).select("key", "place", "d.*")
-    return all_quads(*[quads(d, m, graph, distinct=False) for d, m in ((own, sample), (parts, descriptor), (parts, link))])
+    key, sample = V.percent_encode(F.col("key")), _held(rows, sample)
+    parts = lambda d: d.select("key", F.posexplode_outer(descriptors(F.col("sample_info"))).alias("place", "d")).where("place is not null").select("key", "place", "d.*")
+    return keyed_set(own, key, lambda d: several(d, (sample,), graph).unionByName(several(parts(d), (descriptor, link), graph)))
 
 
 def curves(rows: DataFrame, ns: str, graph: str, run: str | None = None, quantities: dict[str, str] | None = None, units: dict[str, str] | None = None) -> DataFrame:
     """Curves by SID, figure and sample: labels as said, quantities and units also as IRIs where the given tables know them,
     both arrays as they are with their bounds, and the number of points that both have."""
     own = _cells(rows, CURVE, CURVE_KEY).where("SID <> '' and figure_id <> '' and sample_id <> ''")
-    own = own.withColumns({"key": F.concat_ws("-", *CURVE_KEY), "sample": F.concat_ws("-", *SAMPLE_KEY), **{c: V.strip_quoted(F.col(c)) for c in ("prop_x", "prop_y", "unit_x", "unit_y")}})
+    said = lambda d: d.withColumns({"key": F.concat_ws("-", *CURVE_KEY), "sample": F.concat_ws("-", *SAMPLE_KEY), **{c: V.strip_quoted(F.col(c)) for c in ("prop_x", "prop_y", "unit_x", "unit_y")}})
+    parsed = lambda d: said(d).withColumns({"xs": V.floats(F.col("x")), "ys": V.floats(F.col("y"))})  # each array once
+    bound = {**{f"{a}_{b}": of(F.col(f"{a}s")) for a in "xy" for b, of in (("min", V.lowest), ("max", V.highest))}, "points": V.points(F.col("xs"), F.col("ys"))}
     known = [(f"x:property{a.upper()}Quantity", f"prop_{a}", quantities) for a in "xy"] + [(f"x:unit{a.upper()}", f"unit_{a}", units) for a in "xy"]
-    bounds = [Property(f"x:{a}{b.capitalize()}", function=f"float_array_{b}", column=a, datatype="xsd:double") for a in "xy" for b in ("min", "max")]
+    bounds = [Property(f"x:{a}{b.capitalize()}", column=f"{a}_{b}", datatype="xsd:double") for a in "xy" for b in ("min", "max")]
     curve = Map(f"{ns}curve/{{key}}", ("x:Curve", "prov:Entity"), (
         Property("dcterms:identifier", column="key"), Property("x:rawFigureId", column="figure_id"), *_made_by(ns, run), _said("x:figureName", "figure_name"),
         Property("x:ofSample", template=f"{ns}sample/{{sample}}"), Property("x:propertyX", column="prop_x"), Property("x:propertyY", column="prop_y"),
         Property("x:unitXString", column="unit_x"), Property("x:unitYString", column="unit_y"), _said("x:comments", "comments"),
         *[Property(p, function="lookup", column=c, args=(t,), iri=True) for p, c, t in known if t],
         Property("x:xValuesJSON", column="x"), Property("x:yValuesJSON", column="y"), *bounds,
-        Property("x:pointCount", function="float_array_count", columns=("x", "y"), datatype="xsd:integer"),
+        Property("x:pointCount", column="points", datatype="xsd:integer"),
         Property("x:projectName", function="projects", column="project_names"), _said("dcterms:created", "created_at"), _said("dcterms:modified", "updated_at"),
         Property("prov:wasGeneratedBy", template=f"{ns}digitization/{{key}}")))
-    return quads(own, curve, graph)
+    curve = _held(rows, curve)
+    return keyed_set(own, V.percent_encode(F.concat_ws("-", *CURVE_KEY)), lambda d: several(parsed(d).withColumns(bound), (curve,), graph))
 
 
 def digitization(rows: DataFrame, ns: str, graph: str, agent: str = AGENT, name: str = "WebPlotDigitizer") -> DataFrame:
     """The activity by which each curve was read off its figure, at the UTC moment of created_at where that names a zone, and
     the software that all of them share."""
     own = _cells(rows, CURVE, CURVE_KEY).where("SID <> '' and figure_id <> '' and sample_id <> ''")
-    own = own.select(F.concat_ws("-", *CURVE_KEY).alias("key"), V.strip_quoted(F.col("created_at")).alias("created"))
+    own = own.select(F.concat_ws("-", *CURVE_KEY).alias("key"), "created_at")
     activity = Map(f"{ns}digitization/{{key}}", ("x:DigitizationActivity", "prov:Activity"), (
         Property("prov:wasAssociatedWith", constant=agent, iri=True), Property("prov:atTime", function="curator_ts", column="created", datatype="xsd:dateTime")))
     software = Map(agent, ("prov:SoftwareAgent",), (Property("schema:name", constant=name), Property("schema:url", constant=agent, iri=True)))
-    return all_quads(quads(own, activity, graph, distinct=False), quads(own.select("key").limit(1), software, graph, distinct=False))
+    made = keyed_set(own, V.percent_encode(F.col("key")), lambda d: several(d.withColumn("created", V.strip_quoted(F.col("created_at"))), (activity,), graph))
+    return made.unionByName(quads(own.select("key").limit(1), software, graph))
 
 
 def activity(spark: SparkSession, ns: str, graph: str, run: str, started: str, file: str, agent: str) -> DataFrame:

@@ -109,7 +109,7 @@ _KEYED = "k as (select l_orderkey || '-' || l_linenumber || '-' || l_partkey as
 select distinct 'http://x/curve/' || s as s, p, kind, dt, o, o_num from q""")
 def map_curves(spark, sf_dir):
     made = publications.curves(_curves(spark, sf_dir), NS, "curves", RUN, {"quantity": "http://q/Amount", "discount": "http://q/Rebate"}, {"R": "http://u/R"})
-    return _compared(made.where("p <> 'x:xValuesJSON'")).distinct()  # the text of x holds doubles, which the engines spell in two ways
+    return _compared(made.where("p <> 'x:xValuesJSON'"))  # the text of x holds doubles, which the engines spell in two ways
 
 
 @query("map_digitization", f"""with {_KEYED}, q(s, p, kind, dt, o) as (

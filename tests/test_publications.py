@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from linkspark.operators import checks, publications
 from linkspark.operators.mapping import Map, Property, quads
 
@@ -53,3 +55,18 @@ def test_activity_and_examples(spark):
     assert ("n/ingestion/r1", "prov:used", "n/source/a%20b.csv") in got and ("n/source/a%20b.csv", "schema:name", "a b.csv") in got and len(got) == 7
     some = spark.range(3)
     assert {(r.name, r.has_rows) for r in checks.examples_have_rows({"a": some, "b": some.where("id > 5")}).collect()} == {("a", True), ("b", False)}
+
+
+def test_repeated_keys_give_a_set(spark):
+    rows = spark.createDataFrame([("1", "f", "2", "[3]", '["P", "P"]'), ("1", "f", "3", "[4]", None)], "SID string, figure_id string, sample_id string, x string, project_names string")
+    for made in (publications.curves, publications.digitization, publications.samples, publications.papers):
+        once = made(rows.dropDuplicates(["SID"]) if made is publications.papers else rows, NS, "g")
+        again = made(rows.unionByName(rows).unionByName(rows.withColumn("x", F.lit("[5]"))), NS, "g")
+        assert again.count() == again.distinct().count() and triples(once) <= triples(again)
+    assert {o for s, p, o in triples(publications.curves(rows.unionByName(rows.withColumn("x", F.lit("[5]"))), NS, "g")) if s == "n/curve/1-f-2" and p == "x:xMax"} == {"3.0", "5.0"}
+
+
+def test_curves_of_single_keys_have_no_exchange(spark):
+    rows = spark.range(50).select(*[F.col("id").cast("string").alias(c) for c in publications.CURVE_KEY])
+    assert "Exchange" not in publications.curves(rows, NS, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in publications.samples(rows, NS, "g")._jdf.queryExecution().executedPlan().toString()
