@@ -74,3 +74,20 @@ def test_edges(spark):
     parts = spark.createDataFrame([("e", "p", "1"), ("e", "p", "2"), ("e", "r", "x"), ("f", "p", "1"), ("f", "r", None)], "entity string, part string, value string")
     assert sorted(tuple(r.key) for r in graph.compound(parts, ["p", "r"]).collect()) == [("1", "x"), ("2", "x")]
     assert tools.passage(spark.createDataFrame([(1, "s", "t"), (2, "s", "u")], "doc_id long, section string, paragraph string"), 1, "s").count() == 1
+
+
+def test_buckets_grow_with_the_quads(spark, tmp_path):
+    from linkspark.operators import mapping
+    from linkspark.plans.queries import QUERIES
+
+    spec = mapping.Map("n/{id}", ("T",), (mapping.Property("p:n", column="id"),))
+    q = mapping.quads(spark.range(1000), spec, "g", distinct=False)
+    made = mapping.stored(q.unionByName(q), "linkspark_test_grown", str(tmp_path / "q"), rows=20 * mapping.ROWS)
+    try:
+        assert made.count() == 2000 == made.distinct().count()
+        described = {r.col_name: r.data_type for r in spark.sql("describe extended linkspark_test_grown").collect()}
+        assert described["Num Buckets"] == "20"
+    finally:
+        spark.sql("drop table linkspark_test_grown")
+    plan = QUERIES["set_reuse_new"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(s#" not in plan and "hashpartitioning(g#" not in plan  # terms alone are shuffled
