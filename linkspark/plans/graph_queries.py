@@ -206,7 +206,7 @@ def ask_exists(spark, sf_dir):
 
 @query("set_reuse_new", "select * from (values ('class', 'x:Customer', 'new'), ('predicate', 'x:name', 'reused'), ('predicate', 'x:segment', 'new'), ('predicate', 'x:nation', 'new')) v(kind, term, status) where exists (select 1 from customer)")
 def set_reuse_new(spark, sf_dir):
-    return graph.reused(quads(_t(spark, sf_dir, "customer"), CUSTOMER, "c"), quads(_t(spark, sf_dir, "nation"), NATION, "n"))
+    return graph.reused(quads(_t(spark, sf_dir, "customer"), CUSTOMER, "c", distinct=False), quads(_t(spark, sf_dir, "nation"), NATION, "n", distinct=False))  # terms are made a set there
 
 
 @query("win_positional_ids", "select 'http://x/conv/' || conv_id || '/turn/' || (row_number() over (partition by conv_id order by turn, role, text) - 1) as iri, conv_id, turn from conversations")
