@@ -11,11 +11,13 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from linkspark.functions.values import text
+from linkspark.operators.mapping import ROWS
 
 # An element with its amount; the atomic share below which an element is a dopant; elements that stand for
 # one another; the names of the ways to a candidate.
 PART = r"[A-Z][a-z]?(?:\d+\.\d+|\d+|\.\d+)?"
 DILUTE = 0.06
+QUADS = 12  # of a sample, about
 GROUPS = ("O S Se Te Po", "N P As Sb Bi", "F Cl Br I", "Ti Zr Hf", "V Nb Ta", "Cr Mo W", "Li Na K Rb Cs", "Be Mg Ca Sr Ba")
 WAYS = (("MaterialFamily(curator)", "high"), ("exact integer formula", "medium"), ("rounded stoichiometry", "low"), ("solid-solution collapsed", "low"))
 
@@ -106,7 +108,9 @@ def hosts(df: DataFrame, composition: str, family: str) -> DataFrame:
 def link_quads(matched: DataFrame, base: str, at: str) -> DataFrame:
     """(s, p, o, kind, dt), a set. matched: sample (an IRI), key, formula (null: no host was found), method, confidence,
     dopants, substituents, reference_id. Each sample has its match activity, found or not; a structure is one node for
-    all samples of its formula; a dopant is a defect of its sample. Rows without a sample or key give nothing."""
+    all samples of its formula; a dopant is a defect of its sample. Rows without a sample or key give nothing. What is
+    said of a structure alone is made once for each; the rest is dealt into as many parts as it has rows for, which are
+    counted first."""
     act, node, there = F.concat(F.lit(f"{base}activity/"), "key"), F.concat(F.lit(f"{base}structure/"), "formula"), F.col("formula").isNotNull()
 
     def quad(s: Column, p: str, o: Column, kind: str = "literal", dt: str = "", where: Column | None = None) -> Column:
@@ -120,10 +124,12 @@ def link_quads(matched: DataFrame, base: str, at: str) -> DataFrame:
         quad(act, "sd:matchConfidence", F.when(there, F.col("confidence")).otherwise("unresolved")),
         quad(act, "prov:endedAtTime", F.lit(at), "literal", "xsd:dateTime"),
         quad(F.col("sample"), "sd:hasHostStructure", node, "iri", "", there),
-        quad(node, "rdf:type", F.lit("sd:CrystalStructure"), "iri", "", there),
-        quad(node, "sd:reducedHostFormula", F.col("formula"), "literal", "", there),
         quad(node, "prov:wasGeneratedBy", act, "iri", "", there),
-        quad(node, "sd:idealizedFrom", F.col("reference_id"), "iri", "", there & F.col("reference_id").isNotNull()),
+    )
+    shared = F.array(
+        quad(node, "rdf:type", F.lit("sd:CrystalStructure"), "iri"),
+        quad(node, "sd:reducedHostFormula", F.col("formula")),
+        quad(node, "sd:idealizedFrom", F.col("reference_id"), "iri", "", F.col("reference_id").isNotNull()),
     )
     mixed = F.transform("substituents", lambda e: quad(node, "sd:solidSolutionElement", e, "literal", "", there))
     defect = lambda d: F.concat(F.lit(f"{base}defect/"), "key", F.lit("/"), d["element"])
@@ -134,7 +140,11 @@ def link_quads(matched: DataFrame, base: str, at: str) -> DataFrame:
     )))
     empty = F.array().cast("array<struct<s:string,p:string,o:string,kind:string,dt:string>>")
     rows = matched.where(F.col("sample").isNotNull() & F.col("key").isNotNull())
-    return rows.select(F.explode(F.concat(always, F.coalesce(mixed, empty), F.coalesce(defects, empty))).alias("q")).where("q is not null").select("q.*").distinct()
+    of = lambda d, *each: d.select(F.explode_outer(F.concat(*each)).alias("q")).where("q is not null").select("q.*")
+    structures = rows.where(there).select("formula", "reference_id", "substituents").distinct()
+    own = of(rows, always, F.coalesce(defects, empty))
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() * QUADS // ROWS))
+    return own.repartition(parts, *own.columns).dropDuplicates().unionByName(of(structures, shared, F.coalesce(mixed, empty)).distinct())
 
 
 def _pairs(q: DataFrame, p: str, s: str, o: str) -> DataFrame:

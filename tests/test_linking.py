@@ -200,3 +200,14 @@ def test_candidates_send_no_word_lists_whole(spark):
     known = spark.range(400).select(F.concat_ws(" ", F.lit("common"), F.col("id") % 20, "id").alias("name"))
     plan = grounding.candidates(known.select(F.col("name").alias("label")), known)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SortMergeJoin") > 1 and plan.count("BroadcastHashJoin") <= plan.count("LeftSemi, BuildRight")  # the scopes alone
+
+
+def test_link_quads_are_dealt_by_their_number(spark, monkeypatch):
+    from linkspark.operators import formulas
+
+    monkeypatch.setattr(formulas, "ROWS", 10)
+    rows = spark.range(100).select(F.col("id").cast("string").alias("key"), F.concat(F.lit("n/"), "id").alias("sample"), F.lit("PbTe").alias("formula"), F.lit("m").alias("method"), F.lit("high").alias("confidence"), F.expr("array(named_struct('element', 'Na', 'amount', 0.02D))").alias("dopants"), F.array(F.lit("Se")).alias("substituents"), F.lit("r").alias("reference_id"))
+    made = formulas.link_quads(rows.unionByName(rows), "n/", "2020-01-01T00:00:00Z")
+    assert ", 240)" in made._jdf.queryExecution().executedPlan().toString()  # 200 rows of about 12 quads
+    got = made.collect()
+    assert len(got) == len(set(got)) == 100 * 10 + 4
