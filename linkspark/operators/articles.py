@@ -19,6 +19,8 @@ ROLES = (
     ("conclusion", "Conclusion"),
 )
 BODY = "_body"
+# Characters of articles that one task takes apart; its events need about a hundred times as many bytes.
+CHARS = 1 << 21
 _TAG = r"""</?[^\s<>/!?"'][^<>"']*+(?:"[^"<]*+"[^<>"']*+|'[^'<]*+'[^<>"']*+)*+>"""
 _TOKEN = rf"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<!DOCTYPE[^>\[]*+(?:\[[^\]]*+\])?+\s*+>|{_TAG}|[^<]++"
 _ATTRIBUTE = r"""[^\s=/<>"']+\s*=\s*(?:"[^"]*"|'[^']*')"""
@@ -45,11 +47,19 @@ def unescaped(text: Column) -> Column:
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), named, plain)
 
 
-def _events(docs: DataFrame, key: str, xml: str) -> DataFrame:
+def _parts(docs: DataFrame, xml: str) -> int:
+    """How many tasks take the articles apart, by their characters, which are counted first."""
+    chars = docs.agg(F.sum(F.length(F.col(f"`{xml}`")))).first()[0] or 0
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-chars // CHARS))
+
+
+def _events(docs: DataFrame, key: str, xml: str, parts: int) -> DataFrame:
     """(key, run, problem, at, kind, name, id, text): opening (1) and closing (-1) tags and texts (0) of each document, in
-    order; an empty element is both tags. Documents that are refused have one row without a kind."""
+    order; an empty element is both tags. Documents that are refused have one row without a kind. A document is moved
+    once, as its text; its events stay where they are made."""
     body = F.col("xml")
-    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{xml}`").alias("xml")).withColumn("run", F.sha2(F.coalesce(body, F.lit("")), 256)).dropDuplicates(["key", "run"])
+    rows = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{xml}`").alias("xml")).withColumn("run", F.sha2(F.coalesce(body, F.lit("")), 256))
+    rows = rows.repartition(parts, "key", "run").dropDuplicates(["key", "run"])
     pieces = F.regexp_extract_all(body, F.lit(_TOKEN), F.lit(0))
     refused = F.when(F.trim(F.coalesce(body, F.lit(""))) == "", "no document").when(body.contains("<!ENTITY"), "entities are refused")
     rows = rows.withColumn("problem", refused).withColumn("pieces", F.when(F.col("problem").isNull(), pieces))
@@ -69,7 +79,7 @@ def _events(docs: DataFrame, key: str, xml: str) -> DataFrame:
     return rows.withColumn("at", F.coalesce(F.col("at") * 2 + F.col("half"), F.lit(0))).drop("half")
 
 
-def _tree(docs: DataFrame, key: str, xml: str) -> DataFrame:
+def _tree(docs: DataFrame, key: str, xml: str, parts: int | None = None) -> DataFrame:
     """Events with depth, the document's problem (null: none) and, within its body, what they stand in.
 
     A wall is any element of the body that is no section with an id: sections behind walls are not reached. walls: those
@@ -80,7 +90,7 @@ def _tree(docs: DataFrame, key: str, xml: str) -> DataFrame:
     so_far = doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     kind, name = F.col("kind"), F.col("name")
     opens, closes = kind == 1, kind == -1
-    e = _events(docs, key, xml).withColumn("after", F.sum("kind").over(so_far))
+    e = _events(docs, key, xml, parts or _parts(docs, xml)).withColumn("after", F.sum("kind").over(so_far))
     e = e.withColumn("depth", F.col("after") + F.when(closes, 1).otherwise(0))
     tags = Window.partitionBy("key", "run", "depth", F.col("kind") != 0).orderBy("at")
     e = e.withColumn("pair", F.lag(F.struct("kind", "name", "id")).over(tags))
@@ -140,7 +150,10 @@ def sections(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFram
     roles: of top sections, what the title's words say. Paragraphs that stand in the body itself make one more section,
     BODY. Rows that repeat key and text are one document; documents that `errors` lists give no rows.
     """
-    tree = _tree(docs, key, xml)
+    return _sections(_tree(docs, key, xml), key)
+
+
+def _sections(tree: DataFrame, key: str) -> DataFrame:
     level = F.col("level") + F.when(F.col("kind") == -1, 1).otherwise(0)
     marks = tree.where("reached").select("key", "run", "at", "id", "kind", level.alias("own"))
     roles = F.when(F.col("kind") == 1, F.array(F.struct(F.col("own").alias("p"), F.lit(True).alias("self")), F.struct((F.col("own") - 1).alias("p"), F.lit(False).alias("self")))).otherwise(F.array(F.struct(F.col("own").alias("p"), F.lit(True).alias("self"))))
@@ -167,7 +180,11 @@ def paragraphs(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFr
     """(key, section, section_begin, n, position, paragraph): paragraphs and list items that stand directly in a section or
     the body, blank ones left out; n counts from 0 in its section, position in the document: sections as they begin, the
     body's own paragraphs (section BODY) last. A list item is one paragraph with all that it holds."""
-    rows = _blocks(_tree(docs, key, xml)).where("part = 'paragraph' and text <> ''")
+    return _paragraphs(_tree(docs, key, xml), key)
+
+
+def _paragraphs(tree: DataFrame, key: str) -> DataFrame:
+    rows = _blocks(tree).where("part = 'paragraph' and text <> ''")
     own = Window.partitionBy("key", "run", "section_at").orderBy("at")
     all_ = Window.partitionBy("key", "run").orderBy(F.col("section_at").asc_nulls_last(), "at")
     rows = rows.select("*", (F.row_number().over(own) - 1).cast("long").alias("n"), (F.row_number().over(all_) - 1).cast("long").alias("position"))
@@ -186,13 +203,15 @@ def figures(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame
 def passages(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:
     """(key, section, paragraphs, passage): text of each section with all sections that it holds, a line a paragraph. Holding
     is nesting of intervals, so nothing is walked level by level; a paragraph is a row for each section around it."""
-    around = sections(docs, key, xml).select(F.col(key).alias("of"), F.col("section").alias("holds"), "begin", "end")
-    rows = paragraphs(docs, key, xml)
-    same = F.col(key).eqNullSafe(F.col("of"))
+    parts = _parts(docs, xml)
+    tree = _tree(docs, key, xml, parts)
+    # keys in a struct, as null is a key too; dealt like the articles
+    around = _sections(tree, key).select(F.struct(F.col(key)).alias("of"), F.col("section").alias("holds"), "begin", "end").repartition(parts, "of")
+    rows = _paragraphs(tree, key).select(F.struct(F.col(key)).alias("by"), "section_begin", "position", "paragraph").repartition(parts, "by")
     held = (F.col("section_begin") >= F.col("begin")) & (F.col("section_begin") < F.col("end"))
-    met = around.join(rows, same & (held | (F.col("begin").isNull() & F.col("section_begin").isNull())))
+    met = around.join(rows, (F.col("of") == F.col("by")) & (held | (F.col("begin").isNull() & F.col("section_begin").isNull())))
     met = met.groupBy("of", "holds", "begin").agg(F.array_sort(F.collect_list(F.struct("position", "paragraph"))).alias("all"))
-    return met.select(F.col("of").alias(key), F.col("holds").alias("section"), F.size("all").cast("long").alias("paragraphs"), F.array_join(F.transform("all", lambda p: p["paragraph"]), "\n").alias("passage"))
+    return met.select(F.col(f"of.`{key}`").alias(key), F.col("holds").alias("section"), F.size("all").cast("long").alias("paragraphs"), F.array_join(F.transform("all", lambda p: p["paragraph"]), "\n").alias("passage"))
 
 
 def inventory(docs: DataFrame, key: str = "doc_id", xml: str = "xml") -> DataFrame:

@@ -1,5 +1,7 @@
 """Articles as trees, on XML in any form and on broken XML."""
 
+from pyspark.sql import functions as F
+
 from linkspark.operators import articles
 
 ARTICLE = """<?xml version="1.0"?>
@@ -65,3 +67,12 @@ def test_empty_and_null_keys(spark):
     assert articles.sections(frame(spark, [])).count() == articles.errors(frame(spark, [])).count() == 0
     docs = spark.createDataFrame([(None, ARTICLE, 3), (4, "<article><body><p>x</p></body></article>", 5)], "doc_id long, xml string, at int")
     assert articles.passages(docs).count() == 4 and {r.doc_id for r in articles.paragraphs(docs).collect()} == {None, 4}
+
+
+def test_articles_are_dealt_by_their_size(spark, monkeypatch):
+    docs = frame(spark, [(i, ARTICLE) for i in range(200)])
+    monkeypatch.setattr(articles, "CHARS", 5 * len(ARTICLE))
+    tree = articles._tree(docs, "doc_id", "xml")
+    tasks = tree.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("key").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] <= 20 and tasks.count() > 30
+    assert articles.passages(docs).count() == 600
