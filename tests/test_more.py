@@ -91,3 +91,11 @@ def test_buckets_grow_with_the_quads(spark, tmp_path):
         spark.sql("drop table linkspark_test_grown")
     plan = QUERIES["set_reuse_new"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(s#" not in plan and "hashpartitioning(g#" not in plan  # terms alone are shuffled
+
+
+def test_schema_summary_gathers_no_subject(spark):
+    rows = [("a", "s1", "rdf:type", "C"), ("b", "s1", "rdf:type", "C"), ("a", "s1", "rdf:type", "D"), ("a", "s1", "p", "1"), ("a", "s1", "p", "2"), ("a", "s2", "rdf:type", "C"), ("a", "s3", "p", "1"), ("a", "s2", "rdf:type", None)]
+    got = graph.schema_summary(spark.createDataFrame(rows, "g string, s string, p string, o string"))
+    found = {(r.kind, r["class"], r.predicate): r.n for r in got.collect()}
+    assert found == {("class", "C", None): 2, ("class", "D", None): 1, ("predicate", None, "rdf:type"): 5, ("predicate", None, "p"): 3, ("shape", "C", "rdf:type"): 5, ("shape", "C", "p"): 2, ("shape", "D", "rdf:type"): 3, ("shape", "D", "p"): 2}
+    assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
