@@ -13,18 +13,19 @@ from linkspark.operators.profile import dependencies, numeric_datatypes
 
 
 def dangling(q: DataFrame) -> DataFrame:
-    """Links whose target is never a subject: (p, n, example)."""
-    links = q.where((F.col("kind") == "iri") & (F.col("p") != TYPE))
+    """Links whose target is never a subject: (p, n, example). Links to one target are one row when it is looked for."""
+    links = q.where((F.col("kind") == "iri") & (F.col("p") != TYPE)).groupBy("o", "p").agg(F.count(F.lit(1)).alias("n"))
     lost = links.join(q.select(F.col("s").alias("o")).distinct(), "o", "left_anti")
-    return lost.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("o").alias("example"))
+    return lost.groupBy("p").agg(F.sum("n").alias("n"), F.min("o").alias("example"))
 
 
 def missing_predicate(q: DataFrame, declared: list[tuple[str, str]]) -> DataFrame:
-    """Declared (class, predicate) that no instance carries although there are instances."""
+    """Declared (class, predicate) that no instance carries although there are instances. Quads of declared predicates and
+    types of declared classes are all that is read."""
     spark = q.sparkSession
     want = spark.createDataFrame(declared, "class string, p string")
-    types = q.where(F.col("p") == TYPE).select("s", F.col("o").alias("class"))
-    have = q.join(types, "s").select("class", "p").distinct()
+    types = q.where((F.col("p") == TYPE) & F.col("o").isin(*{c for c, _ in declared})).select("s", F.col("o").alias("class"))
+    have = q.where(F.col("p").isin(*{p for _, p in declared})).join(types, "s").select("class", "p").distinct()
     return want.join(types.select("class").distinct(), "class", "left_semi").join(have, ["class", "p"], "left_anti")
 
 

@@ -99,3 +99,12 @@ def test_schema_summary_gathers_no_subject(spark):
     found = {(r.kind, r["class"], r.predicate): r.n for r in got.collect()}
     assert found == {("class", "C", None): 2, ("class", "D", None): 1, ("predicate", None, "rdf:type"): 5, ("predicate", None, "p"): 3, ("shape", "C", "rdf:type"): 5, ("shape", "C", "p"): 2, ("shape", "D", "rdf:type"): 3, ("shape", "D", "p"): 2}
     assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_checks_read_what_is_declared(spark):
+    rows = [("s1", "rdf:type", "C", "iri", ""), ("s1", "p", "1", "literal", ""), ("s1", "to", "lost", "iri", ""), ("s2", "to", "lost", "iri", ""), ("s2", "to", "s1", "iri", "")]
+    q = spark.createDataFrame(rows, "s string, p string, o string, kind string, dt string")
+    got = checks.run_all(q, [("C", "p"), ("C", "none"), ("E", "p")], {"p": "xsd:integer"})
+    assert {tuple(r) for r in got.collect()} == {("missing_predicate", "C none", 1), ("dangling", "to", 2), ("datatype", "p", 1)}
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(1)" in plan(checks.dangling(q)).partition("LeftAnti")[2] and "p#" in plan(checks.missing_predicate(q, [("C", "only")])) and "= only)" in plan(checks.missing_predicate(q, [("C", "only")]))
