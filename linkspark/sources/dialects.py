@@ -16,6 +16,8 @@ WHITESPACE = "whitespace"
 ENCODINGS = ("utf-8-sig", "cp932")
 SIGNS = (",", "\t", ";", "|")
 SAMPLE_BYTES, SAMPLE_LINES, LEAST_RUN, LEAST_COLUMNS = 1 << 20, 200, 5, 2
+# Lines of heads and bytes of files that a task has at most, about.
+LINES, BYTES = 250_000, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -47,6 +49,16 @@ def decoded(content: Column, encoding: str) -> Column:
     return of(content)
 
 
+def _parts(content: DataFrame, *most: int) -> int:
+    """As many parts as the session has cores, or as the largest of these needs."""
+    return max(content.sparkSession.sparkContext.defaultParallelism, *most)
+
+
+def _heads(content: DataFrame, dialect: Dialect) -> int:
+    """Parts of files with at most LINES lines of heads each; files are counted first, their content isn't read."""
+    return _parts(content, -(-content.select("file").count() * max(dialect.skip_rows, 1) // LINES))
+
+
 def _lines(c: Column) -> Column:
     return F.split(c, "\r\n|\r|\n")
 
@@ -68,18 +80,24 @@ def cells(content: DataFrame, dialect: Dialect) -> DataFrame:
     """(file, row, cells array<string>): the rows below the first skip_rows lines, the header's row 1. Cells are trimmed,
     rows without any text left out, with collapse empty cells too; rows may differ in width. content: file, content.
     A file without rows, or null, gives none. A file is read by one task, as its quoted cells may span lines."""
+    rows = _tables(content, dialect).select("file", F.posexplode("rows").alias("at", "cells"))
+    return rows.select("file", (F.col("at") + 1).alias("row"), "cells")
+
+
+def _tables(content: DataFrame, dialect: Dialect) -> DataFrame:
+    """(file, rows array<array<string>>): cells(), a row a file, which is where they are numbered."""
     whole = content.select("file", decoded(F.col("content"), dialect.encoding).alias("text"))
     if dialect.delimiter == WHITESPACE:
-        rows = whole.select("file", F.posexplode(_lines(F.col("text"))).alias("at", "line")).where(F.col("at") >= dialect.skip_rows)
-        rows = rows.select("file", "at", F.filter(F.split("line", r"\s+"), lambda c: c != "").alias("cells"))
+        lines = F.filter(_lines(F.col("text")), lambda line, at: at >= dialect.skip_rows)
+        rows = F.transform(lines, lambda line: F.filter(F.split(line, r"\s+"), lambda c: c != ""))
     else:
         line = r"(?:[^\r\n]*+(?:\r\n|\r|\n|\z))"
         body = F.regexp_replace("text", rf"\A{line}{{{dialect.skip_rows}}}", "") if dialect.skip_rows else F.col("text")
-        rows = whole.select("file", F.posexplode(_records(dialect.delimiter)(body)).alias("at", "cells"))
+        whole = whole.select("file", _records(dialect.delimiter)(body).alias("records"))
+        rows = F.col("records")
         if dialect.collapse:
-            rows = rows.withColumn("cells", F.filter("cells", lambda c: c != ""))
-    rows = rows.where(F.exists("cells", lambda c: c != ""))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("row"), "cells")
+            rows = F.transform(rows, lambda r: F.filter(r, lambda c: c != ""))
+    return whole.select("file", F.filter(rows, lambda r: F.exists(r, lambda c: c != "")).alias("rows"))
 
 
 def preamble(content: DataFrame, dialect: Dialect) -> DataFrame:
@@ -88,10 +106,16 @@ def preamble(content: DataFrame, dialect: Dialect) -> DataFrame:
     lines: each line that is not blank. keyvalue: "key: value" parted at the first colon; lines without one go on with the
     value before; headings of three hyphens are passed over. keyvalue_cells: "key=value" cells. What has no key is called
     preamble_N (N: its line; for cells its number among such), named tells whether the file gave the name; a key that
-    comes again in a file gets _2, _3. line counts from 1. The lines of one file's head meet in one task.
+    comes again in a file gets _2, _3. line counts from 1. A file's head is moved as one row, its lines stay there; a task
+    has about LINES of them, for which the files are counted first.
     """
+    return _preamble(content, dialect, _heads(content, dialect))
+
+
+def _preamble(content: DataFrame, dialect: Dialect, parts: int) -> DataFrame:
     text = content.select("file", decoded(F.col("content"), dialect.encoding).alias("text"))
-    head = text.select("file", F.posexplode(F.slice(_lines(F.col("text")), 1, max(dialect.skip_rows, 1))).alias("at", "raw")).where(F.col("at") < dialect.skip_rows)
+    head = text.select("file", F.slice(_lines(F.col("text")), 1, max(dialect.skip_rows, 1)).alias("raw")).repartition(parts, "file")
+    head = head.select("file", F.posexplode("raw").alias("at", "raw")).where(F.col("at") < dialect.skip_rows)
     head = head.select("file", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text"))
     if dialect.preamble == "lines":
         rows = head.where("text <> ''").select("file", F.col("line").cast("long").alias("at"), "line", "text", F.lit("").alias("key"), F.col("text").alias("value"), F.col("line").alias("number"))
@@ -121,17 +145,19 @@ def preamble(content: DataFrame, dialect: Dialect) -> DataFrame:
 def broadcast_rows(content: DataFrame, dialect: Dialect) -> DataFrame:
     """(file, row, cells, meta map<string,string>): rows cut or filled with "" to the header's width, and what the file's
     preamble says, under names that no column of the header has (_2, _3 are added). Files without a preamble have an
-    empty map."""
-    rows = cells(content, dialect)
-    head = rows.where("row = 1").select("file", F.col("cells").alias("header"))
-    said = preamble(content, dialect).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "name", "value"))).alias("said"))
+    empty map. Files and heads meet as one row each; their bytes are counted first, so that a task has about BYTES."""
+    size = content.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    parts = _parts(content, _heads(content, dialect), -(-size // BYTES))
+    head = _tables(content, dialect).where(F.size("rows") > 0).repartition(parts, "file").withColumn("header", F.col("rows")[0])
+    said = _preamble(content, dialect, parts).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("place", "name", "value"))).alias("said"))
     names = F.array_union("header", F.transform("said", lambda x: x["name"]))
     free = lambda n: F.filter(F.sequence(F.lit(2), F.size(names) + 2), lambda i: ~F.array_contains(names, F.concat(n, F.lit("_"), i.cast("string"))))[0]
     safe = lambda n: F.when(F.array_contains("header", n), F.concat(n, F.lit("_"), free(n).cast("string"))).otherwise(n)
     meta = F.map_from_entries(F.transform("said", lambda x: F.struct(safe(x["name"]), x["value"])))
-    about = head.join(said, "file", "left").select("file", F.size("header").alias("width"), F.coalesce(meta, F.create_map().cast("map<string,string>")).alias("meta"))
+    about = head.join(said, "file", "left").select("file", "rows", F.size("header").alias("width"), F.coalesce(meta, F.create_map().cast("map<string,string>")).alias("meta"))
     fitted = F.slice(F.concat("cells", F.array_repeat(F.lit(""), F.col("width"))), 1, F.col("width"))
-    return rows.join(about, "file").select("file", "row", fitted.alias("cells"), "meta")
+    rows = about.select("file", "width", "meta", F.posexplode("rows").alias("at", "cells"))
+    return rows.select("file", (F.col("at") + 1).alias("row"), fitted.alias("cells"), "meta")
 
 
 @pandas_udf(T.StructType([T.StructField("encoding", T.StringType()), T.StructField("sample", T.StringType())]))

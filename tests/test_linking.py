@@ -211,3 +211,28 @@ def test_link_quads_are_dealt_by_their_number(spark, monkeypatch):
     assert ", 240)" in made._jdf.queryExecution().executedPlan().toString()  # 200 rows of about 12 quads
     got = made.collect()
     assert len(got) == len(set(got)) == 100 * 10 + 4
+
+
+def _head(i):
+    return f"a: {i}\nb: x\nc d\n1 {i}\n".encode()
+
+
+def test_heads_are_dealt_by_their_lines(spark, monkeypatch):
+    content = spark.createDataFrame([(i, _head(i)) for i in range(400)], "file long, content binary")
+    card = Dialect(delimiter=dialects.WHITESPACE, skip_rows=2, preamble="keyvalue")
+    monkeypatch.setattr(dialects, "LINES", 20, raising=False)
+    tasks = dialects.preamble(content, card).groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] <= 60 and tasks.count() > 30
+
+
+def test_files_meet_their_heads_as_rows(spark, monkeypatch):
+    content = spark.createDataFrame([(i, _head(i)) for i in range(400)] + [(400, b""), (401, None), (402, b"a: 1\n\n\n\n")], "file long, content binary")
+    card = Dialect(delimiter=dialects.WHITESPACE, skip_rows=2, preamble="keyvalue")
+    assert "Exchange" not in dialects.cells(content, card)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(dialects, "BYTES", 200, raising=False)
+    rows = dialects.broadcast_rows(content, card)
+    got = sorted((r.file, r.row, tuple(r.cells), tuple(sorted(r.meta.items()))) for r in rows.collect())
+    said = lambda i: (("a", str(i)), ("b", "x"))
+    assert got == sorted(x for i in range(400) for x in ((i, 1, ("c", "d"), said(i)), (i, 2, ("1", str(i)), said(i))))
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file").alias("n"))
+    assert tasks.agg(F.max("n")).first()[0] <= 40 and tasks.count() > 20
