@@ -16,8 +16,8 @@ WHITESPACE = "whitespace"
 ENCODINGS = ("utf-8-sig", "cp932")
 SIGNS = (",", "\t", ";", "|")
 SAMPLE_BYTES, SAMPLE_LINES, LEAST_RUN, LEAST_COLUMNS = 1 << 20, 200, 5, 2
-# Lines of heads and bytes of files that a task has at most, about.
-LINES, BYTES = 250_000, 1 << 26
+# Lines of heads, files and bytes that a task has at most, about.
+LINES, FILES, BYTES = 250_000, 10_000, 1 << 26
 
 
 @dataclass(frozen=True)
@@ -218,6 +218,9 @@ def detected(content: DataFrame) -> DataFrame:
     raw = F.coalesce("content", F.lit("").cast("binary"))
     plain = F.is_valid_utf8(raw.cast("string")) & ~F.hex(F.substring(raw, 1, 2)).isin("FFFE", "FEFF")
     rows = content.select("file", raw.alias("content"), plain.alias("plain"), (F.octet_length(raw) > SAMPLE_BYTES).alias("more"))
+    # what is looked at is dealt by the number of files: many small ones lie in few parts
+    looked = F.when(F.col("plain"), F.substring("content", 1, SAMPLE_BYTES)).otherwise(F.col("content"))
+    rows = rows.withColumn("content", looked).repartition(_parts(content, -(-content.select("file").count() // FILES)))
     ours = rows.where("plain").select("file", "more", F.lit(ENCODINGS[0]).alias("encoding"), F.make_valid_utf8(F.substring("content", 1, SAMPLE_BYTES).cast("string")).alias("sample"))
     theirs = rows.where("not plain").select("file", "more", _foreign("content").alias("f")).select("file", "more", "f.*")
     lines = _lines(F.regexp_replace("sample", "^\ufeff", ""))

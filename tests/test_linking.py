@@ -236,3 +236,11 @@ def test_files_meet_their_heads_as_rows(spark, monkeypatch):
     assert got == sorted(x for i in range(400) for x in ((i, 1, ("c", "d"), said(i)), (i, 2, ("1", str(i)), said(i))))
     tasks = rows.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct("file").alias("n"))
     assert tasks.agg(F.max("n")).first()[0] <= 40 and tasks.count() > 20
+
+
+def test_few_large_parts_of_files_are_dealt(spark, monkeypatch):
+    content = spark.range(0, 300, 1, 1).select(F.col("id").alias("file"), F.encode(F.format_string("a,%d\nb,1\nc,2\nd,3\ne,4\n", "id"), "UTF-8").alias("content"))
+    monkeypatch.setattr(dialects, "FILES", 20, raising=False)
+    found = dialects.detected(content)
+    assert found.where("encoding = 'utf-8-sig' and delimiter = ',' and skip_rows = 0").count() == 300
+    assert found.groupBy(F.spark_partition_id().alias("task")).count().count() >= 12
