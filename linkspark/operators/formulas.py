@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 import re
 
 import pandas as pd
@@ -169,19 +170,28 @@ def bridge(q: DataFrame) -> DataFrame:
     return out.select("sample", "structure", "method", "confidence", "at", "reference", F.coalesce("dopants", F.lit("")).alias("dopants"))
 
 
-def fusion(q: DataFrame, composition: str | None = None) -> DataFrame:
+def fusion(q: DataFrame | Callable[[str], DataFrame], composition: str | None = None, parts: int | None = None) -> DataFrame:
     """(curve, composition, property, value, figure, label, caption, sentence, condition, paper, title): each measured
     curve with its figure and the sentence that states how it was measured. property, value, caption and title may be
-    null; curves without the other parts are left out. composition: only curves of this one."""
-    made = _pairs(q, "sd:compositionString", "sample", "composition")
+    null; curves without the other parts are left out. composition: only curves of this one.
+
+    q: quads, or a function that gives those of one predicate, so that quads that are made anew are made for the predicates
+    asked for alone. What is said of a curve meets first, then what is said of samples, figures and sentences; curves move
+    for their sample and figure alone. parts: into how many they are dealt for their sample (as the session says unless
+    given)."""
+    pairs = lambda p, s, o: _pairs(q(p) if callable(q) else q, p, s, o)
+    made = pairs("sd:compositionString", "sample", "composition")
     if composition is not None:
         made = made.where(F.col("composition") == composition)
-    curves = q.where("p = 'rdf:type' and o = 'sd:Curve'").select(F.col("s").alias("curve"))
-    out = curves.join(_pairs(q, "sd:ofSample", "curve", "sample"), "curve").join(_pairs(q, "prov:wasDerivedFrom", "curve", "figure"), "curve")
-    out = out.join(made, "sample").join(_pairs(q, "lit:conditionStatedIn", "sample", "sentence"), "sample")
-    out = out.join(_pairs(q, "sd:propertyY", "curve", "property"), "curve", "left").join(_pairs(q, "sd:yMax", "curve", "value"), "curve", "left")
-    captions = _pairs(q, "po:contains", "figure", "c").join(_pairs(q, "nif:isString", "c", "caption"), "c").drop("c")
-    out = out.join(_pairs(q, "rdfs:label", "figure", "label"), "figure").join(captions, "figure", "left")
-    out = out.join(_pairs(q, "nif:anchorOf", "sentence", "condition"), "sentence").join(_pairs(q, "prov:wasQuotedFrom", "sentence", "paper"), "sentence")
-    out = out.join(_pairs(q, "dcterms:title", "paper", "title"), "paper", "left")
+    curves = pairs("rdf:type", "curve", "class").where("class = 'sd:Curve'").select("curve")
+    curves = curves.join(pairs("sd:ofSample", "curve", "sample"), "curve").join(pairs("prov:wasDerivedFrom", "curve", "figure"), "curve")
+    curves = curves.join(pairs("sd:propertyY", "curve", "property"), "curve", "left").join(pairs("sd:yMax", "curve", "value"), "curve", "left")
+    captions = pairs("po:contains", "figure", "c").join(pairs("nif:isString", "c", "caption"), "c").drop("c")
+    figures = pairs("rdfs:label", "figure", "label").join(captions, "figure", "left")
+    stated = pairs("nif:anchorOf", "sentence", "condition").join(pairs("prov:wasQuotedFrom", "sentence", "paper"), "sentence")
+    stated = stated.join(pairs("dcterms:title", "paper", "title"), "paper", "left")
+    samples = made.join(pairs("lit:conditionStatedIn", "sample", "sentence"), "sample").join(stated, "sentence")
+    if parts is not None:
+        curves, samples = curves.repartition(parts, "sample"), samples.repartition(parts, "sample")
+    out = curves.join(samples, "sample").join(figures, "figure")
     return out.select("curve", "composition", "property", F.col("value").try_cast("double").alias("value"), "figure", "label", "caption", "sentence", "condition", "paper", "title")

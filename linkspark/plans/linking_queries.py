@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkspark.operators import crosswalk, formulas, grounding, profile
-from linkspark.operators.mapping import TYPE, Map, Property, all_quads, quads
+from linkspark.operators.mapping import ROWS, TYPE, Map, Property, all_quads, by_predicate, quads
 from linkspark.plans.queries import _P, _participants
 from linkspark.plans.registry import query
 from linkspark.plans.registry import table as _t
@@ -91,9 +91,10 @@ def join_text_data_fusion(spark, sf_dir):
     sample = Map("http://x/sample/{c_custkey}", (), (Property("sd:compositionString", column="c_mktsegment"), Property("lit:conditionStatedIn", template="http://x/sentence/{c_nationkey}")))
     sentence = Map("http://x/sentence/{n_nationkey}", (), (Property("nif:anchorOf", column="n_name"), Property("prov:wasQuotedFrom", template="http://x/paper/{n_regionkey}")))
     paper = Map("http://x/paper/{r_regionkey}", (), (Property("dcterms:title", column="r_name"),))
-    made = (("orders", curve), ("orders", figure), ("customer", sample), ("nation", sentence))
-    parts = [quads(_t(spark, sf_dir, n), m, "g", distinct=False) for n, m in made] + [quads(_t(spark, sf_dir, "region").where("r_regionkey > 0"), paper, "g", distinct=False)]
-    return formulas.fusion(all_quads(*parts))
+    read = {n: _t(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region")}
+    parts = max(spark.sparkContext.defaultParallelism, -(-read["orders"].count() // ROWS))  # as the files' footers say
+    made = (read["orders"], curve, parts), (read["orders"], figure, None), (read["customer"], sample, parts), (read["nation"], sentence, None), (read["region"].where("r_regionkey > 0"), paper, None)
+    return formulas.fusion(by_predicate(*made), parts=parts)
 
 
 @query("agg_link_counts", f"with {_P}, l as (select distinct key, participant, entity, value from p where key in (select key from k)) select participant, count(*) as links, count(distinct key) as hubs from l group by participant union all select null, count(*), count(distinct key) from l having count(*) > 0")

@@ -244,3 +244,21 @@ def test_few_large_parts_of_files_are_dealt(spark, monkeypatch):
     found = dialects.detected(content)
     assert found.where("encoding = 'utf-8-sig' and delimiter = ',' and skip_rows = 0").count() == 300
     assert found.groupBy(F.spark_partition_id().alias("task")).count().count() >= 12
+
+
+def test_fusion_makes_what_it_asks_for(spark):
+    from linkspark.operators.mapping import Map, Property, all_quads, by_predicate, quads
+
+    curves = spark.createDataFrame([(1, 7, "f", "2.5"), (1, 7, "f", "2.5"), (2, 8, "f", "x"), (3, 9, "h", "1")], "k long, s long, f string, y string")
+    samples = spark.createDataFrame([(7, "A"), (8, "B"), (9, None)], "s long, c string")
+    curve = Map("c/{k}", ("sd:Curve",), (Property("sd:ofSample", template="s/{s}"), Property("prov:wasDerivedFrom", template="f/{f}"), Property("sd:yMax", column="y")))
+    figure = Map("f/{f}", (), (Property("rdfs:label", column="f"),))
+    sample = Map("s/{s}", (), (Property("sd:compositionString", column="c"), Property("lit:conditionStatedIn", template="t/{c}")))
+    stated = Map("t/{c}", (), (Property("nif:anchorOf", column="c"), Property("prov:wasQuotedFrom", template="p/{c}")))
+    maps = (curves, curve, 3), (curves, figure, None), (samples, sample, 3), (samples, stated, None)
+    whole = formulas.fusion(all_quads(*[quads(t, m, "g", distinct=False) for t, m, _ in maps]))
+    by = formulas.fusion(by_predicate(*maps), parts=3)
+    rows = sorted(map(tuple, by.collect()), key=str)
+    assert rows == sorted(map(tuple, whole.collect()), key=str) and [(r[0], r[1], r[3], r[5], r[9]) for r in rows] == [("c/1", "A", 2.5, "f", "p/A"), ("c/2", "B", None, "f", "p/B")]
+    assert set(by_predicate(*maps)("none").columns) == {"s", "p", "o"}
+    assert sorted(map(tuple, formulas.fusion(by_predicate(*maps), "B").select("curve").collect())) == [("c/2",)]
