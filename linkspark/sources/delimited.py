@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _sign(sep: str) -> str:
+    """A separator as part of a pattern."""
+    return re.escape(sep) if sep != "\t" else r"\t"
+
+
 def _ends_quoted(line: Column, s: str) -> Column:
     """Whether a line that begins outside of a quoted cell ends inside of one."""
     quoted = r'"[^"]*+(?:""[^"]*+)*+'
@@ -40,7 +45,7 @@ def records(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     the others are gathered by the line that their record began with. Files without quoted line feeds, which a first scan
     tells, are not shuffled at all. A quote that is never closed makes the rest of its file one record.
     """
-    s = re.escape(sep) if sep != "\t" else r"\t"
+    s = _sign(sep)
     lines = _lines(spark, path)
     if not lines.where(_ends_quoted(F.col("line"), s)).head(1):
         return lines.select("file", "block", "place", F.col("line").alias("record"))
@@ -92,14 +97,19 @@ def table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".tab")) else ",")
     rows = records(spark, path, sep).where(F.trim("record") != "")
-    first = rows.groupBy("file").agg(F.min(F.struct("block", "place", "record")).alias("h"))
-    header = first.orderBy("file").select("h.record").first()
-    if header is None:
+    # the first record of a file begins with its first line that isn't blank, and is that line unless a quote goes on
+    begun = _lines(spark, path).where(F.trim("line") != "").groupBy("file").agg(F.min(F.struct("block", "place", "line")).alias("h"))
+    first = begun.select("file", "h.block", "h.place", F.col("h.line").alias("record"), _ends_quoted(F.col("h.line"), _sign(sep)).alias("on"))
+    header = first.agg(F.min_by("record", "file").alias("record"), F.bool_or("on").alias("on")).first()
+    if header["record"] is None:
         return spark.createDataFrame([], T.StructType([]))
+    if header["on"]:
+        first = rows.groupBy("file").agg(F.min(F.struct("block", "place", "record")).alias("h")).select("file", "h.*")
+        header = first.orderBy("file").select("record").first()
     names = _names(header["record"], sep)
     options = {"sep": sep, "escape": '"', "maxCharsPerColumn": "-1", "multiLine": "true"}
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    body = rows.join(first.select("file", F.col("h.block").alias("hb"), F.col("h.place").alias("hp")), "file").where("block <> hb or place <> hp")
+    body = rows.join(first.select("file", F.col("block").alias("hb"), F.col("place").alias("hp")), "file").where("block <> hb or place <> hp")
     cells = body.select(F.from_csv("record", schema, options).alias("r"))
     return cells.select(*[F.coalesce(F.col(f"r.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 

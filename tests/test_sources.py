@@ -266,3 +266,17 @@ def test_summaries(spark):
     assert profile.summaries(df.limit(0)).where("filled = 0 and total = 0").count() == 6
     plan = profile.summaries(df)._jdf.queryExecution().executedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_header_needs_no_records(spark, tmp_path):
+    from linkspark.sources import delimited
+
+    (tmp_path / "a.csv").write_text('\n \nk,v\n1,"x\ny"\n2,z\n')
+    (tmp_path / "b.csv").write_text('k,v\n3,"p\n\nq"\n')
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    got = delimited.table(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == [("1", "x\ny"), ("2", "z"), ("3", "p\n\nq")]
+    assert plan(got).count("array_sort") == 1  # records are put together once
+    (tmp_path / "a.csv").write_text('"k\n1",v\n1,"x\ny"\n')
+    assert delimited.table(spark, str(tmp_path / "a.csv")).columns == ["k\n1", "v"]
+    assert list(map(tuple, delimited.table(spark, str(tmp_path / "a.csv")).collect())) == [("1", "x\ny")]
