@@ -108,3 +108,26 @@ def test_checks_read_what_is_declared(spark):
     assert {tuple(r) for r in got.collect()} == {("missing_predicate", "C none", 1), ("dangling", "to", 2), ("datatype", "p", 1)}
     plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
     assert "count(1)" in plan(checks.dangling(q)).partition("LeftAnti")[2] and "p#" in plan(checks.missing_predicate(q, [("C", "only")])) and "= only)" in plan(checks.missing_predicate(q, [("C", "only")]))
+
+
+def test_rows_move_before_their_quads(spark, tmp_path, monkeypatch):
+    from linkspark.operators import mapping
+
+    spec = mapping.Map("n/{id}", ("T",), (mapping.Property("p:v", column="v"), mapping.Property("p:w", column="w")))
+    other = spark.range(50).selectExpr("id", "'x' as v", "id as w")
+    again = spark.createDataFrame([(1, "a", 1), (1, "a", 1), (1, "b", 1), (2, "a", None), (None, "a", 1), (None, "a", 1), (3, None, None)], "id long, v string, w long")
+    compared, real = [], mapping._bucket_set
+    monkeypatch.setattr(mapping, "_bucket_set", lambda q, n: compared.append(sorted({r.s for r in q.collect()})) or real(q, n))
+    want = mapping.quads(other, spec, "g").unionByName(mapping.quads(again, spec, "h")).select(*mapping.QUAD)
+    try:
+        made = mapping.stored_maps([(other, spec, "g"), (again, spec, "h")], "linkspark_test_moved", str(tmp_path / "q"), rows=20 * mapping.ROWS)
+        assert compared == [["n/1"]]  # quads of the one subject that comes again
+        assert sorted(map(str, made.select(*mapping.QUAD).collect())) == sorted(map(str, want.collect())) and want.count() == 150 + 7
+        assert made.where("g = 'h' and s = 'n/1'").count() == 4 and made.groupBy("s").count().count() == 50
+        at = F.regexp_extract(F.input_file_name(), r"_(\d+)\.c\d+", 1).cast("int")
+        assert made.select(at.alias("at"), F.pmod(F.hash("s"), F.lit(20)).alias("of")).where("at <> of or at is null").count() == 0
+        assert len(list((tmp_path / "q").rglob("*.parquet"))) <= 3 * 20 * 3  # a file for each map (two if subjects come again), bucket and predicate
+    finally:
+        spark.sql("drop table if exists linkspark_test_moved")
+    with pytest.raises(ValueError, match="one graph"):
+        mapping.stored_maps([(other, spec, "g"), (again, spec, "g")], "linkspark_test_none", str(tmp_path / "n"))
