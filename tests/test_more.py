@@ -131,3 +131,40 @@ def test_rows_move_before_their_quads(spark, tmp_path, monkeypatch):
         spark.sql("drop table if exists linkspark_test_moved")
     with pytest.raises(ValueError, match="one graph"):
         mapping.stored_maps([(other, spec, "g"), (again, spec, "g")], "linkspark_test_none", str(tmp_path / "n"))
+
+
+@pytest.mark.parametrize("few", [200_000, 1])
+def test_class_shapes_need_no_table_of_quads(spark, monkeypatch, few):
+    from linkspark.operators import mapping
+    from linkspark.plans import queries
+
+    monkeypatch.setattr(mapping, "FEW", few)
+    monkeypatch.setattr(queries, "_LOADED", {})
+    monkeypatch.setattr(queries, "stored_maps", lambda *a, **k: pytest.fail("the graph was loaded"))
+    assert queries.QUERIES["agg_class_shapes"](spark, "/root/testdata/sf0.001").count() == 8
+    columns = "id long, v string, w string, kind string"
+    first = spark.createDataFrame([(1, "a", "x y x", "K"), (1, "a", "y", "L"), (1, "b", "", None), (2, "", None, ""), (3, None, "z", "K"), (None, "a", "b", "K"), (None, "a", "b", "K")], columns)
+    second = spark.createDataFrame([(3, "c", "q", "K"), (3, "c", "q", "K"), (7, "d", "r r", "M"), (8, "e", "", ""), (9, "a", "b", "K"), (9, "b", "c", "L"), (None, "a", "b", "K")], columns)
+    two = (Property("p:v", column="v"), Property("p:v", column="kind"), Property("p:w", function="split", columns=("w",), args=(" ",)))
+    cases = [
+        [(first, Map("n/{id}", ("T", "T", "U", ""), two), "g")],
+        [(first, Map("n/{id}", ("T",), two), "g"), (second, Map("n/{id}", ("U",), two), "h")],
+        [(first, Map("n/{id}", ("T",), two), "g"), (second, Map("n/{id}", (), two), "g"), (second, Map("m/{id}", ("U",), two), "h")],
+        [(first, Map("n/{id}", ("T",), two), "g"), (second, Map("n/{id}", ("U",), (*two, Property("rdf:type", column="kind", iri=True))), "h")],
+        [(second.where("id > 6"), Map("n/{id}", ("T",), ()), "g"), (first, Map("m/{id}", (), two), "h")],
+        [(first.where("id = 2"), Map("n/{id}", ("T",), (Property("rdf:type", column="kind"), *two)), "g")],
+    ]
+    for case in cases:
+        want = graph.class_shapes(mapping.all_quads(*[quads(df, spec, g, distinct=False) for df, spec, g in case]))
+        got = graph.class_shapes_of(case)
+        assert got.dtypes == want.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert graph.class_shapes_of(cases[1]).count() == 4
+
+
+def test_class_shapes_move_hashes_alone(spark):
+    from linkspark.operators import mapping
+
+    spec = Map("n/{id}", ("T",), (Property("p:v", column="v"),))
+    got = graph.class_shapes_of([(spark.range(50).selectExpr("id", "'x' as v"), spec, "g")])
+    assert [tuple(r) for r in got.collect()] == [("T", "p:v", 50)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
